@@ -13,6 +13,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .util import at
+
 _BLANK = r"[\s\p{Z}\x{FEFF}\x{1C}-\x{1F}\x{85}]"
 
 
@@ -32,7 +34,7 @@ def after_marker(c: Column, marker: str, last: bool = False) -> Column:
     ``last=True`` takes the last segment instead (the retrieval variant).
     """
     parts = F.split(c, re.escape(marker), -1)
-    seg = F.element_at(parts, -1) if last else F.element_at(parts, 2)
+    seg = at(parts, -1) if last else at(parts, 2)
     return F.when(F.size(parts) >= 2, pystrip(seg))
 
 
@@ -73,7 +75,7 @@ def completion_of(output: Column, inp: Column, marker: str) -> Column:
     """Fewer markers in the output than the input -> ``"Wrong completion."``, else text after the last marker."""
     po = F.split(output, re.escape(marker), -1)
     pi = F.split(inp, re.escape(marker), -1)
-    return F.when(F.size(po) < F.size(pi), F.lit("Wrong completion.")).otherwise(F.element_at(po, -1))
+    return F.when(F.size(po) < F.size(pi), F.lit("Wrong completion.")).otherwise(at(po, -1))
 
 
 def format_prompt(with_input: str, no_input: str, fields: Iterable[str] = ("instruction", "input"),

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .util import at
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -132,7 +134,7 @@ def pool_mean(vectors, mask) -> Column:
     vs = F.col(vectors) if isinstance(vectors, str) else vectors
     m = _c(mask)
     kept = F.filter(F.zip_with(vs, m, lambda v, k: F.when(k != 0, v)), lambda v: v.isNotNull())
-    dim = F.size(F.element_at(vs, 1))
+    dim = F.size(at(vs, 1))
     n = F.size(kept).cast("double")
     zero = F.array_repeat(F.lit(0.0), dim)
     total = F.aggregate(kept, zero, lambda acc, v: F.zip_with(acc, v.cast("array<double>"), lambda a, b: a + b))
@@ -141,14 +143,14 @@ def pool_mean(vectors, mask) -> Column:
 
 def pool_last(vectors, length) -> Column:
     """Vector of the last real token (1-based ``length``)."""
-    return F.element_at(_c(vectors), _c(length).cast("int"))
+    return at(_c(vectors), _c(length).cast("int"))
 
 
 def pool_position_weighted(vectors, length) -> Column:
     """sum_i i*v_i / sum_i i over the first ``length`` tokens (i 1-based)."""
     vs = _c(vectors)
     n = _c(length).cast("int")
-    dim = F.size(F.element_at(vs, 1))
+    dim = F.size(at(vs, 1))
     zero = F.array_repeat(F.lit(0.0), dim)
     real = F.slice(vs, 1, n)
     weighted = F.transform(real, lambda v, i: F.transform(v.cast("array<double>"), lambda x: x * (i + 1)))
@@ -190,7 +192,7 @@ def pad_mask(arr, pad_value=0) -> Column:
 def batch_select(arr, idx) -> Column:
     """Gather ``arr[idx[j]]`` (0-based indices)."""
     a = _c(arr)
-    return F.transform(_c(idx), lambda i: F.element_at(a, i.cast("int") + 1))
+    return F.transform(_c(idx), lambda i: at(a, i.cast("int") + 1))
 
 
 def segment_valid_length(arr) -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.util import at
+
 from ..functions import vectors as V
 from .aggregate import pair_hash
 from .window import dense_position
@@ -44,8 +46,8 @@ def match_completion(df: DataFrame, completions: str = "completions", chosen: st
     comps = F.col(completions)
     ch = F.filter(comps, lambda c: c.getField(response) == F.col(chosen))
     rj = F.filter(comps, lambda c: (c.getField(response) != F.col(chosen)) & (c.getField(response) == F.col(rejected)))
-    return (df.withColumn("chosen_ratings", F.element_at(ch, -1).getField(ratings))
-              .withColumn("rejected_ratings", F.element_at(rj, -1).getField(ratings)))
+    return (df.withColumn("chosen_ratings", at(ch, -1).getField(ratings))
+              .withColumn("rejected_ratings", at(rj, -1).getField(ratings)))
 
 
 # J03 ------------------------------------------------------------------------
@@ -271,7 +273,7 @@ def cluster_user_vector(df: DataFrame, clusters: Column, weights: str = "weights
                         out: str = "user_vector") -> DataFrame:
     """softmax(user weights) . cluster vectors (clusters: array<array<double>> literal column)."""
     p = V.softmax_array(weights)
-    dim = F.size(F.element_at(clusters, 1))
+    dim = F.size(at(clusters, 1))
     zero = F.array_repeat(F.lit(0.0), dim)
     pairs = F.arrays_zip(p.alias("p"), clusters.alias("c"))
     s = F.aggregate(pairs, zero, lambda acc, x: F.zip_with(acc, x.getField("c").cast("array<double>"),

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.util import at
+
 from ..functions import text as T
 from ..functions.random import seeded_bit
 
@@ -24,8 +26,8 @@ def pick_choice(df: DataFrame, summaries: str = "summaries", choice: str = "choi
     """``chosen_only = summaries[choice].text``, ``rejected_only = summaries[1-choice].text``."""
     s = F.col(summaries)
     ch = F.col(choice).cast("int")
-    return (df.withColumn("chosen_only", F.element_at(s, ch + 1).getField(field))
-              .withColumn("rejected_only", F.element_at(s, 2 - ch).getField(field)))
+    return (df.withColumn("chosen_only", at(s, ch + 1).getField(field))
+              .withColumn("rejected_only", at(s, 2 - ch).getField(field)))
 
 
 def pick_choice_flat(df: DataFrame, text0: str = "text_0", text1: str = "text_1",
@@ -268,7 +270,7 @@ def split_prompt_id(df: DataFrame, col: str = "prompt_id", names=("user_id", "di
     """``user_dialog_turn`` / ``user_sample`` ids into integer columns; user 0 dropped."""
     parts = F.split(F.col(col), "_")
     for i, n in enumerate(names):
-        df = df.withColumn(n, F.element_at(parts, i + 1).cast("long"))
+        df = df.withColumn(n, at(parts, i + 1).cast("long"))
     return df.filter(F.col(names[0]) != 0) if drop_generic else df
 
 

@@ -11,6 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.util import at
+
 from ..functions.random import seeded_hash, seeded_uniform, weighted_choice
 from .window import dense_position
 
@@ -194,7 +196,7 @@ def random_argmax(arr: Column, seed: int, key: Column) -> Column:
     m = F.array_max(arr)
     idx = F.filter(F.transform(arr, lambda x, i: F.when(x == m, i + 1)), lambda i: i.isNotNull())
     pick = (seeded_hash(seed, key) % F.size(idx)).cast("int") + 1
-    return F.element_at(idx, pick)
+    return at(idx, pick)
 
 
 # L20 ------------------------------------------------------------------------
@@ -265,17 +267,17 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
                             lambda i: F.struct(seeded_hash(seed + 7919, *seed_key, F.lit(t), i).alias("h"),
                                                i.alias("i")))
         picks = F.slice(F.array_sort(order), 1, n_ctx)
-        return F.transform(picks, lambda p: F.element_at("_pool", p.getField("i") + 1))
+        return F.transform(picks, lambda p: at("_pool", p.getField("i") + 1))
 
     if mode != "single":
         return j.withColumn("contexts", draw(0)).withColumn("context_length", F.size("contexts")).drop("_pool")
 
     def inter(ctx):
-        return F.aggregate(F.slice(ctx, 2, 1 << 20), F.element_at(ctx, 1).getField(subsets),
+        return F.aggregate(F.slice(ctx, 2, 1 << 20), at(ctx, 1).getField(subsets),
                            lambda acc, x: F.array_intersect(acc, x.getField(subsets)))
     cands = F.array(*[draw(t) for t in range(tries)])
     good = F.filter(cands, lambda c: F.size(inter(c)) == 1)
-    first = F.element_at(good, 1)
+    first = at(good, 1)
     return (j.withColumn("contexts", F.when(F.size(good) > 0, first))
              .withColumn("identified", F.size(good) > 0)
              .withColumn("context_length", F.size("contexts")).drop("_pool"))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.util import at
+
 
 # U01 ------------------------------------------------------------------------
 def concat(frames: Iterable[DataFrame]) -> DataFrame:
@@ -54,7 +56,7 @@ def rows_minus(df: DataFrame, used: DataFrame, keys: Iterable[str]) -> DataFrame
 # U04 ------------------------------------------------------------------------
 def common_subsets(contexts: Column, field: str = "satisfied_subset") -> Column:
     """Intersection of the user-type sets over a context array."""
-    first = F.element_at(contexts, 1).getField(field)
+    first = at(contexts, 1).getField(field)
     rest = F.slice(contexts, 2, 1 << 20)
     return F.array_sort(F.aggregate(rest, first, lambda acc, x: F.array_intersect(acc, x.getField(field))))
 

@@ -15,6 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.util import at
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | index in partition
 
 
@@ -143,12 +145,12 @@ def gae(df: DataFrame, gamma: float, lam: float, rewards: str = "rewards", value
     g, gl = float(gamma), float(gamma) * float(lam)
     r, v = F.col(rewards), F.col(values)
     n = F.size(r)
-    nxt_v = F.transform(v, lambda x, i: F.when(i + 1 < n, F.element_at(v, i + 2)).otherwise(F.lit(0.0)))
+    nxt_v = F.transform(v, lambda x, i: F.when(i + 1 < n, at(v, i + 2)).otherwise(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(r, nxt_v, lambda a, b: a + F.lit(g) * b), v, lambda a, b: a - b)
     rev = F.reverse(delta)
     folded = F.aggregate(rev, F.array().cast("array<double>"),
                          lambda acc, d: F.concat(acc, F.array(d + F.lit(gl) * F.coalesce(
-                             F.element_at(acc, -1), F.lit(0.0)))))
+                             at(acc, -1), F.lit(0.0)))))
     adv = F.reverse(folded)
     return (df.withColumn(out_adv, adv)
               .withColumn(out_ret, F.zip_with(F.col(out_adv), v, lambda a, b: a + b)))
@@ -206,7 +208,7 @@ def pack_batches(df: DataFrame, size: int, template: str, placeholders: Iterable
         if m and m.group(1) in counters:
             k = counters[m.group(1)]
             counters[m.group(1)] += 1
-            parts.append(F.element_at("_rows", k + 1).getField(m.group(1)))
+            parts.append(at("_rows", k + 1).getField(m.group(1)))
         elif piece:
             parts.append(F.lit(piece))
     return g.select("batch_no", F.concat(*parts).alias(out),
