@@ -325,5 +325,5 @@ def dedupe_pairs(df: DataFrame, keys: Iterable[str], order: str | None = None) -
     keys = list(keys)
     if order is None:
         return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    from .window import first_by
+    return first_by(df, keys, order)

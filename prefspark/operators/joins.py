@@ -29,8 +29,8 @@ def align_by_prompt(original: DataFrame, binarized: DataFrame, prompt: str = "pr
     an equi-join.  Original prompts are de-duplicated first (smallest
     ``orig_idx`` kept) so repeated prompts cannot multiply rows.
     """
-    w = Window.partitionBy(instruction).orderBy(orig_idx)
-    o = original.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    from .window import first_by
+    o = first_by(original, [instruction], orig_idx)
     return binarized.join(o, binarized[prompt] == o[instruction], "inner")
 
 
@@ -212,12 +212,14 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
     import numpy as np
     import pandas as pd
 
-    qb = F.floor(F.col("_qpos") / block_rows).cast("long")
-    db = F.floor(F.col("_dpos") / block_rows).cast("long")
-    q = dense_position(queries.select(qid, qvec, *([group] if group else [])), qid, "_qpos").withColumn("_qb", qb)
-    d = dense_position(docs.select(did, dvec, *([group] if group else [])), did, "_dpos").withColumn("_db", db)
-    nq_blocks = q.select(F.max("_qb") + 1).scalar()
-    nd_blocks = d.select(F.max("_db") + 1).scalar()
+    # block counts from the row counts (scalar sub-queries); rows go to blocks by a hash of their
+    # id, which is deterministic and balanced without numbering the rows
+    nq_blocks = queries.select(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("long")).scalar()
+    nd_blocks = docs.select(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("long")).scalar()
+    q = queries.select(qid, qvec, *([group] if group else [])).withColumn(
+        "_qb", F.pmod(F.xxhash64(F.lit("qblock"), F.col(qid)), nq_blocks))
+    d = docs.select(did, dvec, *([group] if group else [])).withColumn(
+        "_db", F.pmod(F.xxhash64(F.lit("dblock"), F.col(did)), nd_blocks))
     # replicate each query row once per doc block and each doc row once per query block:
     # cell (qb, db) then holds one block of each side
     qx = q.withColumn("_db", F.explode(F.sequence(F.lit(0).cast("long"), nd_blocks - 1)))
@@ -265,17 +267,21 @@ def user_vector(df: DataFrame, offsets: DataFrame, generic: Column, uid: str = "
     """Generic vector + the user's offset; uid 0 and unknown users get the generic vector.
     ``offsets`` is (uid, offset) with one row per user."""
     j = df.join(offsets.select(uid, F.col(offset).alias("_off")), uid, "left")
-    return j.withColumn(out, F.when((F.col(uid) == 0) | F.col("_off").isNull(), generic.cast("array<double>"))
-                        .otherwise(V.vec_add(generic, "_off"))).drop("_off")
+    # the generic vector becomes a column first: sub-queries may not sit inside lambdas
+    j = j.withColumn("_gen", generic.cast("array<double>"))
+    return j.withColumn(out, F.when((F.col(uid) == 0) | F.col("_off").isNull(), F.col("_gen"))
+                        .otherwise(V.vec_add("_gen", "_off"))).drop("_off", "_gen")
 
 
 def cluster_user_vector(df: DataFrame, clusters: Column, weights: str = "weights",
                         out: str = "user_vector") -> DataFrame:
     """softmax(user weights) . cluster vectors (clusters: array<array<double>> literal column)."""
+    df = df.withColumn("_clusters", clusters)  # a column first: sub-queries may not sit inside lambdas
+    clusters = F.col("_clusters")
     p = V.softmax_array(weights)
     dim = F.size(at(clusters, 1))
     zero = F.array_repeat(F.lit(0.0), dim)
     pairs = F.arrays_zip(p.alias("p"), clusters.alias("c"))
     s = F.aggregate(pairs, zero, lambda acc, x: F.zip_with(acc, x.getField("c").cast("array<double>"),
                                                             lambda a, b: a + x.getField("p") * b))
-    return df.withColumn(out, s)
+    return df.withColumn(out, s).drop("_clusters")

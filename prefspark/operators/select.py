@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.util import at
 
 from ..functions.random import seeded_hash, seeded_uniform, weighted_choice
-from .window import dense_position
+from .window import dense_position, group_position
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
 # best rows and one task merges them.  Above this n the merge would be too
@@ -151,8 +151,8 @@ def cap_per_subset(df: DataFrame, total: int, subset: str = "data_subset", order
     stats = df.select(F.count(F.lit(1)).alias("n"), F.countDistinct(subset).alias("k"))
     n = stats.select("n").scalar()
     cap = stats.select(F.floor(F.lit(total) / F.col("k")).cast("long")).scalar()
-    w = Window.partitionBy(subset).orderBy(order)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
+    # subsets are few and large: rank with the skew-safe numbering, not a per-subset window
+    ranked = group_position(df, subset, order, "_rn")
     return ranked.filter((n <= total) | (F.col("_rn") <= cap)).drop("_rn")
 
 
@@ -161,8 +161,7 @@ def context_target_split(df: DataFrame, n_ctx: int, n_tar: int | None, seed: int
                          user: str = "uid", key: str = "qkey", out: str = "role") -> DataFrame:
     """Per user, a hash-seeded permutation: first ``n_ctx`` are context, next ``n_tar`` targets
     (``n_tar=None``: all the rest); other rows get NULL."""
-    w = Window.partitionBy(user).orderBy(seeded_hash(seed, user, key), F.col(key))
-    r = df.withColumn("_rn", F.row_number().over(w))
+    r = group_position(df.withColumn("_h", seeded_hash(seed, user, key)), user, ["_h", key], "_rn").drop("_h")
     tar = F.col("_rn") > n_ctx if n_tar is None else (F.col("_rn") > n_ctx) & (F.col("_rn") <= n_ctx + n_tar)
     return r.withColumn(out, F.when(F.col("_rn") <= n_ctx, "context").when(tar, "target")).drop("_rn")
 
@@ -173,10 +172,13 @@ def derangement(df: DataFrame, keys: Iterable[str], value: str, seed: int = 0, i
     """Within each key group pair each row with a *different* row's value (a cyclic shift of a
     hash-seeded order); one-element groups keep their own value."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(seeded_hash(seed, id_col), F.col(id_col))
-    nxt = F.lead(value).over(w)
-    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn(out, F.coalesce(nxt, first))
+    # global positions in (keys, hash, id): a hot key is spread over many range partitions
+    d = dense_position(df.withColumn("_h", seeded_hash(seed, id_col)), keys + ["_h", id_col], "_p").drop("_h")
+    span = d.groupBy(*keys).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    d = d.join(span, keys, "inner")
+    d = d.withColumn("_pp", F.when(F.col("_p") < F.col("_hi"), F.col("_p") + 1).otherwise(F.col("_lo")))
+    partner = d.select(F.col("_p").alias("_pp"), F.col(value).alias(out))
+    return d.join(partner, "_pp", "inner").drop("_p", "_pp", "_lo", "_hi")
 
 
 # L17 / L18 ------------------------------------------------------------------

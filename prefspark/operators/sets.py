@@ -33,8 +33,8 @@ def merge_store(old: DataFrame, new: DataFrame, keys: Iterable[str],
     o = old.withColumn("_prio", F.lit(0))
     n = new.withColumn("_prio", F.lit(1))
     u = o.unionByName(n, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_prio")
-    merged = u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    from .window import first_by
+    merged = first_by(u, keys, "_prio")  # an aggregate: hot keys are reduced map-side
     result = merged.drop("_prio")
     if noisy in merged.columns:
         store = merged.filter((F.col("_prio") == 0) | ~F.coalesce(F.col(noisy), F.lit(False))).drop("_prio")

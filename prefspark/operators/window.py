@@ -20,22 +20,98 @@ from ..functions.util import at
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | index in partition
 
 
+SAMPLES_PER_BUCKET = 32
+
+
+def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Binary search over sorted literal bounds: bucket i holds bounds[i-1] < key <= bounds[i]."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key <= bounds[mid], _bucket_expr(key, bounds, lo, mid)).otherwise(
+        _bucket_expr(key, bounds, mid + 1, hi))
+
+
+def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    """Assign every row an order-preserving bucket with *deterministic* bounds.
+
+    ``repartitionByRange`` samples with a seed tied to the RDD id, so two
+    executions of the same plan (a self-join, a retried stage) can draw
+    different bounds.  Here the bounds come from a hash-seeded sample of the
+    keys (a bounded driver-side list, about ``SAMPLES_PER_BUCKET`` keys per
+    bucket) and are baked into the plan as literals, so every execution and
+    every retry assigns the same bucket.  Order keys must be non-null.
+    """
+    order_cols = [order] if isinstance(order, (str, Column)) else list(order)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    spark = df.sparkSession
+    nb = n_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    keyed = df.withColumn("_okey", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
+    if nb <= 1:
+        return keyed.withColumn(out, F.lit(0)).drop("_okey")
+    n = keyed.count()
+    want = nb * SAMPLES_PER_BUCKET
+    frac = min(1.0, want / max(n, 1))
+    u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
+         / F.lit(float(1 << 52)))
+    sample = sorted(tuple(r[0]) for r in keyed.filter(u < F.lit(frac)).select("_okey").collect())
+    if len(sample) < 2:
+        return keyed.withColumn(out, F.lit(0)).drop("_okey")
+    step = len(sample) / nb
+    picks = sorted({sample[min(len(sample) - 1, int(step * (i + 1)) - 1)] for i in range(nb - 1)})
+    ktypes = [f.dataType for f in keyed.schema["_okey"].dataType.fields]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, ktypes))])
+              for b in picks]
+    return keyed.withColumn(out, _bucket_expr(F.col("_okey"), bounds, 0, len(bounds))).drop("_okey")
+
+
 def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
-                   num_partitions: int | None = None) -> DataFrame:
-    """Add a dense ``base``-based position in ``order`` (a unique key) without a single-task window."""
+                   n_buckets: int | None = None) -> DataFrame:
+    """Add a dense ``base``-based position in ``order`` (a unique, non-null key).
+
+    No window without ``partitionBy``: rows get deterministic order-preserving
+    buckets (``range_buckets``), each bucket is numbered by its own window,
+    and a bucket's offset is the prefix sum of the per-bucket counts (a table
+    with one row per bucket -- a proven bound -- broadcast back).
+    """
     order_cols = [order] if isinstance(order, (str, Column)) else list(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = (tagged.withColumn("_part", F.shiftrightunsigned("_mid", _LOCAL_BITS))
-                    .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # the count table has at most one row per partition: a proven bound
-    offs = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1))).alias("_off"))
-    res = tagged.join(F.broadcast(offs), "_part", "inner")
-    return (res.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + F.lit(base))
-               .drop("_mid", "_part", "_local", "_off"))
+    b = range_buckets(df, order_cols, n_buckets, "_bk")
+    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select("_bk", F.coalesce(F.sum("_n").over(Window.orderBy("_bk").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_bk").orderBy(*order_cols)
+    numbered = b.withColumn("_local", F.row_number().over(w) - 1)
+    res = numbered.join(F.broadcast(offs), "_bk", "inner")
+    return res.withColumn(out, F.col("_off") + F.col("_local") + F.lit(base)).drop("_bk", "_local", "_off")
+
+
+def group_position(df: DataFrame, keys, order, out: str = "rank", base: int = 1) -> DataFrame:
+    """Per-group ``row_number`` (``base``-based) that survives hot keys.
+
+    ``Window.partitionBy(key)`` sends a whole group to one task; here rows are
+    numbered globally in (keys, order) by range partitioning -- which splits a
+    hot group over many partitions -- and each row's rank is its global
+    position minus its group's first position (a per-group ``min`` with
+    partial aggregation, joined back on the keys).
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    pos = dense_position(df, keys + order, "_gpos", base=0)
+    first = pos.groupBy(*keys).agg(F.min("_gpos").alias("_gfirst"))
+    return (pos.join(first, keys, "inner")
+               .withColumn(out, F.col("_gpos") - F.col("_gfirst") + F.lit(base))
+               .drop("_gpos", "_gfirst"))
+
+
+def first_by(df: DataFrame, keys, order) -> DataFrame:
+    """First row per key by ``order`` as an aggregate (``min_by`` of the row), so a hot key is
+    reduced map-side instead of being sorted in one task."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    rest = [c for c in df.columns if c not in keys]
+    ordk = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    g = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), ordk).alias("_row"))
+    return g.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 # W01 ------------------------------------------------------------------------
@@ -67,14 +143,13 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
     Distributed prefix sum: per-partition totals after range partitioning,
     offsets from the small total table, then a within-partition running sum.
     """
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(nparts, order).withColumn("_part", F.spark_partition_id())
-    tot = ranged.groupBy("_part").agg(F.sum(n).alias("_t"))
-    offs = tot.select("_part", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    res = ranged.join(F.broadcast(offs), "_part").withColumn(end, F.col("_off") + F.sum(n).over(w))
-    return res.withColumn(start, F.col(end) - F.col(n)).drop("_part", "_off")
+    b = range_buckets(df, order, None, "_bk")
+    tot = b.groupBy("_bk").agg(F.sum(n).alias("_t"))
+    offs = tot.select("_bk", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    res = b.join(F.broadcast(offs), "_bk").withColumn(end, F.col("_off") + F.sum(n).over(w))
+    return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk", "_off")
 
 
 # W04 / W05 ----------------------------------------------------------------
@@ -167,10 +242,8 @@ def segment_softmax(df: DataFrame, score: str, by: Iterable[str] | str, out: str
 
 # W08 ------------------------------------------------------------------------
 def first_per_key(df: DataFrame, keys: Iterable[str], order: str | list = "cmp_id") -> DataFrame:
-    """First row per key by ``order`` (stable)."""
-    order = [order] if isinstance(order, str) else list(order)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """First row per key by ``order`` (stable; an aggregate, so hot keys are reduced map-side)."""
+    return first_by(df, list(keys), order)
 
 
 # W09 ------------------------------------------------------------------------
