@@ -56,3 +56,14 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds many branches of a plan (each branch
+    would otherwise recompute it) and to make recovery after a lost executor
+    start from the written table instead of the sources.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
