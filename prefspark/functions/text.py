@@ -125,7 +125,7 @@ def chatml_messages(c: Column) -> Column:
         content = F.regexp_extract(body, r"(?s)^[^\n]*\n(.*)$", 1)
         role = F.regexp_extract(header, r"^\s*(\S+)", 1)
         kv = F.regexp_extract(header, r"^\s*\S+\s+(.*)$", 1)
-        attrs = F.when(F.length(kv) > 0, F.str_to_map(kv, r"\s+", "="))
+        attrs = F.when(F.length(kv) > 0, F.str_to_map(kv, F.lit(r"\s+"), F.lit("=")))
         return F.struct(role.alias("role"), pystrip(content).alias("content"), attrs.alias("attrs"))
     return F.transform(blocks, one)
 

@@ -143,11 +143,12 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
     Distributed prefix sum: per-partition totals after range partitioning,
     offsets from the small total table, then a within-partition running sum.
     """
+    order = [order] if isinstance(order, str) else list(order)
     b = range_buckets(df, order, None, "_bk")
     tot = b.groupBy("_bk").agg(F.sum(n).alias("_t"))
     offs = tot.select("_bk", F.coalesce(F.sum("_t").over(
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     res = b.join(F.broadcast(offs), "_bk").withColumn(end, F.col("_off") + F.sum(n).over(w))
     return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk", "_off")
 
@@ -156,9 +157,13 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
 def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
                    max_text: int | None = None, dialog: str = "conv_id", turn: str = "turn",
                    user_text: str = "user_text", chosen: str = "chosen",
-                   rejected: str = "rejected") -> DataFrame:
+                   rejected: str = "rejected", user_wrap=("", ""), chosen_wrap=("", "")) -> DataFrame:
     """Running prompt per dialog with *persistent* truncation.
 
+    ``user_wrap`` / ``chosen_wrap`` are (prefix, suffix) put around the texts
+    when they enter the history (role headers); the length rules use the bare
+    texts.
+
     Per turn, in order: history += user text; if the turn is usable (user and
     chosen present and ``len(user)+len(chosen) < max_text``) the history is
     cut to its last ``max_prompt_chars - prefix_len`` characters -- the cut
@@ -182,13 +187,13 @@ def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
 
     def step(acc, x):
         u, c, r = x.getField("u"), x.getField("c"), x.getField("r")
-        h0 = F.concat(acc.getField("h"), F.coalesce(u, F.lit("")))
+        h0 = F.concat(acc.getField("h"), F.coalesce(F.concat(F.lit(user_wrap[0]), u, F.lit(user_wrap[1])), F.lit("")))
         usable = u.isNotNull() & c.isNotNull() & (F.length(u) + F.length(c) < big)
         h1 = F.when(usable, cut(h0)).otherwise(h0)
         emit = usable & r.isNotNull() & (F.length(u) + F.length(r) <= big)
         row = F.struct(x.getField("t").alias("t"), h1.alias("history"), c.alias("c"), r.alias("r"))
         rows = F.when(emit, F.concat(acc.getField("rows"), F.array(row))).otherwise(acc.getField("rows"))
-        h2 = F.concat(h1, F.coalesce(c, F.lit("")))
+        h2 = F.concat(h1, F.coalesce(F.concat(F.lit(chosen_wrap[0]), c, F.lit(chosen_wrap[1])), F.lit("")))
         return F.struct(h2.alias("h"), rows.alias("rows"))
 
     tt = dict(turns.dtypes)[turn]
