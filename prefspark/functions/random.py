@@ -26,6 +26,13 @@ def seeded_hash(seed, *keys) -> Column:
     return F.conv(F.substring(F.md5(_key(seed, keys)), 1, 15), 16, 10).cast("long")
 
 
+def fast_hash(seed, *keys) -> Column:
+    """Non-negative 62-bit hash from ``xxhash64`` (cheaper than md5; used where no SQL
+    engine has to reproduce the draw)."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.xxhash64(F.lit(str(seed)), *cols).bitwiseAND(F.lit((1 << 62) - 1))
+
+
 def seeded_uniform(seed, *keys) -> Column:
     """Deterministic uniform draw in [0, 1)."""
     return seeded_hash(seed, *keys) / F.lit(TWO_60)

@@ -189,7 +189,7 @@ def prompts_for_users(prompts: DataFrame, n_users: int, prompt_id: str = "prompt
     The user list is generated per row (``explode(sequence)``), not joined.
     """
     users = F.sequence(F.lit(0), F.lit(0 if baseline else n_users))
-    d = prompts.withColumn("user_id", F.explode(users).cast("long"))
+    d = prompts.withColumn("user_id", F.explode(users)).withColumn("user_id", F.col("user_id").cast("long"))
     return d.withColumn("user_prompt_id", F.concat_ws("_", F.col("user_id").cast("string"),
                                                       F.col(prompt_id).cast("string")))
 

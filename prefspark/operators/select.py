@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.util import at
 
-from ..functions.random import seeded_hash, seeded_uniform, weighted_choice
+from ..functions.random import fast_hash, seeded_hash, seeded_uniform, weighted_choice
 from .window import dense_position, group_position
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
@@ -263,10 +263,10 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
     lo = 1 if mode == "84" else 2
 
     def draw(t):
-        n_ctx = (F.lit(lo) + (seeded_hash(seed, *seed_key, F.lit(t)) % (max_len - lo + 1))).cast("int")
+        n_ctx = (F.lit(lo) + (fast_hash(seed, *seed_key, F.lit(t)) % (max_len - lo + 1))).cast("int")
         n_ctx = F.least(n_ctx, m)
         order = F.transform(F.sequence(F.lit(0), m - 1),
-                            lambda i: F.struct(seeded_hash(seed + 7919, *seed_key, F.lit(t), i).alias("h"),
+                            lambda i: F.struct(fast_hash(seed + 7919, *seed_key, F.lit(t), i).alias("h"),
                                                i.alias("i")))
         picks = F.slice(F.array_sort(order), 1, n_ctx)
         return F.transform(picks, lambda p: at("_pool", p.getField("i") + 1))

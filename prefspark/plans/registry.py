@@ -36,5 +36,5 @@ def with_ctes(*ctes: str) -> str:
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from . import (annotations, comparisons, dialogs, judged, logs, ratings,  # noqa: F401
-                   scored, vectors)
+    from . import (annotations, comparisons, dialogs, io, judged, logs, misc, ratings,  # noqa: F401
+                   scored, streams, vectors)
