@@ -245,15 +245,15 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
                     tries: int = 32, copy: str | None = None) -> DataFrame:
     """Draw survey rows as contexts for every row (hash-seeded, without replacement).
 
-    The survey is a size-checked pool (``survey_pool`` output, size known by
-    construction) collected into one array and attached by a broadcast join.
-    Mode ``84``: 1..max_len contexts.  Other modes: 2..max_len.  Mode
-    ``single``: up to ``tries`` candidate draws are made per row and the first
-    whose ``satisfied_subset`` intersection has exactly one element is kept;
-    rows with none get ``contexts`` NULL and ``identified`` false (the
-    reference raises instead).
+    The survey is a pool of known size (``survey_pool`` output, bounded by its
+    ``size`` argument) collected into one array by a scalar sub-query, so
+    every task gets it without a join.  Mode ``84``: 1..max_len contexts.
+    Other modes: 2..max_len.  Mode ``single``: up to ``tries`` candidate draws
+    are made per row (one lambda over the try number) and the first whose
+    ``satisfied_subset`` intersection has exactly one element is kept; rows
+    with none get ``contexts`` NULL and ``identified`` false (the reference
+    raises instead).
     """
-    # one scalar sub-query holding the survey array (its size is the survey size)
     pool = survey.select(F.sort_array(F.collect_list(F.struct(
         F.col(survey_key).alias("original_id"), *[F.col(c) for c in survey.columns if c != survey_key]))
     )).scalar()
@@ -262,27 +262,32 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
     seed_key = [key] + ([copy] if copy else [])
     lo = 1 if mode == "84" else 2
 
-    def draw(t):
-        n_ctx = (F.lit(lo) + (fast_hash(seed, *seed_key, F.lit(t)) % (max_len - lo + 1))).cast("int")
-        n_ctx = F.least(n_ctx, m)
+    def pick_idx(t: Column) -> Column:
+        """0-based pool positions of try ``t``: a hash-ordered permutation's first n_ctx entries."""
+        n_ctx = F.least((F.lit(lo) + (fast_hash(seed, *seed_key, t) % (max_len - lo + 1))).cast("int"), m)
         order = F.transform(F.sequence(F.lit(0), m - 1),
-                            lambda i: F.struct(fast_hash(seed + 7919, *seed_key, F.lit(t), i).alias("h"),
-                                               i.alias("i")))
-        picks = F.slice(F.array_sort(order), 1, n_ctx)
-        return F.transform(picks, lambda p: at("_pool", p.getField("i") + 1))
+                            lambda i: F.struct(fast_hash(seed + 7919, *seed_key, t, i).alias("h"), i.alias("i")))
+        return F.transform(F.slice(F.array_sort(order), 1, n_ctx), lambda p: p.getField("i"))
+
+    def rows_of(idx: Column) -> Column:
+        return F.transform(idx, lambda i: at("_pool", i + 1))
 
     if mode != "single":
-        return j.withColumn("contexts", draw(0)).withColumn("context_length", F.size("contexts")).drop("_pool")
+        return (j.withColumn("contexts", rows_of(pick_idx(F.lit(0))))
+                 .withColumn("context_length", F.size("contexts")).drop("_pool"))
+
+    def subset_of(i: Column) -> Column:
+        return at("_pool", i + 1).getField(subsets)
 
-    def inter(ctx):
-        return F.aggregate(F.slice(ctx, 2, 1 << 20), at(ctx, 1).getField(subsets),
-                           lambda acc, x: F.array_intersect(acc, x.getField(subsets)))
-    cands = F.array(*[draw(t) for t in range(tries)])
+    def inter(idx: Column) -> Column:
+        return F.aggregate(F.slice(idx, 2, 1 << 20), subset_of(at(idx, 1)),
+                           lambda acc, i: F.array_intersect(acc, subset_of(i)))
+    cands = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), pick_idx)
     good = F.filter(cands, lambda c: F.size(inter(c)) == 1)
-    first = at(good, 1)
-    return (j.withColumn("contexts", F.when(F.size(good) > 0, first))
-             .withColumn("identified", F.size(good) > 0)
-             .withColumn("context_length", F.size("contexts")).drop("_pool"))
+    return (j.withColumn("_good", good)
+             .withColumn("contexts", F.when(F.size("_good") > 0, rows_of(at("_good", 1))))
+             .withColumn("identified", F.size("_good") > 0)
+             .withColumn("context_length", F.size("contexts")).drop("_pool", "_good"))
 
 
 def random_contexts(df: DataFrame, pool: DataFrame, n: int = 8, seed: int = 0, key: str = "Index",

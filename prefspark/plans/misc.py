@@ -21,6 +21,7 @@ from . import comparisons as CP
 from . import fixtures as FX
 from . import ratings as RT
 from . import vectors as VQ
+from ..session import materialize
 from .registry import query, with_ctes
 
 TYPED = with_ctes(FX.SQL_F2, RT.BIN_SQL, RT.MATCH_SQL, RT.LAB_SQL, RT.TYPED_SQL)
@@ -124,6 +125,7 @@ def w03(spark, sf):
 def l10(spark, sf):
     t = RT.typed(spark, sf).select("pair_id", "data_subset", "satisfied_subset").withColumn(
         "Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
+    t = materialize(t)  # feeds both the survey draw and the rows: written once
     survey = L.survey_pool(t, 40, seed=1, key="Index").select("Index", "satisfied_subset")
     c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", tries=8)
     return c.select("Index", "context_length", "identified")
@@ -132,6 +134,7 @@ def l10(spark, sf):
 @query("l11_random_contexts")
 def l11(spark, sf):
     t = RT.typed(spark, sf).withColumn("Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
+    t = materialize(t.select("Index", "prompt", "chosen", "rejected", "controversial"))
     pool = t.filter("controversial").select("Index", "prompt", "chosen", "rejected")
     c = L.random_contexts(t.select("Index", "prompt"), pool, n=4, seed=3)
     return c.select("Index", F.size("contexts").alias("n_contexts"))
