@@ -178,3 +178,28 @@ def p35(spark, sf):
     t = log_texts(spark, sf).select("file")
     cfg = R.run_config(F.col("file"))
     return t.select("file", *[v.alias(k) for k, v in cfg.items()])
+
+
+@query("f31_format_metric", BASE + """
+SELECT file, CAST(uid AS BIGINT) AS uid, metric, format('{:.3f}', round(value, 3)) AS shown FROM expect""")
+def f31(spark, sf):
+    a = assembled(spark, sf)
+    # round half away from zero to 3 places first so the text does not depend on the formatter's tie rule
+    return a.select("file", "uid", "metric", R.format_metric(F.round("value", 3)).alias("shown"))
+
+
+@query("s07_read_logs", with_ctes(FX.SQL_F3, FILES_SQL) + """
+, k AS (SELECT DISTINCT traj_id % 4 AS run, uid FROM scored),
+n AS (SELECT run, count(*) AS u FROM k GROUP BY run)
+SELECT regexp_extract(f.file, '[^/]+$', 0) AS name,
+       CASE n.run WHEN 0 THEN 6 * n.u WHEN 1 THEN n.u + 4 WHEN 2 THEN n.u ELSE 1 END AS n_lines
+FROM n JOIN files f USING (run)""".replace("\n, k AS", ", k AS", 1))
+def s07(spark, sf):
+    from ..streaming.streams import scratch
+    texts = log_texts(spark, sf).withColumn("name", F.regexp_extract("file", "[^/]+$", 0))
+    d = scratch(spark, "logs-files")
+    texts.select("name", "text").write.mode("overwrite").partitionBy("name").text(d)
+    lines = RP.read_logs(spark, d + "/*/*")
+    return (lines.filter(F.length(F.trim("line")) > 0)
+                 .groupBy(F.regexp_extract("file", "name=([^/]+)", 1).alias("name"))
+                 .agg(F.count(F.lit(1)).alias("n_lines")))

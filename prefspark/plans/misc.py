@@ -344,3 +344,9 @@ SELECT uid, round(avg(CASE WHEN reward_chosen > reward_rejected THEN 1 ELSE 0 EN
 def x09(spark, sf):
     m = X.compute_metrics(FX.f3_scored(spark, sf), ["accuracy", "loss", "margin"], by=["uid"])
     return m.select("uid", *[rd(F.col(c), c) for c in ("accuracy", "loss", "margin")])
+
+
+@query("s15_as_frame", "SELECT quality, count(*) AS n FROM labels GROUP BY quality")
+def s15(spark, sf):
+    from ..sources.readers import as_frame
+    return as_frame(spark, FX.table(spark, sf, "labels")).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
