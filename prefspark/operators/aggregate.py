@@ -194,14 +194,19 @@ def global_stats(metrics: DataFrame, uid: str = "uid", metric: str = "metric", v
 
 # G11 / G12 ------------------------------------------------------------------
 def question_groups(df: DataFrame, uid: str = "uid", key: str = "qkey",
-                    fields: Iterable[str] = ("prompt",)) -> DataFrame:
-    """All questions of a user as one sorted array (one row per user).
+                    fields: Iterable[str] = ("prompt",), max_group: int = 10_000) -> DataFrame:
+    """A user's questions as sorted arrays of at most ``max_group`` entries.
 
-    The array is bounded by the user's question count; callers with very
-    hot users should use the per-row operators (L15) instead.
+    One row per (user, chunk_no): a user with more questions than
+    ``max_group`` gets several consecutive chunks, so no single array (and no
+    single task) has to hold a hot user's whole history.  Chunks are cut with
+    the skew-safe per-group numbering.
     """
+    from .window import group_position
     st = F.struct(F.col(key), *[F.col(f) for f in fields])
-    return df.groupBy(uid).agg(F.sort_array(F.collect_list(st)).alias("questions"))
+    ranked = group_position(df, uid, key, "_rk", base=0)
+    chunked = ranked.withColumn("chunk_no", F.floor(F.col("_rk") / max_group).cast("long"))
+    return chunked.groupBy(uid, "chunk_no").agg(F.sort_array(F.collect_list(st)).alias("questions"))
 
 
 def macro_micro_accuracy(df: DataFrame, uid: str = "uid", correct_col: str = "correct") -> DataFrame:

@@ -175,11 +175,13 @@ def x08(spark, sf):
 
 
 @query("g11_question_groups", """
-SELECT label AS uid, count(*) AS n_questions, min(vec_id) AS first_qkey FROM embeddings GROUP BY label""")
+SELECT uid, chunk_no, count(*) AS n_questions, min(qkey) AS first_qkey FROM (
+  SELECT label AS uid, vec_id AS qkey, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 25 AS chunk_no
+  FROM embeddings) GROUP BY uid, chunk_no""")
 def g11(spark, sf):
     e = emb(spark, sf).select(F.col("label").alias("uid"), F.col("vec_id").alias("qkey"))
-    g = G.question_groups(e, fields=())
-    return g.select("uid", F.size("questions").cast("long").alias("n_questions"),
+    g = G.question_groups(e, fields=(), max_group=25)  # every question kept, arrays of <= 25
+    return g.select("uid", "chunk_no", F.size("questions").cast("long").alias("n_questions"),
                     at("questions", 1)["qkey"].alias("first_qkey"))
 
 
