@@ -22,15 +22,21 @@ from .window import dense_position
 
 # J01 ------------------------------------------------------------------------
 def align_by_prompt(original: DataFrame, binarized: DataFrame, prompt: str = "prompt",
-                    instruction: str = "instruction", orig_idx: str = "orig_idx") -> DataFrame:
+                    instruction: str = "instruction", orig_idx: str = "orig_idx",
+                    unique_prompts: bool = False) -> DataFrame:
     """Each binarised row goes to the original row with an equal prompt.
 
     The reference walks a forward-only cursor; with unique prompts that is
     an equi-join.  Original prompts are de-duplicated first (smallest
-    ``orig_idx`` kept) so repeated prompts cannot multiply rows.
+    ``orig_idx`` kept) so repeated prompts cannot multiply rows; a caller whose
+    original table is unique on the prompt by construction (e.g. grouped by
+    it) passes ``unique_prompts=True`` and skips that aggregate.
     """
-    from .window import first_by
-    o = first_by(original, [instruction], orig_idx)
+    if unique_prompts:
+        o = original
+    else:
+        from .window import first_by
+        o = first_by(original, [instruction], orig_idx)
     return binarized.join(o, binarized[prompt] == o[instruction], "inner")
 
 

@@ -39,6 +39,18 @@ def binarize(ratings: DataFrame, chosen_no: int = 1, rejected_no: int = 2,
         F.col(instruction_id).alias("pair_id"))
 
 
+def binarize_completions(comps: DataFrame, chosen_no: int = 1, rejected_no: int = 2,
+                         instruction_id: str = "instruction_id") -> DataFrame:
+    """``binarize`` from the per-instruction completions table: no second pass over the
+    ratings (the completions are already grouped by instruction)."""
+    def response_of(no):
+        m = F.filter("completions", lambda c: c.getField("completion_no") == no)
+        return at(m, 1).getField("response")
+    return comps.select(F.col("instruction").alias("prompt"), response_of(chosen_no).alias("chosen"),
+                        response_of(rejected_no).alias("rejected"), F.col(instruction_id).alias("pair_id")) \
+        .filter(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
+
+
 def match_ratings(pairs: DataFrame, completions: str = "completions", chosen: str = "chosen",
                   rejected: str = "rejected") -> DataFrame:
     """J02 + the usability rule: ratings of the last completion equal to chosen (resp. rejected,
