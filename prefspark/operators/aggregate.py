@@ -85,8 +85,9 @@ def majority_vote(df: DataFrame, chosen: str = "chosen_only", rejected: str = "r
     ties go to the side seen first; keep the first row that has the winning side.
 
     Plan: a narrow hash-key projection -> partial+final count per (pair, side)
-    -> per-pair pick (again partially aggregated) -> left-semi join of the
-    input on the winning row id.  Only ids and hashes are shuffled for the
+    -> per-pair pick (again partially aggregated) -> join of the input on the
+    winning row id (a broadcast when the winner table passes the size check,
+    so the input is not shuffled).  Only ids and hashes are shuffled for the
     vote; hot pairs are reduced map-side.
     """
     h1, h2 = pair_hash(chosen, rejected)
@@ -99,7 +100,9 @@ def majority_vote(df: DataFrame, chosen: str = "chosen_only", rejected: str = "r
         F.sum("_n").alias("_pair_n"))
     winners = best.select(F.col("_b._first").alias(order), F.col("_b._n").alias("votes"),
                           F.col("_pair_n").alias("pair_votes"))
-    return df.join(winners, order, "inner")
+    # one row per pair: broadcast only after its size is checked, else a shuffle join
+    from .joins import broadcast_if_small
+    return df.join(broadcast_if_small(winners), order, "inner")
 
 
 # G04 ------------------------------------------------------------------------

@@ -20,6 +20,23 @@ from .aggregate import pair_hash
 from .window import dense_position
 
 
+# Broadcasts of data-dependent sides happen only below this row count (checked, see below).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Size-checked broadcast for a side whose size depends on the data.
+
+    The side is written once to the shared checkpoint folder (it usually is a
+    small aggregate), its exact row count is read, and it is hinted for
+    broadcast only when the count is within ``max_rows``; beyond that the
+    plain (shuffle) join is kept.
+    """
+    from ..session import materialize
+    m = materialize(df)
+    return F.broadcast(m) if m.count() <= max_rows else m
+
+
 # J01 ------------------------------------------------------------------------
 def align_by_prompt(original: DataFrame, binarized: DataFrame, prompt: str = "prompt",
                     instruction: str = "instruction", orig_idx: str = "orig_idx",
@@ -116,7 +133,7 @@ def others_on_same_pairs(df: DataFrame, uid_value, uid: str = "uid", chosen: str
     A left-semi join on the 128-bit pair key."""
     mine = _user_rows(df, uid_value, uid, n, order)
     k1, k2 = pair_hash(chosen, rejected)
-    keys = mine.select(k1.alias("_k1"), k2.alias("_k2")).distinct()
+    keys = broadcast_if_small(mine.select(k1.alias("_k1"), k2.alias("_k2")).distinct())
     others = df.filter(F.col(uid) != F.lit(uid_value)).withColumn("_k1", k1).withColumn("_k2", k2)
     return others.join(keys, ["_k1", "_k2"], "left_semi").drop("_k1", "_k2")
 
@@ -132,9 +149,9 @@ def agreement_join(df: DataFrame, uid_value, uid: str = "uid", chosen: str = "ch
     row per join, so no pair of rows within a group is ever emitted.
     """
     mine = _user_rows(df, uid_value, uid, n, order)
-    counts = mine.groupBy(F.xxhash64(F.lit("t"), F.col(chosen)).alias("_t"),
-                          F.length(chosen).alias("_len")).agg(
-        F.count(F.lit(1)).alias("_m"), F.min(order).alias("_first_new"))
+    counts = broadcast_if_small(mine.groupBy(F.xxhash64(F.lit("t"), F.col(chosen)).alias("_t"),
+                                             F.length(chosen).alias("_len")).agg(
+        F.count(F.lit(1)).alias("_m"), F.min(order).alias("_first_new")))
     others = others_on_same_pairs(df, uid_value, uid, chosen, rejected, n, order)
     o = (others.withColumn("_tc", F.xxhash64(F.lit("t"), F.col(chosen))).withColumn("_lc", F.length(chosen))
                .withColumn("_tr", F.xxhash64(F.lit("t"), F.col(rejected))).withColumn("_lr", F.length(rejected)))
