@@ -97,11 +97,48 @@ def embed_with(df: DataFrame, text: str = "text", out: str = "embedding", dim: i
 
 
 # X08 ------------------------------------------------------------------------
+def _partial_newton_sums(group: str, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per partition: gradient, Hessian, count and loss of each group's rows (one row per group
+    present in the partition).  Batches are Arrow-sized, so memory is bounded by a batch plus
+    one d x d matrix per group."""
+    acc: dict = {}
+    for pdf in it:
+        for key, sub in pdf.groupby(group, sort=False):
+            X = np.vstack([np.asarray(v, dtype=np.float64) for v in sub["_x"]])
+            w = np.asarray(sub["_w"].iloc[0], dtype=np.float64)
+            z = X @ w
+            p = 1.0 / (1.0 + np.exp(-z))
+            g = -(X.T @ (1.0 - p))
+            H = (X.T * (p * (1.0 - p))) @ X
+            loss = float(np.sum(np.logaddexp(0.0, -z)))
+            if key in acc:
+                a = acc[key]
+                a[0] += g
+                a[1] += H
+                a[2] += len(X)
+                a[3] += loss
+            else:
+                acc[key] = [g, H, len(X), loss, w]
+    if acc:
+        keys = list(acc)
+        yield pd.DataFrame({group: keys, "g": [acc[k][0].tolist() for k in keys],
+                            "h": [acc[k][1].ravel().tolist() for k in keys],
+                            "n": [acc[k][2] for k in keys], "loss": [acc[k][3] for k in keys],
+                            "_w": [acc[k][4].tolist() for k in keys]})
+
+
 def fit_linear_preference(df: DataFrame, diff: str = "diff", group: str | None = None,
-                          l2: float = 1e-3, iters: int = 25) -> DataFrame:
+                          l2: float = 1e-3, iters: int = 8) -> DataFrame:
     """Fit w minimising mean -log sigma(w . d) + l2/2 |w|^2 (logistic regression without intercept
-    on (d, 1) and (-d, 0)).  Per group: Newton steps inside ``applyInPandas`` (one group's
-    vectors at a time); pooled: ``pyspark.ml`` ``LogisticRegression``."""
+    on (d, 1) and (-d, 0)).
+
+    Pooled: ``pyspark.ml`` ``LogisticRegression``.  Per group: distributed
+    Newton steps.  Each step joins the rows with the current weights (a keyed
+    join; AQE splits a hot group's partition), sums gradient and Hessian per
+    group *inside each partition* (``mapInPandas``), and combines those
+    partial sums per group -- at most one d x d matrix per partition and
+    group, whatever the group's size -- before solving for the new weights.
+    The weights table is written to the checkpoint folder after each step."""
     if group is None:
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -114,21 +151,30 @@ def fit_linear_preference(df: DataFrame, diff: str = "diff", group: str | None =
         w = model.coefficients.toArray().tolist()
         return spark.createDataFrame([(w,)], "weights array<double>")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[diff]])
-        w = np.zeros(X.shape[1])
-        for _ in range(iters):
-            z = X @ w
-            p = 1.0 / (1.0 + np.exp(-z))
-            g = -(X.T @ (1 - p)) / len(X) + l2 * w
-            H = (X.T * (p * (1 - p))) @ X / len(X) + l2 * np.eye(X.shape[1])
-            w = w - np.linalg.solve(H, g)
-        acc = float(np.mean(X @ w > 0))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "weights": [w.tolist()], "train_accuracy": [acc],
-                             "n": [len(X)]})
+    from ..session import materialize
     gtype = dict(df.dtypes)[group]
-    return df.select(group, diff).groupBy(group).applyInPandas(
-        fit, f"{group} {gtype}, weights array<double>, train_accuracy double, n long")
+    d = materialize(df.select(group, F.col(diff).cast("array<double>").alias("_x")))  # read once per step
+    dim = d.select(F.max(F.size("_x"))).first()[0]
+    w = materialize(d.select(group).distinct().withColumn("_w", F.array_repeat(F.lit(0.0), F.lit(dim))))
+    part_schema = f"{group} {gtype}, g array<double>, h array<double>, n long, loss double, _w array<double>"
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = float(pdf["n"].sum())
+        g = np.sum(np.vstack([np.asarray(v) for v in pdf["g"]]), axis=0) / n
+        H = np.sum(np.vstack([np.asarray(v) for v in pdf["h"]]), axis=0).reshape(dim, dim) / n
+        w0 = np.asarray(pdf["_w"].iloc[0], dtype=np.float64)
+        w1 = w0 - np.linalg.solve(H + l2 * np.eye(dim), g + l2 * w0)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "_w": [w1.tolist()]})
+
+    for _ in range(iters):
+        joined = d.join(w, group)
+        partial = joined.mapInPandas(lambda it: _partial_newton_sums(group, it), part_schema)
+        w = materialize(partial.groupBy(group).applyInPandas(step, f"{group} {gtype}, _w array<double>"))
+    fit = d.join(w, group).groupBy(group).agg(
+        F.first("_w").alias("weights"),
+        F.avg((V.dot("_x", "_w") > 0).cast("double")).alias("train_accuracy"),
+        F.count(F.lit(1)).alias("n"))
+    return fit
 
 
 # X09 ------------------------------------------------------------------------

@@ -44,17 +44,18 @@ def replay_by_day(df: DataFrame, root: str, ts: str = "ts", late_every: int | No
                          .otherwise(F.col("_day")))
     else:
         d = d.withColumn("_file_day", F.col("_day"))
-    days = [r[0] for r in d.select("_file_day").distinct().orderBy("_file_day").collect()]  # one row per day
-    paths = []
+    # one job writes every day folder; then the folders get increasing modification times
+    d.withColumn("day", F.col("_file_day").cast("string")).drop("_day", "_file_day") \
+        .repartition("day").write.mode("overwrite").partitionBy("day").parquet(root)
+    path, fs = _fs(spark, root)
+    dirs = sorted((st.getPath() for st in fs.listStatus(path) if st.getPath().getName().startswith("day=")),
+                  key=lambda p: p.getName())
     t0 = 1_700_000_000_000
-    for i, day in enumerate(days):
-        p = f"{root.rstrip('/')}/day={day.isoformat()}"
-        d.filter(F.col("_file_day") == F.lit(day)).drop("_day", "_file_day").coalesce(1) \
-            .write.mode("overwrite").parquet(p)
-        path, fs = _fs(spark, p)
-        for st in fs.listStatus(path):
+    paths = []
+    for i, dp in enumerate(dirs):  # one folder per day: a bounded listing
+        for st in fs.listStatus(dp):
             fs.setTimes(st.getPath(), t0 + i * 60_000, -1)
-        paths.append(p)
+        paths.append(dp.toString())
     return paths
 
 
