@@ -168,7 +168,8 @@ def l18(spark, sf):
 @query("g15_augment_counters", with_ctes(FX.SQL_F2, BIN_SQL, MATCH_SQL, LAB_SQL, TYPED_SQL) + """
 SELECT data_subset, count(*) AS n_rows, sum(CAST(reversed AS INT)) AS n_reversed,
        sum(CAST(controversial AS INT)) AS n_controversial, count(*) - sum(CAST(controversial AS INT)) AS n_agreed,
-       sum(n_same) AS guess, sum(CASE WHEN controversial THEN n_same ELSE 0 END) AS guess_controversial
+       CAST(sum(n_same) AS DOUBLE) AS guess,
+       CAST(sum(CASE WHEN controversial THEN n_same ELSE 0 END) AS DOUBLE) AS guess_controversial
 FROM typed GROUP BY data_subset""")
 def g15(spark, sf):
     c = LO.augment_counters(typed(spark, sf))
