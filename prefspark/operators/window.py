@@ -2,10 +2,10 @@
 
 Global numbering (``dense_position``) never uses a window without
 ``partitionBy`` (which would pull every row into one task).  It is the
-DataFrame form of ``zipWithIndex``: range-partition on the order key, sort
-inside partitions, take each row's index inside its partition, and add the
-partition's offset from a tiny per-partition count table (one row per
-partition, so its broadcast is bounded by the partition count).
+DataFrame form of ``zipWithIndex``: rows get order-preserving buckets with
+deterministic bounds, each bucket is numbered by its own window, and each
+bucket's offset comes from a count table with one row per bucket (so its
+broadcast is bounded by the bucket count).
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.util import at
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | index in partition
-
 
 SAMPLES_PER_BUCKET = 32
 
