@@ -84,24 +84,27 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
 
 
 def upsert_versioned(batch: DataFrame, batch_id: int, root: str, keys: list[str]) -> None:
-    """Merge a micro-batch into a table kept as versions ``v<batch>``: rows of the batch replace
-    rows with the same keys (last value wins).  Re-running a batch rewrites its own version."""
-    spark = batch.sparkSession
-    prev = latest_version(spark, root)
+    """Append a micro-batch to a change log kept as ``v<batch id>`` folders.
+
+    Only the batch's rows are written (no rewrite of the table per batch);
+    re-running a batch overwrites its own folder, so a retried batch is not
+    counted twice.  ``read_latest`` resolves the log: per key the row of the
+    highest batch id wins (last value wins)."""
     target = f"{root.rstrip('/')}/v{batch_id:010d}"
-    if prev is not None and prev != target:
-        old = spark.read.parquet(prev)
-        merged = batch.unionByName(old.join(batch.select(*keys), keys, "left_anti"))
-    else:
-        merged = batch
-    merged.write.mode("overwrite").parquet(target)
+    batch.withColumn("_batch", F.lit(int(batch_id)).cast("long")).withColumn(
+        "_keys", F.array(*[F.lit(k) for k in keys])).write.mode("overwrite").parquet(target)
 
 
 def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    v = latest_version(spark, root)
-    if v is None:
+    """The current table: per key, the row from the newest batch (a ``max_by`` aggregate, so a
+    hot key is reduced map-side)."""
+    if latest_version(spark, root) is None:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(v)
+    log = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    keys = log.select("_keys").first()[0]
+    rest = [c for c in log.columns if c not in keys and c not in ("_batch", "_keys")]
+    cur = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
+    return cur.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 # ---------------------------------------------------------------- T01
