@@ -22,6 +22,8 @@ LOWER_CASE_FIELDS = {"method", "model", "dataset"}
 CATEGORY_METRIC = {"chat": "chat", "chat hard": "chat_hard", "safety": "safety", "reasoning": "reasoning"}
 METRICS = ["accuracy", "chat", "chat_hard", "safety", "reasoning"]
 
+# The six log line shapes (training header, user line, named and numbered
+# dataset lines, dictionary line and its items, per-user eval line).
 NUM = r"([\d.]+)"
 P_HEADER = r"Training and Evaluating for user (\d+)"
 P_USER = r"Metrics for User (\d+): " + NUM

@@ -18,16 +18,27 @@ from pyspark.sql import functions as F
 from ..functions.util import at
 
 
-SAMPLES_PER_BUCKET = 32
+SAMPLES_PER_BUCKET = 16
+ROWS_PER_BUCKET = 1_000_000   # target rows numbered by one window task
+MAX_BUCKETS = 1 << 16
 
 
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Binary search over sorted literal bounds: bucket i holds bounds[i-1] < key <= bounds[i]."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key <= bounds[mid], _bucket_expr(key, bounds, lo, mid)).otherwise(
-        _bucket_expr(key, bounds, mid + 1, hi))
+def _bucket_expr(key: Column, bounds: Column, m: int) -> Column:
+    """Number of bounds strictly below ``key`` (so bucket i holds bounds[i-1] < key <= bounds[i]),
+    by a binary search over the sorted literal array ``bounds``: ceil(log2(m+1)) steps of one
+    comparison each, whatever the number of buckets."""
+    import math
+    steps = max(1, math.ceil(math.log2(m + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc.getField("lo"), acc.getField("hi")
+        mid = F.floor((lo + hi) / 2).cast("int")
+        right = at(bounds, mid + 1) < key
+        return F.when(lo >= hi, acc).otherwise(
+            F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+             .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step).getField("lo")
 
 
 def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
@@ -37,17 +48,25 @@ def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str =
     executions of the same plan (a self-join, a retried stage) can draw
     different bounds.  Here the bounds come from a hash-seeded sample of the
     keys (a bounded driver-side list, about ``SAMPLES_PER_BUCKET`` keys per
-    bucket) and are baked into the plan as literals, so every execution and
-    every retry assigns the same bucket.  Order keys must be non-null.
+    bucket), fixed once and passed to every task as one sorted array, so
+    every execution and every retry assigns the same bucket; a row finds its
+    bucket by binary search.  The bucket count grows with the row count
+    (``ROWS_PER_BUCKET`` per bucket, at most ``MAX_BUCKETS``).  Order keys must
+    be non-null.
     """
     order_cols = [order] if isinstance(order, (str, Column)) else list(order)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     spark = df.sparkSession
-    nb = n_buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     keyed = df.withColumn("_okey", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
+    n = keyed.count()
+    if n_buckets is None:
+        # as many buckets as it takes to keep each window task near ROWS_PER_BUCKET rows
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        nb = min(MAX_BUCKETS, max(parts, -(-n // ROWS_PER_BUCKET)))
+    else:
+        nb = n_buckets
     if nb <= 1:
         return keyed.withColumn(out, F.lit(0)).drop("_okey")
-    n = keyed.count()
     want = nb * SAMPLES_PER_BUCKET
     frac = min(1.0, want / max(n, 1))
     u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
@@ -57,10 +76,14 @@ def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str =
         return keyed.withColumn(out, F.lit(0)).drop("_okey")
     step = len(sample) / nb
     picks = sorted({sample[min(len(sample) - 1, int(step * (i + 1)) - 1)] for i in range(nb - 1)})
-    ktypes = [f.dataType for f in keyed.schema["_okey"].dataType.fields]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, ktypes))])
-              for b in picks]
-    return keyed.withColumn(out, _bucket_expr(F.col("_okey"), bounds, 0, len(bounds))).drop("_okey")
+    kschema = keyed.schema["_okey"].dataType
+    # the bounds travel as one sorted array from a scalar sub-query (evaluated once); the search
+    # expression does not grow with the number of buckets
+    bdf = spark.createDataFrame([tuple(b) for b in picks], kschema)
+    bounds = bdf.select(F.sort_array(F.collect_list(F.struct(*[F.col(f.name) for f in kschema.fields])))).scalar()
+    keyed = keyed.withColumn("_bounds", bounds)  # a column first: sub-queries may not sit in lambdas
+    return (keyed.withColumn(out, _bucket_expr(F.col("_okey"), F.col("_bounds"), len(picks)))
+                 .drop("_okey", "_bounds"))
 
 
 def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
