@@ -44,9 +44,10 @@ def replay_by_day(df: DataFrame, root: str, ts: str = "ts", late_every: int | No
                          .otherwise(F.col("_day")))
     else:
         d = d.withColumn("_file_day", F.col("_day"))
-    # one job writes every day folder; then the folders get increasing modification times
+    # one job writes every day folder (each task writes its own rows of each day, so no task
+    # holds a whole day); then the folders get increasing modification times
     d.withColumn("day", F.col("_file_day").cast("string")).drop("_day", "_file_day") \
-        .repartition("day").write.mode("overwrite").partitionBy("day").parquet(root)
+        .write.mode("overwrite").partitionBy("day").parquet(root)
     path, fs = _fs(spark, root)
     dirs = sorted((st.getPath() for st in fs.listStatus(path) if st.getPath().getName().startswith("day=")),
                   key=lambda p: p.getName())
