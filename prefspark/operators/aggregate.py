@@ -250,6 +250,31 @@ def distinct_keys(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.countDistinct(col).alias(f"n_distinct_{col}"))
 
 
+# F03 (batch form) -------------------------------------------------------------
+def categorical_batch_loss(df: DataFrame, logits_c: str, logits_r: str, entropy_coeff: float = 0.0,
+                           by: Iterable[str] = ()) -> DataFrame:
+    """Mean of -log P(chosen > rejected) plus ``entropy_coeff`` * sum_k m_k log m_k, where m is
+    the mean of all chosen and rejected atom distributions (the training-time penalty).
+
+    The mean distribution is an aggregate per atom (rows exploded to one row per atom and
+    side, then averaged): partial aggregation, no array is collected."""
+    by = list(by)
+    d = df.select(*by, V.categorical_loss(logits_c, logits_r).alias("_l"),
+                  V.softmax_array(logits_c).alias("_pc"), V.softmax_array(logits_r).alias("_pr"))
+    log_loss = d.groupBy(*by).agg(F.avg("_l").alias("log_loss"))
+    atoms = d.select(*by, F.posexplode(F.concat(
+        F.transform("_pc", lambda p, i: F.struct(i.alias("k"), p.alias("p"))),
+        F.transform("_pr", lambda p, i: F.struct(i.alias("k"), p.alias("p"))))).alias("_j", "_a"))
+    mean = atoms.groupBy(*by, F.col("_a.k").alias("k")).agg(F.avg("_a.p").alias("m"))
+    ent = mean.groupBy(*by).agg(F.sum(F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0)).alias("neg_entropy"))
+    if by:
+        res = log_loss.join(ent, by, "inner")  # one row per group on each side
+    else:
+        # two single-row global aggregates: the second enters as a scalar sub-query
+        res = log_loss.select("log_loss", ent.select("neg_entropy").scalar().alias("neg_entropy"))
+    return res.withColumn("loss", F.col("log_loss") + F.lit(float(entropy_coeff)) * F.col("neg_entropy"))
+
+
 # G16 / G17 / G19 / G20 ------------------------------------------------------
 def pairwise_loss(df: DataFrame, chosen: str = "reward_chosen", rejected: str = "reward_rejected",
                   by: Iterable[str] = ()) -> DataFrame:

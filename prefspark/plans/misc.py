@@ -350,3 +350,19 @@ def x09(spark, sf):
 def s15(spark, sf):
     from ..sources.readers import as_frame
     return as_frame(spark, FX.table(spark, sf, "labels")).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f03_categorical_batch_loss", with_ctes(FX.SQL_F3, F3_LOGITS_SQL) + """
+, pl AS (SELECT uid % 2 AS half, -ln(pc0 * 0.5 * pr0 + pc1 * (pr0 + 0.5 * pr1) + pc2 * (pr0 + pr1 + 0.5 * pr2)) AS l,
+               pc0, pc1, pc2, pr0, pr1, pr2 FROM pr JOIN scored USING (traj_id, pos)),
+m AS (SELECT half, avg(l) AS log_loss, (sum(pc0) + sum(pr0)) / (2 * count(*)) AS m0,
+             (sum(pc1) + sum(pr1)) / (2 * count(*)) AS m1, (sum(pc2) + sum(pr2)) / (2 * count(*)) AS m2 FROM pl GROUP BY half)
+SELECT half, round(log_loss, 6) AS log_loss, round(m0 * ln(m0) + m1 * ln(m1) + m2 * ln(m2), 6) AS neg_entropy,
+       round(log_loss + 0.1 * (m0 * ln(m0) + m1 * ln(m1) + m2 * ln(m2)), 6) AS loss FROM m""".replace("\n, pl AS", ", pl AS", 1))
+def f03b(spark, sf):
+    s = FX.f3_scored(spark, sf).withColumn("half", (F.col("uid") % 2).cast("int"))
+    s = s.withColumn("lc", F.array(F.col("reward_chosen") / 10, F.col("uid") / 10.0, F.col("subset_no") / 10.0)) \
+         .withColumn("lr", F.array(F.col("reward_rejected") / 10, F.col("pos") / 10.0, F.lit(0.0)))
+    r = G.categorical_batch_loss(s, "lc", "lr", entropy_coeff=0.1, by=["half"])
+    return r.select(F.col("half").cast("int").alias("half"), rd(F.col("log_loss"), "log_loss"),
+                    rd(F.col("neg_entropy"), "neg_entropy"), rd(F.col("loss"), "loss"))

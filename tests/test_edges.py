@@ -166,3 +166,11 @@ def test_similarity_top_k_matches_brute_force(spark):
     for i in range(7):
         order = sorted(range(40), key=lambda j: (-S[i, j], j))[:3]
         assert [got[(i, k + 1)] for k in range(3)] == order
+
+
+def test_categorical_batch_loss_global_equals_grouped(spark):
+    df = spark.createDataFrame([([0.1, 0.5, -1.0], [0.0, 0.2, 0.3]), ([1.0, 0.0, 0.0], [0.5, 0.5, 0.5])],
+                               "lc array<double>, lr array<double>")
+    a = G.categorical_batch_loss(df, "lc", "lr", 0.1).collect()[0]
+    b = G.categorical_batch_loss(df.withColumn("g", F.lit(1)), "lc", "lr", 0.1, by=["g"]).collect()[0]
+    assert abs(a.loss - b.loss) < 1e-12 and a.neg_entropy < 0
