@@ -131,13 +131,26 @@ def l10(spark, sf):
     return c.select("Index", "context_length", "identified")
 
 
-@query("l11_random_contexts")
+@query("l11_random_contexts", TYPED + f"""
+, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", prompt, controversial FROM typed),
+pool AS (SELECT "Index", prompt, row_number() OVER (ORDER BY "Index") - 1 AS pidx FROM tx WHERE controversial),
+pm AS (SELECT count(*) AS m FROM pool),
+draws AS (SELECT tx."Index", tx.prompt, r.d, {sql_seeded_hash(3, '"Index"', 'r.d')} % pm.m AS pidx
+          FROM tx, range(0, 16) r(d), pm),
+acc AS (SELECT dr."Index", dr.d, p."Index" AS original_id,
+               row_number() OVER (PARTITION BY dr."Index" ORDER BY dr.d) AS rn
+        FROM draws dr JOIN pool p ON p.pidx = dr.pidx WHERE p.prompt <> dr.prompt),
+kept AS (SELECT "Index", count(*) AS n, sum(original_id) AS id_sum FROM acc WHERE rn <= 4 GROUP BY "Index")
+SELECT tx."Index", coalesce(kept.n, 0) AS n_contexts, kept.id_sum AS context_id_sum
+FROM tx LEFT JOIN kept ON tx."Index" = kept."Index\"""".replace("\n, tx AS", ", tx AS", 1))
 def l11(spark, sf):
     t = RT.typed(spark, sf).withColumn("Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
     t = materialize(t.select("Index", "prompt", "chosen", "rejected", "controversial"))
     pool = t.filter("controversial").select("Index", "prompt", "chosen", "rejected")
     c = L.random_contexts(t.select("Index", "prompt"), pool, n=4, seed=3)
-    return c.select("Index", F.size("contexts").alias("n_contexts"))
+    ids = F.transform("contexts", lambda x: x["original_id"])
+    return c.select("Index", F.coalesce(F.size("contexts"), F.lit(0)).cast("long").alias("n_contexts"),
+                    F.aggregate(ids, F.lit(0).cast("long"), lambda a, b: a + b).alias("context_id_sum"))
 
 
 @query("u06_replicate_with_new_contexts", with_ctes(FX.SQL_F5) + """
