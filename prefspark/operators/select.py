@@ -242,7 +242,7 @@ def synthetic_pairs(spark_or_df, n: int | None = None, pools: DataFrame | None =
 # L10 / L11 / U06 ------------------------------------------------------------
 def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int = 0, mode: str = "84",
                     key: str = "Index", survey_key: str = "Index", subsets: str = "satisfied_subset",
-                    tries: int = 32, copy: str | None = None) -> DataFrame:
+                    tries: int = 32, copy: str | None = None, hash_kind: str = "xxhash") -> DataFrame:
     """Draw survey rows as contexts for every row (hash-seeded, without replacement).
 
     The survey is a pool of known size (``survey_pool`` output, bounded by its
@@ -261,12 +261,14 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
     m = F.size("_pool")
     seed_key = [key] + ([copy] if copy else [])
     lo = 1 if mode == "84" else 2
+    # md5 draws can be replayed by any SQL engine; xxhash64 is cheaper
+    h = seeded_hash if hash_kind == "md5" else fast_hash
 
     def pick_idx(t: Column) -> Column:
         """0-based pool positions of try ``t``: a hash-ordered permutation's first n_ctx entries."""
-        n_ctx = F.least((F.lit(lo) + (fast_hash(seed, *seed_key, t) % (max_len - lo + 1))).cast("int"), m)
+        n_ctx = F.least((F.lit(lo) + (h(seed, *seed_key, t) % (max_len - lo + 1))).cast("int"), m)
         order = F.transform(F.sequence(F.lit(0), m - 1),
-                            lambda i: F.struct(fast_hash(seed + 7919, *seed_key, t, i).alias("h"), i.alias("i")))
+                            lambda i: F.struct(h(seed + 7919, *seed_key, t, i).alias("h"), i.alias("i")))
         return F.transform(F.slice(F.array_sort(order), 1, n_ctx), lambda p: p.getField("i"))
 
     def rows_of(idx: Column) -> Column:

@@ -121,13 +121,25 @@ def w03(spark, sf):
 
 
 # ---------------------------------------------------------------- contexts: L10 / L11 / U06 / U03
-@query("l10_survey_contexts")
+@query("l10_survey_contexts", TYPED + f"""
+, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", string_split(satisfied_subset, ',') AS sat FROM typed),
+sv AS (SELECT "Index", sat FROM tx ORDER BY {sql_seeded_hash(1, '"Index"')}, "Index" LIMIT 40),
+pool AS (SELECT row_number() OVER (ORDER BY "Index") - 1 AS i, sat FROM sv),
+tries AS (SELECT tx."Index", r.t, 2 + {sql_seeded_hash(2, 'tx."Index"', 'r.t')} % 3 AS n_ctx FROM tx, range(0, 8) r(t)),
+perm AS (SELECT tr."Index", tr.t, tr.n_ctx, p.i, row_number() OVER (PARTITION BY tr."Index", tr.t
+                ORDER BY {sql_seeded_hash(7921, 'tr."Index"', 'tr.t', 'p.i')}, p.i) AS rk FROM tries tr, pool p),
+cnt AS (SELECT pk."Index", pk.t, pk.n_ctx, u.typ, count(*) AS c FROM perm pk JOIN pool p ON p.i = pk.i,
+        unnest(p.sat) AS u(typ) WHERE pk.rk <= pk.n_ctx GROUP BY ALL),
+inter AS (SELECT "Index", t, n_ctx, count(*) FILTER (WHERE c = n_ctx) AS isz FROM cnt GROUP BY ALL),
+good AS (SELECT "Index", arg_min(n_ctx, t) AS n_ctx FROM inter WHERE isz = 1 GROUP BY "Index")
+SELECT tx."Index", CAST(good.n_ctx AS INTEGER) AS context_length, good."Index" IS NOT NULL AS identified
+FROM tx LEFT JOIN good ON tx."Index" = good."Index\"""".replace("\n, tx AS", ", tx AS", 1))
 def l10(spark, sf):
     t = RT.typed(spark, sf).select("pair_id", "data_subset", "satisfied_subset").withColumn(
         "Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
     t = materialize(t)  # feeds both the survey draw and the rows: written once
     survey = L.survey_pool(t, 40, seed=1, key="Index").select("Index", "satisfied_subset")
-    c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", tries=8)
+    c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", tries=8, hash_kind="md5")
     return c.select("Index", "context_length", "identified")
 
 
