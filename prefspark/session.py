@@ -19,9 +19,32 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of dropped intermediates are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                     target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run sized from the input: scan splits and shuffle partitions of
+    about ``target_partition_bytes`` (so a task's share fits executor memory and spills
+    little), at least two tasks per core, AQE coalescing and skew splitting on."""
+    slots = max(1, executors * cores_per_executor)
+    shuffle_parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "prefspark", driver_memory: str = "16g",
                   extra: dict | None = None) -> SparkSession:
