@@ -30,7 +30,9 @@ def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int =
     about ``target_partition_bytes`` (so a task's share fits executor memory and spills
     little), at least two tasks per core, AQE coalescing and skew splitting on."""
     slots = max(1, executors * cores_per_executor)
-    shuffle_parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    # shuffles carry projected columns (ids, hashes, scores), about a quarter of the input or less;
+    # AQE coalesces partitions that come out smaller
+    shuffle_parts = max(2 * slots, -(-input_bytes // (4 * target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle_parts),
