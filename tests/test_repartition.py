@@ -37,6 +37,34 @@ def test_group_position_and_derangement_stable(spark, parts):
     assert d1 == d2
 
 
+STABILITY_QUERIES = ["g03_majority_vote", "j07_agreement_join", "g04_similar_user", "f21_explode_user_types",
+                     "g15_augment_counters", "l16_derangement", "l14_shuffle", "w02_question_key", "l07_holdout_split",
+                     "w04_dialog_history", "x06_annotate_with", "w09_pack_batches", "f30_assemble_run_metrics",
+                     "l04_top_k_similar", "l11_random_contexts", "g25_best_worst_by_attribute", "w03_segment_offsets"]
+
+
+@pytest.mark.parametrize("name", STABILITY_QUERIES)
+def test_queries_stable_under_other_partitioning(spark, sf_small, name):
+    """The same rows with 64 KB input splits and 17 shuffle partitions (AQE off, so the
+    partition counts are really used)."""
+    import os
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    import __spark_entry__ as E
+    from oracle_check import compare, duck
+    conf = {"spark.sql.files.maxPartitionBytes": str(64 * 1024), "spark.sql.shuffle.partitions": "17",
+            "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        r = compare(spark, sf_small, name, E.queries()[name], E.oracle_sql().get(name), duck(sf_small))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert r["status"] == "OK", r
+
+
 def test_hot_key_group_position(spark):
     # one key holds a third of all rows: ranks are still exact and the work is spread by range buckets
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
