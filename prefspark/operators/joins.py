@@ -100,16 +100,32 @@ def head2head(a: DataFrame, b: DataFrame, keys: Iterable[str], value: str = "out
 ANNOTATION_KEYS = ["instruction", "input", "output_1", "output_2", "annotator"]
 
 
+def row_key(cols) -> tuple[Column, Column]:
+    """128-bit key of several (possibly NULL, possibly long) columns: two salted ``xxhash64``
+    over the values, their NULL flags and lengths, so NULL-safe equality of the columns maps
+    to equality of the key (collision chance ~1e-15 at 10^12 rows)."""
+    parts = []
+    for c in cols:
+        parts += [F.col(c).isNull(), F.length(F.col(c).cast("string")), F.col(c)]
+    return F.xxhash64(F.lit("row-k1"), *parts), F.xxhash64(F.lit("row-k2"), *reversed(parts))
+
+
 def reuse_annotations(todo: DataFrame, done: DataFrame, keys: Iterable[str] = ANNOTATION_KEYS,
                       preference: str = "preference", extra: Iterable[str] = ("chain_of_thoughts",)) -> DataFrame:
     """Left join on the key columns: ``preference = coalesce(stored, new)`` (same for extras).
     The store is made unique on the keys first (first stored row wins)."""
     keys = list(keys)
     extra = [e for e in extra if e in done.columns]
-    store = done.dropDuplicates(keys).select(*keys, F.col(preference).alias("_old_pref"),
-                                             *[F.col(e).alias(f"_old_{e}") for e in extra])
-    j = todo.join(store, [todo[k].eqNullSafe(store[k]) for k in keys], "left")
-    j = j.select(*[todo[c] for c in todo.columns], "_old_pref", *[f"_old_{e}" for e in extra])
+    k1, k2 = row_key(keys)
+    # the store is reduced to (128-bit key, label): the texts of the five keys are not shuffled.
+    # A store written by merge_store is unique on the keys; if it is not, one of its rows is
+    # taken per key (an aggregate, reduced map-side)
+    store = (done.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(
+                F.col(preference).alias("p"), *[F.col(e).alias(e) for e in extra]).alias("_v"))
+             .groupBy("_k1", "_k2").agg(F.first("_v").alias("_v")))
+    j = todo.withColumn("_k1", k1).withColumn("_k2", k2).join(store, ["_k1", "_k2"], "left")
+    j = j.select(*[F.col(c) for c in todo.columns], F.col("_v.p").alias("_old_pref"),
+                 *[F.col(f"_v.{e}").alias(f"_old_{e}") for e in extra])
     new_pref = F.col(preference) if preference in todo.columns else F.lit(None)
     j = j.withColumn(preference, F.coalesce(F.col("_old_pref"), new_pref))
     for e in extra:
