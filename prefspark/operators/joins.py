@@ -113,7 +113,7 @@ def row_key(cols) -> tuple[Column, Column]:
 def reuse_annotations(todo: DataFrame, done: DataFrame, keys: Iterable[str] = ANNOTATION_KEYS,
                       preference: str = "preference", extra: Iterable[str] = ("chain_of_thoughts",)) -> DataFrame:
     """Left join on the key columns: ``preference = coalesce(stored, new)`` (same for extras).
-    The store is made unique on the keys first (first stored row wins)."""
+    The store is reduced to one row per key first."""
     keys = list(keys)
     extra = [e for e in extra if e in done.columns]
     k1, k2 = row_key(keys)
