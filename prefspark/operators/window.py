@@ -60,9 +60,9 @@ def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str =
     keyed = df.withColumn("_okey", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
     n = keyed.count()
     if n_buckets is None:
-        # as many buckets as it takes to keep each window task near ROWS_PER_BUCKET rows
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        nb = min(MAX_BUCKETS, max(parts, -(-n // ROWS_PER_BUCKET)))
+        # as many buckets as it takes to keep each window task at most ROWS_PER_BUCKET rows
+        # (a single bucket -- no sampling at all -- while the input is that small)
+        nb = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
     else:
         nb = n_buckets
     if nb <= 1:
@@ -106,18 +106,19 @@ def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
     return res.withColumn(out, F.col("_off") + F.col("_local") + F.lit(base)).drop("_bk", "_local", "_off")
 
 
-def group_position(df: DataFrame, keys, order, out: str = "rank", base: int = 1) -> DataFrame:
+def group_position(df: DataFrame, keys, order, out: str = "rank", base: int = 1,
+                   n_buckets: int | None = None) -> DataFrame:
     """Per-group ``row_number`` (``base``-based) that survives hot keys.
 
     ``Window.partitionBy(key)`` sends a whole group to one task; here rows are
-    numbered globally in (keys, order) by range partitioning -- which splits a
-    hot group over many partitions -- and each row's rank is its global
+    numbered globally in (keys, order) by order-preserving buckets -- which
+    split a hot group over many tasks -- and each row's rank is its global
     position minus its group's first position (a per-group ``min`` with
     partial aggregation, joined back on the keys).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    pos = dense_position(df, keys + order, "_gpos", base=0)
+    pos = dense_position(df, keys + order, "_gpos", base=0, n_buckets=n_buckets)
     first = pos.groupBy(*keys).agg(F.min("_gpos").alias("_gfirst"))
     return (pos.join(first, keys, "inner")
                .withColumn(out, F.col("_gpos") - F.col("_gfirst") + F.lit(base))

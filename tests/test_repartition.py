@@ -21,9 +21,10 @@ def test_majority_vote_stable(spark, sf_small, parts):
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
-def test_dense_position_stable(spark, parts):
+@pytest.mark.parametrize("buckets", [None, 1, 7, 64])
+def test_dense_position_stable(spark, parts, buckets):
     df = spark.range(0, 997).select((F.col("id") * 7919 % 997).alias("k")).repartition(parts)
-    got = _rows(W.dense_position(df, "k", "p"))
+    got = _rows(W.dense_position(df, "k", "p", n_buckets=buckets))
     assert got == [(k, k) for k in range(997)]
 
 
@@ -69,5 +70,9 @@ def test_hot_key_group_position(spark):
     # one key holds a third of all rows: ranks are still exact and the work is spread by range buckets
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
                                       F.col("id").alias("row_id"))
-    gp = W.group_position(df, "g", "row_id", "rk").filter("g = 0")
-    assert sorted(r.rk for r in gp.collect()) == list(range(1, 1001))
+    gp = W.group_position(df, "g", "row_id", "rk", n_buckets=16)
+    hot = gp.filter("g = 0")
+    assert sorted(r.rk for r in hot.collect()) == list(range(1, 1001))
+    # the hot group is spread over several numbering buckets (several window tasks)
+    b = W.range_buckets(df, ["g", "row_id"], 16, "_b").filter("g = 0").select("_b").distinct().count()
+    assert b >= 4
