@@ -99,7 +99,8 @@ def label_user_types(pairs: DataFrame, seed: int = 0, key: str = "pair_id", filt
         F.concat(human, F.when(rev, F.col("rejected")).otherwise(F.col("chosen"))).alias("chosen"),
         F.concat(human, F.when(rev, F.col("chosen")).otherwise(F.col("rejected"))).alias("rejected"),
         F.size("_labels").alias("n_present"),
-        F.size(F.filter("_labels", lambda x: x.getField("reversed") == rev)).alias("n_same"))
+        F.size(F.filter("_labels", lambda x: x.getField("reversed") == rev)).alias("n_same"),
+        F.transform("_labels", lambda x: x.getField("type")).alias("present_types"))
 
 
 def augment_counters(rows: DataFrame, all_types: Iterable[str] = LB.USER_TYPES) -> DataFrame:
@@ -107,10 +108,16 @@ def augment_counters(rows: DataFrame, all_types: Iterable[str] = LB.USER_TYPES)
     "guess" baselines (types sharing the row's label; half the present types when the type
     is absent from the row)."""
     # a type absent from a pair contributes 0.5 * n_present; absent types only exist with filter_equal
-    per_pair = rows.groupBy("pair_id").agg(F.first("n_present").alias("n_present"),
-                                          F.first("controversial").alias("controversial"),
-                                          F.collect_set("data_subset").alias("_present"))
     types = F.array(*[F.lit(t) for t in all_types])
+    if "present_types" in rows.columns:
+        # every row carries its pair's present types: the pair's first present type speaks for
+        # the pair, so no regrouping (shuffle) by pair is needed
+        per_pair = rows.filter(F.col("data_subset") == F.element_at("present_types", 1)).select(
+            "n_present", "controversial", F.col("present_types").alias("_present"))
+    else:
+        per_pair = rows.groupBy("pair_id").agg(F.first("n_present").alias("n_present"),
+                                              F.first("controversial").alias("controversial"),
+                                              F.collect_set("data_subset").alias("_present"))
     absent = per_pair.select(F.explode(F.array_except(types, F.col("_present"))).alias("data_subset"),
                              (F.col("n_present") * 0.5).alias("g"),
                              F.when(F.col("controversial"), F.col("n_present") * 0.5).otherwise(0.0).alias("gc"),

@@ -168,6 +168,15 @@ def test_similarity_top_k_matches_brute_force(spark):
         assert [got[(i, k + 1)] for k in range(3)] == order
 
 
+def test_augment_counters_paths_agree_with_absent_types(spark, sf_small):
+    from prefspark.operators import labels as LO
+    from prefspark.plans import ratings as RT
+    rows = LO.label_user_types(RT.matched(spark, sf_small), seed=0, filter_equal=True)
+    a = sorted(tuple(r) for r in LO.augment_counters(rows).collect())
+    b = sorted(tuple(r) for r in LO.augment_counters(rows.drop("present_types")).collect())
+    assert a == b and len(a) == 4
+
+
 def test_categorical_batch_loss_global_equals_grouped(spark):
     df = spark.createDataFrame([([0.1, 0.5, -1.0], [0.0, 0.2, 0.3]), ([1.0, 0.0, 0.0], [0.5, 0.5, 0.5])],
                                "lc array<double>, lr array<double>")
