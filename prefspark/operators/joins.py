@@ -142,14 +142,27 @@ def _user_rows(df: DataFrame, uid_value, uid: str, n: int | None, order: str) ->
     return rows
 
 
+def _user_digest(df: DataFrame, uid_value, uid: str, chosen: str, rejected: str, n: int | None,
+                 order: str) -> DataFrame:
+    """The user's rows reduced to hashes (pair key, chosen text) and ids, written once: both the
+    pair-key table and the chosen-text counts derive from it without rescanning the input."""
+    from ..session import materialize
+    mine = _user_rows(df, uid_value, uid, n, order)
+    k1, k2 = pair_hash(chosen, rejected)
+    return materialize(mine.select(k1.alias("_k1"), k2.alias("_k2"),
+                                   F.xxhash64(F.lit("t"), F.col(chosen)).alias("_t"),
+                                   F.length(chosen).alias("_len"), F.col(order)))
+
+
 def others_on_same_pairs(df: DataFrame, uid_value, uid: str = "uid", chosen: str = "chosen_only",
                          rejected: str = "rejected_only", n: int | None = None,
-                         order: str = "cmp_id") -> DataFrame:
+                         order: str = "cmp_id", digest: DataFrame | None = None) -> DataFrame:
     """Rows of *other* users whose unordered pair occurs among the user's (first ``n``) rows.
     A left-semi join on the 128-bit pair key."""
-    mine = _user_rows(df, uid_value, uid, n, order)
+    if digest is None:
+        digest = _user_digest(df, uid_value, uid, chosen, rejected, n, order)
+    keys = broadcast_if_small(digest.select("_k1", "_k2").distinct())
     k1, k2 = pair_hash(chosen, rejected)
-    keys = broadcast_if_small(mine.select(k1.alias("_k1"), k2.alias("_k2")).distinct())
     others = df.filter(F.col(uid) != F.lit(uid_value)).withColumn("_k1", k1).withColumn("_k2", k2)
     return others.join(keys, ["_k1", "_k2"], "left_semi").drop("_k1", "_k2")
 
@@ -164,11 +177,10 @@ def agreement_join(df: DataFrame, uid_value, uid: str = "uid", chosen: str = "ch
     id) and joined twice on the text hash: each other row meets at most one
     row per join, so no pair of rows within a group is ever emitted.
     """
-    mine = _user_rows(df, uid_value, uid, n, order)
-    counts = broadcast_if_small(mine.groupBy(F.xxhash64(F.lit("t"), F.col(chosen)).alias("_t"),
-                                             F.length(chosen).alias("_len")).agg(
+    digest = _user_digest(df, uid_value, uid, chosen, rejected, n, order)
+    counts = broadcast_if_small(digest.groupBy("_t", "_len").agg(
         F.count(F.lit(1)).alias("_m"), F.min(order).alias("_first_new")))
-    others = others_on_same_pairs(df, uid_value, uid, chosen, rejected, n, order)
+    others = others_on_same_pairs(df, uid_value, uid, chosen, rejected, n, order, digest=digest)
     o = (others.withColumn("_tc", F.xxhash64(F.lit("t"), F.col(chosen))).withColumn("_lc", F.length(chosen))
                .withColumn("_tr", F.xxhash64(F.lit("t"), F.col(rejected))).withColumn("_lr", F.length(rejected)))
     a = counts.select(F.col("_t").alias("_tc"), F.col("_len").alias("_lc"), F.col("_m").alias("agree"),
