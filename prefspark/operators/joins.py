@@ -247,26 +247,32 @@ def prompts_for_users(prompts: DataFrame, n_users: int, prompt_id: str = "prompt
 
 # J12 / L04 ------------------------------------------------------------------
 def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: str = "did",
-                     qvec: str = "qvec", dvec: str = "dvec", block_rows: int = 1024,
-                     group: str | None = None) -> DataFrame:
-    """Exact top-k documents per query by dot product; result ordered ascending by
-    rank semantics of the reference (``rank`` 1 = best).
-
-    Blocked all-pairs scoring: queries and docs are cut into blocks of
-    ``block_rows``; every (query block, doc block) cell is one group handled
-    by a vectorised NumPy mat-mul in ``applyInPandas`` that emits only its
-    local top-k per query.  A final ``row_number`` per query over the
-    (#doc blocks x k) candidates keeps the global top-k.  No pair is
-    materialised as a row, nothing is broadcast, and each task holds two
-    blocks.  ``group`` restricts candidates to the same group (e.g. user).
+                     qvec: str = "qvec", dvec: str = "dvec", block_rows: int | None = None,
+                     group: str | None = None, q_block_rows: int = 8192, d_block_rows: int = 262_144,
+                     chunk_rows: int = 4096) -> DataFrame:
+    """Exact top-k documents per query by dot product (``rank`` 1 = best; ties by doc id).
+
+    Blocked all-pairs scoring: queries are cut into blocks of
+    ``q_block_rows`` and docs into blocks of ``d_block_rows`` (``block_rows``
+    sets both); every (query block, doc block) cell is one group handled in
+    ``applyInPandas``, which walks the doc block in chunks of ``chunk_rows``
+    with NumPy mat-muls and keeps a running top-k per query, so a cell needs
+    memory for one chunk of scores, and emits only its local top-k.  A final
+    ``row_number`` per query over the (#doc blocks x k) candidates keeps the
+    global top-k.  Each query row is copied once per doc block and each doc
+    row once per query block (large doc blocks keep the docs nearly
+    uncopied); no pair is materialised as a row and nothing is broadcast.
+    ``group`` restricts candidates to the same group (e.g. user).
     """
     import numpy as np
     import pandas as pd
 
+    if block_rows is not None:
+        q_block_rows = d_block_rows = block_rows
     # block counts from the row counts (scalar sub-queries); rows go to blocks by a hash of their
     # id, which is deterministic and balanced without numbering the rows
-    nq_blocks = queries.select(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("long")).scalar()
-    nd_blocks = docs.select(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("long")).scalar()
+    nq_blocks = queries.select(F.greatest(F.ceil(F.count(F.lit(1)) / q_block_rows), F.lit(1)).cast("long")).scalar()
+    nd_blocks = docs.select(F.greatest(F.ceil(F.count(F.lit(1)) / d_block_rows), F.lit(1)).cast("long")).scalar()
     q = queries.select(qid, qvec, *([group] if group else [])).withColumn(
         "_qb", F.pmod(F.xxhash64(F.lit("qblock"), F.col(qid)), nq_blocks))
     d = docs.select(did, dvec, *([group] if group else [])).withColumn(
@@ -290,21 +296,26 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
         if len(qs) == 0 or len(ds) == 0:
             return pd.DataFrame({"qid": [], "did": [], "score": []})
         Q = np.vstack(qs["_v"].to_numpy())
-        D = np.vstack(ds["_v"].to_numpy())
-        S = Q @ D.T
         qg = qs["_g"].to_numpy()
-        dg = ds["_g"].to_numpy()
-        S = np.where(qg[:, None] == dg[None, :], S, -np.inf)
-        kk_ = min(kk, S.shape[1])
-        dids = ds["_id"].to_numpy()
-        # local top-k by score desc, doc id asc (stable lexsort per row)
-        order = np.lexsort((np.broadcast_to(dids, S.shape), -S), axis=1)[:, :kk_]
-        rows = np.repeat(np.arange(S.shape[0]), kk_)
-        cols = order.reshape(-1)
-        sc = S[rows, cols]
+        nq = Q.shape[0]
+        # running top-k per query: scores and doc ids, -inf / max id where empty
+        best_s = np.full((nq, 0), -np.inf)
+        best_i = np.zeros((nq, 0), dtype=np.int64)
+        dv, dg_all, did_all = ds["_v"].to_numpy(), ds["_g"].to_numpy(), ds["_id"].to_numpy()
+        for lo in range(0, len(ds), chunk_rows):
+            D = np.vstack(dv[lo:lo + chunk_rows])
+            S = Q @ D.T
+            S = np.where(qg[:, None] == dg_all[lo:lo + chunk_rows][None, :], S, -np.inf)
+            ids = np.broadcast_to(did_all[lo:lo + chunk_rows], S.shape)
+            s2 = np.concatenate([best_s, S], axis=1)
+            i2 = np.concatenate([best_i, ids], axis=1)
+            order = np.lexsort((i2, -s2), axis=1)[:, :kk]  # score desc, doc id asc
+            best_s = np.take_along_axis(s2, order, axis=1)
+            best_i = np.take_along_axis(i2, order, axis=1)
+        rows = np.repeat(np.arange(nq), best_s.shape[1])
+        sc, di = best_s.reshape(-1), best_i.reshape(-1)
         keep = np.isfinite(sc)
-        return pd.DataFrame({"qid": qs["_id"].to_numpy()[rows][keep], "did": dids[cols][keep],
-                             "score": sc[keep]})
+        return pd.DataFrame({"qid": qs["_id"].to_numpy()[rows][keep], "did": di[keep], "score": sc[keep]})
 
     cand = cells.groupBy("_qb", "_db").applyInPandas(score, "qid long, did long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("did"))

@@ -168,6 +168,23 @@ def test_similarity_top_k_matches_brute_force(spark):
         assert [got[(i, k + 1)] for k in range(3)] == order
 
 
+def test_similarity_top_k_chunked_with_ties(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    Q = rng.integers(-2, 3, size=(9, 4)).astype(float)
+    D = rng.integers(-2, 3, size=(50, 4)).astype(float)  # many equal scores: ties by doc id
+    q = spark.createDataFrame([(i, Q[i].tolist(), i % 2) for i in range(9)], "qid long, qvec array<double>, g int")
+    d = spark.createDataFrame([(j, D[j].tolist(), j % 2) for j in range(50)], "did long, dvec array<double>, g int")
+    for grp in (None, "g"):
+        got = {(r.qid, r.rank): r.did for r in J.similarity_top_k(
+            q, d, 4, group=grp, q_block_rows=3, d_block_rows=16, chunk_rows=5).collect()}
+        S = Q @ D.T
+        for i in range(9):
+            cand = [j for j in range(50) if grp is None or j % 2 == i % 2]
+            order = sorted(cand, key=lambda j: (-S[i, j], j))[:4]
+            assert [got[(i, r + 1)] for r in range(4)] == order
+
+
 def test_augment_counters_paths_agree_with_absent_types(spark, sf_small):
     from prefspark.operators import labels as LO
     from prefspark.plans import ratings as RT
