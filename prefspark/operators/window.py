@@ -42,7 +42,15 @@ def _bucket_expr(key: Column, bounds: Column, m: int) -> Column:
 
 
 def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Assign every row an order-preserving bucket with *deterministic* bounds.
+    """Assign every row an order-preserving bucket with *deterministic* bounds
+    (see ``_range_buckets``)."""
+    return _range_buckets(df, order, n_buckets, out)[0]
+
+
+def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
+                   out: str = "_bucket") -> tuple[DataFrame, int]:
+    """Assign every row an order-preserving bucket with *deterministic* bounds; also return
+    the number of buckets used.
 
     ``repartitionByRange`` samples with a seed tied to the RDD id, so two
     executions of the same plan (a self-join, a retried stage) can draw
@@ -66,14 +74,14 @@ def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str =
     else:
         nb = n_buckets
     if nb <= 1:
-        return keyed.withColumn(out, F.lit(0)).drop("_okey")
+        return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
     want = nb * SAMPLES_PER_BUCKET
     frac = min(1.0, want / max(n, 1))
     u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
          / F.lit(float(1 << 52)))
     sample = sorted(tuple(r[0]) for r in keyed.filter(u < F.lit(frac)).select("_okey").collect())
     if len(sample) < 2:
-        return keyed.withColumn(out, F.lit(0)).drop("_okey")
+        return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
     step = len(sample) / nb
     picks = sorted({sample[min(len(sample) - 1, int(step * (i + 1)) - 1)] for i in range(nb - 1)})
     kschema = keyed.schema["_okey"].dataType
@@ -83,7 +91,7 @@ def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str =
     bounds = bdf.select(F.sort_array(F.collect_list(F.struct(*[F.col(f.name) for f in kschema.fields])))).scalar()
     keyed = keyed.withColumn("_bounds", bounds)  # a column first: sub-queries may not sit in lambdas
     return (keyed.withColumn(out, _bucket_expr(F.col("_okey"), F.col("_bounds"), len(picks)))
-                 .drop("_okey", "_bounds"))
+                 .drop("_okey", "_bounds")), len(picks) + 1
 
 
 def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
@@ -96,7 +104,11 @@ def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
     with one row per bucket -- a proven bound -- broadcast back).
     """
     order_cols = [order] if isinstance(order, (str, Column)) else list(order)
-    b = range_buckets(df, order_cols, n_buckets, "_bk")
+    b, nb = _range_buckets(df, order_cols, n_buckets, "_bk")
+    if nb == 1:
+        # at most ROWS_PER_BUCKET rows: one window task numbers them, no offsets to add
+        w1 = Window.partitionBy("_bk").orderBy(*order_cols)
+        return b.withColumn(out, F.row_number().over(w1) - 1 + F.lit(base)).drop("_bk")
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_bk", F.coalesce(F.sum("_n").over(Window.orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
@@ -166,7 +178,11 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
     offsets from the small total table, then a within-partition running sum.
     """
     order = [order] if isinstance(order, str) else list(order)
-    b = range_buckets(df, order, None, "_bk")
+    b, nb = _range_buckets(df, order, None, "_bk")
+    if nb == 1:
+        w1 = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        res = b.withColumn(end, F.sum(n).over(w1))
+        return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk")
     tot = b.groupBy("_bk").agg(F.sum(n).alias("_t"))
     offs = tot.select("_bk", F.coalesce(F.sum("_t").over(
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -32,6 +32,13 @@ def test_query_matches_oracle(spark, con, name):
     assert r["status"] in ("OK", "rows-only"), r
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_cross_join_or_row_udf(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan, (name, bad)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and len(df.columns) > 0
