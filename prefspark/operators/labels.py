@@ -63,10 +63,11 @@ def match_ratings(pairs: DataFrame, completions: str = "completions", chosen: st
         F.array(*[c.getField(k) for k in RATING_FIELDS]), lambda r: LB.rating_int(r).isNull()))
     d = pairs.withColumn("_mc", at(mc, -1)).withColumn("_mr", at(mr, -1)) \
         .filter((F.size(mc) > 0) & (F.size(mr) > 0) & ~bad)
+    cols = {}
     for k in RATING_FIELDS:
-        d = d.withColumn(f"c_{k}", LB.rating_int(F.col("_mc").getField(k))) \
-             .withColumn(f"r_{k}", LB.rating_int(F.col("_mr").getField(k)))
-    return d.drop("_mc", "_mr")
+        cols[f"c_{k}"] = LB.rating_int(F.col("_mc").getField(k))
+        cols[f"r_{k}"] = LB.rating_int(F.col("_mr").getField(k))
+    return d.withColumns(cols).drop("_mc", "_mr")  # one projection, one analysis pass
 
 
 def label_user_types(pairs: DataFrame, seed: int = 0, key: str = "pair_id", filter_equal: bool = False,
