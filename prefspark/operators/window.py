@@ -21,6 +21,7 @@ from ..functions.util import at
 SAMPLES_PER_BUCKET = 16
 ROWS_PER_BUCKET = 1_000_000   # target rows numbered by one window task
 MAX_BUCKETS = 1 << 16
+MAX_SAMPLE = 1 << 18          # keys sampled to the driver to choose bucket bounds
 
 
 def _bucket_expr(key: Column, bounds: Column, m: int) -> Column:
@@ -75,7 +76,9 @@ def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
         nb = n_buckets
     if nb <= 1:
         return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
-    want = nb * SAMPLES_PER_BUCKET
+    # the sample is the only data that reaches the driver: at most MAX_SAMPLE keys (fewer keys
+    # per bucket only makes bucket sizes less even, never the numbering wrong)
+    want = min(nb * SAMPLES_PER_BUCKET, MAX_SAMPLE)
     frac = min(1.0, want / max(n, 1))
     u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
          / F.lit(float(1 << 52)))
