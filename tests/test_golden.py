@@ -44,6 +44,16 @@ def test_f14_scan_matches(spark):
     assert got2[1].k == ["1"]
 
 
+def test_f14_anchored_patterns_rematch_at_cut(spark):
+    # '^' matches again after each cut: "ab" then "ab" -> two hits of key a; an unanchored
+    # scan would find only the first one
+    df = spark.createDataFrame([("abab",), ("xab",)], "t string")
+    got = [r.k for r in df.select(LB.scan_matches_safe(F.col("t"), {"a": "^ab", "x": "^x"}).alias("k")).collect()]
+    assert got == [["a", "a"], ["x", "a"]]
+    same = [r.k for r in df.select(LB.scan_matches_cut(F.col("t"), {"1": "a", "2": "b"}).alias("k")).collect()]
+    assert same == [["1", "2", "1", "2"], ["1", "2"]]
+
+
 def test_f15_parse_judgement_count_check(spark):
     df = spark.createDataFrame([("\n(a)\n(b)",), ("\n(a)",)], "t string")
     got = df.select(LB.parse_judgement(F.col("t"), {"1": r"\n\(a\)", "2": r"\n\(b\)"}, 2).alias("k")).collect()
