@@ -17,9 +17,10 @@ from ..functions.random import fast_hash, seeded_hash, seeded_uniform, weighted_
 from .window import dense_position, group_position
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
-# best rows and one task merges them.  Above this n the merge would be too
-# large for one task, so rows are numbered in a distributed way instead.
-TAKE_ORDERED_MAX = 200_000
+# best rows and one task merges (#tasks x n) rows.  Above this n that merge
+# would be too large for one task at cluster scale, so rows are numbered in a
+# distributed way instead.
+TAKE_ORDERED_MAX = 10_000
 
 
 # L01 / L21 ------------------------------------------------------------------
@@ -133,8 +134,8 @@ def shuffle(df: DataFrame, seed: int = 0, key: str = "cmp_id") -> DataFrame:
 
 
 def survey_pool(df: DataFrame, size: int, seed: int = 0, key: str = "cmp_id") -> DataFrame:
-    """``size`` rows without replacement (a top-k by hash)."""
-    return df.orderBy(seeded_hash(seed, key), F.col(key)).limit(int(size))
+    """``size`` rows without replacement (the first ``size`` rows in hash order)."""
+    return head(df.withColumn("_h", seeded_hash(seed, key)), size, ["_h", key]).drop("_h")
 
 
 # L12 ------------------------------------------------------------------------
