@@ -138,7 +138,8 @@ def reuse_annotations(todo: DataFrame, done: DataFrame, keys: Iterable[str] = AN
 def _user_rows(df: DataFrame, uid_value, uid: str, n: int | None, order: str) -> DataFrame:
     rows = df.filter(F.col(uid) == F.lit(uid_value))
     if n is not None:
-        rows = rows.orderBy(order).limit(int(n))
+        from .select import head
+        rows = head(rows, int(n), order)
     return rows
 
 
