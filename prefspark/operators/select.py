@@ -203,9 +203,8 @@ def random_argmax(arr: Column, seed: int, key: Column) -> Column:
 
 
 # L20 ------------------------------------------------------------------------
-def synthetic_pairs(spark_or_df, n: int | None = None, pools: DataFrame | None = None, seed: int = 0,
-                    n_types: int = 10, train_size: int = 80, split: str = "train",
-                    base: DataFrame | None = None, key: str = "row_id") -> DataFrame:
+def synthetic_pairs(base: DataFrame, pools: DataFrame, seed: int = 0, n_types: int = 10,
+                    train_size: int = 80, split: str = "train", key: str = "row_id") -> DataFrame:
     """Synthetic pairs over sentence pools.
 
     ``base`` supplies one row per pair to make (its ``key`` seeds the draws),

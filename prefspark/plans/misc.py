@@ -249,7 +249,7 @@ def l20(spark, sf):
     pools = docs.select((F.col("doc_id") % 4).cast("int").alias("pool_no"), F.floor(F.col("doc_id") / 4).cast("int")
                         .alias("sent_no"), "text")
     base = FX.table(spark, sf, "events").select(F.col("event_id").alias("row_id"))
-    s = L.synthetic_pairs(None, pools=pools, base=base, seed=0)
+    s = L.synthetic_pairs(base, pools, seed=0)
     return s.select("row_id", "pair_type", "user_type", F.md5("chosen").alias("chosen_md5"),
                     F.md5("rejected").alias("rejected_md5"), "controversial")
 
