@@ -250,8 +250,7 @@ def history_tail(df: DataFrame, max_chars: int, prefix: str | None = None, histo
     """Non-persistent cut: keep the last ``max_chars - len(prefix)`` characters (none if <= 0)."""
     h = F.col(history)
     n = F.lit(max_chars) - (F.length(prefix) if prefix else F.lit(0))
-    res = F.when(n <= 0, F.lit("")).when(F.length(h) > n, F.expr(
-        f"substring({history}, -({max_chars} - {'length(' + prefix + ')' if prefix else '0'}))")).otherwise(h)
+    res = F.when(n <= 0, F.lit("")).when(F.length(h) > n, F.right(h, n)).otherwise(h)
     return df.withColumn(out or history, res)
 
 
