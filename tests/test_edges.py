@@ -168,6 +168,22 @@ def test_similarity_top_k_matches_brute_force(spark):
         assert [got[(i, k + 1)] for k in range(3)] == order
 
 
+def test_agreement_with_first_n_user_rows(spark):
+    # a "new user" known by its first rows only: agreement counts come from those rows
+    df = spark.createDataFrame(
+        [(1, 7, "a", "b"), (2, 7, "c", "d"), (3, 7, "d", "c"),     # user 7: a>b, c>d, then d>c
+         (4, 8, "a", "b"), (5, 8, "d", "c"), (6, 9, "b", "a")],
+        "cmp_id long, worker long, chosen_only string, rejected_only string")
+    full = {r.cmp_id: (r.agree, r.disagree) for r in J.agreement_join(df, 7, uid="worker").collect()}
+    first2 = {r.cmp_id: (r.agree, r.disagree) for r in J.agreement_join(df, 7, uid="worker", n=2).collect()}
+    assert full == {4: (1, 0), 5: (1, 1), 6: (0, 1)}
+    assert first2 == {4: (1, 0), 5: (0, 1), 6: (0, 1)}
+    best = G.similar_user(J.agreement_join(df, 7, uid="worker"), other="worker").collect()
+    assert [(r.similar_uid, r.score) for r in best] == [(8, 1)]
+    # from the first two rows only, user 8 agrees once and disagrees once: no positive total
+    assert G.similar_user(J.agreement_join(df, 7, uid="worker", n=2), other="worker").count() == 0
+
+
 def test_similarity_top_k_chunked_with_ties(spark):
     import numpy as np
     rng = np.random.default_rng(3)
