@@ -40,3 +40,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
     return (pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
             .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+    return jaccard_components(read(spark, sf_dir, "documents"))
