@@ -46,3 +46,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_array_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import report
+    return report(read(spark, sf_dir, "documents"))
