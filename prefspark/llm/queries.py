@@ -52,3 +52,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import report
     return report(read(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+    return score_documents(read(spark, sf_dir, "documents"))
