@@ -58,3 +58,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_documents
     return score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op7_wavelet_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
