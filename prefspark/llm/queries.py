@@ -64,3 +64,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import round_trip
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
