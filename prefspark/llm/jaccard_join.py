@@ -8,8 +8,9 @@
    first order, packed by hash partition.  Two sets that link share a prefix shingle under *every*
    global order.  Per partition, classes that share a prefix shingle form a group; a group gives
    pairs with its smallest member, and groups of three or more are kept for later rounds.
-3. A pair must also share a prefix shingle under two further orders before its sets are intersected
-   exactly (texts of candidate classes only are fetched).
+3. A pair whose bucket counts (256 per set) bound its overlap below the threshold is dropped; the texts of
+   candidate classes are fetched once.  A pair must then share a prefix shingle under two further
+   orders before its sets are intersected exactly.
 4. Links give components.  A group whose members are not all in one component pairs its members
    with further pivots, twice as many each round, until every pair of members has been compared or
    lies within one component.  So a group of copies costs a pair per member, and no link between
@@ -22,13 +23,16 @@ component (a component of null ids only has a null id); extra columns are ignore
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_table_path
+from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, ranges, span_hash, table, text_chunks, word_spans
 from .components import components
 
 #: shingles whose frequency shapes the order; bounds what is broadcast (12 bytes each)
@@ -39,8 +43,6 @@ ORDERS = (1, 2, 3)
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a buffer."""
-    from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, span_hash, word_spans
-
     n_docs = len(offsets) - 1
     low = lower_ascii(data)
     starts, ends, doc = word_spans(low, offsets)
@@ -73,8 +75,6 @@ def digest(tokens: np.ndarray) -> bytes:
 
 def order_keys(tokens: np.ndarray, hot: np.ndarray, hot_class: np.ndarray, order: int) -> np.ndarray:
     """Sort keys of shingles under one global order: frequent ones last, others by a hash."""
-    from .arrays import mix
-
     key = mix(tokens, order) >> np.uint64(8)
     if len(hot) and len(tokens):
         p = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -91,14 +91,27 @@ def prefix(keys: np.ndarray, pct: int) -> np.ndarray:
     return keys if p >= len(keys) else np.partition(keys, p - 1)[:p]
 
 
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """How many shingles fall in each of 256 hash buckets, in 1 or 2 bytes each; None beyond that."""
+    c = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
+    most = c.max()
+    return None if most > 65535 else c.astype("<u1" if most < 256 else "<u2").tobytes()
+
+
+def overlap_bound(a: bytes | None, b: bytes | None, n: int) -> int:
+    """No two sets with these sketches share more shingles than this (n: the smaller set's size)."""
+    if a is None or b is None:
+        return n
+    x, y = (np.frombuffer(v, "<u1" if len(v) == 256 else "<u2") for v in (a, b))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def _measure(k: int):
-    """Per row: (doc_id, n, key); per batch: frequent shingles (token, freq)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()),
+    """Per row: (doc_id, n, key, sketch); per batch: frequent shingles (token, freq)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()),
                         ("token", pa.int64()), ("freq", pa.int64())])
 
     def run(batches):
-        from .arrays import table, text_chunks
-
         for part, data, off in text_chunks(batches, "text", 4 << 20):
             sets = shingle_sets(data, off, k)
             keys = [digest(x) if len(x) else None for x in sets]
@@ -109,9 +122,9 @@ def _measure(k: int):
             token, freq = token[often].view(np.int64), freq[often]
             f = len(token)
             yield table(schema, doc_id=part.column(0).to_pylist() + [None] * f, n=[len(x) for x in sets] + [None] * f,
-                        key=keys + [None] * f, token=[None] * m + token.tolist(), freq=[None] * m + freq.tolist())
+                        key=keys + [None] * f, sketch=[sketch(x) if len(x) else None for x in sets] + [None] * f, token=[None] * m + token.tolist(), freq=[None] * m + freq.tolist())
 
-    return run, "doc_id long, n long, key binary, token long, freq long"
+    return run, "doc_id long, n long, key binary, sketch binary, token long, freq long"
 
 
 def _prefixes(k: int, pct: int, parts: int, hot):
@@ -119,8 +132,6 @@ def _prefixes(k: int, pct: int, parts: int, hot):
     schema = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("idx", pa.binary()), ("sets", pa.binary())])
 
     def run(batches):
-        from .arrays import table, text_chunks
-
         hot_t, hot_c = hot.value if hot is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         seen, held, rows = set(), [], 0
 
@@ -160,8 +171,6 @@ def _group(pct: int):
     cols = ["gid", "a", "an", "b", "bn"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from .arrays import mix, ranges
-
         heads = [np.frombuffer(x, dtype=[("q", "V16"), ("n", "<u4")]) for x in pdf["sets"]]
         base = np.cumsum([0] + [len(x) for x in heads])
         heads = np.concatenate(heads)
@@ -217,8 +226,6 @@ def _verify(k: int, pct: int, hot):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        from .arrays import table, text_chunks
-
         hot_t, hot_c = hot.value if hot is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
         def prefixes(x):
@@ -247,17 +254,31 @@ def _verify(k: int, pct: int, hot):
     return run, "a binary, b binary"
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pct: int, hot) -> DataFrame:
-    """Exact links among candidate pairs (a, b); texts of the classes named are fetched once per row."""
-    need = pairs.select("a").union(pairs.select("b")).distinct()
-    reps = need.join(classes, need["a"] == classes["key"]).select("key", "rep")
-    texts = materialize(docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("key", "text"))
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("_s"))
-    pairs = pairs.join(load, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_s")))
-    members = pairs.join(texts, pairs["b"] == texts["key"]).select("a", "b", "text", "_salt")
-    pivots = pairs.select("a", "_salt").distinct()
-    pivots = pivots.join(texts, pivots["a"] == texts["key"]).select("a", F.lit(None).cast("binary").alias("b"), "text", "_salt")
-    rows = pivots.union(members).repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
+def _near(pct: int):
+    """Pairs whose sketches allow a link."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        for t in batches:
+            a, an, sa, b, bn, sb = (c.to_pylist() for c in t.columns)
+            stay = [100 * (o := overlap_bound(x, y, min(m, n))) >= pct * (m + n - o) for x, y, m, n in zip(sa, sb, an, bn)]
+            mask = pa.array(stay, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(3).filter(mask)], schema=schema)
+
+    return run, "a binary, b binary"
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pct: int, hot) -> DataFrame:
+    """Exact links among candidate pairs (a, b); ``texts`` has the candidates' texts by key."""
+    own = classes.select("key", "n", "sketch")
+    run, out = _near(pct)
+    near = (pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
+            .select("a", "an", "sa", "b", "bn", "sb").mapInArrow(run, out))
+    near = materialize(near)
+    load = near.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("_s"))
+    members = near.join(load, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_s"))).select("a", "_salt", "b", F.col("b").alias("key"))
+    pivots = members.select("a", "_salt").distinct().select("a", "_salt", F.lit(None).cast("binary").alias("b"), F.col("a").alias("key"))
+    rows = pivots.union(members).join(texts, "key").repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
     run, out = _verify(k, pct, hot)
     return rows.select("a", "b", "text").mapInArrow(run, out)
 
@@ -265,9 +286,16 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, pct: i
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    tag = uuid.uuid4().hex
+
+    def written(df, name):
+        path = scratch_table_path(spark, f"jaccard-{tag}-{name}")
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     run, out = _measure(k)
-    seen = materialize(docs.mapInArrow(run, out))
+    seen = written(docs.mapInArrow(run, out), "sets")
     hot_rows = (seen.where("token is not null").groupBy("token").agg(F.sum("freq").alias("f"))
                 .orderBy(F.desc("f"), "token").limit(HOT).collect())
     hot = None
@@ -277,40 +305,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
         o = np.argsort(t)
         hot = spark.sparkContext.broadcast((t[o], np.minimum(255, 8 * np.log2(f[o]) + 1).astype(np.uint64)))
     ids = seen.where("n is not null").select("doc_id", "n", "key")
-    classes = materialize(ids.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    classes = written(seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).collect()[0][0] or 0
     parts = max(4, -(-total * (100 - pct) // 100 // ROWS_PER_PART))
     run, out = _prefixes(k, pct, parts, hot)
     grouped = docs.mapInArrow(run, out)
     run, out = _group(pct)
-    found = materialize(grouped.groupBy("p").applyInPandas(run, out))
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct())
+    found = written(grouped.groupBy("p").applyInPandas(run, out), "groups")
+    pairs = found.where("b is not null").select("a", "b").distinct()
     groups = found.where("b is null").select("gid", F.col("a").alias("key"), F.col("an").alias("n")).distinct()
-    links = materialize(_links(pairs, classes, docs, k, pct, hot))
+    need = found.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == classes["key"]).select("key", "rep")
+    # rows of a repeated id with another text are told apart by their digests later
+    texts = written(docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("key", "text"), "texts")
+    links = written(_links(pairs, classes, texts, k, pct, hot), "links")
     comp = components(links, "a", "b")
-    pivots, done = 8, pairs
+    pivots, done, step = 16, pairs, 0
     while True:
         # members still to be compared: groups that span more than one component
         now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
         open_ = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("gid")
-        now = materialize(now.join(open_, "gid"))
+        step += 1
+        now = written(now.join(open_, "gid"), f"open{step}")
         if now.isEmpty():
             break
         slot = F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots))
-        chosen = (now.withColumn("_k", slot).groupBy("gid", "_k").agg(F.min("key").alias("a"))
-                  .join(now.select("gid", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar")), ["gid", "a"]))
+        chosen = (now.withColumn("_k", slot).groupBy("gid", "_k").agg(F.min(F.struct("key", "n", "root")).alias("x"))
+                  .select("gid", F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("x.root").alias("ar")))
         size = F.least("n", "an") * 100 >= F.greatest("n", "an") * pct
-        fresh = (now.join(chosen.select("gid", "a", "an", "ar"), "gid").where((F.col("root") != F.col("ar")) & size)
+        fresh = (now.join(chosen, "gid").where((F.col("root") != F.col("ar")) & size)
                  .select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
                  .join(done, ["a", "b"], "left_anti"))
-        fresh = materialize(fresh)
-        more = materialize(_links(fresh, classes, docs, k, pct, hot))
+        fresh = written(fresh, f"pairs{step}")
+        more = written(_links(fresh, classes, texts, k, pct, hot), f"links{step}")
         if not more.isEmpty():
-            links = materialize(links.union(more))
+            links = links.union(more)
             comp = components(links, "a", "b")
-        done = materialize(done.union(fresh))
-        groups = materialize(now.join(chosen.select("gid", F.col("a").alias("key")), ["gid", "key"], "left_anti").select("gid", "key", "n"))
-        pivots *= 2
+        done = done.union(fresh)
+        groups = now.join(chosen.select("gid", F.col("a").alias("key")), ["gid", "key"], "left_anti").select("gid", "key", "n")
+        pivots *= 4
     named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")

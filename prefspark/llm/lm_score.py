@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
+from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, span_hash, table, text_chunks, word_spans
 
 BLOCK_BYTES = 12 << 20
 KEYS_PER_RANGE = 2_000_000
@@ -83,8 +84,6 @@ def _blocks(parts: int):
     def run(batches):
         from pyspark import TaskContext
 
-        from .arrays import doc_bounds, lower_ascii, prefix_sums, span_hash, table, text_chunks, word_spans
-
         task = TaskContext.get().partitionId()
         held: list = []
         size = made = 0
@@ -145,8 +144,6 @@ def _sums(kind: int):
     For words (kind 1) n1 counts the distinct training words; for bigrams (kind 2) those seen once."""
 
     def run(t: pa.Table) -> pa.Table:
-        from .arrays import table
-
         blocks = t["block"].to_pylist()
         keys = [_long(x) if kind == 2 else np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         counts = [unpacked(x, np.uint64) for x in t["counts"].to_pylist()]
@@ -205,7 +202,6 @@ class Block:
 
     def bigrams(self):
         """(distinct keys, position -> key index, first position of each key)."""
-        from .arrays import mix
         u = np.where(self.before >= 0, self.uniq[self.before], BEGIN)
         key = mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(self.uniq[self.word], 3), 9)
         uniq, first, inv = np.unique(key, return_index=True, return_inverse=True)
@@ -222,8 +218,6 @@ def _pair_rows(parts: int, train_docs: int):
     schema = pa.schema([("block", pa.string()), ("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        from .arrays import table
-
         cols: dict = {n: [] for n in schema.names}
         for row in left.to_pylist():
             b = Block(row, right.to_pylist())
@@ -247,8 +241,6 @@ def _traverse(n: int, v: int, train_docs: int, weights: list[float]):
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        from .arrays import table
-
         out = []
         for row in left.to_pylist():
             answers = right.to_pylist()

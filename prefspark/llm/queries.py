@@ -76,3 +76,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
     return extract(read(spark, sf_dir, "pages"))
+
+
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_documents
+    return fingerprint_documents(read(spark, sf_dir, "documents"))

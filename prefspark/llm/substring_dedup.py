@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
-from .arrays import powers, prefix_sums
+from .bwt import repeated_starts
+from .arrays import powers, prefix_sums, table, text_chunks
 
 K = 64
 HOT = 3000
@@ -99,8 +100,6 @@ def _find(min_len: int, k: int):
     def run(batches):
         import xxhash
 
-        from .arrays import text_chunks
-
         for rows, data, off in text_chunks(batches, "text"):
             ids, th = rows.column(0), rows.column(1)
             for part, po, docs, shift in cut_long(data, off, min_len):
@@ -124,8 +123,6 @@ def _slices():
                         ("th", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
-        from .arrays import table
-
         for b in batches:
             rows: list[list] = [[] for _ in schema]
             for doc_id, th, text, want in zip(*(c.to_pylist() for c in b.columns)):
@@ -167,9 +164,6 @@ def _expand(min_len: int, k: int):
         from collections import Counter
         from itertools import groupby
 
-        from .arrays import table
-        from .bwt import repeated_starts
-
         def rows():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns))
@@ -231,8 +225,6 @@ def _window_hashes(min_len: int):
     def run(batches):
         import xxhash
 
-        from .arrays import table
-
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 rows: list[list] = [[] for _ in schema]

@@ -13,7 +13,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .arrays import lower_ascii, prefix_sums, ranges, span_hash, worker_cache
+from .arrays import lower_ascii, prefix_sums, ranges, span_hash, word_spans, worker_cache
 
 #: pieces kept per worker; about 60 bytes each
 CACHE_PIECES = 1_500_000
@@ -118,8 +118,6 @@ class _Level:
 
 def piece_spans(low: np.ndarray, offsets: np.ndarray):
     """Space-separated pieces; a final ``,`` or ``.`` after an ASCII letter or digit is its own piece."""
-    from .arrays import word_spans
-
     starts, ends, doc = word_spans(low, offsets)
     if len(starts) == 0:
         return starts, ends, doc
