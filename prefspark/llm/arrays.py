@@ -111,17 +111,26 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return worker_cache("lower_table", make)[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as (starts, ends, document index); documents never share a word."""
-    def make():
-        t = np.ones(256, dtype=bool)
-        t[[0x20, 9, 10, 11, 12, 13]] = False
-        return t
+def _not_blank() -> np.ndarray:
+    t = np.ones(256, dtype=bool)
+    t[[0x20, 9, 10, 11, 12, 13]] = False
+    return t
+
+
+def _alphanumeric() -> np.ndarray:
+    t = np.zeros(256, dtype=bool)
+    t[48:58] = t[65:91] = t[97:123] = t[128:] = True
+    return t
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` as (starts, ends, document index); documents never share a word.
+    ``plain``: words of ASCII letters, digits and bytes beyond ASCII only, without punctuation."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = worker_cache("word_bytes", make)[data]
+    inside = (worker_cache("plain_bytes", _alphanumeric) if plain else worker_cache("word_bytes", _not_blank))[data]
     first = np.empty(n, dtype=bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])
@@ -131,8 +140,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = np.empty(n, dtype=bool)
     last[-1] = True
     np.logical_not(inside[1:], out=last[:-1])
-    c = cuts[(cuts > 0)] - 1
-    last[c] = True
+    last[cuts[cuts > 0] - 1] = True
     last &= inside
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1

@@ -82,3 +82,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprint_documents
     return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
