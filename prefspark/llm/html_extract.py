@@ -50,7 +50,7 @@ FURNITURE = frozenset(("ad ads advert adverts advertisement advertising adbox ad
                        "replies reply respond share sharing social related recommended recommendations widget widgets search skip skiplink "
                        "hidden").split())
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 def tokens():
@@ -156,7 +156,7 @@ class Page:
         for k in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[k]]
             if t in tags:
-                self.pieces.append((stack[k], None))
+                self.pieces.append((stack[k], " " if t in ("td", "th") else None))
                 del stack[k:]
                 return
             if t in stop:
