@@ -12,10 +12,12 @@ A text is read once from left to right; reading a word leads to that word's stat
 arc, so the states of all positions are known at once and the log-probabilities of a block are
 gathered and summed by document.
 
-The model is never whole in one place.  Texts become blocks (word ids over a local dictionary).
-Each block sends its distinct keys with counts to hash ranges; a range sums what all blocks send
-and answers each block for its own keys.  So a hot word costs one row per block, memory follows
-the block and the range, and what is exchanged grows with the corpus.
+The model is never whole in one place.  Texts become blocks (word ids over a local dictionary), in a
+table bucketed by block, so that later passes do not move them.  Each block sends its distinct keys with counts
+to hash ranges; a range sums what all blocks send and answers each block for its own keys.
+A bigram with a word all of whose training tokens are in the block is counted there and not sent.  So a
+hot word costs one row per block, memory follows the block and the range, and what is exchanged
+grows with the corpus.
 
 Defined results: null and empty texts consist of the end token alone; an unknown word counts 0; a
 null id counts as empty in the training rule; repeated rows count and are scored each; without training
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_table_path
 from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, span_hash, table, text_chunks, word_spans
 
-BLOCK_BYTES = 12 << 20
-KEYS_PER_RANGE = 2_000_000
+BLOCK_BYTES = 6 << 20
+KEYS_PER_RANGE = 1_000_000
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -103,14 +105,19 @@ def _blocks(parts: int):
             inv = inv + (inv >= at)
             uniq = np.insert(uniq, at, END)
             block = f"{task}-{made}"
+            # ids by falling frequency, byte by byte, compress best
+            by = np.argsort(-np.bincount(inv, minlength=len(uniq)), kind="stable")
+            place = np.empty(len(uniq), np.uint32)
+            place[by] = np.arange(len(uniq), dtype=np.uint32)
+            planes = np.ascontiguousarray(place[inv].view(np.uint8).reshape(-1, 4).T)
             cols: dict = {n: [] for n in _PARTS.names}
 
             def row(**kw):
                 for n in cols:
                     cols[n].append(kw.get(n))
 
-            row(block=block, p=-1, keys=packed(uniq), ids=ids, lens=lens.tolist(), held=out.tolist(),
-                words=packed(inv.astype(np.uint32)), n=len(inv) + len(ids))
+            row(block=block, p=-1, keys=packed(uniq[by]), ids=ids, lens=lens.tolist(), held=out.tolist(),
+                words=packed(planes.ravel()), n=len(inv) + len(ids))
             cut = range_cuts(uniq, parts)
             for i in range(parts):
                 a, b = int(cut[i]), int(cut[i + 1])
@@ -148,9 +155,8 @@ def _sums(kind: int):
         keys = [_long(x) if kind == 2 else np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         counts = [unpacked(x, np.uint64) for x in t["counts"].to_pylist()]
         uniq, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        order = np.argsort(inv, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(inv, minlength=len(uniq)))[:-1]])
-        total = np.add.reduceat(np.concatenate(counts)[order], starts)
+        total = np.zeros(len(uniq), np.uint64)
+        np.add.at(total, inv, np.concatenate(counts))
         cols: dict = {n: [] for n in _ANSWER.names}
 
         def row(**kw):
@@ -165,10 +171,12 @@ def _sums(kind: int):
             row(kind=0, bucket=-1, n1=int((total > 0).sum()), tot=int(total.sum()))
         else:
             bucket = np.concatenate([unpacked(x, np.uint8) for x in t["extra"].to_pylist()])[first]
-            n1 = np.bincount(bucket[total == 1], minlength=65)
-            tot = np.bincount(bucket, weights=total.astype(np.float64), minlength=65)
-            for b in np.flatnonzero(tot).tolist():
-                row(kind=0, bucket=b, n1=int(n1[b]), tot=int(tot[b]))
+            stats = by_bucket(bucket, total)
+            for x in t["stats"].to_pylist():
+                if x:
+                    stats = stats + np.frombuffer(x, np.int64).reshape(2, -1)
+            for b in np.flatnonzero(stats[1]).tolist():
+                row(kind=0, bucket=b, n1=int(stats[0, b]), tot=int(stats[1, b]))
         return pa.Table.from_batches([table(_ANSWER, **cols)])
 
     return run
@@ -179,19 +187,21 @@ class Block:
 
     def __init__(self, row: dict, answers: list[dict]):
         self.uniq = unpacked(row["keys"], np.uint64)
-        words = unpacked(row["words"], np.uint32).astype(np.int64)
+        planes = unpacked(row["words"], np.uint8)
+        words = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
         lens = np.array(row["lens"], np.int64)
         self.ids, self.held = row["ids"], np.array(row["held"], bool)
         own = sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["p"])
-        self.total = np.concatenate([unpacked(a["totals"], np.uint64) for a in own])
+        self.total = np.empty(len(self.uniq), np.uint64)
+        self.total[np.argsort(self.uniq)] = np.concatenate([unpacked(a["totals"], np.uint64) for a in own])
         self.lens = lens + 1
         self.offsets = np.concatenate([[0], np.cumsum(self.lens)])
         end_at = self.offsets[1:] - 1
-        self.word = np.empty(int(self.offsets[-1]), np.int64)
+        self.word = np.empty(int(self.offsets[-1]), np.int32)
         inner = np.ones(len(self.word), bool)
         inner[end_at] = False
         self.word[inner] = words
-        self.word[end_at] = int(np.searchsorted(self.uniq, END))
+        self.word[end_at] = np.flatnonzero(self.uniq == END)[0]
         # the word before; -1 at a document's begin
         self.before = np.empty_like(self.word)
         self.before[1:] = self.word[:-1]
@@ -201,11 +211,16 @@ class Block:
         return np.where(self.before >= 0, self.total[self.before], np.uint64(train_docs))
 
     def bigrams(self):
-        """(distinct keys, position -> key index, first position of each key)."""
-        u = np.where(self.before >= 0, self.uniq[self.before], BEGIN)
-        key = mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(self.uniq[self.word], 3), 9)
+        """Distinct bigrams: (keys, position -> key, first position, training count, whether that count is
+        final because one of the words has no training token elsewhere)."""
+        left, right = mix(self.uniq, 21), mix(self.uniq, 3)
+        key = mix(np.where(self.before >= 0, left[self.before], BEGIN) + right[self.word], 9)
         uniq, first, inv = np.unique(key, return_index=True, return_inverse=True)
-        return uniq, inv, first
+        train = np.repeat(~self.held, self.lens)
+        count = np.bincount(inv[train], minlength=len(uniq)).astype(np.uint64)
+        here = self.total == np.bincount(self.word[train], minlength=len(self.uniq)).astype(np.uint64)
+        u = self.before[first]
+        return uniq, inv, first, count, here[self.word[first]] | ((u >= 0) & here[u])
 
 
 def bucket_of(total: np.ndarray) -> np.ndarray:
@@ -213,27 +228,35 @@ def bucket_of(total: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.frexp(total.astype(np.float64))[1], 0).astype(np.uint8)
 
 
+def by_bucket(bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(2, 70): bigrams seen once and bigram tokens of each bucket."""
+    return np.stack([np.bincount(bucket[count == 1], minlength=70), np.bincount(bucket, weights=count.astype(np.float64), minlength=70)]).astype(np.int64)
+
+
 def _pair_rows(parts: int, train_docs: int):
-    """A block's distinct bigrams with counts and context buckets, one row for each range."""
-    schema = pa.schema([("block", pa.string()), ("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
+    """A block's bigrams that other blocks may hold too, with counts and context buckets, one row for each
+    range; the first row carries the statistics of the others."""
+    schema = pa.schema([("block", pa.string()), ("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary()),
+                        ("stats", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: dict = {n: [] for n in schema.names}
         for row in left.to_pylist():
             b = Block(row, right.to_pylist())
-            uniq, inv, first = b.bigrams()
-            train = np.repeat(~b.held, b.lens)
-            count = np.bincount(inv[train], minlength=len(uniq)).astype(np.uint64)
+            uniq, _, first, count, final = b.bigrams()
             bucket = bucket_of(b.context_total(train_docs)[first])
+            stats = by_bucket(bucket[final], count[final]).tobytes()
+            uniq, count, bucket = uniq[~final], count[~final], bucket[~final]
             cut = range_cuts(uniq, parts)
             for i in range(parts):
                 x, y = int(cut[i]), int(cut[i + 1])
-                if y > x:
-                    for c, v in zip(cols.values(), (row["block"], i, _short(uniq[x:y], i, parts), packed(count[x:y]), packed(bucket[x:y]))):
+                if y > x or (i == parts - 1 and stats):
+                    for c, v in zip(cols.values(), (row["block"], i, _short(uniq[x:y], i, parts), packed(count[x:y]), packed(bucket[x:y]), stats)):
                         c.append(v)
+                    stats = None
         return pa.Table.from_batches([table(schema, **cols)])
 
-    return run, "block string, p int, keys binary, counts binary, extra binary"
+    return run, "block string, p int, keys binary, counts binary, extra binary, stats binary"
 
 
 def _traverse(n: int, v: int, train_docs: int, weights: list[float]):
@@ -245,9 +268,10 @@ def _traverse(n: int, v: int, train_docs: int, weights: list[float]):
         for row in left.to_pylist():
             answers = right.to_pylist()
             b = Block(row, answers)
-            uniq, inv, _ = b.bigrams()
+            uniq, inv, _, count, final = b.bigrams()
             own = sorted((a for a in answers if a["kind"] == 2), key=lambda a: a["p"])
-            pair = np.concatenate([unpacked(a["totals"], np.uint64) for a in own])[inv].astype(np.float64)
+            count[~final] = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a["totals"], np.uint64) for a in own)])
+            pair = count[inv].astype(np.float64)
             c = b.total[b.word].astype(np.float64)
             root = (c + 0.1) / (n + 0.1 * (v + 1))
             context = b.context_total(train_docs).astype(np.float64)
@@ -277,7 +301,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     # a block's distinct words are about an eighth of its tokens
     parts = max(4, -(-size // 48 // KEYS_PER_RANGE))
-    made = written(docs.mapInArrow(_blocks(parts), _PARTS_SQL), "blocks")
+    # bucketed by block: later passes read a block's row where it lies and only answers travel
+    name = f"lm_blocks_{tag}"
+    (docs.mapInArrow(_blocks(parts), _PARTS_SQL).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+     .option("path", scratch_table_path(spark, f"lm-{tag}-blocks")).saveAsTable(name))
+    made = spark.table(name)
     blocks = made.where("p < 0")
     answers = written(made.where("p >= 0").groupBy("p").applyInArrow(_sums(1), _ANSWER_SQL), "words")
     known = answers.where("kind = 0").agg(F.sum("n1"), F.sum("tot")).collect()[0]
