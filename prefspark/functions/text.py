@@ -110,6 +110,25 @@ def judge_prompt(profile: Column, question: Column, a: Column, b: Column) -> Col
         F.lit("\n\nWhich answer does this user prefer? Reply with A or B."))
 
 
+# The few-shot preference prompt.
+FEWSHOT_HEAD = "The examples "
+FEWSHOT_EXAMPLE = ("{prompt}\n\nResponse A: {a}\nResponse B: {b}\n\nWhich response do you prefer?\n\nResponse {answer}\n===\n")
+FEWSHOT_QUERY = "Prompt: {prompt}\n\nResponse A: {a}\n\nResponse B: {b}\n\nWhich response do you prefer?\nResponse "
+ANSWER_MARK = "\nAssistant: "
+
+
+def answer_text(c: Column) -> Column:
+    """What follows the last answer mark, without double quotes, trimmed."""
+    return pystrip(F.replace(F.element_at(F.split(c, ANSWER_MARK), -1), F.lit('"'), F.lit("")))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """``template`` with ``{name}`` places filled by columns."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x])
+
+
 def strip_quotes(c: Column) -> Column:
     return F.regexp_replace(c, "[\"']", "")
 

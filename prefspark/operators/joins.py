@@ -118,11 +118,11 @@ def reuse_annotations(todo: DataFrame, done: DataFrame, keys: Iterable[str] = AN
     extra = [e for e in extra if e in done.columns]
     k1, k2 = row_key(keys)
     # the store is reduced to (128-bit key, label): the texts of the five keys are not shuffled.
-    # A store written by merge_store is unique on the keys; if it is not, one of its rows is
-    # taken per key (an aggregate, reduced map-side)
+    # A store written by merge_store is unique on the keys; if it is not, the row of the
+    # smallest (label, extras) is taken per key (an aggregate, reduced map-side)
     store = (done.select(k1.alias("_k1"), k2.alias("_k2"), F.struct(
                 F.col(preference).alias("p"), *[F.col(e).alias(e) for e in extra]).alias("_v"))
-             .groupBy("_k1", "_k2").agg(F.first("_v").alias("_v")))
+             .groupBy("_k1", "_k2").agg(F.min("_v").alias("_v")))
     j = todo.withColumn("_k1", k1).withColumn("_k2", k2).join(store, ["_k1", "_k2"], "left")
     j = j.select(*[F.col(c) for c in todo.columns], F.col("_v.p").alias("_old_pref"),
                  *[F.col(f"_v.{e}").alias(f"_old_{e}") for e in extra])

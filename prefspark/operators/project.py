@@ -315,17 +315,10 @@ def compose(df: DataFrame, steps: Iterable[Callable[[DataFrame], DataFrame]]) ->
 
 
 # P35 ----------------------------------------------------------------------
-def run_config_from_name(df: DataFrame, col: str = "file_name", lists: Mapping[str, list] | None = None) -> DataFrame:
-    """Per field, the first list entry contained in the name wins (list order)."""
-    from ..functions.report import RUN_NAME_LISTS
-    lists = lists or RUN_NAME_LISTS
-    for field, values in lists.items():
-        e = None
-        for v in values:
-            cond = F.col(col).contains(v)
-            e = F.when(cond, F.lit(v)) if e is None else e.when(cond, F.lit(v))
-        df = df.withColumn(field, e)
-    return df
+def run_config_from_name(df: DataFrame, col: str = "file_name") -> DataFrame:
+    """A column per run field: the first of the field's fixed names contained in the file name, else ``NA``."""
+    from ..functions.report import run_config
+    return df.select("*", *[v.alias(k) for k, v in run_config(F.col(col)).items()])
 
 
 # P36 ----------------------------------------------------------------------
@@ -352,6 +345,28 @@ def judge_reply_side(df: DataFrame, reply: str = "reply", out: str = "picked") -
     return df.withColumn(out, F.when(first.isin("A", "B"), first))
 
 
+def rag_prompt(queries: DataFrame, shots: DataFrame, qid: str = "qid", seed: int = 0, prompt: str = "prompt",
+               chosen: str = "chosen", rejected: str = "rejected", rank: str = "rank", out: str = "rag_prompt") -> DataFrame:
+    """The few-shot preference prompt of each query.
+
+    ``shots`` holds each query's retrieved examples with their rank (1 is the best); they stand in ascending
+    similarity, the best last.  Sides are the answers alone; which one is A is a seeded coin of (query, rank),
+    and of the query for its own pair, whose letter is ``answer``.
+    """
+    def sides(coin):
+        c, r = T.answer_text(F.col(chosen)), T.answer_text(F.col(rejected))
+        return {"prompt": F.col(prompt), "a": F.when(coin, c).otherwise(r), "b": F.when(coin, r).otherwise(c)}
+
+    letter = lambda coin: F.when(coin, "A").otherwise("B")
+    coin = seeded_bit(seed, qid, rank) == 0
+    one = shots.select(qid, (-F.col(rank)).alias("_o"), T.fill(T.FEWSHOT_EXAMPLE, answer=letter(coin), **sides(coin)).alias("_t"))
+    body = one.groupBy(qid).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]), "").alias("_body"))
+    coin = seeded_bit(seed + 1, qid) == 0
+    return (queries.join(body, qid)
+            .withColumn(out, F.concat(F.lit(T.FEWSHOT_HEAD), "_body", T.fill(T.FEWSHOT_QUERY, **sides(coin))))
+            .withColumn("answer", letter(coin)).drop("_body"))
+
+
 # P39 ----------------------------------------------------------------------
 def rebase_uid(df: DataFrame, col: str = "uid", n_users: int | None = None) -> DataFrame:
     """1-based ids -> 0-based; ids out of range become NULL (``range_ok`` false)."""

@@ -83,12 +83,13 @@ def assemble_run_metrics(lines: DataFrame) -> DataFrame:
                            F.lit(1).alias("_parser"), F.col("_up").alias("line_no"))
     d_cat = (d_users.select("file", "uid", "_up").join(d_named, "file").filter(F.col("_np") < F.col("_up"))
                     .select("file", "uid", "metric", F.col("_nv").alias("value"), F.lit(1).alias("_parser"),
-                            (F.col("_up") * 1000 + F.col("_np")).alias("line_no")))
-    rag = d_acc.unionByName(d_cat)
+                            F.col("_up").alias("line_no"), F.col("_np").alias("_part")))
+    rag = d_acc.unionByName(d_cat, allowMissingColumns=True)
 
-    allrows = training.unionByName(ident).unionByName(prm).unionByName(rag)
+    allrows = training.unionByName(ident).unionByName(prm).unionByName(rag, allowMissingColumns=True)
+    # the last value wins: by parser, then line or item, then the named item within it
     last = allrows.groupBy("file", "uid", "metric").agg(
-        F.max_by("value", F.struct("_parser", "line_no")).alias("value"))
+        F.max_by("value", F.struct("_parser", "line_no", F.coalesce("_part", F.lit(-1)))).alias("value"))
     users = last.filter(F.col("uid") != 0).withColumn("user_kind", F.lit("individual"))
     avg = macro_average(users, by=["file", "metric"], uid="uid", value="value").select(
         "file", F.lit(0).cast("long").alias("uid"), "metric", F.col("macro_avg").alias("value"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.util import at
 
 from ..functions.random import fast_hash, seeded_hash, seeded_uniform, weighted_choice
+from ..session import materialize
 from .window import dense_position, group_position
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
@@ -25,11 +26,11 @@ TAKE_ORDERED_MAX = 10_000
 
 # L01 / L21 ------------------------------------------------------------------
 def head(df: DataFrame, n: int, order: str | list = "cmp_id") -> DataFrame:
-    """First ``min(n, rows)`` rows in source order (``order`` must be unique)."""
+    """First ``min(n, rows)`` rows, sorted by ``order`` (which must be unique)."""
     order = [order] if isinstance(order, str) else list(order)
     if n <= TAKE_ORDERED_MAX:
         return df.orderBy(*order).limit(int(n))
-    return dense_position(df, order, "_pos").filter(F.col("_pos") < n).drop("_pos")
+    return dense_position(df, order, "_pos").filter(F.col("_pos") < n).drop("_pos").orderBy(*order)
 
 
 sanity_subset = head
@@ -240,83 +241,140 @@ def synthetic_pairs(base: DataFrame, pools: DataFrame, seed: int = 0, n_types: i
 
 
 # L10 / L11 / U06 ------------------------------------------------------------
+def draw_plan(ranges: list[int]) -> list[tuple[int, int]]:
+    """(word, divisor) of successive draws below the given ranges: draw = word // divisor % range.  One 60-bit
+    hash word serves several draws while their ranges' product stays under 2**40."""
+    plan, word, div = [], 0, 1
+    for r in ranges:
+        if div * r > 1 << 40 and div > 1:
+            word, div = word + 1, 1
+        plan.append((word, div))
+        div *= r
+    return plan
+
+
+def _floyd(words: Column, plan: list[tuple[int, int]], lo: int, hi: int, m: int) -> Column:
+    """lo..hi distinct positions in [0, m) by Floyd's method: step k draws from the first m - n + k + 1 positions
+    and takes the last of them where the draw is already taken.  The first draw of the plan is n."""
+    def draw(j, below):
+        word = at(words, at(F.array(*[F.lit(w + 1) for w, _ in plan]), j + 1))
+        return (F.call_function("div", word, at(F.array(*[F.lit(d).cast("long") for _, d in plan]), j + 1)) % below).cast("int")
+
+    n = (F.lit(lo) + draw(F.lit(0), F.lit(hi - lo + 1))).cast("int")
+
+    def step(acc, k):
+        top = F.lit(m) - acc["n"] + k
+        x = draw(k + 1, top + 1)
+        more = F.concat(acc["taken"], F.array(F.when(F.array_contains(acc["taken"], x), top.cast("int")).otherwise(x)))
+        return F.struct(acc["n"].alias("n"), F.when(k < acc["n"], more).otherwise(acc["taken"]).alias("taken"))
+    start = F.struct(n.alias("n"), F.array().cast("array<int>").alias("taken"))
+    return F.aggregate(F.array(*[F.lit(k) for k in range(hi)]), start, step, lambda acc: acc["taken"])
+
+
+def _identifiable(masks: list[int], lo: int, hi: int) -> bool:
+    """Whether some ``lo``..``hi`` pool rows have exactly one type in common (masks are few: at most 2^types)."""
+    from collections import Counter
+    reach = {(0, -1)}
+    for mask, many in Counter(masks).items():
+        fresh = set(reach)
+        for n, common in reach:
+            for k in range(1, min(many, hi - n) + 1):
+                fresh.add((n + k, mask if common == -1 else common & mask))
+        reach = fresh
+    return any(lo <= n and common > 0 and common & (common - 1) == 0 for n, common in reach)
+
+
 def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int = 0, mode: str = "84",
                     key: str = "Index", survey_key: str = "Index", subsets: str = "satisfied_subset",
-                    tries: int = 32, copy: str | None = None, hash_kind: str = "xxhash") -> DataFrame:
+                    copy: str | None = None, hash_kind: str = "xxhash", per_round: int = 8) -> DataFrame:
     """Draw survey rows as contexts for every row (hash-seeded, without replacement).
 
     The survey is a pool of known size (``survey_pool`` output, bounded by its
-    ``size`` argument) collected into one array by a scalar sub-query, so
-    every task gets it without a join.  Mode ``84``: 1..max_len contexts.
-    Other modes: 2..max_len.  Mode ``single``: up to ``tries`` candidate draws
-    are made per row (one lambda over the try number) and the first whose
-    ``satisfied_subset`` intersection has exactly one element is kept; rows
-    with none get ``contexts`` NULL and ``identified`` false (the reference
-    raises instead).
+    ``size`` argument); its type sets become bit masks.  Mode ``84``: 1..max_len contexts.  Other modes:
+    2..max_len.  Mode ``single``: draws are repeated until the chosen rows have exactly one type in
+    common; each round makes tries (``per_round``, then twice as many) for the rows still without contexts,
+    until none is left.  A pool that cannot give such a choice is refused before any draw.
     """
-    pool = survey.select(F.sort_array(F.collect_list(F.struct(
-        F.col(survey_key).alias("original_id"), *[F.col(c) for c in survey.columns if c != survey_key]))
-    )).scalar()
-    j = df.withColumn("_pool", pool)
-    m = F.size("_pool")
-    seed_key = [key] + ([copy] if copy else [])
+    rows = survey.select(F.col(survey_key).alias("original_id"), *[F.col(c) for c in survey.columns if c != survey_key])
+    pool = rows.select(F.sort_array(F.collect_list(F.struct("*"))).alias("_pool"))
     lo = 1 if mode == "84" else 2
+    seed_key = [key] + ([copy] if copy else [])
     # md5 draws can be replayed by any SQL engine; xxhash64 is cheaper
     h = seeded_hash if hash_kind == "md5" else fast_hash
+    m = rows.count()
+    hi = min(max_len, m)
+    lo = min(lo, hi)
 
-    def pick_idx(t: Column) -> Column:
-        """0-based pool positions of try ``t``: a hash-ordered permutation's first n_ctx entries."""
-        n_ctx = F.least((F.lit(lo) + (h(seed, *seed_key, t) % (max_len - lo + 1))).cast("int"), m)
-        order = F.transform(F.sequence(F.lit(0), m - 1),
-                            lambda i: F.struct(h(seed + 7919, *seed_key, t, i).alias("h"), i.alias("i")))
-        return F.transform(F.slice(F.array_sort(order), 1, n_ctx), lambda p: p.getField("i"))
+    plan = draw_plan([hi - lo + 1] + [m] * hi)
 
-    def rows_of(idx: Column) -> Column:
-        return F.transform(idx, lambda i: at("_pool", i + 1))
+    def positions(first: int, tries: int) -> Column:
+        """An array of tries, each the positions it chooses.  The hash words are made first, so that no
+        lambda computes them again."""
+        words = F.transform(F.array(*[F.lit(first + t) for t in range(tries)]),
+                            lambda t: F.array(*[h(seed, *seed_key, t, F.lit(w)) for w in range(plan[-1][0] + 1)]))
+        return F.transform(words, lambda w: _floyd(w, plan, lo, hi, m))
 
-    if mode != "single":
-        return (j.withColumn("contexts", rows_of(pick_idx(F.lit(0))))
-                 .withColumn("context_length", F.size("contexts")).drop("_pool"))
-
-    def subset_of(i: Column) -> Column:
-        return at("_pool", i + 1).getField(subsets)
+    def finished(d: DataFrame) -> DataFrame:
+        # one pool row, bounded by the survey's size
+        d = d.crossJoin(F.broadcast(pool))
+        return (d.withColumn("contexts", F.transform("_idx", lambda i: at("_pool", i + 1)))
+                 .withColumn("context_length", F.size("contexts")).drop("_pool", "_idx"))
 
-    def inter(idx: Column) -> Column:
-        return F.aggregate(F.slice(idx, 2, 1 << 20), subset_of(at(idx, 1)),
-                           lambda acc, i: F.array_intersect(acc, subset_of(i)))
-    cands = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), pick_idx)
-    good = F.filter(cands, lambda c: F.size(inter(c)) == 1)
-    return (j.withColumn("_good", good)
-             .withColumn("contexts", F.when(F.size("_good") > 0, rows_of(at("_good", 1))))
-             .withColumn("identified", F.size("_good") > 0)
-             .withColumn("context_length", F.size("contexts")).drop("_pool", "_good"))
+    if mode != "single":
+        return finished(df.withColumn("_idx", at(positions(0, 1), 1)))
+
+    pool_rows = rows.select("original_id", subsets).orderBy("original_id").collect()
+    names = sorted({x for r in pool_rows for x in r[subsets]})
+    masks = [sum(1 << names.index(x) for x in set(r[subsets])) for r in pool_rows]
+    if not _identifiable(masks, lo, hi):
+        raise ValueError("no choice of survey rows has exactly one type in common")
+    mask = F.array(*[F.lit(v).cast("long") for v in masks])
+
+    def one_type(idx: Column) -> Column:
+        common = F.aggregate(idx, F.lit(-1).cast("long"), lambda acc, i: acc.bitwiseAND(F.element_at(mask, i + 1)))
+        return (common > 0) & (common.bitwiseAND(common - 1) == 0)
+
+    left = materialize(df.select(*seed_key))
+    done, first = None, 0
+    while not left.isEmpty():
+        tried = materialize(left.withColumn("_idx", at(F.filter(positions(first, per_round), one_type), 1)))
+        hit = tried.filter(F.col("_idx").isNotNull())
+        done = hit if done is None else done.unionByName(hit)
+        left = tried.filter(F.col("_idx").isNull()).drop("_idx")
+        first, per_round = first + per_round, 2 * per_round
+    if done is None:
+        done = left.withColumn("_idx", F.lit(None).cast("array<int>"))
+    return finished(df.join(done, seed_key).withColumn("identified", F.lit(True)))
 
 
 def random_contexts(df: DataFrame, pool: DataFrame, n: int = 8, seed: int = 0, key: str = "Index",
-                    prompt: str = "prompt", overdraw: int = 4) -> DataFrame:
-    """For each row draw ``n`` controversial rows *with* replacement, rejecting same-prompt rows.
+                    prompt: str = "prompt") -> DataFrame:
+    """For each row draw exactly ``n`` pool rows *with* replacement among those of another prompt.
 
-    The pool is indexed densely (distributed numbering); each row makes
-    ``n * overdraw`` hash-seeded position draws, joined to the pool on the
-    position (an equi-join: the pool is never collected), then keeps its
-    first ``n`` accepted draws in draw order.
+    The pool is numbered by (prompt hash, key), so a prompt's rows are one range [lo, hi).  A draw p from the
+    m - (hi - lo) other positions skips the range (p >= lo moves up by its length): every draw counts.
+    Draws join the pool on the position (an equi-join: the pool is never collected).  A row
+    whose prompt is the pool's only one fails.
     """
-    idx = dense_position(pool, key, "_pidx", base=0)
-    m = idx.select(F.count(F.lit(1))).scalar()
-    draws = df.select(key, prompt, F.posexplode(F.sequence(F.lit(0), F.lit(n * overdraw - 1))).alias("_d", "_x"))
-    draws = draws.withColumn("_pidx", seeded_hash(seed, key, "_d") % m).drop("_x")
-    p = idx.select("_pidx", F.col(key).alias("original_id"), F.col(prompt).alias("_ctx_prompt"),
-                   *[F.col(c) for c in ("chosen", "rejected") if c in pool.columns])
-    j = draws.join(p, "_pidx").filter(F.col("_ctx_prompt") != F.col(prompt))
-    w = Window.partitionBy(key).orderBy("_d")
-    j = j.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-    ctx_fields = ["original_id"] + [c for c in ("chosen", "rejected") if c in pool.columns]
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_d", *ctx_fields))).alias("_c"))
-    g = g.select(key, F.transform("_c", lambda x: F.struct(*[x.getField(f).alias(f) for f in ctx_fields]))
-                 .alias("contexts"))
+    ph = F.md5(F.col(prompt))
+    idx = dense_position(pool.withColumn("_ph", ph), ["_ph", key], "_pidx", base=0)
+    idx = materialize(idx)
+    m = idx.count()
+    span = idx.groupBy("_ph").agg(F.min("_pidx").alias("_lo"), F.count("*").alias("_len"))
+    own = df.select(key, ph.alias("_ph")).join(span, "_ph", "left").select(key, F.coalesce("_lo", F.lit(0)).alias("_lo"),
+                                                                            F.coalesce("_len", F.lit(0)).alias("_len"))
+    draws = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d"))
+    others = F.when(F.col("_len") < m, F.lit(m) - F.col("_len")).otherwise(F.raise_error(F.lit("no pool row of another prompt")).cast("long"))
+    p = seeded_hash(seed, key, "_d") % others
+    draws = draws.select(key, "_d", F.when(p >= F.col("_lo"), p + F.col("_len")).otherwise(p).alias("_pidx"))
+    fields = [c for c in ("chosen", "rejected") if c in pool.columns]
+    j = draws.join(idx.select("_pidx", F.col(key).alias("original_id"), *fields), "_pidx")
+    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_d", "original_id", *fields))).alias("_c"))
+    g = g.select(key, F.transform("_c", lambda x: F.struct(*[x.getField(f).alias(f) for f in ["original_id", *fields]])).alias("contexts"))
     return df.join(g, key, "left")
 
 
-def replicate_with_new_contexts(df: DataFrame, k: int, out: str = "copy_no") -> DataFrame:
-    """K copies of every row (train); the copy number enters the context seeds."""
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+def replicate_with_new_contexts(df: DataFrame, survey: DataFrame, k: int, max_len: int, out: str = "copy_no", **kw) -> DataFrame:
+    """K copies of every row, each with contexts of its own (the copy number enters the seeds)."""
+    copies = df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return survey_contexts(copies, survey, max_len, copy=out, **kw)

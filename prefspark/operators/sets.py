@@ -34,7 +34,9 @@ def merge_store(old: DataFrame, new: DataFrame, keys: Iterable[str],
     n = new.withColumn("_prio", F.lit(1))
     u = o.unionByName(n, allowMissingColumns=True)
     from .window import first_by
-    merged = first_by(u, keys, "_prio")  # an aggregate: hot keys are reduced map-side
+    # an aggregate: hot keys are reduced map-side; among equals the row of the smallest hash, whatever the plan
+    rest = [F.col(c) for c in u.columns if c not in keys]
+    merged = first_by(u, keys, ["_prio", F.xxhash64(*rest)])
     result = merged.drop("_prio")
     if noisy in merged.columns:
         store = merged.filter((F.col("_prio") == 0) | ~F.coalesce(F.col(noisy), F.lit(False))).drop("_prio")
@@ -57,7 +59,7 @@ def rows_minus(df: DataFrame, used: DataFrame, keys: Iterable[str]) -> DataFrame
 def common_subsets(contexts: Column, field: str = "satisfied_subset") -> Column:
     """Intersection of the user-type sets over a context array."""
     first = at(contexts, 1).getField(field)
-    rest = F.slice(contexts, 2, 1 << 20)
+    rest = F.slice(contexts, 2, F.greatest(F.size(contexts), F.lit(1)))
     return F.array_sort(F.aggregate(rest, first, lambda acc, x: F.array_intersect(acc, x.getField(field))))
 
 

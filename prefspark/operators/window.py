@@ -60,8 +60,8 @@ def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
     bucket), fixed once and passed to every task as one sorted array, so
     every execution and every retry assigns the same bucket; a row finds its
     bucket by binary search.  The bucket count grows with the row count
-    (``ROWS_PER_BUCKET`` per bucket, at most ``MAX_BUCKETS``).  Order keys must
-    be non-null.
+    (``ROWS_PER_BUCKET`` per bucket, at most ``MAX_BUCKETS``).  NULL keys come
+    first, at every size; equal keys share a bucket, in an order of no meaning.
     """
     order_cols = [order] if isinstance(order, (str, Column)) else list(order)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -82,11 +82,12 @@ def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
     frac = min(1.0, want / max(n, 1))
     u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
          / F.lit(float(1 << 52)))
-    sample = sorted(tuple(r[0]) for r in keyed.filter(u < F.lit(frac)).select("_okey").collect())
+    sample = sorted({tuple(r[0]) for r in keyed.filter(u < F.lit(frac)).select("_okey").distinct().collect()},
+                    key=lambda t: [(v is not None, v) if v is not None else (False,) for v in t])
     if len(sample) < 2:
         return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
     step = len(sample) / nb
-    picks = sorted({sample[min(len(sample) - 1, int(step * (i + 1)) - 1)] for i in range(nb - 1)})
+    picks = [sample[j] for j in sorted({min(len(sample) - 1, max(0, int(step * (i + 1)) - 1)) for i in range(nb - 1)})]
     kschema = keyed.schema["_okey"].dataType
     # the bounds travel as one sorted array from a scalar sub-query (evaluated once); the search
     # expression does not grow with the number of buckets
@@ -99,7 +100,7 @@ def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
 
 def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
                    n_buckets: int | None = None) -> DataFrame:
-    """Add a dense ``base``-based position in ``order`` (a unique, non-null key).
+    """Add a dense ``base``-based position in ``order`` (a unique key; NULLs first).
 
     No window without ``partitionBy``: rows get deterministic order-preserving
     buckets (``range_buckets``), each bucket is numbered by its own window,
@@ -293,7 +294,7 @@ def first_per_key(df: DataFrame, keys: Iterable[str], order: str | list = "cmp_i
 
 # W09 ------------------------------------------------------------------------
 def pack_batches(df: DataFrame, size: int, template: str, placeholders: Iterable[str],
-                 order: str = "row_id", dummy: dict | None = None, out: str = "prompt") -> DataFrame:
+                 order: str | list = "row_id", dummy: dict | None = None, out: str = "prompt") -> DataFrame:
     """Consecutive groups of ``size`` rows fill one template.
 
     Each placeholder ``{name}`` must occur ``size`` times in ``template``;
@@ -308,7 +309,8 @@ def pack_batches(df: DataFrame, size: int, template: str, placeholders: Iterable
     dummy = dummy or {p: "" for p in placeholders}
     pos = dense_position(df, order, "_pos", base=0)
     pos = pos.withColumn("batch_no", F.floor(F.col("_pos") / size).cast("long"))
-    st = F.struct(F.col("_pos").alias("p"), F.col(order).cast("string").alias("id"),
+    ids = [order] if isinstance(order, str) else list(order)
+    st = F.struct(F.col("_pos").alias("p"), F.concat_ws(":", *[F.col(c).cast("string") for c in ids]).alias("id"),
                   *[F.col(p).cast("string").alias(p) for p in placeholders])
     g = pos.groupBy("batch_no").agg(F.sort_array(F.collect_list(st)).alias("_rows"))
     pad_struct = F.struct(F.lit(None).cast("long").alias("p"), F.lit(None).cast("string").alias("id"),
@@ -334,6 +336,14 @@ def pack_batches(df: DataFrame, size: int, template: str, placeholders: Iterable
                     "n_padded")
 
 
+def unpack_batches(batches: DataFrame, size: int, labels: str = "labels", out: str = "label", pos: str = "position") -> DataFrame:
+    """Back from batches to rows (the inverse of ``pack_batches``): one row per real member with its id, its position
+    in source order and its label; padding is dropped, and a batch without labels gives NULL labels."""
+    d = batches.select("batch_no", F.col(labels).alias("_l"), F.posexplode("ids").alias("_i", "id"))
+    return d.select("id", (F.col("batch_no") * size + F.col("_i")).alias(pos),
+                    F.when(F.col("_l").isNotNull() & (F.size("_l") > F.col("_i")), at("_l", F.col("_i") + 1)).alias(out))
+
+
 # W10 ------------------------------------------------------------------------
 def previous_choices(turns: DataFrame, dialog: str = "conv_id", turn: str = "turn",
                      user_text: str = "user_text", chosen: str = "chosen",

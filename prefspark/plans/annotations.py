@@ -35,7 +35,7 @@ pairs AS (SELECT DISTINCT a.instruction, a.input, a.output AS output_1, b.output
           FROM outputs a JOIN outputs b ON a.instruction = b.instruction AND a.input = b.input
           WHERE a.generator = 'gen0' AND b.generator = 'gen1')
 """
-KEY_SQL = "concat_ws(':', instruction, input, output_1, output_2)"
+KEY_SQL = "concat_ws(':', instruction, input)"
 ANN_SQL = f"""
 ann AS (SELECT *, CASE WHEN {sql_seeded_hash(31, KEY_SQL)} / {U60} < 0.7 THEN 'a1' ELSE 'a2' END AS annotator FROM pairs),
 store AS (SELECT instruction, input, output_1, output_2, annotator, 1 + length(output_2) % 2 AS preference,
@@ -43,11 +43,11 @@ store AS (SELECT instruction, input, output_1, output_2, annotator, 1 + length(o
 reused AS (SELECT a.*, s.preference, s.chain_of_thoughts FROM ann a LEFT JOIN store s
            ON a.instruction = s.instruction AND a.input = s.input AND a.output_1 = s.output_1
               AND a.output_2 = s.output_2 AND a.annotator = s.annotator),
-noised AS (SELECT *, preference IS NULL AND {sql_seeded_hash(41, KEY_SQL)} / {U60} < 0.2 AS is_noisy_label FROM reused),
+noised AS (SELECT *, {sql_seeded_hash(41, KEY_SQL)} / {U60} < 0.2 AS is_noisy_label FROM reused),
 labelled AS (SELECT instruction, input, output_1, output_2, annotator, is_noisy_label,
-  CASE WHEN preference IS NOT NULL THEN preference
-       WHEN output_1 = output_2 THEN 0
+  CASE WHEN output_1 = output_2 THEN 0
        WHEN is_noisy_label THEN CAST({sql_seeded_hash(42, KEY_SQL)} % 2 + 1 AS INTEGER)
+       WHEN preference IS NOT NULL THEN preference
        WHEN length(output_1) >= length(output_2) THEN 1 ELSE 2 END AS preference,
   preference IS NOT NULL AS reused FROM noised)
 """
@@ -56,7 +56,7 @@ labelled AS (SELECT instruction, input, output_1, output_2, annotator, is_noisy_
 def store_df(spark, sf):
     from ..functions.random import seeded_uniform, weighted_choice
     p = h2h_pairs(spark, sf)
-    p = p.withColumn("annotator", weighted_choice(seeded_uniform(31, A.pair_key()), ["a1", "a2"], [0.7, 0.3]))
+    p = p.withColumn("annotator", weighted_choice(seeded_uniform(31, A.seed_key()), ["a1", "a2"], [0.7, 0.3]))
     return p.filter(F.length("output_1") % 3 == 0).select(
         *A.PAIR_KEYS, "annotator", (1 + F.length("output_2") % 2).cast("int").alias("preference"),
         F.lit("stored").alias("chain_of_thoughts"))
@@ -92,7 +92,7 @@ SELECT instruction, md5(output_1) AS output_1_md5, md5(output_2) AS output_2_md5
 def j04(spark, sf):
     from ..functions.random import seeded_uniform, weighted_choice
     p = h2h_pairs(spark, sf)
-    p = p.withColumn("annotator", weighted_choice(seeded_uniform(31, A.pair_key()), ["a1", "a2"], [0.7, 0.3]))
+    p = p.withColumn("annotator", weighted_choice(seeded_uniform(31, A.seed_key()), ["a1", "a2"], [0.7, 0.3]))
     r = J.reuse_annotations(p, store_df(spark, sf))
     return r.select("instruction", *md5s(r), "annotator", F.col("preference").cast("int").alias("preference"),
                     "chain_of_thoughts")
@@ -107,12 +107,14 @@ def x06(spark, sf):
 
 
 @query("u02_merge_store", with_ctes(FX.SQL_F9, PAIRS_SQL, ANN_SQL) + """
-SELECT reused AS from_store, is_noisy_label, count(*) AS n FROM labelled
-WHERE reused OR NOT is_noisy_label GROUP BY reused, is_noisy_label""")
+SELECT instruction, md5(output_1) AS output_1_md5, md5(output_2) AS output_2_md5, annotator, CAST(preference AS INTEGER) AS preference,
+       true AS from_store FROM store
+UNION ALL
+SELECT instruction, md5(output_1), md5(output_2), annotator, preference, false FROM labelled WHERE NOT reused AND NOT is_noisy_label""")
 def u02(spark, sf):
-    res, new_store = A.annotate_with(h2h_pairs(spark, sf), store=store_df(spark, sf))
-    st = new_store.withColumn("from_store", F.coalesce(F.col("chain_of_thoughts") == "stored", F.lit(False)))
-    return st.groupBy("from_store", "is_noisy_label").agg(F.count(F.lit(1)).alias("n"))
+    _, st = A.annotate_with(h2h_pairs(spark, sf), store=store_df(spark, sf))
+    return st.select("instruction", *md5s(st), "annotator", F.col("preference").cast("int").alias("preference"),
+                     F.coalesce(F.col("chain_of_thoughts") == "stored", F.lit(False)).alias("from_store"))
 
 
 @query("x07_annotate_samples", with_ctes(FX.SQL_F9, f"""
@@ -125,21 +127,21 @@ pr AS (SELECT a.instruction, a.input, a.output AS output_1, b.output AS output_2
        ON a.instruction = b.instruction AND a.input = b.input AND b.rk = CASE WHEN a.rk < a.cnt THEN a.rk + 1 ELSE 1 END),
 pairs AS (SELECT instruction, input, output_1, output_2 FROM pr WHERE sample_no = 0)""", ANN_SQL.replace(
     "WHERE length(output_1) % 3 = 0", "WHERE false")) + """
-SELECT annotator, preference, is_noisy_label, count(*) AS n FROM labelled GROUP BY 1, 2, 3""")
+SELECT instruction, md5(output_1) AS output_1_md5, md5(output_2) AS output_2_md5, annotator, preference, is_noisy_label FROM labelled""")
 def x07(spark, sf):
     o = outputs(spark, sf)
     g = o.groupBy("instruction", "input").agg(F.sort_array(F.collect_list(F.struct("turn", "output"))).alias("_s"))
     g = g.select("instruction", "input", F.transform("_s", lambda x: x["output"]).alias("outputs"))
     res, _ = A.annotate_samples(g)
-    return res.groupBy("annotator", "preference", "is_noisy_label").agg(F.count(F.lit(1)).alias("n"))
+    return res.select("instruction", *md5s(res), "annotator", "preference", "is_noisy_label")
 
 
 # ---------------------------------------------------------------- W09 / F14 / F15 / P30
 TEMPLATE = "## Example 1\nQ: {instruction}\nA: {output}\n## Example 2\nQ: {instruction}\nA: {output}\n" \
            "## Example 3\nQ: {instruction}\nA: {output}\n"
 BATCH_SQL = """
-b AS (SELECT instruction, output, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) // 3 AS batch_no,
-             row_number() OVER (ORDER BY conv_id * 1000 + turn) AS pos FROM outputs),
+b AS (SELECT instruction, output, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 3 AS batch_no,
+             row_number() OVER (ORDER BY conv_id, turn) AS pos FROM outputs),
 pk AS (SELECT batch_no, string_agg('## Example ' || CAST((pos - 1) % 3 + 1 AS VARCHAR) || chr(10) || 'Q: ' || instruction
                                    || chr(10) || 'A: ' || output || chr(10), '' ORDER BY pos) AS body,
               count(*) AS n, string_agg(CASE WHEN length(output) % 2 = 0 THEN '1' ELSE '2' END, ',' ORDER BY pos) AS labels
@@ -148,8 +150,7 @@ pk AS (SELECT batch_no, string_agg('## Example ' || CAST((pos - 1) % 3 + 1 AS VA
 
 
 def batches(spark, sf):
-    o = outputs(spark, sf).withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
-    return W.pack_batches(o, 3, TEMPLATE, ["instruction", "output"], order="row_id",
+    return W.pack_batches(outputs(spark, sf), 3, TEMPLATE, ["instruction", "output"], order=["conv_id", "turn"],
                           dummy={"instruction": "", "output": ""})
 
 
@@ -167,8 +168,7 @@ PATTERNS = {"1": r"\n\(a\)", "2": r"\n\(b\)"}
 
 def judged_batches(spark, sf):
     """A rule-based judge completion per batch: one ``(a)``/``(b)`` line per real example."""
-    o = outputs(spark, sf).withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
-    pos = W.dense_position(o, "row_id", "_p")
+    pos = W.dense_position(outputs(spark, sf), ["conv_id", "turn"], "_p")
     pos = pos.withColumn("batch_no", F.floor(F.col("_p") / 3).cast("long"))
     line = F.concat(F.lit("\n### Best output for example:"),
                     F.when(F.length("output") % 2 == 0, F.lit("\n(a)")).otherwise(F.lit("\n(b)")))
@@ -180,7 +180,7 @@ def judged_batches(spark, sf):
 SELECT batch_no, labels FROM pk""")
 def f14(spark, sf):
     j = judged_batches(spark, sf)
-    return j.select("batch_no", F.array_join(LB.scan_matches_safe(F.col("completion"), PATTERNS), ",").alias("labels"))
+    return j.select("batch_no", F.array_join(LB.scan_matches(F.col("completion"), PATTERNS), ",").alias("labels"))
 
 
 @query("f15_parse_judgement", with_ctes(FX.SQL_F9, BATCH_SQL) + """

@@ -172,12 +172,28 @@ def g23(spark, sf):
     return RP.report_wide(a, "accuracy", users=USERS)
 
 
-@query("p35_run_config_from_name", "SELECT file, " + ", ".join(_cfg_sql(k) for k in R.RUN_NAME_LISTS)
-       + " FROM (VALUES " + ", ".join(f"('{v}')" for v in RUN_FILES.values()) + ") t(file)")
+# file names put together from the table's ids: every field's names come up, in either case, and some are missing
+_NAME_PARTS = [[*R.RUN_NAME_LISTS["method"], "other"], [*R.RUN_NAME_LISTS["model"], "GEMMA"], [*R.RUN_NAME_LISTS["dataset"], "UltraFeedback", "none"],
+               [*R.RUN_NAME_LISTS["train_size"], "77"], [*R.RUN_NAME_LISTS["learning_rate"], "7e-7"], ["_1_", "_20_", "_3", "_50__100_", "_5_"]]
+
+
+def _run_name(event_id: str, pick, join) -> object:
+    parts, div = [], 1
+    for names in _NAME_PARTS:
+        parts.append(pick(names, event_id, div))
+        div *= 3
+    return join(parts)
+
+
+@query("p35_run_config_from_name", "WITH n AS (SELECT event_id, " + _run_name(
+    "event_id", lambda v, e, d: "[" + ", ".join(f"'{x}'" for x in v) + f"][(({e} // {d}) % {len(v)}) + 1]",
+    lambda p: "'runs/' || " + " || '-' || ".join(p) + " || '.log'") + " AS file FROM events) SELECT event_id, file, "
+       + ", ".join(_cfg_sql(k) for k in R.RUN_NAME_LISTS) + " FROM n")
 def p35(spark, sf):
-    t = log_texts(spark, sf).select("file")
-    cfg = R.run_config(F.col("file"))
-    return t.select("file", *[v.alias(k) for k, v in cfg.items()])
+    from ..operators.project import run_config_from_name
+    name = _run_name("event_id", lambda v, e, d: F.element_at(F.array(*[F.lit(x) for x in v]), (F.floor(F.col(e) / d) % len(v) + 1).cast("int")),
+                     lambda p: F.concat(F.lit("runs/"), F.concat_ws("-", *p), F.lit(".log")))
+    return run_config_from_name(FX.table(spark, sf, "events").select("event_id", name.alias("file")), "file")
 
 
 @query("f31_format_metric", BASE + """

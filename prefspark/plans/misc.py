@@ -121,55 +121,74 @@ def w03(spark, sf):
 
 
 # ---------------------------------------------------------------- contexts: L10 / L11 / U06 / U03
-@query("l10_survey_contexts", TYPED + f"""
-, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", string_split(satisfied_subset, ',') AS sat FROM typed),
-sv AS (SELECT "Index", sat FROM tx ORDER BY {sql_seeded_hash(1, '"Index"')}, "Index" LIMIT 40),
-pool AS (SELECT row_number() OVER (ORDER BY "Index") - 1 AS i, sat FROM sv),
-tries AS (SELECT tx."Index", r.t, 2 + {sql_seeded_hash(2, 'tx."Index"', 'r.t')} % 3 AS n_ctx FROM tx, range(0, 8) r(t)),
-perm AS (SELECT tr."Index", tr.t, tr.n_ctx, p.i, row_number() OVER (PARTITION BY tr."Index", tr.t
-                ORDER BY {sql_seeded_hash(7921, 'tr."Index"', 'tr.t', 'p.i')}, p.i) AS rk FROM tries tr, pool p),
-cnt AS (SELECT pk."Index", pk.t, pk.n_ctx, u.typ, count(*) AS c FROM perm pk JOIN pool p ON p.i = pk.i,
-        unnest(p.sat) AS u(typ) WHERE pk.rk <= pk.n_ctx GROUP BY ALL),
-inter AS (SELECT "Index", t, n_ctx, count(*) FILTER (WHERE c = n_ctx) AS isz FROM cnt GROUP BY ALL),
-good AS (SELECT "Index", arg_min(n_ctx, t) AS n_ctx FROM inter WHERE isz = 1 GROUP BY "Index")
-SELECT tx."Index", CAST(good.n_ctx AS INTEGER) AS context_length, good."Index" IS NOT NULL AS identified
-FROM tx LEFT JOIN good ON tx."Index" = good."Index\"""".replace("\n, tx AS", ", tx AS", 1))
-def l10(spark, sf):
+def _floyd_sql(keys: list[str], t: str, lo: int, hi: int, m: int, seed: int) -> str:
+    """Columns n, x0..x3: the survey positions of one try, as ``survey_contexts`` draws them."""
+    plan = L.draw_plan([hi - lo + 1] + [m] * hi)
+    part = lambda j: f"({sql_seeded_hash(seed, *keys, t, str(plan[j][0]))} // {plan[j][1]})"
+    return ", ".join([f"{lo} + {part(0)} % {hi - lo + 1} AS n"]
+                     + [f"{part(k + 1)} % ({m} - n + {k} + 1) AS d{k}" for k in range(hi)]
+                     + ["d0 AS x0"]
+                     + [f"CASE WHEN d{k} IN ({', '.join(f'x{i}' for i in range(k))}) THEN {m} - n + {k} ELSE d{k} END AS x{k}" for k in range(1, hi)])
+
+
+def _survey(spark, sf):
     t = RT.typed(spark, sf).select("pair_id", "data_subset", "satisfied_subset").withColumn(
         "Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
     t = materialize(t)  # feeds both the survey draw and the rows: written once
-    survey = L.survey_pool(t, 40, seed=1, key="Index").select("Index", "satisfied_subset")
-    c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", tries=8, hash_kind="md5")
-    return c.select("Index", "context_length", "identified")
+    return t, L.survey_pool(t, 40, seed=1, key="Index").select("Index", "satisfied_subset")
+
+
+SURVEY_SQL = f"""
+, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", string_split(satisfied_subset, ',') AS sat FROM typed),
+sv AS (SELECT "Index", sat FROM tx ORDER BY {sql_seeded_hash(1, '"Index"')}, "Index" LIMIT 40),
+pool AS (SELECT count(*) AS m, list("Index" ORDER BY "Index") AS pid,
+         list(list_sum(CAST(sat AS BIGINT[])) ORDER BY "Index") AS mask FROM sv)
+"""
+
+
+@query("l10_survey_contexts", TYPED + SURVEY_SQL.replace("\n, tx AS", ", tx AS", 1) + f"""
+, tries AS (SELECT tx."Index", r.t, {_floyd_sql(['"Index"'], 't', 2, 4, 40, 2)} FROM tx, range(0, 40) r(t)),
+hit AS (SELECT "Index", t, n, pid[x0 + 1] + pid[x1 + 1] + CASE WHEN n > 2 THEN pid[x2 + 1] ELSE 0 END + CASE WHEN n > 3 THEN pid[x3 + 1] ELSE 0 END AS ids,
+  CAST(mask[x0 + 1] AS BIGINT) & CAST(mask[x1 + 1] AS BIGINT) & CASE WHEN n > 2 THEN CAST(mask[x2 + 1] AS BIGINT) ELSE 15 END
+  & CASE WHEN n > 3 THEN CAST(mask[x3 + 1] AS BIGINT) ELSE 15 END AS common FROM tries, pool),
+good AS (SELECT "Index", arg_min(n, t) AS n, arg_min(ids, t) AS ids FROM hit WHERE common IN (1, 2, 4, 8) GROUP BY "Index")
+SELECT tx."Index", CAST(good.n AS INTEGER) AS context_length, good."Index" IS NOT NULL AS identified, CAST(good.ids AS BIGINT) AS context_id_sum
+FROM tx LEFT JOIN good ON tx."Index" = good."Index\"""")
+def l10(spark, sf):
+    t, survey = _survey(spark, sf)
+    c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", hash_kind="md5")
+    return c.select("Index", "context_length", "identified", _id_sum("contexts"))
+
+
+def _id_sum(contexts: str):
+    ids = F.transform(contexts, lambda x: x["original_id"])
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, b: a + b).alias("context_id_sum")
 
 
 @query("l11_random_contexts", TYPED + f"""
-, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", prompt, controversial FROM typed),
-pool AS (SELECT "Index", prompt, row_number() OVER (ORDER BY "Index") - 1 AS pidx FROM tx WHERE controversial),
-pm AS (SELECT count(*) AS m FROM pool),
-draws AS (SELECT tx."Index", tx.prompt, r.d, {sql_seeded_hash(3, '"Index"', 'r.d')} % pm.m AS pidx
-          FROM tx, range(0, 16) r(d), pm),
-acc AS (SELECT dr."Index", dr.d, p."Index" AS original_id,
-               row_number() OVER (PARTITION BY dr."Index" ORDER BY dr.d) AS rn
-        FROM draws dr JOIN pool p ON p.pidx = dr.pidx WHERE p.prompt <> dr.prompt),
-kept AS (SELECT "Index", count(*) AS n, sum(original_id) AS id_sum FROM acc WHERE rn <= 4 GROUP BY "Index")
-SELECT tx."Index", coalesce(kept.n, 0) AS n_contexts, kept.id_sum AS context_id_sum
-FROM tx LEFT JOIN kept ON tx."Index" = kept."Index\"""".replace("\n, tx AS", ", tx AS", 1))
+, tx AS (SELECT pair_id * 10 + CAST(data_subset AS BIGINT) AS "Index", md5(prompt) AS ph, controversial FROM typed),
+pool AS (SELECT "Index", ph, row_number() OVER (ORDER BY ph, "Index") - 1 AS pidx, count(*) OVER () AS m FROM tx WHERE controversial),
+span AS (SELECT ph, min(pidx) AS lo, count(*) AS len FROM pool GROUP BY ph),
+own AS (SELECT tx."Index", coalesce(lo, 0) AS lo, coalesce(len, 0) AS len FROM tx LEFT JOIN span ON tx.ph = span.ph),
+draws AS (SELECT own.*, {sql_seeded_hash(3, '"Index"', 'r.d')} % ((SELECT max(m) FROM pool) - len) AS p FROM own, range(0, 4) r(d))
+SELECT d."Index", count(*) AS n_contexts, CAST(sum(pool."Index") AS BIGINT) AS context_id_sum FROM draws d
+JOIN pool ON pool.pidx = CASE WHEN p >= lo THEN p + len ELSE p END GROUP BY d."Index\"""".replace("\n, tx AS", ", tx AS", 1))
 def l11(spark, sf):
     t = RT.typed(spark, sf).withColumn("Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
     t = materialize(t.select("Index", "prompt", "chosen", "rejected", "controversial"))
     pool = t.filter("controversial").select("Index", "prompt", "chosen", "rejected")
     c = L.random_contexts(t.select("Index", "prompt"), pool, n=4, seed=3)
-    ids = F.transform("contexts", lambda x: x["original_id"])
-    return c.select("Index", F.coalesce(F.size("contexts"), F.lit(0)).cast("long").alias("n_contexts"),
-                    F.aggregate(ids, F.lit(0).cast("long"), lambda a, b: a + b).alias("context_id_sum"))
+    return c.select("Index", F.coalesce(F.size("contexts"), F.lit(0)).cast("long").alias("n_contexts"), _id_sum("contexts"))
 
 
-@query("u06_replicate_with_new_contexts", with_ctes(FX.SQL_F5) + """
-SELECT c.copy_no, count(*) AS n FROM h2h, (SELECT unnest(range(0, 3)) AS copy_no) c GROUP BY 1""")
+@query("u06_replicate_with_new_contexts", TYPED + SURVEY_SQL.replace("\n, tx AS", ", tx AS", 1) + f"""
+, draws AS (SELECT tx."Index", c.copy_no, {_floyd_sql(['"Index"', 'c.copy_no'], '0', 1, 4, 40, 6)} FROM tx, range(0, 3) c(copy_no))
+SELECT "Index", copy_no, CAST(n AS INTEGER) AS context_length, CAST(pid[x0 + 1] + CASE WHEN n > 1 THEN pid[x1 + 1] ELSE 0 END
+  + CASE WHEN n > 2 THEN pid[x2 + 1] ELSE 0 END + CASE WHEN n > 3 THEN pid[x3 + 1] ELSE 0 END AS BIGINT) AS context_id_sum FROM draws, pool""")
 def u06(spark, sf):
-    r = U.replicate(FX.f5_h2h(spark, sf), 3)
-    return r.groupBy(F.col("copy_no").cast("long").alias("copy_no")).agg(F.count(F.lit(1)).alias("n"))
+    t, survey = _survey(spark, sf)
+    r = L.replicate_with_new_contexts(t.select("Index"), survey, k=3, max_len=4, seed=6, mode="84", hash_kind="md5")
+    return r.select("Index", F.col("copy_no").cast("long").alias("copy_no"), "context_length", _id_sum("contexts"))
 
 
 @query("u03_positions_minus", with_ctes(FX.SQL_F2) + """
@@ -200,18 +219,35 @@ def p34(spark, sf):
     return P.compose(FX.f1_comparisons(spark, sf), steps).select("cmp_id")
 
 
-@query("p38_rag_prompt", with_ctes(VQ.EMB_SQL) + """
+_SIDE_SQL = r"regexp_replace(replace(split_part({c}, chr(10) || 'Assistant: ', -1), '\"', ''), '^\s+|\s+$', '', 'g')"
+RAG_SQL = VQ.EMB_SQL + f"""
 , t AS (SELECT qid, did, rank FROM (SELECT q.qid, d.did, d.label, row_number() OVER (PARTITION BY q.qid
-       ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3)
-SELECT qid, string_agg('Example ' || CAST(did AS VARCHAR), chr(10) ORDER BY rank DESC) || chr(10) || 'Query ' || CAST(qid AS VARCHAR) AS prompt
-FROM t GROUP BY qid""".replace("\n, t AS", ", t AS", 1))
+       ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3),
+x AS (SELECT doc_id, substr(text, 1, 40) AS prompt, {_SIDE_SQL.format(c="chr(10) || 'Assistant: ' || substr(text, 41, 60)")} AS chosen,
+      {_SIDE_SQL.format(c="'said \"x\"' || chr(10) || 'Assistant: ' || substr(text, 101, 60)")} AS rejected FROM documents),
+ex AS (SELECT t.qid, t.rank, x.*, {sql_seeded_hash(5, 't.qid', 't.rank')} % 2 = 0 AS a_first FROM t JOIN x ON x.doc_id = t.did),
+eb AS (SELECT qid, string_agg(prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END || chr(10)
+  || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10) || 'Which response do you prefer?' || chr(10) || chr(10)
+  || 'Response ' || CASE WHEN a_first THEN 'A' ELSE 'B' END || chr(10) || '===' || chr(10), '' ORDER BY rank DESC) AS body FROM ex GROUP BY qid),
+qb AS (SELECT doc_id AS qid, prompt, chosen, rejected, {sql_seeded_hash(6, 'doc_id')} % 2 = 0 AS a_first FROM x)
+"""
+
+
+@query("p38_rag_prompt", with_ctes(RAG_SQL) + """
+SELECT qid, md5('The examples ' || body || 'Prompt: ' || prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END
+  || chr(10) || chr(10) || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10)
+  || 'Which response do you prefer?' || chr(10) || 'Response ') AS prompt_md5, CASE WHEN a_first THEN 'A' ELSE 'B' END AS answer
+FROM eb JOIN qb USING (qid)""")
 def p38(spark, sf):
     q, d = VQ.split_qd(spark, sf)
-    t = L.top_k_similar(q, d, k=3, block_rows=256)
-    # best last: the reference keeps argsort order (ascending score)
-    g = t.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("rank"), F.col("did"))), asc=False).alias("_e"))
-    return g.select("qid", F.concat(F.array_join(F.transform("_e", lambda x: F.concat(F.lit("Example "), x["did"].cast("string"))), "\n"),
-                                    F.lit("\nQuery "), F.col("qid").cast("string")).alias("prompt"))
+    top = L.top_k_similar(q, d, k=3)
+    x = FX.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("did"), F.substring("text", 1, 40).alias("prompt"),
+        F.concat(F.lit("\nAssistant: "), F.substring("text", 41, 60)).alias("chosen"),
+        F.concat(F.lit('said "x"\nAssistant: '), F.substring("text", 101, 60)).alias("rejected"))
+    shots = top.select("qid", "rank", "did").join(x, "did")
+    r = P.rag_prompt(x.withColumnRenamed("did", "qid"), shots, "qid", seed=5)
+    return r.select("qid", F.md5("rag_prompt").alias("prompt_md5"), "answer")
 
 
 @query("p39_rebase_uid", with_ctes(FX.SQL_F3) + "SELECT traj_id, pos, uid - 1 AS uid FROM scored")

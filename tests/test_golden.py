@@ -35,22 +35,32 @@ def test_f12_swap(spark):
 
 
 def test_f14_scan_matches(spark):
-    completion = ("\n(b)\n\n### Best output for example 8:\n(a)\n\n### Best output for example 9:\n(b)\n\n"
-                  "### Best output for example 10:\n(a)\n\n### Best output for example 11:\n(a)")
-    df = spark.createDataFrame([(completion,), (" (a)",)], "t string")
-    got = df.select(LB.scan_matches_safe(F.col("t"), {"1": r"\n\(a\)", "2": r"\n\(b\)"}).alias("k")).collect()
-    assert got[0].k == ["2", "1", "2", "1", "1"]
-    got2 = df.select(LB.scan_matches_safe(F.col("t"), {"1": r" \(a\)", "2": r" \(b\)"}).alias("k")).collect()
-    assert got2[1].k == ["1"]
+    text = "\n(b)\n\nverdict for pair 3:\n(a)\nnote (b) inline\n(b)"
+    df = spark.createDataFrame([(text,), (" (a)",), (None,), ("",)], "t string")
+    got = [r.k for r in df.select(LB.scan_matches(F.col("t"), {"1": r"\n\(a\)", "2": r"\n\(b\)"}).alias("k")).collect()]
+    assert got == [["2", "1", "2"], [], [], []]
+    assert df.select(LB.scan_matches(F.col("t"), {"1": r" \(a\)", "2": r" \(b\)"}).alias("k")).collect()[1].k == ["1"]
+
+
+def test_f14_groups_and_inner_anchors(spark):
+    df = spark.createDataFrame([("x(a) y(b)",), ("ab\nabab",)], "t string")
+    got = [r.k for r in df.select(LB.scan_matches(F.col("t"), {"1": r"(x|z)\(a\)", "2": r"y\(b\)"}).alias("k")).collect()]
+    assert got[0] == ["1", "2"]
+    got = [r.k for r in df.select(LB.scan_matches(F.col("t"), {"1": r"(?:^|\n)ab"}).alias("k")).collect()]
+    assert got[1] == ["1", "1", "1"]
+    # the JVM and the Python path agree where both apply
+    pats = {"p": r"(a)(b)?", "q": "y"}
+    rows = df.select(LB._scan_plain(F.col("t"), pats).alias("j"), LB._scan_cut(F.col("t"), pats).alias("p")).collect()
+    assert all(r.j == r.p for r in rows)
 
 
 def test_f14_anchored_patterns_rematch_at_cut(spark):
     # '^' matches again after each cut: "ab" then "ab" -> two hits of key a; an unanchored
     # scan would find only the first one
     df = spark.createDataFrame([("abab",), ("xab",)], "t string")
-    got = [r.k for r in df.select(LB.scan_matches_safe(F.col("t"), {"a": "^ab", "x": "^x"}).alias("k")).collect()]
+    got = [r.k for r in df.select(LB.scan_matches(F.col("t"), {"a": "^ab", "x": "^x"}).alias("k")).collect()]
     assert got == [["a", "a"], ["x", "a"]]
-    same = [r.k for r in df.select(LB.scan_matches_cut(F.col("t"), {"1": "a", "2": "b"}).alias("k")).collect()]
+    same = [r.k for r in df.select(LB._scan_cut(F.col("t"), {"1": "a", "2": "b"}).alias("k")).collect()]
     assert same == [["1", "2", "1", "2"], ["1", "2"]]
 
 
