@@ -432,9 +432,13 @@ def test_jaccard(docs):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(pairs(docs))
 
 
-def test_jaccard_groups_without_links(spark):
+@pytest.mark.parametrize("cell,best", [(1000, 2), (3, 0)])
+def test_jaccard_groups_without_links(spark, monkeypatch, cell, best):
     """Many texts share prefix shingles but link in several clusters or not at all."""
-    from prefspark.llm.jaccard_join import jaccard_components
+    from prefspark.llm import jaccard_join as J
+    jaccard_components = J.jaccard_components
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "BEST", best)
     rnd = random.Random(8)
     core = sentence(rnd, 40)
     data = []
@@ -446,6 +450,32 @@ def test_jaccard_groups_without_links(spark):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(data)
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Copies with random edits, so that many pairs of one large group fall on either side of the threshold."""
+    from prefspark.llm.jaccard_join import jaccard_components
+    rnd = random.Random(12)
+    base = sentence(rnd, 120).split()
+    data = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            words[rnd.randrange(len(words))] = f"edit{rnd.randrange(40)}"
+        data.append((i, " ".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert collections.Counter(rows(jaccard_components(docs))) == brute_components(data)
+
+
+def test_sketches_never_bound_too_low():
+    from prefspark.llm.jaccard_join import overlap_bound, sketch
+    rnd = np.random.default_rng(3)
+    for n in (1, 5, 70, 400, 3000):
+        for _ in range(20):
+            both = rnd.integers(0, 1 << 63, rnd.integers(0, n + 1)).astype(np.uint64)
+            x = np.unique(np.concatenate([both, rnd.integers(0, 1 << 63, n).astype(np.uint64)]))
+            y = np.unique(np.concatenate([both, rnd.integers(0, 1 << 63, 2 * n).astype(np.uint64)]))
+            assert overlap_bound(sketch(x), sketch(y), min(len(x), len(y))) >= len(np.intersect1d(x, y))
+
+
 def test_keep_one(docs):
     from prefspark.llm.jaccard_join import keep_one
     kept = keep_one(docs)
