@@ -252,8 +252,9 @@ def repeated_ranges(docs: DataFrame, min_len: int = 400, k: int = K) -> DataFram
     run, out = _find(min_len, k)
     found = written(docs.select("doc_id", "th", "text").mapInArrow(run, out), "stretches")
     # counts with partial aggregation; only minimizers seen twice go on
-    often = (found.groupBy("mh").agg(F.count("*").alias("_n"), F.min("sh").alias("_lo"), F.max("sh").alias("_hi"))
-             .where("_n > 1").select("mh", (F.col("_lo") != F.col("_hi")).alias("many")))
+    # written first, so that the join below has two plain exchanges and AQE can split a hot minimizer's rows
+    often = written(found.groupBy("mh").agg(F.count("*").alias("_n"), F.min("sh").alias("_lo"), F.max("sh").alias("_hi"))
+                    .where("_n > 1").select("mh", (F.col("_lo") != F.col("_hi")).alias("many")), "often")
     again = written(found.join(often, "mh"), "repeats")
     kinds = again.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.first("many").alias("many"),
                                           F.min(F.struct("doc_id", "th", "start", "n")).alias("r"))
