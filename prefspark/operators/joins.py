@@ -249,76 +249,60 @@ def prompts_for_users(prompts: DataFrame, n_users: int, prompt_id: str = "prompt
 # J12 / L04 ------------------------------------------------------------------
 def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: str = "did",
                      qvec: str = "qvec", dvec: str = "dvec", block_rows: int | None = None,
-                     group: str | None = None, q_block_rows: int = 8192, d_block_rows: int = 262_144,
+                     group: str | None = None, q_block_rows: int = 8192, d_block_bytes: int = 64 << 20,
                      chunk_rows: int = 4096) -> DataFrame:
     """Exact top-k documents per query by dot product (``rank`` 1 = best; ties by doc id).
 
-    Blocked all-pairs scoring: queries are cut into blocks of
-    ``q_block_rows`` and docs into blocks of ``d_block_rows`` (``block_rows``
-    sets both); every (query block, doc block) cell is one group handled in
-    ``applyInPandas``, which walks the doc block in chunks of ``chunk_rows``
-    with NumPy mat-muls and keeps a running top-k per query, so a cell needs
-    memory for one chunk of scores, and emits only its local top-k.  A final
-    ``row_number`` per query over the (#doc blocks x k) candidates keeps the
-    global top-k.  Each query row is copied once per doc block and each doc
-    row once per query block (large doc blocks keep the docs nearly
-    uncopied); no pair is materialised as a row and nothing is broadcast.
-    ``group`` restricts candidates to the same group (e.g. user).
+    Blocked scoring of the query set against all documents: within each ``group`` (e.g. user; one group without it)
+    queries are cut into blocks of ``q_block_rows`` and documents into blocks of about ``d_block_bytes`` of
+    vectors (``block_rows`` sets both in rows); a (group, query block, document block) cell is one task's work in
+    ``applyInPandas``, which walks the documents in chunks of ``chunk_rows`` with NumPy mat-muls and
+    keeps a running top-k per query, so it needs memory for its blocks and one chunk of scores, and emits
+    only its local top-k.  A final ``row_number`` per query keeps the global top-k.  No pair becomes
+    a row, nothing is broadcast, and groups meet only themselves.  Ids keep their types; NULL groups match
+    nothing; infinite scores count like others.
     """
     import numpy as np
     import pandas as pd
 
-    if block_rows is not None:
-        q_block_rows = d_block_rows = block_rows
-    # block counts from the row counts (scalar sub-queries); rows go to blocks by a hash of their
-    # id, which is deterministic and balanced without numbering the rows
-    nq_blocks = queries.select(F.greatest(F.ceil(F.count(F.lit(1)) / q_block_rows), F.lit(1)).cast("long")).scalar()
-    nd_blocks = docs.select(F.greatest(F.ceil(F.count(F.lit(1)) / d_block_rows), F.lit(1)).cast("long")).scalar()
-    q = queries.select(qid, qvec, *([group] if group else [])).withColumn(
-        "_qb", F.pmod(F.xxhash64(F.lit("qblock"), F.col(qid)), nq_blocks))
-    d = docs.select(did, dvec, *([group] if group else [])).withColumn(
-        "_db", F.pmod(F.xxhash64(F.lit("dblock"), F.col(did)), nd_blocks))
-    # replicate each query row once per doc block and each doc row once per query block:
-    # cell (qb, db) then holds one block of each side
-    qx = q.withColumn("_db", F.explode(F.sequence(F.lit(0).cast("long"), nd_blocks - 1)))
-    dx = d.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), nq_blocks - 1)))
-    side_q = qx.select("_qb", "_db", F.lit(0).alias("_side"), F.col(qid).cast("long").alias("_id"),
-                       F.col(qvec).cast("array<double>").alias("_v"),
-                       *([F.col(group).cast("string").alias("_g")] if group else [F.lit("").alias("_g")]))
-    side_d = dx.select("_qb", "_db", F.lit(1).alias("_side"), F.col(did).cast("long").alias("_id"),
-                       F.col(dvec).cast("array<double>").alias("_v"),
-                       *([F.col(group).cast("string").alias("_g")] if group else [F.lit("").alias("_g")]))
-    cells = side_q.unionByName(side_d)
+    dim = docs.select(F.greatest(F.max(F.size(dvec)), F.lit(1))).scalar()
+    d_rows = F.lit(block_rows) if block_rows else F.greatest((F.lit(d_block_bytes) / (dim * 8)).cast("long"), F.lit(1024))
+    q_rows = F.lit(block_rows or q_block_rows)
+    g = F.col(group) if group else F.lit(0)
+    q = queries.select(g.alias("_g"), F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v"))
+    d = docs.select(g.alias("_g"), F.col(did).alias("_d"), F.col(dvec).cast("array<double>").alias("_v"))
+    # block counts of each group; rows go to blocks by a hash of their id, which is deterministic and
+    # balanced without numbering them
+    nq = q.groupBy("_g").agg(F.ceil(F.count("*") / q_rows).alias("_nq"))
+    nd = d.groupBy("_g").agg(F.count("*").alias("_c")).select("_g", F.ceil(F.col("_c") / d_rows).alias("_nd"))
+    blocks = nq.join(nd, "_g")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda salt, c, n: F.pmod(F.xxhash64(F.lit(salt), F.col(c)), F.col(n))
+    # a query row is copied once per document block of its group, a document row once per query block
+    side_q = q.join(blocks, "_g").select("_g", block("qblock", "_q", "_nq").alias("_qb"), every("_nd").alias("_db"), "_q", "_v")
+    side_d = d.join(blocks, "_g").select("_g", every("_nq").alias("_qb"), block("dblock", "_d", "_nd").alias("_db"), "_d", "_v")
+    cells = side_q.unionByName(side_d.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     kk = int(k)
+    q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (docs, did)))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["_side"] == 0]
-        ds = pdf[pdf["_side"] == 1]
+        qs, ds = pdf[pdf["_side"].isna()], pdf[pdf["_side"].notna()]
         if len(qs) == 0 or len(ds) == 0:
             return pd.DataFrame({"qid": [], "did": [], "score": []})
-        Q = np.vstack(qs["_v"].to_numpy())
-        qg = qs["_g"].to_numpy()
-        nq = Q.shape[0]
-        # running top-k per query: scores and doc ids, -inf / max id where empty
-        best_s = np.full((nq, 0), -np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        dv, dg_all, did_all = ds["_v"].to_numpy(), ds["_g"].to_numpy(), ds["_id"].to_numpy()
+        ds = ds.sort_values("_d")
+        vectors, vq = ds["_v"].to_numpy(), np.vstack(qs["_v"].to_numpy())
+        best_s, best_i = np.zeros((len(vq), 0)), np.zeros((len(vq), 0), dtype=np.int64)
         for lo in range(0, len(ds), chunk_rows):
-            D = np.vstack(dv[lo:lo + chunk_rows])
-            S = Q @ D.T
-            S = np.where(qg[:, None] == dg_all[lo:lo + chunk_rows][None, :], S, -np.inf)
-            ids = np.broadcast_to(did_all[lo:lo + chunk_rows], S.shape)
-            s2 = np.concatenate([best_s, S], axis=1)
-            i2 = np.concatenate([best_i, ids], axis=1)
-            order = np.lexsort((i2, -s2), axis=1)[:, :kk]  # score desc, doc id asc
-            best_s = np.take_along_axis(s2, order, axis=1)
-            best_i = np.take_along_axis(i2, order, axis=1)
-        rows = np.repeat(np.arange(nq), best_s.shape[1])
-        sc, di = best_s.reshape(-1), best_i.reshape(-1)
-        keep = np.isfinite(sc)
-        return pd.DataFrame({"qid": qs["_id"].to_numpy()[rows][keep], "did": di[keep], "score": sc[keep]})
-
-    cand = cells.groupBy("_qb", "_db").applyInPandas(score, "qid long, did long, score double")
+            s = vq @ np.vstack(vectors[lo:lo + chunk_rows]).T
+            s = np.concatenate([best_s, s], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(np.arange(lo, lo + s.shape[1] - best_s.shape[1]), (len(vq), s.shape[1] - best_s.shape[1]))], axis=1)
+            order = np.lexsort((i, -s), axis=1)[:, :kk]  # score falling, then document id
+            best_s, best_i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+        n = best_s.shape[1]
+        return pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), n), "did": ds["_d"].to_numpy()[best_i.reshape(-1)], "score": best_s.reshape(-1)})
+
+    # ids that a union made nullable travel as pandas objects; the declared types restore them
+    cand = cells.groupBy("_g", "_qb", "_db").applyInPandas(score, f"qid {q_type}, did {d_type}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("did"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
     return top.withColumnsRenamed({"qid": qid, "did": did})

@@ -205,14 +205,14 @@ def random_argmax(arr: Column, seed: int, key: Column) -> Column:
 
 # L20 ------------------------------------------------------------------------
 def synthetic_pairs(base: DataFrame, pools: DataFrame, seed: int = 0, n_types: int = 10,
-                    train_size: int = 80, split: str = "train", key: str = "row_id") -> DataFrame:
+                    train_share: float = 0.8, split: str = "train", key: str = "row_id") -> DataFrame:
     """Synthetic pairs over sentence pools.
 
     ``base`` supplies one row per pair to make (its ``key`` seeds the draws),
     ``pools`` is (pool_no 0..3, sent_no, text).  Pair types 0..4 are agreed
     (pool 0 beats pool 1 for everybody), types 5..9 controversial (pool 2 vs
-    pool 3, reversed for user type 1).  Train draws sentences 0..train_size-1
-    of a pool, test the rest.  Pools are joined by (pool, sentence), an
+    pool 3, reversed for user type 1).  Train draws from the first ``train_share`` of
+    a pool's sentences, test from the rest.  Pools are joined by (pool, sentence), an
     equi-join on a table whose size is the pool size.
     """
     b = base.select(key)
@@ -226,9 +226,9 @@ def synthetic_pairs(base: DataFrame, pools: DataFrame, seed: int = 0, n_types: i
           .join(sizes.withColumnsRenamed({"pool_no": "pool_b", "pool_n": "nb"}), "pool_b"))
 
     def draw(s, n_col):
-        lo = F.lit(0) if split == "train" else F.lit(train_size)
-        span = F.least(F.lit(train_size), F.col(n_col)) if split == "train" else F.col(n_col) - train_size
-        return lo + (seeded_hash(s, key) % F.greatest(span, F.lit(1))).cast("int")
+        cut = F.floor(F.col(n_col) * train_share)
+        lo, span = (F.lit(0), cut) if split == "train" else (cut, F.col(n_col) - cut)
+        return (lo + seeded_hash(s, key) % F.greatest(span, F.lit(1))).cast("int")
     d = d.withColumn("sent_a", draw(seed + 2, "na")).withColumn("sent_b", draw(seed + 3, "nb"))
     pa = pools.select(F.col("pool_no").alias("pool_a"), F.col("sent_no").alias("sent_a"), F.col("text").alias("text_a"))
     pb = pools.select(F.col("pool_no").alias("pool_b"), F.col("sent_no").alias("sent_b"), F.col("text").alias("text_b"))

@@ -205,12 +205,10 @@ def l03(spark, sf):
 
 
 @query("l07_holdout_split", with_ctes(FX.SQL_F1) + """
-SELECT is_test, count(*) AS n FROM (
-  SELECT row_number() OVER (ORDER BY CAST(('0x' || substr(md5(concat_ws(':', '3', CAST(cmp_id AS VARCHAR))), 1, 15)) AS BIGINT), cmp_id)
-         <= floor(count(*) OVER () * 0.1) AS is_test FROM comparisons) GROUP BY is_test""")
+SELECT cmp_id, row_number() OVER (ORDER BY CAST(('0x' || substr(md5(concat_ws(':', '3', CAST(cmp_id AS VARCHAR))), 1, 15)) AS BIGINT), cmp_id)
+         <= floor(count(*) OVER () * 0.1) AS is_test FROM comparisons""")
 def l07(spark, sf):
-    c = FX.f1_comparisons(spark, sf).select("cmp_id")
-    return L.holdout_split(c, 0.1, seed=3).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+    return L.holdout_split(FX.f1_comparisons(spark, sf).select("cmp_id"), 0.1, seed=3).select("cmp_id", "is_test")
 
 
 @query("l14_shuffle", with_ctes(FX.SQL_F1) + """

@@ -128,14 +128,19 @@ def p23(spark, sf):
     return P.profile_text(profiles(spark, sf)).select("user_id", "profile_text")
 
 
+def n_users(spark, sf):
+    """The largest customer id, as a scalar sub-query."""
+    return FX.table(spark, sf, "customer").select(F.max("c_custkey")).scalar()
+
+
 @query("j10_dialog_profile", """
 SELECT d.conv_id, d.n_turns, c.c_mktsegment AS segment FROM
   (SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id) d
-  LEFT JOIN customer c ON c.c_custkey = d.conv_id % 1500 + 1""")
+  LEFT JOIN customer c ON c.c_custkey = d.conv_id % (SELECT max(c_custkey) FROM customer) + 1""")
 def j10(spark, sf):
     cv = FX.f7_dialogs(spark, sf)
     d = cv.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")).withColumn(
-        "user_id", F.col("conv_id") % 1500 + 1)
+        "user_id", F.col("conv_id") % n_users(spark, sf) + 1)
     j = J.dialog_profile(d, profiles(spark, sf))
     return j.select("conv_id", "n_turns", j["demographics"]["preference"][0].alias("segment"))
 
@@ -204,9 +209,9 @@ SELECT d.conv_id, d.turn, md5('Here is a user profile:' || chr(10) || 'preferenc
   || '; nation: ' || CAST(c.c_nationkey AS VARCHAR) || '; ' || chr(10) || chr(10) || 'Question:' || chr(10) || d.u || chr(10) || chr(10)
   || 'Answer A:' || chr(10) || d.c || chr(10) || chr(10) || 'Answer B:' || chr(10) || d.r || chr(10) || chr(10)
   || 'Which answer does this user prefer? Reply with A or B.') AS prompt_md5
-FROM dt d JOIN customer c ON c.c_custkey = d.conv_id % 1500 + 1 WHERE d.c IS NOT NULL""")
+FROM dt d JOIN customer c ON c.c_custkey = d.conv_id % (SELECT max(c_custkey) FROM customer) + 1 WHERE d.c IS NOT NULL""")
 def p37(spark, sf):
-    t = dialog_turns(spark, sf).filter(F.col("chosen").isNotNull()).withColumn("user_id", F.col("conv_id") % 1500 + 1)
+    t = dialog_turns(spark, sf).filter(F.col("chosen").isNotNull()).withColumn("user_id", F.col("conv_id") % n_users(spark, sf) + 1)
     pr = P.profile_text(profiles(spark, sf), out="profile")
     j = t.join(pr.select("user_id", "profile"), "user_id")
     q = P.judge_prompt(j, "profile", "user_text", "chosen", "rejected")

@@ -59,9 +59,9 @@ def p06(spark, sf):
 
 
 @query("p12_tag_constant", with_ctes(FX.SQL_F3) + """
-SELECT 'chat' AS key, count(*) AS n FROM scored""")
+SELECT traj_id, pos, 'chat' AS key FROM scored""")
 def p12(spark, sf):
-    return P.tag_constant(FX.f3_scored(spark, sf), "key", "chat").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return P.tag_constant(FX.f3_scored(spark, sf), "key", "chat").select("traj_id", "pos", "key")
 
 
 @query("p25_explode_options", with_ctes(FX.SQL_F1) + """
@@ -74,9 +74,9 @@ def p25(spark, sf):
 
 
 # ---------------------------------------------------------------- typed pairs: P26 / P27 / L12 / L13 / U04 / W03
-@query("p26_controversial_only", TYPED + "SELECT data_subset, count(*) AS n FROM typed WHERE controversial GROUP BY 1")
+@query("p26_controversial_only", TYPED + "SELECT pair_id, data_subset FROM typed WHERE controversial")
 def p26(spark, sf):
-    return P.controversial_only(RT.typed(spark, sf)).groupBy("data_subset").agg(F.count(F.lit(1)).alias("n"))
+    return P.controversial_only(RT.typed(spark, sf)).select("pair_id", "data_subset")
 
 
 @query("p27_one_user", TYPED + "SELECT count(*) AS n, sum(pair_id) AS id_sum FROM typed WHERE data_subset = '8'")
@@ -85,11 +85,11 @@ def p27(spark, sf):
 
 
 @query("l12_upsample_controversial", TYPED + """
-SELECT controversial, c.copy_no, count(*) AS n FROM typed,
-  LATERAL (SELECT unnest(range(0, CASE WHEN controversial THEN 5 ELSE 1 END)) AS copy_no) c GROUP BY 1, 2""")
+SELECT pair_id, data_subset, c.copy_no FROM typed,
+  LATERAL (SELECT unnest(range(0, CASE WHEN controversial THEN 5 ELSE 1 END)) AS copy_no) c""")
 def l12(spark, sf):
     u = L.upsample_controversial(RT.typed(spark, sf))
-    return u.groupBy("controversial", F.col("copy_no").cast("long").alias("copy_no")).agg(F.count(F.lit(1)).alias("n"))
+    return u.select("pair_id", "data_subset", F.col("copy_no").cast("long").alias("copy_no"))
 
 
 @query("l13_cap_per_subset", TYPED + """
@@ -102,13 +102,15 @@ def l13(spark, sf):
     return c.groupBy("data_subset").agg(F.count(F.lit(1)).alias("n"), F.max("pair_id").alias("max_id"))
 
 
-@query("u04_common_subsets", with_ctes(FX.SQL_F2, RT.BIN_SQL, RT.MATCH_SQL, RT.LAB_SQL) + """
-SELECT pair_id, CASE WHEN rev8 <> rev4 THEN 0 ELSE (CASE WHEN rev8 = rev8 THEN 1 ELSE 0 END) + (CASE WHEN rev4 = rev8 THEN 1 ELSE 0 END)
-  + (CASE WHEN rev2 = rev8 THEN 1 ELSE 0 END) + (CASE WHEN rev1 = rev8 THEN 1 ELSE 0 END) END AS n_common FROM lab2""")
+@query("u04_common_subsets", TYPED + """
+, e AS (SELECT pair_id, unnest(string_split(satisfied_subset, ',')) AS typ FROM typed),
+n AS (SELECT pair_id, count(*) AS n_rows FROM typed GROUP BY 1),
+c AS (SELECT pair_id, typ FROM e JOIN n USING (pair_id) GROUP BY pair_id, typ, n_rows HAVING count(*) = n_rows)
+SELECT n.pair_id, coalesce(string_agg(c.typ, ',' ORDER BY c.typ), '') AS common FROM n LEFT JOIN c USING (pair_id) GROUP BY n.pair_id""".replace(
+    "\n, e AS", ", e AS", 1))
 def u04(spark, sf):
-    t = RT.typed(spark, sf).filter(F.col("data_subset").isin("8", "4"))
-    g = t.groupBy("pair_id").agg(F.collect_list(F.struct("satisfied_subset")).alias("ctx"))
-    return g.select("pair_id", F.size(U.common_subsets(F.col("ctx"))).alias("n_common"))
+    g = RT.typed(spark, sf).groupBy("pair_id").agg(F.collect_list(F.struct("satisfied_subset")).alias("ctx"))
+    return g.select("pair_id", F.array_join(U.common_subsets(F.col("ctx")), ",").alias("common"))
 
 
 @query("w03_segment_offsets", TYPED + """
@@ -273,8 +275,8 @@ b AS (SELECT event_id AS row_id, CAST({_h(0)} % 10 AS INTEGER) AS pair_type, CAS
 d AS (SELECT b.*, CASE WHEN pair_type < 5 THEN 0 ELSE 2 END AS pool_a FROM b),
 d2 AS (SELECT d.*, d.pool_a + 1 AS pool_b, sa.pool_n AS na, sb.pool_n AS nb FROM d JOIN sizes sa ON sa.pool_no = d.pool_a
        JOIN sizes sb ON sb.pool_no = d.pool_a + 1),
-d3 AS (SELECT *, CAST({_h(2)} % greatest(least(80, na), 1) AS INTEGER) AS sent_a,
-                 CAST({_h(3)} % greatest(least(80, nb), 1) AS INTEGER) AS sent_b FROM d2)
+d3 AS (SELECT *, CAST({_h(2)} % greatest(CAST(floor(na * 0.8) AS BIGINT), 1) AS INTEGER) AS sent_a,
+                 CAST({_h(3)} % greatest(CAST(floor(nb * 0.8) AS BIGINT), 1) AS INTEGER) AS sent_b FROM d2)
 SELECT row_id, pair_type, user_type,
   md5(CASE WHEN pair_type >= 5 AND user_type = 1 THEN pb.text ELSE pa.text END) AS chosen_md5,
   md5(CASE WHEN pair_type >= 5 AND user_type = 1 THEN pa.text ELSE pb.text END) AS rejected_md5, pair_type >= 5 AS controversial

@@ -270,13 +270,15 @@ def f34(spark, sf):
 
 
 @query("f23_pad", with_ctes(FX.SQL_F3, TRAJ_SQL) + """
-SELECT traj_id, CAST(ceil(count(*) / 4.0) * 4 AS INTEGER) AS padded_len, count(*) AS n_real FROM tr GROUP BY traj_id""")
+, g AS (SELECT traj_id, list(tok ORDER BY pos) AS toks, CAST(ceil(count(*) / 4.0) * 4 AS INTEGER) AS padded_len FROM tr GROUP BY traj_id)
+SELECT traj_id, padded_len, len(toks) AS n_real, array_to_string(list_resize(list_transform(toks, lambda x: CAST(x AS VARCHAR)), padded_len, '0'), ',') AS padded FROM g""".replace("\n, g AS", ", g AS", 1))
 def f23(spark, sf):
     t = trajectories(spark, sf)
     p = V.pad_multiple("tokens", 4, value=0)
     return t.select("traj_id", F.size(p).alias("padded_len"),
                     F.aggregate(V.pad_mask(V.pad_multiple(F.transform("tokens", lambda x: x + 1), 4)), F.lit(0).cast("bigint"),
-                                lambda a, x: a + x).alias("n_real"))
+                                lambda a, x: a + x).alias("n_real"),
+                    F.array_join(F.transform(p, lambda x: x.cast("string")), ",").alias("padded"))
 
 
 @query("f24_batch_select", with_ctes(FX.SQL_F3, TRAJ_SQL) + """

@@ -43,7 +43,7 @@ SELECT qid, did, rank FROM (SELECT q.qid, d.did, row_number() OVER (PARTITION BY
        ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3""")
 def l04(spark, sf):
     q, d = split_qd(spark, sf)
-    t = L.top_k_similar(q, d, k=3, block_rows=256)
+    t = L.top_k_similar(q, d, k=3)
     return t.select("qid", "did", F.col("rank").cast("long").alias("rank"))
 
 
@@ -53,7 +53,7 @@ SELECT qid, did, rank FROM (SELECT q.qid, d.did, row_number() OVER (PARTITION BY
 def j12(spark, sf):
     q, d = split_qd(spark, sf)
     t = J.similarity_top_k(q.withColumnRenamed("qlabel", "g"), d.withColumnRenamed("dlabel", "g"), 3,
-                           qid="qid", did="did", qvec="qvec", dvec="dvec", group="g", block_rows=256)
+                           qid="qid", did="did", qvec="qvec", dvec="dvec", group="g")
     return t.select("qid", "did", F.col("rank").cast("long").alias("rank"))
 
 
@@ -164,14 +164,18 @@ def x05(spark, sf):
     return e.select("doc_id", F.size("embedding").alias("dim"), rd(V.norm("embedding"), "norm", 3))
 
 
-@query("x08_fit_linear_preference")
+@query("x08_fit_linear_preference", """
+SELECT a.label, count(*) AS n, true AS at_optimum FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label""")
 def x08(spark, sf):
-    e = emb(spark, sf)
-    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    p = e.select("vec_id", "label", F.col("embedding").alias("a")).join(b, "vec_id")
-    p = p.withColumn("diff", V.pair_diff("a", "b"))
+    p = pairs(spark, sf).join(emb(spark, sf).select("vec_id", "label"), "vec_id").withColumn("diff", V.pair_diff("a", "b"))
     fit = X.fit_linear_preference(p, "diff", group="label")
-    return fit.select("label", "n", rd(F.col("train_accuracy"), "train_accuracy", 3))
+    # the optimum is where each component of the mean gradient, computed here from the rows, vanishes
+    rows = p.select("label", F.col("diff").cast("array<double>").alias("x")).join(fit.select("label", "weights"), "label")
+    off = 1 - 1 / (1 + F.exp(-V.dot("x", "weights")))
+    parts = rows.withColumn("off", off).select("label", "off", "weights", F.posexplode("x").alias("i", "v"))
+    g = parts.groupBy("label", "i").agg((F.avg(-F.col("off") * F.col("v")) + 1e-3 * F.first(F.get("weights", F.col("i")))).alias("g"))
+    g = g.groupBy("label").agg((F.max(F.abs("g")) < 1e-7).alias("at_optimum"))
+    return fit.select("label", "n").join(g, "label")
 
 
 @query("g11_question_groups", """
@@ -186,24 +190,25 @@ def g11(spark, sf):
 
 
 @query("l15_context_target_split", """
-SELECT uid, role, count(*) AS n FROM (
-  SELECT label AS uid, CASE WHEN rk <= 5 THEN 'context' WHEN rk <= 15 THEN 'target' END AS role FROM (
-    SELECT label, row_number() OVER (PARTITION BY label ORDER BY
+SELECT uid, qkey, CASE WHEN rk <= 5 THEN 'context' WHEN rk <= 15 THEN 'target' END AS role FROM (
+    SELECT label AS uid, vec_id AS qkey, row_number() OVER (PARTITION BY label ORDER BY
       CAST(('0x' || substr(md5(concat_ws(':', '6', CAST(label AS VARCHAR), CAST(vec_id AS VARCHAR))), 1, 15)) AS BIGINT), vec_id) AS rk
-    FROM embeddings)) GROUP BY uid, role""")
+    FROM embeddings)""")
 def l15(spark, sf):
     e = emb(spark, sf).select(F.col("label").alias("uid"), F.col("vec_id").alias("qkey"))
-    r = L.context_target_split(e, 5, 10, seed=6)
-    return r.groupBy("uid", "role").agg(F.count(F.lit(1)).alias("n"))
+    return L.context_target_split(e, 5, 10, seed=6).select("uid", "qkey", "role")
 
 
 # ---------------------------------------------------------------- J14 / J16 / J17
 @query("j14_attach_embeddings", """
-SELECT e.label, count(*) AS n FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500 GROUP BY e.label""")
+SELECT d.doc_id, e.label, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_dim, round(CAST(e.embedding[64] AS DOUBLE), 6) AS last_dim
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT max(vec_id) + 2 FROM embeddings)""")
 def j14(spark, sf):
-    docs = FX.table(spark, sf, "documents").select("doc_id").withColumn("vec_id", F.col("doc_id") % 500)
-    a = J.attach_embeddings(docs, emb(spark, sf), "vec_id", ("embedding", "label"))
-    return a.filter(F.col("embedding").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    e = emb(spark, sf)
+    # one id beyond the table's last stays without a vector
+    docs = FX.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % e.select(F.max("vec_id") + 2).scalar()).alias("vec_id"))
+    a = J.attach_embeddings(docs, e, "vec_id", ("embedding", "label"))
+    return a.select("doc_id", "label", rd(F.col("embedding")[0].cast("double"), "first_dim"), rd(F.col("embedding")[63].cast("double"), "last_dim"))
 
 
 UV_SQL = """

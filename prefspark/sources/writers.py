@@ -41,31 +41,44 @@ def write_report_csv(df: DataFrame, path: str) -> None:
 
 # S11 ------------------------------------------------------------------------
 class AnnotationStore:
-    """Persisted annotations as a Parquet table, unique on the key columns."""
+    """Persisted annotations as Parquet versions (``path/version=<n>``), unique on the key columns.
+
+    A version counts once its ``_SUCCESS`` file is there, which Spark writes last; a save that breaks off leaves
+    the version before it in force.  Versions older than the two last ones are removed by the next save.
+    """
 
     def __init__(self, spark: SparkSession, path: str,
                  keys=("instruction", "input", "output_1", "output_2", "annotator")):
-        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[tuple[int, bool]]:
+        """(number, complete) of the folders there, ascending."""
+        fs, p = self._fs(self.path)
+        if not fs.exists(p):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(p)]
+        return sorted((int(n.split("=")[1]), path_exists(self.spark, f"{self.path}/{n}/_SUCCESS")) for n in names if n.startswith("version="))
 
     def load(self) -> DataFrame | None:
-        if not path_exists(self.spark, self.path):
-            return None
-        return self.spark.read.parquet(self.path)
+        done = [v for v, ok in self._versions() if ok]
+        return self.spark.read.parquet(f"{self.path}/version={done[-1]}") if done else None
 
     def save(self, new: DataFrame) -> DataFrame:
-        """Merge ``new`` into the store (old rows win, noisy labels are not kept), write it as a new
-        version and return the merged store (U02 + compaction)."""
+        """Merge ``new`` into the store (old rows win, noisy labels are not kept, one row per key), write it as a new
+        version and return it."""
         old = self.load()
-        if old is None:
-            store = new.filter(~F.coalesce(F.col("is_noisy_label"), F.lit(False))) \
-                if "is_noisy_label" in new.columns else new
-        else:
-            store, _ = U.merge_store(old, new, self.keys)
-        tmp = self.path.rstrip("/") + ".next"
-        store.write.mode("overwrite").parquet(tmp)
-        written = self.spark.read.parquet(tmp)
-        written.write.mode("overwrite").parquet(self.path)
-        return self.spark.read.parquet(self.path)
+        store, _ = U.merge_store(new.limit(0) if old is None else old, new, self.keys)
+        there = self._versions()
+        path = f"{self.path}/version={there[-1][0] + 1 if there else 1}"
+        store.write.mode("overwrite").parquet(path)
+        for v, _ in there[:-2]:
+            fs, p = self._fs(f"{self.path}/version={v}")
+            fs.delete(p, True)
+        return self.spark.read.parquet(path)
 
 
 # S12 / S13 / S14 ------------------------------------------------------------

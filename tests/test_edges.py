@@ -193,7 +193,7 @@ def test_similarity_top_k_chunked_with_ties(spark):
     d = spark.createDataFrame([(j, D[j].tolist(), j % 2) for j in range(50)], "did long, dvec array<double>, g int")
     for grp in (None, "g"):
         got = {(r.qid, r.rank): r.did for r in J.similarity_top_k(
-            q, d, 4, group=grp, q_block_rows=3, d_block_rows=16, chunk_rows=5).collect()}
+            q, d, 4, group=grp, block_rows=5, chunk_rows=3).collect()}
         S = Q @ D.T
         for i in range(9):
             cand = [j for j in range(50) if grp is None or j % 2 == i % 2]
