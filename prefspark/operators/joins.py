@@ -273,14 +273,20 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
     d = docs.select(g.alias("_g"), F.col(did).alias("_d"), F.col(dvec).cast("array<double>").alias("_v"))
     # block counts of each group; rows go to blocks by a hash of their id, which is deterministic and
     # balanced without numbering them
-    nq = q.groupBy("_g").agg(F.ceil(F.count("*") / q_rows).alias("_nq"))
-    nd = d.groupBy("_g").agg(F.count("*").alias("_c")).select("_g", F.ceil(F.col("_c") / d_rows).alias("_nd"))
-    blocks = nq.join(nd, "_g")
+    if group:
+        nq = q.groupBy("_g").agg(F.ceil(F.count("*") / q_rows).alias("_nq"))
+        nd = d.groupBy("_g").agg(F.count("*").alias("_c")).select("_g", F.ceil(F.col("_c") / d_rows).alias("_nd"))
+        blocks = nq.join(nd, "_g")
+        q, d = q.join(blocks, "_g"), d.join(blocks, "_g")
+    else:
+        n_q = q.select(F.greatest(F.ceil(F.count("*") / q_rows), F.lit(1))).scalar()
+        n_d = docs.select(F.greatest(F.count("*"), F.lit(1))).scalar()
+        q, d = (x.withColumn("_nq", n_q).withColumn("_nd", F.ceil(n_d / d_rows)) for x in (q, d))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     block = lambda salt, c, n: F.pmod(F.xxhash64(F.lit(salt), F.col(c)), F.col(n))
     # a query row is copied once per document block of its group, a document row once per query block
-    side_q = q.join(blocks, "_g").select("_g", block("qblock", "_q", "_nq").alias("_qb"), every("_nd").alias("_db"), "_q", "_v")
-    side_d = d.join(blocks, "_g").select("_g", every("_nq").alias("_qb"), block("dblock", "_d", "_nd").alias("_db"), "_d", "_v")
+    side_q = q.select("_g", block("qblock", "_q", "_nq").alias("_qb"), every("_nd").alias("_db"), "_q", "_v")
+    side_d = d.select("_g", every("_nq").alias("_qb"), block("dblock", "_d", "_nd").alias("_db"), "_d", "_v")
     cells = side_q.unionByName(side_d.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     kk = int(k)
     q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (docs, did)))

@@ -296,7 +296,8 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
     until none is left.  A pool that cannot give such a choice is refused before any draw.
     """
     rows = survey.select(F.col(survey_key).alias("original_id"), *[F.col(c) for c in survey.columns if c != survey_key])
-    pool = rows.select(F.sort_array(F.collect_list(F.struct("*"))).alias("_pool"))
+    # a scalar sub-query: every task gets the pool without a join
+    pool = rows.select(F.sort_array(F.collect_list(F.struct("*")))).scalar()
     lo = 1 if mode == "84" else 2
     seed_key = [key] + ([copy] if copy else [])
     # md5 draws can be replayed by any SQL engine; xxhash64 is cheaper
@@ -315,9 +316,7 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
         return F.transform(words, lambda w: _floyd(w, plan, lo, hi, m))
 
     def finished(d: DataFrame) -> DataFrame:
-        # one pool row, bounded by the survey's size
-        d = d.crossJoin(F.broadcast(pool))
-        return (d.withColumn("contexts", F.transform("_idx", lambda i: at("_pool", i + 1)))
+        return (d.withColumn("_pool", pool).withColumn("contexts", F.transform("_idx", lambda i: at("_pool", i + 1)))
                  .withColumn("context_length", F.size("contexts")).drop("_pool", "_idx"))
 
     if mode != "single":
