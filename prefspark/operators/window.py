@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd  # the pandas UDF's type hints are resolved in this module
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,7 +217,12 @@ def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
     when nothing is cut.
     """
     keep = max(max_prompt_chars - prefix_len, 0)
-    big = 1 << 30 if max_text is None else int(max_text)
+    def fits(a, b, strict):
+        """Whether two texts together stay below the limit (or at it); always without one."""
+        if max_text is None:
+            return F.lit(True)
+        return F.length(a) + F.length(b) < max_text if strict else F.length(a) + F.length(b) <= max_text
+
     g = (turns.groupBy(dialog)
               .agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(user_text).alias("u"),
                                                          F.col(chosen).alias("c"),
@@ -230,9 +236,9 @@ def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
     def step(acc, x):
         u, c, r = x.getField("u"), x.getField("c"), x.getField("r")
         h0 = F.concat(acc.getField("h"), F.coalesce(F.concat(F.lit(user_wrap[0]), u, F.lit(user_wrap[1])), F.lit("")))
-        usable = u.isNotNull() & c.isNotNull() & (F.length(u) + F.length(c) < big)
+        usable = u.isNotNull() & c.isNotNull() & fits(u, c, True)
         h1 = F.when(usable, cut(h0)).otherwise(h0)
-        emit = usable & r.isNotNull() & (F.length(u) + F.length(r) <= big)
+        emit = usable & r.isNotNull() & fits(u, r, False)
         row = F.struct(x.getField("t").alias("t"), h1.alias("history"), c.alias("c"), r.alias("r"))
         rows = F.when(emit, F.concat(acc.getField("rows"), F.array(row))).otherwise(acc.getField("rows"))
         h2 = F.concat(h1, F.coalesce(F.concat(F.lit(chosen_wrap[0]), c, F.lit(chosen_wrap[1])), F.lit("")))
@@ -261,18 +267,30 @@ def gae(df: DataFrame, gamma: float, lam: float, rewards: str = "rewards", value
     """Generalised advantage estimate on one row per trajectory (arrays).
 
     A_t = d_t + gamma*lam*A_{t+1}, d_t = r_t + gamma*V_{t+1} - V_t, V_T = 0;
-    computed by a reverse fold over the array; returns = A + V.
+    computed by one reverse scan per array on Arrow batches (a fold that appends to an array
+    in the JVM copies it at each step); returns = A + V.
     """
+    import pandas as pd
+
     g, gl = float(gamma), float(gamma) * float(lam)
     r, v = F.col(rewards), F.col(values)
     n = F.size(r)
     nxt_v = F.transform(v, lambda x, i: F.when(i + 1 < n, at(v, i + 2)).otherwise(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(r, nxt_v, lambda a, b: a + F.lit(g) * b), v, lambda a, b: a - b)
-    rev = F.reverse(delta)
-    folded = F.aggregate(rev, F.array().cast("array<double>"),
-                         lambda acc, d: F.concat(acc, F.array(d + F.lit(gl) * F.coalesce(
-                             at(acc, -1), F.lit(0.0)))))
-    adv = F.reverse(folded)
+
+    @F.pandas_udf("array<double>")
+    def scan(deltas: pd.Series) -> pd.Series:
+        def one(ds):
+            if ds is None:
+                return None
+            out, later = [None] * len(ds), 0.0
+            for i in range(len(ds) - 1, -1, -1):
+                out[i] = None if ds[i] is None else float(ds[i]) + gl * later
+                later = out[i] or 0.0
+            return out
+        return deltas.map(one)
+
+    adv = scan(delta)
     return (df.withColumn(out_adv, adv)
               .withColumn(out_ret, F.zip_with(F.col(out_adv), v, lambda a, b: a + b)))
 

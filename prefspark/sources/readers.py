@@ -56,16 +56,16 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: T.DataType, ke
 def read_lookup(spark: SparkSession, path: str, name: str = "worker", value: str | None = None) -> DataFrame:
     """Whitespace text list: ``name`` per line, optionally ``name value``.  Ids are numbered from
     1 in file order (0 stays reserved for unknown).  A lookup file is small by nature (a user
-    list); it is read whole and its rows numbered within the file."""
+    list); it is read whole and its rows are numbered by line, over several files by path and line."""
     raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split(F.col("value"), "\n")).alias("_ln", "_l")).filter(F.length(F.trim("_l")) > 0)
+    lines = raw.select(F.col("_metadata.file_path").alias("_f"), F.posexplode(F.split(F.col("value"), "\n")).alias("_ln", "_l")).filter(F.length(F.trim("_l")) > 0)
     parts = F.split(F.trim(F.col("_l")), r"\s+")
     cols = [parts[0].alias(name)]
     if value is not None:
         cols.append(parts[1].alias(value))
-    d = lines.select("_ln", *cols)
+    d = lines.select("_f", "_ln", *cols)
     from ..operators.window import dense_position
-    return dense_position(d, "_ln", "uid", base=1).drop("_ln")
+    return dense_position(d, ["_f", "_ln"], "uid", base=1).drop("_f", "_ln")
 
 
 # S05 / S06 ------------------------------------------------------------------
@@ -76,11 +76,13 @@ def read_saved(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def read_prompts(spark: SparkSession, path: str, fmt: str = "json", text: str = "prompt") -> DataFrame:
     """Prompt list with an explicit ``prompt_id``.  ``fmt="json_list"`` reads files holding one
-    JSON list each and numbers the entries by position (file by file)."""
+    JSON list each and numbers the entries by file path and position."""
     if fmt == "json_list":
         raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
         arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
-        return raw.select("_f", F.posexplode(arr).alias("prompt_id", text)).drop("_f")
+        from ..operators.window import dense_position
+        entries = raw.select("_f", F.posexplode(arr).alias("_n", text))
+        return dense_position(entries, ["_f", "_n"], "prompt_id").select("prompt_id", text)
     return spark.read.format(fmt).load(path)
 
 
