@@ -7,6 +7,7 @@ Everything here works on one batch inside a Spark task; memory is bounded by the
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -42,9 +43,36 @@ def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and what their allocators
+    keep would add up over the stages of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
+
+
+def releasing(run):
+    """``run`` (batches -> batches) that releases memory when its task ends."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
+
+
 def text_chunks(batches, column: str = "text", chunk_bytes: int = CHUNK_BYTES):
     """Slices of record batches of at most ``chunk_bytes`` of text (one row at least), as
-    (slice, bytes, offsets)."""
+    (slice, bytes, offsets).  Memory is released after the last one."""
+    try:
+        yield from _text_chunks(batches, column, chunk_bytes)
+    finally:
+        release()
+
+
+def _text_chunks(batches, column: str, chunk_bytes: int):
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -72,7 +100,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd multiplier and of its inverse modulo 2**64."""
     home = worker_cache("powers", lambda: {})
     if len(home.get("p", ())) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 8)
         for key, base in (("p", _MULT), ("q", pow(_MULT, -1, 1 << 64))):
             t = np.full(size, base, dtype=np.uint64)
             t[0] = 1
@@ -164,3 +192,32 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def table(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A length-prefixed compressed array of unsigned integers."""
+    raw = x.astype("<u8").tobytes() if x.dtype.itemsize == 8 else x.astype(f"<u{x.dtype.itemsize}").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    if size == 0:
+        return np.zeros(0, dtype)
+    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype)
+
+
+def range_cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted 64-bit keys change from one of ``parts`` equal ranges to the next."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def byte_planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of unsigned integers, all lowest ones first; compresses small values well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).ravel()
+
+
+def from_planes(planes: np.ndarray, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()

@@ -6,12 +6,21 @@ node's rows), so no component is gathered in one task; each round is written to
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
+def drop_finished(spark) -> None:
+    """Let Spark remove the shuffle files of finished rounds now; its cleaner acts when the driver's garbage is
+    collected, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, root): root is the smallest node of the component; nodes without edges are absent."""
     cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
@@ -20,13 +29,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
         sym = cur.union(cur.select("v", "u"))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = large.where("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         cur = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                           .union(small.select("u", F.col("m").alias("v"))).distinct())
         now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
         if mark == (now["n"], now["s"]):
+            drop_finished(edges.sparkSession)
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = (now["n"], now["s"])

@@ -1,20 +1,20 @@
 """Near duplicates: exact Jaccard self-join of word-shingle sets with several global token orders.
 
-1. One pass gives every document its set size and a 128-bit digest of its set; documents of equal
-   sets form one class, and only classes are joined.  The same pass counts shingles that many
-   documents of a batch share; the ``HOT`` most frequent ones are ordered last.  (Any fixed order
-   gives right results; the counts only make candidates fewer.)
-2. A second pass emits each class's prefix, the first ``n - ceil(0.75 n) + 1`` shingles under the
-   first order, packed by hash partition.  Two sets that link share a prefix shingle under *every*
-   global order.  Per partition, classes that share a prefix shingle form a group; a group gives
-   pairs with its smallest member, and groups of three or more are kept for later rounds.
-3. A pair whose bucket counts (256 per set) bound its overlap below the threshold is dropped; the texts of
-   candidate classes are fetched once.  A pair must then share a prefix shingle under two further
-   orders before its sets are intersected exactly.
-4. Links give components.  A group whose members are not all in one component pairs its members
-   with further pivots, twice as many each round, until every pair of members has been compared or
-   lies within one component.  So a group of copies costs a pair per member, and no link between
-   different components is lost.
+1. One pass turns blocks of documents into their distinct shingles, dealt by hash range.  A range counts in
+   how many documents each shingle occurs and answers each block with those that occur twice or more.
+   Documents of equal sets (128-bit digests) form one class, and only classes are joined.
+2. First order: rare shingles first.  Two sets that link share one of their first ``n - ceil(0.75 n) + 1``
+   shingles under *every* global order, so shingles of one document alone fill most prefixes and only the shared
+   ones left in a prefix are sent on.  Classes that share one form a group; a group gives pairs with its
+   smallest member.
+3. A pair whose bucket counts bound its overlap below the threshold is dropped; the texts of candidate
+   classes are fetched once.  A pair must then share a prefix shingle under two further orders before its sets
+   are intersected exactly.
+4. Links give components.  In a group that still spans several components members of different components
+   are compared by their bucket counts, in cells of at most ``CELL`` x ``CELL`` members that make no rows but for
+   pairs that may link.  ``BEST`` rounds first verify each member's likeliest partner, which joins most
+   near copies; then all pairs that are left between components are verified.  So a group of
+   copies costs a few pairs per member, and no link between different components is lost.
 
 Defined results: a null or word-less text has an empty set and links with nothing; fewer than
 ``k`` words are one shingle; repeated rows share a class; a null id is never the smallest of a
@@ -24,21 +24,26 @@ component (a component of null ids only has a null id); extra columns are ignore
 from __future__ import annotations
 
 import uuid
+import zlib
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_table_path
-from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, ranges, span_hash, table, text_chunks, word_spans
-from .components import components
+from ..session import scratch_table_path
+from .arrays import (byte_planes, doc_bounds, from_planes, lower_ascii, mix, packed, prefix_sums, range_cuts, ranges, span_hash, table,
+                     text_chunks, unpacked, word_spans)
+from .components import components, drop_finished
 
-#: shingles whose frequency shapes the order; bounds what is broadcast (12 bytes each)
-HOT = 1 << 16
-ROWS_PER_PART = 1_500_000
-ORDERS = (1, 2, 3)
+BLOCK_BYTES = 4 << 20
+TOKENS_PER_RANGE = 1_000_000
+CELL = 1000
+BEST = 2
+ORDERS = (1, 2)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
@@ -73,13 +78,9 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def order_keys(tokens: np.ndarray, hot: np.ndarray, hot_class: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of shingles under one global order: frequent ones last, others by a hash."""
-    key = mix(tokens, order) >> np.uint64(8)
-    if len(hot) and len(tokens):
-        p = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        key |= np.where(hot[p] == tokens, hot_class[p], 0).astype(np.uint64) << np.uint64(56)
-    return key
+def order_keys(tokens: np.ndarray, order: int) -> np.ndarray:
+    """Sort keys of shingles under one of the hashed global orders."""
+    return mix(tokens, order)
 
 
 def prefix_length(n: int, pct: int) -> int:
@@ -92,76 +93,161 @@ def prefix(keys: np.ndarray, pct: int) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes | None:
-    """How many shingles fall in each of 256 hash buckets, in 1 or 2 bytes each; None beyond that."""
-    c = np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256)
-    most = c.max()
-    return None if most > 65535 else c.astype("<u1" if most < 256 else "<u2").tobytes()
+    """How many shingles fall in each of 64 or more hash buckets (a power of two, about one shingle each);
+    None where a count exceeds a byte."""
+    bits = max(6, (len(tokens) // 2).bit_length())
+    c = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else None
+
+
+def folded(s: np.ndarray, size: int) -> np.ndarray:
+    """Counts of a sketch (or of rows of sketches) in ``size`` buckets, at most its own."""
+    return s if s.shape[-1] == size else s.reshape(*s.shape[:-1], size, -1).sum(axis=-1)
 
 
 def overlap_bound(a: bytes | None, b: bytes | None, n: int) -> int:
     """No two sets with these sketches share more shingles than this (n: the smaller set's size)."""
     if a is None or b is None:
         return n
-    x, y = (np.frombuffer(v, "<u1" if len(v) == 256 else "<u2") for v in (a, b))
-    return int(np.minimum(x, y).sum(dtype=np.int64))
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    size = min(len(x), len(y))
+    return int(np.minimum(folded(x, size), folded(y, size)).sum())
 
 
-def _measure(k: int):
-    """Per row: (doc_id, n, key, sketch); per batch: frequent shingles (token, freq)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()),
-                        ("token", pa.int64()), ("freq", pa.int64())])
+def may_link(bound, m, n, pct: int):
+    return 100 * bound >= pct * (m + n - bound)
 
-    def run(batches):
-        for part, data, off in text_chunks(batches, "text", 4 << 20):
-            sets = shingle_sets(data, off, k)
-            keys = [digest(x) if len(x) else None for x in sets]
-            m = len(sets)
-            distinct = {q: x for q, x in zip(keys, sets) if q}
-            token, freq = np.unique(np.concatenate(list(distinct.values()) or [np.zeros(0, np.uint64)]), return_counts=True)
-            often = freq >= max(4, len(distinct) // 500)
-            token, freq = token[often].view(np.int64), freq[often]
-            f = len(token)
-            yield table(schema, doc_id=part.column(0).to_pylist() + [None] * f, n=[len(x) for x in sets] + [None] * f,
-                        key=keys + [None] * f, sketch=[sketch(x) if len(x) else None for x in sets] + [None] * f, token=[None] * m + token.tolist(), freq=[None] * m + freq.tolist())
 
-    return run, "doc_id long, n long, key binary, sketch binary, token long, freq long"
+_SHINGLES = pa.schema([("p", pa.int32()), ("block", pa.string()), ("tokens", pa.binary()), ("docs", pa.binary()), ("ids", pa.list_(pa.int64())),
+                       ("ns", pa.list_(pa.int64())), ("keys", pa.list_(pa.binary())), ("sketches", pa.list_(pa.binary()))])
+_SHINGLES_SQL = "p int, block string, tokens binary, docs binary, ids array<long>, ns array<long>, keys array<binary>, sketches array<binary>"
 
 
-def _prefixes(k: int, pct: int, parts: int, hot):
-    """Per partition of shingles: packed (shingle key, class) rows of the first order's prefixes."""
-    schema = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("idx", pa.binary()), ("sets", pa.binary())])
+def _residual_shift(parts: int) -> int:
+    """Bits to drop so that a token within its range takes 32 bits; the range says the others."""
+    return max(0, 64 - (parts.bit_length() - 1) - 32)
+
+
+def _shingles(k: int, parts: int):
+    """Blocks of documents: a row with the documents' sizes, digests and sketches (p < 0) and, for each hash range, the
+    sorted shingles with their documents.  A set that the task has seen before is not sent again."""
 
     def run(batches):
-        hot_t, hot_c = hot.value if hot is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        seen, held, rows = set(), [], 0
+        task, made, seen = TaskContext.get().partitionId(), 0, set()
+        shift = np.uint64(_residual_shift(parts))
+        ids, sets, size = [], [], 0
 
         def flush():
-            key = np.concatenate([x for _, _, x in held])
-            idx = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for _, _, x in held])
-            heads = np.frombuffer(b"".join(q + n.to_bytes(4, "little") for q, n, _ in held), dtype=[("q", "V16"), ("n", "<u4")])
-            p = (key & np.uint64(0xFFFFFF)) % np.uint64(parts)
-            order = np.argsort(p, kind="stable")
-            cut = np.searchsorted(p[order], np.arange(parts + 1))
-            out = [[], [], [], []]
+            keys = [digest(x) if len(x) else None for x in sets]
+            block = f"{task}-{made}"
+            send = []
+            for i, q in enumerate(keys):
+                if q is not None and q not in seen:
+                    seen.add(q)
+                    send.append(i)
+            cols: dict = {n: [] for n in _SHINGLES.names}
+
+            def row(**kw):
+                for n in cols:
+                    cols[n].append(kw.get(n))
+
+            row(p=-1 - zlib.crc32(block.encode()) % parts, block=block, ids=ids, ns=[len(x) for x in sets], keys=keys,
+                sketches=[sketch(x) if len(x) else None for x in sets])
+            if send:
+                token = np.concatenate([sets[i] for i in send])
+                doc = np.repeat(np.array(send, np.uint32), [len(sets[i]) for i in send])
+                order = np.argsort(token)
+                token, doc = token[order], doc[order]
+                cut = range_cuts(token, parts)
+                for p in range(parts):
+                    a, b = int(cut[p]), int(cut[p + 1])
+                    if b > a:
+                        rel = ((token[a:b] - np.uint64((p << 64) // parts)) >> shift).astype(np.uint32)
+                        row(p=p, block=block, tokens=packed(byte_planes(np.diff(rel, prepend=np.uint32(0)))), docs=packed(byte_planes(doc[a:b])))
+            return table(_SHINGLES, **cols)
+
+        for rows, data, off in text_chunks(batches):
+            sets += shingle_sets(data, off, k)
+            ids += rows.column(0).to_pylist()
+            size += len(data)
+            if size >= BLOCK_BYTES:
+                yield flush()
+                ids, sets, size, made = [], [], 0, made + 1
+        if sets:
+            yield flush()
+
+    return run, _SHINGLES_SQL
+
+
+_SHARED_SQL = _SHINGLES_SQL + ", df binary"
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """A hash range: each block's shingles that occur in two documents or more, with a frequency class.  Rows with
+    the documents pass."""
+    schema = _SHINGLES.append(pa.field("df", pa.binary()))
+    if t["p"][0].as_py() < 0:
+        return t.append_column("df", pa.nulls(t.num_rows, pa.binary()))
+    p, blocks = t["p"][0].as_py(), t["block"].to_pylist()
+    token = [np.cumsum(from_planes(unpacked(x, np.uint8), np.uint32), dtype=np.uint32) for x in t["tokens"].to_pylist()]
+    sizes = [len(x) for x in token]
+    uniq, inv, count = np.unique(np.concatenate(token), return_inverse=True, return_counts=True)
+    level = np.minimum(255, 1 + 8 * np.log2(count)).astype(np.uint8)
+    keep, at = count[inv] > 1, 0
+    cols: dict = {n: [] for n in schema.names}
+    for block, x, docs, n in zip(blocks, token, t["docs"].to_pylist(), sizes):
+        own = keep[at: at + n]
+        if own.any():
+            doc = from_planes(unpacked(docs, np.uint8), np.uint32)[own]
+            for c, v in (("p", p), ("block", block), ("tokens", packed(byte_planes(np.diff(x[own], prepend=np.uint32(0))))),
+                         ("docs", packed(byte_planes(doc))), ("df", packed(level[inv[at: at + n][own]]))):
+                cols[c].append(v)
+            for c in ("ids", "ns", "keys", "sketches"):
+                cols[c].append(None)
+        at += n
+    return pa.Table.from_batches([table(schema, **cols)])
+
+
+def _prefixes(pct: int, parts: int):
+    """A block's documents with their shared shingles: the shared ones within each prefix under the first order
+    (by frequency, those of one document first), dealt by shingle."""
+    schema = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("idx", pa.binary()), ("sets", pa.binary())])
+
+    def run(t: pa.Table) -> pa.Table:
+        cols: dict = {n: [] for n in schema.names}
+        rows = t.to_pylist()
+        ns = keys = None
+        token, doc, df = [], [], []
+        for r in rows:
+            if r["p"] < 0:
+                ns, keys = np.array(r["ns"], np.int64), r["keys"]
+                continue
+            x = np.cumsum(from_planes(unpacked(r["tokens"], np.uint8), np.uint32), dtype=np.uint32).astype(np.uint64)
+            token.append(x | np.uint64(r["p"]) << np.uint64(32))
+            doc.append(from_planes(unpacked(r["docs"], np.uint8), np.uint32).astype(np.int64))
+            df.append(unpacked(r["df"], np.uint8))
+        if token:
+            doc, df = np.concatenate(doc), np.concatenate(df).astype(np.uint64)
+            key = mix(np.concatenate(token), 31) >> np.uint64(8) | df << np.uint64(56)
+            order = np.lexsort((key, doc))
+            key, doc = key[order], doc[order]
+            at = doc_bounds(doc, len(ns))
+            have = np.diff(at)
+            # a prefix begins with the shingles of this document alone
+            want = np.minimum(have, np.maximum(0, (ns + (-pct * ns // 100) + 1) - (ns - have)))
+            pick = ranges(at[:-1], want)
+            key, doc = key[pick], doc[pick]
+            part = (mix(key, 7) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
             for i in range(parts):
                 o = order[cut[i]: cut[i + 1]]
                 if len(o):
-                    used, local = np.unique(idx[o], return_inverse=True)
-                    for c, v in zip(out, (i, key[o].tobytes(), local.astype("<u4").tobytes(), heads[used].tobytes())):
+                    used, local = np.unique(doc[o], return_inverse=True)
+                    heads = b"".join(keys[d] + int(ns[d]).to_bytes(4, "little") for d in used)
+                    for c, v in zip(cols.values(), (i, key[o].tobytes(), local.astype("<u4").tobytes(), heads)):
                         c.append(v)
-            return table(schema, **dict(zip(schema.names, out)))
-
-        for _, data, off in text_chunks(batches, "text", 4 << 20):
-            for x in shingle_sets(data, off, k):
-                if len(x) and (q := digest(x)) not in seen:
-                    seen.add(q)
-                    held.append((q, len(x), prefix(order_keys(x, hot_t, hot_c, ORDERS[0]), pct)))
-                    rows += len(held[-1][2])
-            if rows > 2_000_000:
-                yield flush()
-                held, rows = [], 0
-        if held:
-            yield flush()
+        return pa.Table.from_batches([table(schema, **cols)])
 
     return run, "p int, keys binary, idx binary, sets binary"
 
@@ -221,18 +307,16 @@ def _group(pct: int):
     return run, "gid long, a binary, an long, b binary, bn long"
 
 
-def _verify(k: int, pct: int, hot):
+def _verify(k: int, pct: int):
     """Rows sorted by pivot (its own text first): links of the pivot with its members."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        hot_t, hot_c = hot.value if hot is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
         def prefixes(x):
-            return [prefix(order_keys(x, hot_t, hot_c, o), pct) for o in ORDERS[1:]]
+            return [prefix(order_keys(x, o), pct) for o in ORDERS]
 
         pivot, own, own_p = None, None, None
-        for part, data, off in text_chunks(batches, "text", 2 << 20):
+        for part, data, off in text_chunks(batches):
             a_col, b_col = part.column(0).to_pylist(), part.column(1).to_pylist()
             links: list[list] = [[], []]
             for a, b, x in zip(a_col, b_col, shingle_sets(data, off, k)):
@@ -261,25 +345,101 @@ def _near(pct: int):
     def run(batches):
         for t in batches:
             a, an, sa, b, bn, sb = (c.to_pylist() for c in t.columns)
-            stay = [100 * (o := overlap_bound(x, y, min(m, n))) >= pct * (m + n - o) for x, y, m, n in zip(sa, sb, an, bn)]
-            mask = pa.array(stay, pa.bool_())
+            mask = pa.array([bool(may_link(overlap_bound(x, y, min(m, n)), m, n, pct)) for x, y, m, n in zip(sa, sb, an, bn)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(3).filter(mask)], schema=schema)
 
     return run, "a binary, b binary"
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pct: int, hot) -> DataFrame:
+def _cells(pct: int, best: bool):
+    """Rows sorted by cell: each member's partners in other components whose sketches allow a link; with ``best``
+    only the likeliest one, and the share of the overlap that its sketch allows.  A pair stands once in a cell."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.list_(pa.binary())), ("share", pa.float64())])
+
+    def within(rows):
+        diagonal = rows[0][1] == rows[0][2]
+        keys = [r[4] for r in rows]
+        ns = np.array([r[6] for r in rows], np.int64)
+        roots = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)[1]
+        side = np.array([r[3] for r in rows])
+        size = np.array([len(r[7]) if r[7] is not None else 0 for r in rows])
+        packs = {}
+        for z in np.unique(size).tolist():
+            at = np.flatnonzero((size == z) & (diagonal | (side == rows[0][2])))
+            if len(at):
+                packs[z] = at, np.frombuffer(b"".join(rows[i][7] for i in at), np.uint8).reshape(-1, z) if z else None
+        for i in np.flatnonzero(diagonal | (side == rows[0][1])).tolist():
+            own = np.frombuffer(rows[i][7], np.uint8).astype(np.int16) if size[i] else None
+            found, shares = [], []
+            for z, (at, sk) in packs.items():
+                near = (100 * np.minimum(ns[at], ns[i]) >= pct * np.maximum(ns[at], ns[i])) & (roots[at] != roots[i])
+                if diagonal and not best:
+                    near &= at > i
+                pick = np.flatnonzero(near)
+                if not len(pick):
+                    continue
+                other, share = at[pick], np.ones(len(pick))
+                if own is not None and z:
+                    low = min(z, len(own))
+                    bound = np.minimum(folded(sk[pick], low), folded(own, low)).sum(axis=1, dtype=np.int64)
+                    ok = may_link(bound, ns[other], ns[i], pct)
+                    other, share = other[ok], (bound / (ns[other] + ns[i] - bound))[ok]
+                found.append(other)
+                shares.append(share)
+            found = np.concatenate(found) if found else np.zeros(0, np.int64)
+            if len(found):
+                shares = np.concatenate(shares)
+                top = int(shares.argmax())
+                yield keys[i], [keys[j] for j in (found[[top]] if best else found).tolist()], float(shares[top])
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        held, size = [], 0
+        for _, cell in groupby(rows(), key=lambda r: r[:3]):
+            for r in within(list(cell)):
+                held.append(r)
+                size += len(r[1])
+                if size > 100_000:
+                    yield table(schema, **dict(zip(schema.names, zip(*held))))
+                    held, size = [], 0
+        if held:
+            yield table(schema, **dict(zip(schema.names, zip(*held))))
+
+    return run, "a binary, b array<binary>, share double"
+
+
+def _pairs_between_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, pct: int, best: bool) -> DataFrame:
+    """Candidate pairs (a < b) of the groups that span several components.  A group's members go to blocks of about
+    ``CELL``; a cell holds two of its blocks."""
+    now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", F.coalesce("root", "key").alias("root"))
+    size = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count("*") / CELL).cast("int").alias("_b"))
+    now = now.join(size.where("_lo != _hi").select("gid", "_b"), "gid")
+    now = now.withColumn("own", F.pmod(F.xxhash64("key"), F.col("_b")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_b") - 1)
+    cells = (now.join(classes.select("key", "n", "sketch"), "key")
+             .select("gid", "own", "key", "root", "n", "sketch", F.explode(every).alias("_o"))
+             .select("gid", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "key", "root", "n", "sketch"))
+    run, out = _cells(pct, best)
+    found = cells.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, out)
+    # a member's partners in all its groups, each once
+    if best:
+        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    else:
+        found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
+    found = found.select("a", F.explode("b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(near: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
     """Exact links among candidate pairs (a, b); ``texts`` has the candidates' texts by key."""
-    own = classes.select("key", "n", "sketch")
-    run, out = _near(pct)
-    near = (pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
-            .select("a", "an", "sa", "b", "bn", "sb").mapInArrow(run, out))
-    near = materialize(near)
     load = near.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("_s"))
     members = near.join(load, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_s"))).select("a", "_salt", "b", F.col("b").alias("key"))
     pivots = members.select("a", "_salt").distinct().select("a", "_salt", F.lit(None).cast("binary").alias("b"), F.col("a").alias("key"))
     rows = pivots.union(members).join(texts, "key").repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
-    run, out = _verify(k, pct, hot)
+    run, out = _verify(k, pct)
     return rows.select("a", "b", "text").mapInArrow(run, out)
 
 
@@ -291,58 +451,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     def written(df, name):
         path = scratch_table_path(spark, f"jaccard-{tag}-{name}")
         df.write.mode("overwrite").parquet(path)
+        drop_finished(spark)
         return spark.read.parquet(path)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    run, out = _measure(k)
-    seen = written(docs.mapInArrow(run, out), "sets")
-    hot_rows = (seen.where("token is not null").groupBy("token").agg(F.sum("freq").alias("f"))
-                .orderBy(F.desc("f"), "token").limit(HOT).collect())
-    hot = None
-    if hot_rows:
-        t = np.array([r["token"] for r in hot_rows], np.int64).view(np.uint64)
-        f = np.array([r["f"] for r in hot_rows], np.float64)
-        o = np.argsort(t)
-        hot = spark.sparkContext.broadcast((t[o], np.minimum(255, 8 * np.log2(f[o]) + 1).astype(np.uint64)))
-    ids = seen.where("n is not null").select("doc_id", "n", "key")
-    classes = written(seen.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
-    total = classes.agg(F.sum("n")).collect()[0][0] or 0
-    parts = max(4, -(-total * (100 - pct) // 100 // ROWS_PER_PART))
-    run, out = _prefixes(k, pct, parts, hot)
-    grouped = docs.mapInArrow(run, out)
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    parts = max(4, -(-size // 6 // TOKENS_PER_RANGE))
+    run, out = _shingles(k, parts)
+    shared = written(docs.mapInArrow(run, out).groupBy("p").applyInArrow(_shared, _SHARED_SQL), "shared")
+    ids = (shared.where("p < 0").select(F.explode(F.arrays_zip("ids", "ns", "keys", "sketches")).alias("x"))
+           .select(F.col("x.ids").alias("doc_id"), F.col("x.ns").alias("n"), F.col("x.keys").alias("key"), F.col("x.sketches").alias("sketch")))
+    classes = written(ids.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"),
+                                                                     F.max("sketch").alias("sketch")), "classes")
+    parts = max(4, parts // 8)
+    run, out = _prefixes(pct, parts)
+    prefixes = shared.select("block", "p", "tokens", "docs", "df", "ns", "keys").groupBy("block").applyInArrow(run, out)
     run, out = _group(pct)
-    found = written(grouped.groupBy("p").applyInPandas(run, out), "groups")
+    found = written(prefixes.groupBy("p").applyInPandas(run, out), "groups")
     pairs = found.where("b is not null").select("a", "b").distinct()
-    groups = found.where("b is null").select("gid", F.col("a").alias("key"), F.col("an").alias("n")).distinct()
-    need = found.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == classes["key"]).select("key", "rep")
+    groups = found.where("b is null").select("gid", F.col("a").alias("key")).distinct()
+    own = classes.select("key", "n", "sketch")
+    run, out = _near(pct)
+    near = written(pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
+                   .select("a", "an", "sa", "b", "bn", "sb").mapInArrow(run, out), "near")
+    need = near.select("a").union(near.select("b")).union(groups.select("key")).distinct()
+    need = need.join(classes, need["a"] == classes["key"]).select("key", "rep")
     # rows of a repeated id with another text are told apart by their digests later
     texts = written(docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("key", "text"), "texts")
-    links = written(_links(pairs, classes, texts, k, pct, hot), "links")
+    links = written(_links(near, texts, k, pct), "links")
     comp = components(links, "a", "b")
-    pivots, done, step = 16, pairs, 0
-    while True:
-        # members still to be compared: groups that span more than one component
-        now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
-        open_ = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("gid")
-        step += 1
-        now = written(now.join(open_, "gid"), f"open{step}")
-        if now.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("key", F.lit(pivots)), F.lit(pivots))
-        chosen = (now.withColumn("_k", slot).groupBy("gid", "_k").agg(F.min(F.struct("key", "n", "root")).alias("x"))
-                  .select("gid", F.col("x.key").alias("a"), F.col("x.n").alias("an"), F.col("x.root").alias("ar")))
-        size = F.least("n", "an") * 100 >= F.greatest("n", "an") * pct
-        fresh = (now.join(chosen, "gid").where((F.col("root") != F.col("ar")) & size)
-                 .select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-                 .join(done, ["a", "b"], "left_anti"))
-        fresh = written(fresh, f"pairs{step}")
-        more = written(_links(fresh, classes, texts, k, pct, hot), f"links{step}")
-        if not more.isEmpty():
-            links = links.union(more)
+    done = pairs
+    for step in range(BEST + 1):
+        more = _pairs_between_components(groups, comp, classes, pct, step < BEST).join(done, ["a", "b"], "left_anti")
+        more = written(more, f"more{step}")
+        fresh = written(_links(more, texts, k, pct), f"links{step}")
+        if not fresh.isEmpty():
+            links = links.union(fresh)
             comp = components(links, "a", "b")
-        done = done.union(fresh)
-        groups = now.join(chosen.select("gid", F.col("a").alias("key")), ["gid", "key"], "left_anti").select("gid", "key", "n")
-        pivots *= 4
+        done = done.union(more)
     named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")

@@ -34,32 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
-from .arrays import doc_bounds, lower_ascii, mix, prefix_sums, span_hash, table, text_chunks, word_spans
+from .arrays import doc_bounds, lower_ascii, mix, packed, prefix_sums, range_cuts, span_hash, table, text_chunks, unpacked, word_spans
 
 BLOCK_BYTES = 6 << 20
 KEYS_PER_RANGE = 1_000_000
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """A length-prefixed compressed array of unsigned integers."""
-    raw = x.astype("<u8").tobytes() if x.dtype.itemsize == 8 else x.astype(f"<u{x.dtype.itemsize}").tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpacked(blob: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(blob[:8], "little")
-    if size == 0:
-        return np.zeros(0, dtype)
-    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype)
-
-
-def range_cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted 64-bit keys change from one of ``parts`` equal ranges to the next."""
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
 def _short(keys: np.ndarray, part: int, parts: int) -> bytes:
     """Keys of one range in 6 bytes: the range says the leading bits."""
     shift = np.uint64(max(0, 64 - (parts.bit_length() - 1) - 48))
