@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are its pieces between line feeds and sentence marks (``. , ; : ! ?``), without surrounding
-blanks.  A digest is 40 bits of hash (of the piece and of how often it stood before in the same text, so
+blanks; a piece of over ``LONG`` bytes also ends behind every word whose hash is a multiple of 4, so that texts
+without marks are resolved too.  A digest is 40 bits of hash (of the piece and of how often it stood before in the same text, so
 a repeated piece counts each time) and 24 bits of byte length.  A sketch has three rows of ``cells``
 cells; each digest is added to one cell per row as (count, xor of digests, xor of checks).
 
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mix, prefix_sums, span_hash, text_buffer, worker_cache
+from .arrays import mix, prefix_sums, span_hash, text_buffer, word_spans, worker_cache
 
 ROWS = 3
 CELLS = 8
+LONG = 40
 LENGTH = np.uint64((1 << 24) - 1)
 
 
@@ -51,6 +53,12 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     kind = worker_cache("paragraph_marks", _marks)[data]
     # a piece ends after a mark and at a line feed
     cuts = np.unique(np.concatenate([offsets, np.flatnonzero(kind == 1) + 1, np.flatnonzero(kind == 2), np.flatnonzero(kind == 2) + 1]))
+    sums = prefix_sums(data)
+    long_ = np.diff(cuts) > LONG
+    if long_.any():
+        s, e, _ = word_spans(data, offsets)
+        e = e[span_hash(sums, s, e) & np.uint64(3) == 0]
+        cuts = np.unique(np.concatenate([cuts, e[long_[np.searchsorted(cuts, e, side="left") - 1]]]))
     starts, ends = cuts[:-1], cuts[1:]
     # blanks around a piece do not count
     solid = np.concatenate([[0], np.cumsum((kind != 2) & (kind != 3))])
@@ -59,7 +67,7 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero((kind != 2) & (kind != 3))
     first, last = at[solid[starts]], at[solid[ends] - 1] + 1
     doc = np.searchsorted(offsets, starts, side="right") - 1
-    h = span_hash(prefix_sums(data), first, last)
+    h = span_hash(sums, first, last)
     # how often the piece stood before in its document
     order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]

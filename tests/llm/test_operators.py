@@ -40,12 +40,28 @@ def rows(df):
 
 # --- 1 fingerprints
 
+def word_hash(word, seen={}):  # noqa: B006
+    from prefspark.llm.arrays import prefix_sums, span_hash
+    if word not in seen:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        seen[word] = int(span_hash(prefix_sums(raw), np.array([0]), np.array([len(raw)]))[0])
+    return seen[word]
+
+
 def pieces(t):
     c = collections.Counter()
-    for x in re.split(r"(?<=[.,;:!?])|\n", t):
-        x = x.strip(" \t\x0b\x0c\r\n")
-        if x:
-            c[x] += 1
+    words = {m.end() for m in WORD.finditer(t) if word_hash(m[0]) % 4 == 0}
+    at = 0
+    for x in re.split(r"(?<=[.,;:!?])|(\n)", t):
+        if not x:
+            continue
+        end = at + len(x)
+        cuts = sorted({at, end} | ({w for w in words if at < w < end} if len(x.encode()) > 40 else set()))
+        for a, b in zip(cuts, cuts[1:]):
+            y = t[a:b].strip(" \t\x0b\x0c\r\n")
+            if y:
+                c[y] += 1
+        at = end
     return c
 
 
