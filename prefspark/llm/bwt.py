@@ -96,8 +96,8 @@ def repeated_starts(strings: list[bytes], min_len: int) -> list[np.ndarray]:
         if len(new) == 0:
             break
         found = []
-        for a in range(0, len(new), 1 << 15):
-            image = (block[:, None] + occ.rank(new[a: a + (1 << 15)])).ravel()
+        for a in range(0, len(new), 1 << 13):
+            image = (block[:, None] + occ.rank(new[a: a + (1 << 13)])).ravel()
             image = image[~known[image]]
             known[image] = True
             found.append(image)

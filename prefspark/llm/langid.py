@@ -22,8 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import releasing
+
 ORDERS = (4, 3, 2, 1)
-_KEEP = 400_000
+_KEEP = 200_000
 
 
 def _words():
@@ -64,7 +66,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 out += [(lang, n, g, k) for n in ORDERS for g, k in by[n].items()]
             yield pd.DataFrame(out, columns=["lang", "kind", "gram", "n"])
 
-    counts = (chosen.select("text", "lang").mapInPandas(count, "lang string, kind int, gram string, n long")
+    counts = (chosen.select("text", "lang").mapInPandas(releasing(count), "lang string, kind int, gram string, n long")
               .groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
     w = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(w)).where(
@@ -124,8 +126,8 @@ class Scorer:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         items = list(c.items())
-        for a in range(0, len(items), 100_000):
-            part = items[a: a + 100_000]
+        for a in range(0, len(items), 50_000):
+            part = items[a: a + 50_000]
             if len(self.fresh) + len(part) > _KEEP:
                 self.fresh = {}
             get = self.words.get
@@ -157,7 +159,7 @@ def predict(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
                 names=[*b.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(releasing(run), out)
 
 
 def in_training(id_col: str = "doc_id"):

@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
 from .bwt import repeated_starts
-from .arrays import powers, prefix_sums, table, text_chunks
+from .arrays import powers, prefix_sums, releasing, table, text_chunks
 
 K = 64
 HOT = 3000
-BATCH = 2 << 20
+BATCH = 1 << 19
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -56,12 +56,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, min_len: int, k: int = K):
         return none, none, none, np.zeros(0, np.uint64)
     h = gram_hashes(prefix_sums(data), k)
     m = len(h)
-    key = (h & ~_POS) | np.arange(m, dtype=np.uint64)
-    blocks = np.concatenate([key, np.full(-m % w, ~np.uint64(0))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    blocks = np.full(m + -m % w, ~np.uint64(0))
+    np.bitwise_or(h & ~_POS, np.arange(m, dtype=np.uint64), out=blocks[:m])
+    blocks = blocks.reshape(-1, w)
     windows = n - min_len + 1
-    pos = (np.minimum(behind[:windows], ahead[w - 1: w - 1 + windows]) & _POS).astype(np.int64)
+    least = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
+    np.minimum.accumulate(blocks, axis=1, out=blocks)
+    pos = (np.minimum(least, blocks.ravel()[w - 1: w - 1 + windows]) & _POS).astype(np.int64)
+    del blocks, least
     first = np.empty(windows, bool)
     first[0] = True
     first[1:] = pos[1:] != pos[:-1]
@@ -258,6 +260,7 @@ def repeated_ranges(docs: DataFrame, min_len: int = 400, k: int = K) -> DataFram
     again = written(found.join(often, "mh"), "repeats")
     kinds = again.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.first("many").alias("many"),
                                           F.min(F.struct("doc_id", "th", "start", "n")).alias("r"))
+    kinds = written(kinds.where("c > 1 or many"), "kinds")
     whole = (again.join(kinds.where("c > 1").select("mh", "sh"), ["mh", "sh"])
              .select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (min_len - 1)).alias("e")))
     want = written(kinds.where("many").select("mh", "sh", "c", "r.*"), "wanted")
@@ -265,11 +268,11 @@ def repeated_ranges(docs: DataFrame, min_len: int = 400, k: int = K) -> DataFram
         F.struct("mh", "sh", "c", "start", (F.col("start") + F.col("n") + (min_len - 1)).alias("end"))).alias("want"))
     run, out = _slices()
     parts = written(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_d"]) & (docs["th"] == wanted["_t"]))
-                    .select("doc_id", "th", "text", "want").mapInArrow(run, out), "slices")
+                    .select("doc_id", "th", "text", "want").mapInArrow(releasing(run), out), "slices")
     hot = want.groupBy("mh").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("mh")
     run, out = _expand(min_len, k)
     some = (parts.join(hot, "mh", "left_anti").repartition("mh").sortWithinPartitions("mh")
-            .select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(run, out))
+            .select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(releasing(run), out))
     run, out = _window_hashes(min_len)
     windows = parts.join(hot, "mh", "left_semi").select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(run, out)
     twice = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w")
@@ -318,7 +321,7 @@ def cut_repeats(docs: DataFrame, min_len: int = 400, keep: list[str] | None = No
                  *(pa.array(x, pa.int64()) for x in (total, gone, count))],
                 names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, out_schema)
+    return joined.mapInArrow(releasing(run), out_schema)
 
 
 def report(docs: DataFrame, min_len: int = 400) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .arrays import releasing
 
 PREFIXES = (4, 5, 6)
 
@@ -74,7 +75,7 @@ def mine_voters(labelled: DataFrame, max_voters: int = 400, precision: float = 0
     if not n1 or not n0:
         return [], rate
     run, out = _candidates()
-    counts = materialize(labelled.mapInPandas(run, out).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = materialize(labelled.mapInPandas(releasing(run), out).groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
                          .where(F.col("a") + F.col("b") >= least))
     tested = counts.count()
     p = F.col("a") / (F.col("a") + F.col("b"))
@@ -101,7 +102,7 @@ class Votes:
         for w, n in Counter(self.find(text.lower())).items():
             hit = self.seen.get(w)
             if hit is None:
-                if len(self.seen) > 400_000:
+                if len(self.seen) > 200_000:
                     self.seen = {}
                 hit = self.seen[w] = tuple(self.at[f] for f in features(w) if f in self.at)
             for i in hit:
@@ -209,7 +210,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.3).astype(np.int32))], schema=schema)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-            .mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"))
+            .mapInArrow(releasing(run), "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
