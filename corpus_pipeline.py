@@ -23,20 +23,23 @@ from prefspark.llm.decontaminate import drop_contaminated
 from prefspark.llm.jaccard_join import keep_one
 from prefspark.llm.langid import keep_identified
 from prefspark.llm.packing import pack_documents
-from prefspark.llm.queries import read, tokenizer_path
+from prefspark.llm.queries import bounded_batches, read, tokenizer_path
 from prefspark.llm.substring_dedup import remove_repeats
 from prefspark.session import scratch_table_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return keep_one(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return remove_repeats(docs)
 
 
@@ -45,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return (pack_documents(docs, tokenizer_path())
             .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
 
