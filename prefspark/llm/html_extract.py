@@ -3,15 +3,16 @@
 Each page is read into elements once.  Its content is ``main``, else its articles, else the body.  Menus,
 footers, asides, forms, scripts, adverts, notices, comments and the like go by tag, role
 and class or id.  Then site templates go: every element subtree that may be furniture is hashed, Spark
-counts the pages of each host that hold it, and subtrees on at least ``min_pages`` pages and ``min_share`` of
-the host's pages are deleted.  Inside an article or main, prose (paragraphs, headings, lists, quotes, tables) is
-never taken for a template, however often a site repeats a passage; without them every subtree may be one.
+counts the distinct pages of each host that hold it (pages of the same content count once), and subtrees on at least
+``min_pages`` pages and ``min_share`` of the host's distinct pages are deleted.  A subtree that holds half of a page's
+content text or more is never deleted from that page.  Inside an article or main, prose (paragraphs, headings, lists,
+quotes, tables) is never taken for a template, however often a site repeats a passage; without them every subtree may be one.
 
-Repeated subtrees are narrow rows, pre-aggregated per batch.  They are broadcast only when at most
-``MAX_SHARED`` (checked); beyond that each page meets its own by a join.
+A page's hashes are one narrow row, rows of copies are merged before they are counted.  Repeated subtrees are broadcast
+only when at most ``MAX_SHARED`` (checked); beyond that each page meets its own by a join.
 
 Defined results: null, empty or textless html gives the empty text; a null url is a host of its own; repeated rows
-are extracted each (and count as pages each); unclosed and stray tags are repaired as browsers do; extra
+are extracted each (and count as one page); unclosed and stray tags are repaired as browsers do; extra
 columns are ignored.
 """
 
@@ -80,6 +81,11 @@ def is_furniture(tag: str, raw: str, in_content: bool) -> bool:
     return names != " " and any(part in FURNITURE for name in names.split() for part in re.split(r"[-_]+", name) + [name])
 
 
+def _hash(parts) -> int:
+    h = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Page:
     """A page's elements in document order: tag, parent, whether dropped, content root, text pieces."""
 
@@ -173,8 +179,8 @@ class Page:
                 return inside
         return [True] * n
 
-    def template_hashes(self) -> dict[int, int]:
-        """Element -> 64-bit hash of its subtree, for kept elements that may be furniture."""
+    def template_hashes(self) -> tuple[dict[int, int], int]:
+        """(element -> 64-bit hash of its subtree, for kept elements that may be furniture; hash of the whole content)."""
         inside = self.content()
         n = len(self.tag)
         parts: list = [[] for _ in range(n)]
@@ -183,27 +189,31 @@ class Page:
                 t = " ".join(text.split())
                 if t:
                     parts[e].append(t)
-        size = [0] * n
-        out = {}
+        size = [sum(map(len, own)) for own in parts]
+        out, tops, total = {}, [], 0
         for e in range(n - 1, 0, -1):
             if self.drop[e] or not inside[e]:
                 continue
-            h = xxhash.xxh3_64_intdigest("\x00".join([self.tag[e], *parts[e]]).encode("utf-8", "surrogatepass"))
-            size[e] += sum(map(len, parts[e]))
+            h = _hash([self.tag[e], *parts[e]])
             up = self.parent[e]
             parts[up].append(f"\x01{h:x}")
             size[up] += size[e]
+            if not inside[up]:
+                tops.append(f"{h:x}")
+                total += size[e]
             prose = self.root[e] and (self.tag[e] in PROSE or self.tag[e] in ("main", "article"))
             if size[e] and not prose and self.tag[e] not in ("html", "body", "#page"):
-                out[e] = h - (1 << 64) if h >> 63 else h
-        return out
+                out[e] = h
+        if inside[0]:
+            tops, total = parts[0], size[0]
+        return {e: h for e, h in out.items() if 2 * size[e] < total}, _hash(tops)
 
     def text(self, templates=frozenset()) -> str:
         """Blocks joined by a line feed; elements whose subtree hash is in ``templates`` are left out."""
         inside = self.content()
         drop = self.drop
         if templates:
-            gone = {e for e, h in self.template_hashes().items() if h in templates}
+            gone = {e for e, h in self.template_hashes()[0].items() if h in templates}
             if gone:
                 drop = list(drop)
                 for e in range(1, len(drop)):
@@ -233,37 +243,28 @@ def host_of(url) -> str:
 
 
 def _subtrees():
-    """Per batch: how many pages of each host hold each subtree (hash null: the pages themselves)."""
-    schema = pa.schema([("host", pa.string()), ("hash", pa.int64()), ("n", pa.int64())])
+    """Each host's distinct pages of a batch: hash of the content, hashes of the subtrees."""
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
-        seen: dict = {}
         for b in batches:
+            seen: dict = {}
             for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                host = host_of(url)
-                seen[host, None] = seen.get((host, None), 0) + 1
                 if source:
-                    for h in set(Page(source).template_hashes().values()):
-                        seen[host, h] = seen.get((host, h), 0) + 1
-            if len(seen) > 200_000:
-                yield _counted(schema, seen)
-                seen = {}
-        if seen:
-            yield _counted(schema, seen)
-
-    return run, "host string, hash long, n long"
-
+                    hashes, page = Page(source).template_hashes()
+                    seen[host_of(url), page] = list(set(hashes.values()))
+            yield table(schema, host=[h for h, _ in seen], page=[x for _, x in seen], hashes=list(seen.values()))
 
-def _counted(schema, seen):
-    return table(schema, host=[h for h, _ in seen], hash=[x for _, x in seen], n=list(seen.values()))
+    return run, "host string, page long, hashes array<long>"
 
 
 def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(host, hash) of subtrees that recur across a host's pages."""
+    """(host, hash) of subtrees that recur across a host's distinct pages."""
     run, out = _subtrees()
-    counts = materialize(pages.select("url", "html").mapInArrow(run, out).groupBy("host", "hash").agg(F.sum("n").alias("n")))
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return (counts.where((F.col("hash").isNotNull()) & (F.col("n") >= min_pages)).join(total, "host")
+    distinct = materialize(pages.select("url", "html").mapInArrow(run, out).dropDuplicates(["host", "page"]))
+    total = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    return (counts.where(F.col("n") >= min_pages).join(total, "host")
             .where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"))
 
 
@@ -303,7 +304,7 @@ def _extract_joined(pages: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [(k, host_of(u), h) for k, u, s in zip(*(c.to_pylist() for c in b.columns)) if s
-                    for h in set(Page(s).template_hashes().values())]
+                    for h in set(Page(s).template_hashes()[0].values())]
             yield table(schema, **dict(zip(schema.names, zip(*rows) if rows else [[], [], []])))
 
     pages = pages.withColumn("_k", F.xxhash64("page_id", "url", "html"))

@@ -177,6 +177,23 @@ def test_html(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_templates(spark):
+    from prefspark.llm.html_extract import extract
+    wrapped = "<body><article><div class=body><section><p>Long story of one page.</p></section><section><p>Its second part.</p></section></div></article></body>"
+    plain = "<body><div><p>A page without an article.</p></div><div><p>More of the same page.</p></div></body>"
+    own = "<body><article><div><p>Near copy.</p><p>One of many with {i} in it.</p></div><div>tail</div></article></body>"
+    body = "<body><article><div><section><p>The very same long body on many pages.</p></section></div><p>no {i}</p></article></body>"
+    data = [(i, f"http://copies.example/{i}", (wrapped, plain)[i % 2]) for i in range(24)]
+    data += [(100 + i, f"http://near.example/{i}", own.format(i=i)) for i in range(12)]
+    data += [(200 + i, f"http://body.example/{i}", body.format(i=i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i in range(24):
+        assert got[i] == ("Long story of one page.\nIts second part.", "A page without an article.\nMore of the same page.")[i % 2]
+    for i in range(12):
+        assert got[100 + i] == f"Near copy.\nOne of many with {i} in it."
+        assert got[200 + i] == f"The very same long body on many pages.\nno {i}"
+
+
 def test_html_pages(spark):
     from prefspark.llm.html_extract import extract
     got = {r["page_id"]: r["text"] for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
