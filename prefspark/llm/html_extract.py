@@ -4,7 +4,7 @@ Each page is read into elements once.  Its content is ``main``, else its article
 footers, asides, forms, scripts, adverts, notices, comments and the like go by tag, role
 and class or id.  Then site templates go: every element subtree that may be furniture is hashed, Spark
 counts the distinct pages of each host that hold it (pages of the same content count once), and subtrees on at least
-``min_pages`` pages and ``min_share`` of the host's distinct pages are deleted.  A subtree that holds half of a page's
+``min_pages`` of them are deleted, however large the host.  A subtree that holds half of a page's
 content text or more is never deleted from that page.  Inside an article or main, prose (paragraphs, headings, lists,
 quotes, tables) is never taken for a template, however often a site repeats a passage; without them every subtree may be one.
 
@@ -252,20 +252,19 @@ def _subtrees():
             for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if source:
                     hashes, page = Page(source).template_hashes()
-                    seen[host_of(url), page] = list(set(hashes.values()))
+                    if hashes:
+                        seen[host_of(url), page] = list(set(hashes.values()))
             yield table(schema, host=[h for h, _ in seen], page=[x for _, x in seen], hashes=list(seen.values()))
 
     return run, "host string, page long, hashes array<long>"
 
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """(host, hash) of subtrees that recur across a host's distinct pages."""
     run, out = _subtrees()
-    distinct = materialize(pages.select("url", "html").mapInArrow(run, out).dropDuplicates(["host", "page"]))
-    total = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    distinct = pages.select("url", "html").mapInArrow(run, out).dropDuplicates(["host", "page"])
     counts = distinct.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    return (counts.where(F.col("n") >= min_pages).join(total, "host")
-            .where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"))
+    return counts.where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def _extracted(templates_of):
@@ -282,11 +281,11 @@ def _extracted(templates_of):
     return run, "page_id long, url string, text string, n_chars long"
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = materialize(site_templates(pages, min_pages, min_share))
+    found = materialize(site_templates(pages, min_pages))
     if found.count() <= MAX_SHARED:
         by: dict = {}
         for r in found.collect():

@@ -194,6 +194,16 @@ def test_html_copies_are_no_templates(spark):
         assert got[200 + i] == f"The very same long body on many pages.\nno {i}"
 
 
+def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
+    from prefspark.llm.html_extract import extract
+    page = "<body><article><h1>Head {i}</h1><p>Text of page {i}.</p>{block}</article></body>"
+    block = "<div>Read more here</div>"
+    data = [(i, f"http://large.example/{i}", page.format(i=i, block=block if i < 6 else "")) for i in range(400)]
+    data += [(1000 + i, f"http://small.example/{i}", page.format(i=i, block=block)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Head {k % 1000}\nText of page {k % 1000}." for k, _, _ in data)
+
+
 def test_html_pages(spark):
     from prefspark.llm.html_extract import extract
     got = {r["page_id"]: r["text"] for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
