@@ -1,8 +1,9 @@
 """Main text of web pages by removing what a site repeats.
 
-Each page is read into elements once.  Its content is ``main``, else its articles, else the body.  Menus,
-footers, asides, forms, scripts, adverts, notices, comments and the like go by tag, role
-and class or id.  Then site templates go: every element subtree that may be furniture is hashed, Spark
+Each page is read into elements once.  Its content is ``main``, else its articles, else the body.  Scripts
+and controls go by tag, menus and footers by tag and role, asides, forms, adverts, notices, comments and the like by tag, role
+and class or id, which are hints: they never take main, an article or most of the text (``Page._dropped``).
+Then site templates go: every element subtree that may be furniture is hashed, Spark
 counts the distinct pages of each host that hold it (pages of the same content count once), and subtrees on at least
 ``min_pages`` of them are deleted, however large the host.  A subtree that holds half of a page's
 content text or more is never deleted from that page.  Inside an article or main, prose (paragraphs, headings, lists,
@@ -42,9 +43,11 @@ PROSE = frozenset(("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table t
                    "a abbr b bdi bdo br cite code data dfn em i kbd mark q s samp small span strong sub sup time u var wbr "
                    "font hr img picture center address details summary").split())
 CLOSES_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "tfoot", "thead", "tr"))
-DROP = frozenset(("script style noscript template iframe object embed svg canvas nav aside footer form button select option textarea "
-                  "input label fieldset menu dialog head title audio video map").split())
-ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+NO_TEXT = frozenset(("script style noscript template iframe object embed svg canvas button select option textarea input head title audio "
+                     "video map").split())
+HEAD = frozenset("head base basefont bgsound link meta noscript script style template title".split())
+NAV_TAGS, NAV_ROLES = frozenset("nav footer menu".split()), frozenset("navigation contentinfo menubar menu".split())
+ROLES = frozenset("banner complementary search alert alertdialog dialog form".split())
 FURNITURE = frozenset(("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent "
                        "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar "
                        "navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comments comment commentlist disqus "
@@ -65,20 +68,28 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def is_furniture(tag: str, raw: str, in_content: bool) -> bool:
-    if tag in DROP:
-        return True
-    if tag == "header" and not in_content:
-        return True
+# what an element says about itself: no text of the page, site navigation, a furniture tag or name, a part of a name only
+TEXTLESS, NAV, NAMED, HINT = 1, 2, 3, 4
+
+
+def furniture(tag: str, raw: str, in_content: bool) -> int:
+    if tag in NO_TEXT:
+        return TEXTLESS
+    if tag in NAV_TAGS:
+        return NAV
+    kind = NAMED if tag in ("aside", "dialog") or tag == "header" and not in_content else HINT if tag in ("form", "fieldset", "label") else 0
     if not raw or tag in ("body", "html", "main"):
-        return False
+        return kind
     a = attributes(raw)
-    if "hidden" in a or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    if a.get("aria-hidden") == "true":
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return names != " " and any(part in FURNITURE for name in names.split() for part in re.split(r"[-_]+", name) + [name])
+    role = a.get("role", "").lower()
+    if role in NAV_ROLES:
+        return NAV
+    if role in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return NAMED
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    if any(name in FURNITURE for name in names):
+        return kind or NAMED
+    return kind or (HINT if any(part in FURNITURE for name in names for part in re.split(r"[-_]+", name)) else 0)
 
 
 def _hash(parts) -> int:
@@ -87,12 +98,12 @@ def _hash(parts) -> int:
 
 
 class Page:
-    """A page's elements in document order: tag, parent, whether dropped, content root, text pieces."""
+    """A page's elements in document order: tag, parent, furniture kind, whether dropped, content root, text pieces."""
 
-    __slots__ = ("tag", "parent", "drop", "root", "pieces")
+    __slots__ = ("tag", "parent", "kind", "drop", "root", "pieces")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.root = ["#page"], [-1], [False], [False]
+        self.tag, self.parent, self.kind, self.root = ["#page"], [-1], [0], [False]
         # (element, text) and (element, None) where a block begins or ends
         self.pieces: list = []
         stack, at, n = [0], 0, len(source)
@@ -121,6 +132,8 @@ class Page:
                         self.pieces.append((stack[k], " "))
                     del stack[k:]
                 continue
+            if self.tag[stack[-1]] == "head" and tag not in HEAD:
+                stack.pop()
             if tag in CLOSES_P:
                 self._close(stack, ("p",), ("article", "section", "div", "body", "td", "th", "li", "table", "button", "main", "aside", "blockquote"))
             if tag in _SAME:
@@ -134,7 +147,7 @@ class Page:
             self.tag.append(tag)
             self.parent.append(up)
             in_content = self.root[up] or tag in ("article", "main")
-            self.drop.append(self.drop[up] or is_furniture(tag, raw, in_content))
+            self.kind.append(furniture(tag, raw, in_content))
             self.root.append(in_content)
             if tag in BLOCK:
                 self.pieces.append((e, None))
@@ -157,6 +170,85 @@ class Page:
             stack.append(e)
         if at < n:
             self.pieces.append((stack[-1], source[at:]))
+        self.drop = self._dropped()
+
+    def _below(self, flags) -> list[bool]:
+        out = list(flags)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+    def _dropped(self) -> list[bool]:
+        """Which elements go by tag, role or name.
+
+        Names are hints: what holds main goes never, nor what holds most of the text outside links of its article (of
+        the page outside articles); what holds an article goes only for its tag or whole name, and when the
+        page has an article elsewhere.  If the hints of one article or page together would take
+        half of its text, parts of names do not count, and if all of it, no name does."""
+        tag, parent, kind = self.tag, self.parent, self.kind
+        n = len(tag)
+        gone = self._below([k == TEXTLESS for k in kind])
+        if not any(k > TEXTLESS for k in kind):
+            return gone
+        main, article = [t == "main" for t in tag], [t == "article" for t in tag]
+        for e in range(n - 1, 0, -1):
+            if not gone[e]:
+                main[parent[e]] |= main[e]
+                article[parent[e]] |= article[e]
+        marked = self._below([k in (NAV, NAMED) for k in kind])
+        free = any(t == "article" and not m and not g for t, m, g in zip(tag, marked, gone))
+        nav = [k == NAV and not main[e] and (free or not article[e]) for e, k in enumerate(kind)]
+        region = [0] * n
+        for e in range(1, n):
+            region[e] = parent[e] if tag[parent[e]] in ("article", "main") else region[parent[e]]
+        if any(nav):
+            # an unclosed menu may have taken its article or page in: it holds paragraphs, and nothing else is left
+            prose, holds, rest = [False] * n, list(nav), [0] * n
+            inside_p, link = self._below([t == "p" for t in tag]), self._below([t == "a" for t in tag])
+            for e in range(n - 1, 0, -1):
+                holds[parent[e]] |= holds[e]
+            below = self._below([k >= NAV and (nav[e] or not holds[e]) for e, k in enumerate(kind)])
+            for e, t in self.pieces:
+                if t and not gone[e] and t.strip():
+                    prose[e] |= inside_p[e] and not link[e]
+                    rest[e] += not below[e]
+            for e in range(n - 1, 0, -1):
+                prose[parent[e]] |= prose[e]
+                rest[parent[e]] += rest[e]
+            nav = [x and not (prose[e] and not rest[region[e]]) for e, x in enumerate(nav)]
+        gone = [g or b for g, b in zip(gone, self._below(nav))]
+        link = self._below([t == "a" for t in tag])
+        words, linked = [0] * n, [0] * n
+        for e, t in self.pieces:
+            if t and not gone[e]:
+                (linked if link[e] else words)[e] += len(t.strip())
+        for e in range(n - 1, 0, -1):
+            words[parent[e]] += words[e]
+            linked[parent[e]] += linked[e]
+        # a part of the page made of links alone is measured by them
+        size = [words[e] if words[region[e]] else linked[e] for e in range(n)]
+        whole = [words[e] or linked[e] for e in range(n)]
+        names = []
+        for e in range(1, n):
+            if kind[e] < NAMED or gone[e] or main[e] or article[e] and not (kind[e] == NAMED and free):
+                continue
+            if 2 * size[e] < max(whole[region[e]], 1):
+                names.append(e)
+        for kinds, share in (((NAMED, HINT), 2), ((NAMED,), 1)):
+            taken: dict = {}
+            flags = [False] * n
+            for e in names:
+                flags[e] = kind[e] in kinds
+            below = self._below(flags)
+            for e in names:
+                if flags[e] and not below[parent[e]]:
+                    taken[region[e]] = taken.get(region[e], 0) + size[e]
+            full = {r for r, x in taken.items() if x and share * x >= whole[r]}
+            names = [e for e in names if region[e] not in full or share == 2 and kind[e] == NAMED]
+        flags = [False] * n
+        for e in names:
+            flags[e] = True
+        return [g or b for g, b in zip(gone, self._below(flags))]
 
     def _close(self, stack, tags, stop) -> None:
         for k in range(len(stack) - 1, 0, -1):

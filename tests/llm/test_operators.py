@@ -204,6 +204,30 @@ def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert all(got[k] == f"Head {k % 1000}\nText of page {k % 1000}." for k, _, _ in data)
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<form id=aspnetForm>", "</form>"), ("<div class='with-sidebar'>", "</div>"), ("<div class='social-layout'>", "</div>"), ("<div hidden>", "</div>"),
+    ("<nav><a href=x>menu</a>", ""), ("<aside class=related>", "</aside>")])
+@pytest.mark.parametrize("page", [
+    "{0}<article><p>Body of the page.</p><p>More of it.</p></article>{1}", "<article>{0}<p>Body of the page.</p><p>More of it.</p>{1}</article>",
+    "{0}<main><p>Body of the page.</p><p>More of it.</p></main>{1}", "{0}<p>Body of the page.</p><p>More of it.</p>{1}"])
+def test_html_names_take_no_article(before, after, page):
+    from prefspark.llm.html_extract import Page
+    body = "<html><head><title>T</title><body>" + page.format(before, after) + "<div class=cookie>We use it</div></body></html>"
+    got = Page(body).text().split("\n")
+    assert "Body of the page." in got and "More of it." in got and "We use it" not in got
+
+
+def test_html_names_are_hints():
+    from prefspark.llm.html_extract import Page
+    results = "".join(f"<article class='search-result'><p>Result {i} of the list.</p></article>" for i in range(4))
+    assert Page(f"<body>{results}</body>").text() == "\n".join(f"Result {i} of the list." for i in range(4))
+    parts = "".join(f"<div class='social-layout'><p>Part {i} of the page.</p></div>" for i in range(4))
+    for whole in (parts, f"<article>{parts}</article>", f"<main>{parts}</main>"):
+        assert Page(f"<body><nav><a>m</a></nav>{whole}</body>").text() == "\n".join(f"Part {i} of the page." for i in range(4))
+    page = "<body><div class='page-with-sidebar'><article><p>The one long article of this page.</p></article><aside><article>Teaser</article></aside></div></body>"
+    assert Page(page).text() == "The one long article of this page."
+
+
 def test_html_pages(spark):
     from prefspark.llm.html_extract import extract
     got = {r["page_id"]: r["text"] for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
