@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
-from edge import documents, pairs, sentence, texts  # noqa: E402
+from edge import WORDS, documents, pairs, sentence, texts  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,6 +267,51 @@ def test_leaks(spark):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_long_short_and_unspaced_items(spark):
+    from prefspark.llm.decontaminate import find_leaks
+    rnd = random.Random(4)
+    sentence = lambda _, n: " ".join(f"{rnd.choice(WORDS)}{rnd.randrange(100)}" for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(n))
+    items = [(i, sentence(rnd, 120)) for i in range(10)] + [(100 + i, sentence(rnd, 5 + i % 10)) for i in range(60)] + [(200 + i, han(8 + 3 * i)) for i in range(10)]
+    data, want = [], set()
+
+    def plant(item, some, space=" "):
+        text = sentence(rnd, 300).split()
+        if not space:
+            text = list(han(300))
+        at = rnd.randrange(len(text))
+        text[at:at] = some
+        want.add((len(data), item))
+        data.append((len(data), space.join(text)))
+
+    for i, text in items[:10]:
+        a = rnd.randrange(0, 60)
+        plant(i, text.split()[a: a + 50])
+    for i, text in items[10:70]:
+        plant(i, text.split())
+        reworded = text.split()
+        if len(reworded) > 8:
+            reworded[len(reworded) // 3] = "reworded"
+            plant(i, reworded)
+    for i, text in items[70:]:
+        plant(i, list(text), "")
+    clean = {len(data) + i for i in range(100)}
+    data += [(i, sentence(rnd, 300)) for i in sorted(clean)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert want <= got, sorted(want - got)
+    assert not {d for d, _ in got} & clean, [x for x in got if x[0] in clean]
+
+
+def test_unspaced_scripts_are_words_by_character():
+    import pyarrow as pa
+    from prefspark.llm.arrays import text_buffer
+    from prefspark.llm.decontaminate import word_hashes
+    forms = ["ab \u4ec0\u4e48,x\U00020000\u3002\u0e01y", "AB \u4ec0 \u4e48 x \U00020000 \u0e01 y", "caf\u00e9 \ud55c\uad6d\uc5b4 \u20ac"]
+    words, at = word_hashes(*text_buffer(pa.array(forms)))
+    assert at.tolist() == [0, 7, 14, 17] and words[:7].tolist() == words[7:14].tolist()
+
+
 def test_lcs():
     from prefspark.llm.decontaminate import lcs
     rnd = random.Random(2)
