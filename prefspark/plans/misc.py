@@ -252,6 +252,46 @@ def p38(spark, sf):
     return r.select("qid", F.md5("rag_prompt").alias("prompt_md5"), "answer")
 
 
+# the same prompts from whole texts: a document as prompt, the two texts of a comparison pair as answers
+RAG_WHOLE_SQL = VQ.EMB_SQL + f"""
+, t AS (SELECT qid, did, rank FROM (SELECT q.qid, d.did, d.label, row_number() OVER (PARTITION BY q.qid
+       ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3),
+n AS (SELECT CAST(floor(count(*) / 2) AS BIGINT) AS n_pairs FROM documents),
+x AS (SELECT p.doc_id, p.text AS prompt, {_SIDE_SQL.format(c="chr(10) || 'Assistant: ' || a.text")} AS chosen,
+      {_SIDE_SQL.format(c="'said \"x\"' || chr(10) || 'Assistant: ' || b.text")} AS rejected
+      FROM documents p CROSS JOIN n JOIN documents a ON a.doc_id = 2 * (p.doc_id % n_pairs) JOIN documents b ON b.doc_id = 2 * (p.doc_id % n_pairs) + 1),
+ex AS (SELECT t.qid, t.rank, x.*, {sql_seeded_hash(5, 't.qid', 't.rank')} % 2 = 0 AS a_first FROM t JOIN x ON x.doc_id = t.did),
+eb AS (SELECT qid, string_agg(prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END || chr(10)
+  || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10) || 'Which response do you prefer?' || chr(10) || chr(10)
+  || 'Response ' || CASE WHEN a_first THEN 'A' ELSE 'B' END || chr(10) || '===' || chr(10), '' ORDER BY rank DESC) AS body FROM ex GROUP BY qid),
+qb AS (SELECT doc_id AS qid, prompt, chosen, rejected, {sql_seeded_hash(6, 'doc_id')} % 2 = 0 AS a_first FROM x),
+r AS (SELECT qid, 'The examples ' || body || 'Prompt: ' || prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END
+  || chr(10) || chr(10) || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10)
+  || 'Which response do you prefer?' || chr(10) || 'Response ' AS rag_prompt, CASE WHEN a_first THEN 'A' ELSE 'B' END AS answer
+FROM eb JOIN qb USING (qid))
+"""
+
+
+@query("p38_rag_prompt_whole", with_ctes(RAG_WHOLE_SQL) + """
+SELECT qid, md5(rag_prompt) AS prompt_md5, CAST(length(rag_prompt) AS BIGINT) AS n_chars, answer FROM r""")
+def p38_whole(spark, sf):
+    q, d = VQ.split_qd(spark, sf)
+    top = L.top_k_similar(q, d, k=3)
+    docs = FX.table(spark, sf, "documents")
+    n_pairs = docs.select(F.floor(F.count(F.lit(1)) / 2).cast("long")).scalar()
+    # ids first: a text is read once, goes to each place that holds it, and the places of a query meet once (rank 0: the query itself)
+    own = q.select("qid", F.lit(0).alias("rank"), F.col("qid").alias("did"))
+    ids = top.select("qid", F.col("rank").cast("int").alias("rank"), "did").union(own)
+    a_id = 2 * (F.col("did") % n_pairs)
+    places = ids.select("qid", "rank", F.posexplode(F.array("did", a_id, a_id + 1)).alias("place", "doc_id"))
+    texts = places.join(docs.select("doc_id", "text"), "doc_id").select("qid", "rank", "place", "text").repartition("qid")
+    text = lambda place: F.max(F.when(F.col("place") == place, F.col("text")))
+    x = (texts.groupBy("qid", "rank").agg(F.count(F.lit(1)).alias("_n"), text(0).alias("prompt"), text(1).alias("a"), text(2).alias("b")).where("_n = 3")
+         .select("qid", "rank", "prompt", F.concat(F.lit("\nAssistant: "), "a").alias("chosen"), F.concat(F.lit('said "x"\nAssistant: '), "b").alias("rejected")))
+    r = P.rag_prompt(x.where("rank = 0").drop("rank"), x.where("rank > 0"), "qid", seed=5)
+    return r.select("qid", F.md5("rag_prompt").alias("prompt_md5"), F.length("rag_prompt").cast("long").alias("n_chars"), "answer")
+
+
 @query("p39_rebase_uid", with_ctes(FX.SQL_F3) + "SELECT traj_id, pos, uid - 1 AS uid FROM scored")
 def p39(spark, sf):
     return P.rebase_uid(FX.f3_scored(spark, sf), n_users=8).select("traj_id", "pos", "uid")

@@ -81,6 +81,17 @@ def test_rag_prompt(spark):
     assert text.endswith("Which response do you prefer?\nResponse ") and '"' not in text
 
 
+def test_rag_prompts_hold_whole_documents(spark, sf_small):
+    from __spark_entry__ import queries
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    rows = queries()["p38_rag_prompt_whole"](spark, sf_small).collect()
+    pair = lambda d, k: docs[2 * (d % (len(docs) // 2)) + k]
+    assert rows and max(len(docs[r.qid]) for r in rows) > 160
+    for r in rows:
+        whole = [docs[r.qid], *(pair(r.qid, k).split("\nAssistant: ")[-1].replace('"', "").strip() for k in (0, 1))]
+        assert r.n_chars > sum(map(len, whole))
+
+
 def test_checkpoint_folder_is_required_on_a_cluster():
     from prefspark.session import ensure_checkpoint_dir
 
