@@ -97,3 +97,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _op11_sql() -> str:
+    from .warc import SQL
+    return SQL
+
+
+@query("op11_warc_segments", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+    return round_trip(read(spark, sf_dir, "pages"))
