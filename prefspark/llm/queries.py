@@ -108,3 +108,9 @@ def _op11_sql() -> str:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
     return round_trip(read(spark, sf_dir, "pages"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repair
+    return repair(read(spark, sf_dir, "conversations"))
