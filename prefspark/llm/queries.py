@@ -114,3 +114,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_repair import repair
     return repair(read(spark, sf_dir, "conversations"))
+
+
+def _op13_sql() -> str:
+    from .lexical_search import SQL
+    return SQL
+
+
+@query("op13_lexical_search", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
