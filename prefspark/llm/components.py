@@ -1,17 +1,26 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table.
 
-Every step is a ``groupBy`` with partial aggregation and a join on the node (AQE splits a hot
-node's rows), so no component is gathered in one task; each round is written to the shared folder.
+Edges run from a node to a smaller one.  In a round every edge goes to its larger end, where a node's parents meet, and
+to its smaller end, where a parent's own parents reach its children; each task joins what it has (labels
+over arrays) and sends on one edge a node.  A round is one exchange; when no edge changes, all point at
+their component's smallest node.  The children of one node are dealt over ``SPREAD`` tasks and its parents sent to each, so a
+node with a third of all edges is no hot task.  Each round is written to the shared folder.
 """
 
 from __future__ import annotations
 
 import gc
+import uuid
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import scratch_table_path
+
+SPREAD = 8
 
 
 def drop_finished(spark) -> None:
@@ -21,23 +30,72 @@ def drop_finished(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def local_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, for edges between nodes 0 to n - 1."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+_SCHEMA = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("moved", pa.bool_())])
+
+
+def _join(batches):
+    """Edges (u, v, own) of a task, u > v -> (u, root, moved).  Of the copies of an edge the one with ``own`` is always
+    sent on, the others only where they have learnt something."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = pa.concat_arrays([b.column(i) for i in (0, 1) for b in held]).dictionary_encode()
+    # numbered in order, so that the smallest number is the smallest node
+    order = pc.sort_indices(ends.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    names = ends.dictionary.take(order)
+    u, v = np.split(rank[ends.indices.to_numpy()], 2)
+    own = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held])
+    root = local_roots(u, v, len(names))
+    moved = root[u] != v
+    # smaller ends that have found a smaller node are nodes of their own
+    low = v[root[v] != v]
+    send = np.concatenate([u[own | moved], low])
+    fresh = np.concatenate([moved[own | moved], np.ones(len(low), bool)])
+    node, at = np.unique(send, return_inverse=True)
+    changed = np.zeros(len(node), bool)
+    np.logical_or.at(changed, at, fresh)
+    for i in range(0, len(node), 100_000):
+        j = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(node[j])), names.take(pa.array(root[node[j]])), pa.array(changed[j])], schema=_SCHEMA)
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
-    """(node, root): root is the smallest node of the component; nodes without edges are absent."""
-    cur = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    mark = None
-    for _ in range(max_rounds):
-        sym = cur.union(cur.select("v", "u"))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        cur = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-                          .union(small.select("u", F.col("m").alias("v"))).distinct())
-        now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
-        if mark == (now["n"], now["s"]):
-            drop_finished(edges.sparkSession)
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = (now["n"], now["s"])
+    """(node, root): root is the smallest node of the component.  Nodes that are their own root are absent.
+
+    ``a`` and ``b`` are binary columns; an edge of a node with itself says nothing."""
+    spark, tag = edges.sparkSession, uuid.uuid4().hex
+    cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")
+    every = F.array(*[F.lit(i) for i in range(SPREAD)])
+    for step in range(max_rounds):
+        ends = F.concat(
+            F.transform(every, lambda s: F.struct(F.col("u").alias("at"), s.alias("salt"), (s == 0).alias("own"))),
+            F.array(F.struct(F.col("v").alias("at"), F.pmod(F.xxhash64("u"), F.lit(SPREAD)).cast("int").alias("salt"), F.lit(False).alias("own"))))
+        sent = cur.select("u", "v", F.inline(ends)).repartition("at", "salt").select("u", "v", "own")
+        seen = Observation()
+        path = scratch_table_path(spark, f"components-{tag}-{step}")
+        (sent.mapInArrow(_join, "u binary, v binary, moved boolean").observe(seen, F.max("moved").alias("moved"))
+         .write.mode("overwrite").parquet(path))
+        cur = spark.read.parquet(path).select("u", "v")
+        if not seen.get["moved"]:
+            drop_finished(spark)
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("components did not settle")

@@ -16,6 +16,9 @@
    near copies; then all pairs that are left between components are verified.  So a group of
    copies costs a few pairs per member, and no link between different components is lost.
 
+Hot shingles: one that more than ``HOT`` sets hold is dealt over tasks by the classes' digests.  Each share pairs with
+its own smallest class and all shares form one group, so step 4 compares across them.
+
 Defined results: a null or word-less text has an empty set and links with nothing; fewer than
 ``k`` words are one shingle; repeated rows share a class; a null id is never the smallest of a
 component (a component of null ids only has a null id); extra columns are ignored.
@@ -42,8 +45,12 @@ from .components import components, drop_finished
 BLOCK_BYTES = 4 << 20
 TOKENS_PER_RANGE = 1_000_000
 CELL = 1000
-BEST = 2
+BEST = 1
 ORDERS = (1, 2)
+#: classes that share a prefix shingle and meet in one task; those of a more frequent shingle are dealt over several
+HOT = 50_000
+#: members that one task verifies against a pivot
+VERIFY = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
@@ -208,6 +215,17 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([table(schema, **cols)])
 
 
+def hot_splits(keys: np.ndarray) -> np.ndarray:
+    """Tasks over which the classes of each shingle are dealt, by the frequency class in its key."""
+    level = (keys >> np.uint64(56)).astype(np.float64)
+    return np.maximum(1, np.ceil(2 ** ((level - 1) / 8) / HOT)).astype(np.uint64)
+
+
+def salt_of(digests: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    """The share of a shingle's classes to which a class (its digest: 16 bytes) belongs."""
+    return np.frombuffer(digests.tobytes(), "<u8").reshape(-1, 2)[:, 0] % splits
+
+
 def _prefixes(pct: int, parts: int):
     """A block's documents with their shared shingles: the shared ones within each prefix under the first order
     (by frequency, those of one document first), dealt by shingle."""
@@ -233,11 +251,12 @@ def _prefixes(pct: int, parts: int):
             key, doc = key[order], doc[order]
             at = doc_bounds(doc, len(ns))
             have = np.diff(at)
+            names = np.frombuffer(b"".join(x or bytes(16) for x in keys), "V16")
             # a prefix begins with the shingles of this document alone
             want = np.minimum(have, np.maximum(0, (ns + (-pct * ns // 100) + 1) - (ns - have)))
             pick = ranges(at[:-1], want)
             key, doc = key[pick], doc[pick]
-            part = (mix(key, 7) % np.uint64(parts)).astype(np.int64)
+            part = (mix(key + salt_of(names[doc], hot_splits(key)), 7) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             for i in range(parts):
@@ -253,8 +272,9 @@ def _prefixes(pct: int, parts: int):
 
 
 def _group(pct: int):
-    """Within a partition of shingles: pairs with each group's smallest class, and groups of three or more."""
-    cols = ["gid", "a", "an", "b", "bn"]
+    """Within a partition of shingles: pairs with each group's smallest class, and groups of three or more.  The
+    classes of a hot shingle come in shares: each has a pivot of its own, and all shares are one group."""
+    cols = ["gid", "a", "an", "b", "bn", "load"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = [np.frombuffer(x, dtype=[("q", "V16"), ("n", "<u4")]) for x in pdf["sets"]]
@@ -271,40 +291,47 @@ def _group(pct: int):
         firsts = order[new]
         q, n = heads["q"][firsts], heads["n"][firsts].astype(np.int64)
         cls = rank[idx]
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
+        splits = hot_splits(key)
+        salt = salt_of(q[cls], splits)
+        order = np.lexsort((cls, salt, key))
+        key, cls, salt, splits = key[order], cls[order], salt[order], splits[order]
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[keep], cls[keep]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, cls, salt, splits = key[keep], cls[keep], salt[keep], splits[keep]
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
         size = np.diff(np.append(cut, len(key)))
-        many = size >= 2
+        many = (size >= 2) | (splits[cut] > 1)
         cut, size = cut[many], size[many]
-        # groups of the same members are one group
-        members = cls[ranges(cut, size)]
-        bounds = np.cumsum(size) - size
         if len(size) == 0:
             return pd.DataFrame({c: [] for c in cols})
+        # groups of the same members are one group; shares of a hot shingle are named by it
+        members = cls[ranges(cut, size)]
+        bounds = np.cumsum(size) - size
         salted = mix(two[firsts][members][:, 0].astype(np.uint64) ^ two[firsts][members][:, 1].astype(np.uint64), 5)
-        gid = np.add.reduceat(salted, bounds) + size.astype(np.uint64)
-        gid, one = np.unique(gid, return_index=True)
-        size, starts = size[one], bounds[one]
+        hot = splits[cut] > 1
+        gid = np.where(hot, mix(key[cut], 9), np.add.reduceat(salted, bounds) + size.astype(np.uint64))
+        one = np.unique(np.stack([gid, np.where(hot, salt[cut], 0).astype(np.uint64)]), axis=1, return_index=True)[1]
+        gid, hot, size, starts = gid[one], hot[one], size[one], bounds[one]
         mem = members[ranges(starts, size)]
         who = np.repeat(np.arange(len(size)), size)
         pivot = members[starts][who]
         other = mem != pivot
         small, large = np.minimum(n[mem], n[pivot]), np.maximum(n[mem], n[pivot])
         near = other & (100 * small >= pct * large)
+        load = np.zeros(len(q), np.int64)
+        np.maximum.at(load, pivot, size[who])
         pair = np.unique(np.stack([pivot[near], mem[near]], axis=1), axis=0)
-        rest = other & (size[who] >= 3)
+        # a pivot has met the others of its group, but not those of other shares
+        rest = (other & (size[who] >= 3)) | hot[who]
         blob = lambda i: [x.tobytes() for x in q[i]]
+        none = np.zeros(int(rest.sum()), np.int64)
         return pd.DataFrame({
             "gid": np.concatenate([np.zeros(len(pair), np.int64), gid.view(np.int64)[who[rest]]]),
             "a": blob(pair[:, 0]) + blob(mem[rest]), "an": np.concatenate([n[pair[:, 0]], n[mem[rest]]]),
-            "b": blob(pair[:, 1]) + [None] * int(rest.sum()),
-            "bn": np.concatenate([n[pair[:, 1]], np.zeros(int(rest.sum()), np.int64)])})
+            "b": blob(pair[:, 1]) + [None] * len(none), "bn": np.concatenate([n[pair[:, 1]], none]),
+            "load": np.concatenate([load[pair[:, 0]], none])})
 
-    return run, "gid long, a binary, an long, b binary, bn long"
+    return run, "gid long, a binary, an long, b binary, bn long, load long"
 
 
 def _verify(k: int, pct: int):
@@ -340,15 +367,15 @@ def _verify(k: int, pct: int):
 
 def _near(pct: int):
     """Pairs whose sketches allow a link."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("load", pa.int64())])
 
     def run(batches):
         for t in batches:
-            a, an, sa, b, bn, sb = (c.to_pylist() for c in t.columns)
+            an, sa, bn, sb = (t.column(i).to_pylist() for i in (1, 2, 4, 5))
             mask = pa.array([bool(may_link(overlap_bound(x, y, min(m, n)), m, n, pct)) for x, y, m, n in zip(sa, sb, an, bn)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(3).filter(mask)], schema=schema)
+            yield pa.RecordBatch.from_arrays([t.column(i).filter(mask) for i in (0, 3, 6)], schema=schema)
 
-    return run, "a binary, b binary"
+    return run, "a binary, b binary, load long"
 
 
 def _cells(pct: int, best: bool):
@@ -412,7 +439,7 @@ def _cells(pct: int, best: bool):
 
 
 def _pairs_between_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, pct: int, best: bool) -> DataFrame:
-    """Candidate pairs (a < b) of the groups that span several components.  A group's members go to blocks of about
+    """Candidate pairs (a < b, load) of the groups that span several components.  A group's members go to blocks of about
     ``CELL``; a cell holds two of its blocks."""
     now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", F.coalesce("root", "key").alias("root"))
     size = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count("*") / CELL).cast("int").alias("_b"))
@@ -424,19 +451,18 @@ def _pairs_between_components(groups: DataFrame, comp: DataFrame, classes: DataF
              .select("gid", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "key", "root", "n", "sketch"))
     run, out = _cells(pct, best)
     found = cells.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, out)
-    # a member's partners in all its groups, each once
     if best:
         found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-    else:
-        found = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b"))
-    found = found.select("a", F.explode("b").alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # partners in one cell are a member's load there; a pair of several groups stands once
+    found = found.select("a", F.explode("b").alias("b"), F.size("b").cast("long").alias("load"))
+    return (found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("load").alias("load")))
 
 
 def _links(near: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
-    """Exact links among candidate pairs (a, b); ``texts`` has the candidates' texts by key."""
-    load = near.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("_s"))
-    members = near.join(load, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_s"))).select("a", "_salt", "b", F.col("b").alias("key"))
+    """Exact links among candidate pairs (a, b, load); ``texts`` has the candidates' texts by key.  The members of a
+    pivot are dealt by its load, about ``VERIFY`` to a task."""
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / VERIFY).cast("long")).alias("_salt")
+    members = near.select("a", salt, "b", F.col("b").alias("key"))
     pivots = members.select("a", "_salt").distinct().select("a", "_salt", F.lit(None).cast("binary").alias("b"), F.col("a").alias("key"))
     rows = pivots.union(members).join(texts, "key").repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first())
     run, out = _verify(k, pct)
@@ -468,27 +494,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     prefixes = shared.select("block", "p", "tokens", "docs", "df", "ns", "keys").groupBy("block").applyInArrow(run, out)
     run, out = _group(pct)
     found = written(prefixes.groupBy("p").applyInPandas(run, out), "groups")
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    groups = found.where("b is null").select("gid", F.col("a").alias("key")).distinct()
+    pairs = written(found.where("b is not null").groupBy("a", "b").agg(F.max("load").alias("load")), "pairs")
+    groups = written(found.where("b is null").select("gid", F.col("a").alias("key")).distinct(), "members")
     own = classes.select("key", "n", "sketch")
     run, out = _near(pct)
     near = written(pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
-                   .select("a", "an", "sa", "b", "bn", "sb").mapInArrow(run, out), "near")
+                   .select("a", "an", "sa", "b", "bn", "sb", "load").mapInArrow(run, out), "near")
     need = near.select("a").union(near.select("b")).union(groups.select("key")).distinct()
     need = need.join(classes, need["a"] == classes["key"]).select("key", "rep")
     # rows of a repeated id with another text are told apart by their digests later
     texts = written(docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("key", "text"), "texts")
-    links = written(_links(near, texts, k, pct), "links")
-    comp = components(links, "a", "b")
-    done = pairs
+    comp = components(_links(near, texts, k, pct), "a", "b")
+    done = pairs.select("a", "b")
     for step in range(BEST + 1):
-        more = _pairs_between_components(groups, comp, classes, pct, step < BEST).join(done, ["a", "b"], "left_anti")
-        more = written(more, f"more{step}")
-        fresh = written(_links(more, texts, k, pct), f"links{step}")
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            comp = components(links, "a", "b")
-        done = done.union(more)
+        more = written(_pairs_between_components(groups, comp, classes, pct, step < BEST).join(done, ["a", "b"], "left_anti"), f"more{step}")
+        if not more.isEmpty():
+            # the stars of the components so far and the new links
+            comp = components(comp.toDF("a", "b").union(_links(more, texts, k, pct)), "a", "b")
+            done = done.union(more.select("a", "b"))
     named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")

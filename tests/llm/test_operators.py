@@ -544,11 +544,13 @@ def test_jaccard(docs):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(pairs(docs))
 
 
-@pytest.mark.parametrize("cell,best", [(1000, 2), (3, 0)])
-def test_jaccard_groups_without_links(spark, monkeypatch, cell, best):
-    """Many texts share prefix shingles but link in several clusters or not at all."""
+@pytest.mark.parametrize("cell,best,hot", [(1000, 2, 50_000), (3, 0, 50_000), (5, 1, 4)])
+def test_jaccard_groups_without_links(spark, monkeypatch, cell, best, hot):
+    """Many texts share prefix shingles but link in several clusters or not at all; hot shingles are dealt out."""
     from prefspark.llm import jaccard_join as J
     jaccard_components = J.jaccard_components
+    monkeypatch.setattr(J, "HOT", hot)
+    monkeypatch.setattr(J, "VERIFY", hot)
     monkeypatch.setattr(J, "CELL", cell)
     monkeypatch.setattr(J, "BEST", best)
     rnd = random.Random(8)
@@ -562,9 +564,12 @@ def test_jaccard_groups_without_links(spark, monkeypatch, cell, best):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(data)
 
 
-def test_near_copies_at_the_threshold(spark):
+@pytest.mark.parametrize("hot", [50_000, 7])
+def test_near_copies_at_the_threshold(spark, monkeypatch, hot):
     """Copies with random edits, so that many pairs of one large group fall on either side of the threshold."""
+    from prefspark.llm import jaccard_join
     from prefspark.llm.jaccard_join import jaccard_components
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rnd = random.Random(12)
     base = sentence(rnd, 120).split()
     data = []
@@ -577,6 +582,31 @@ def test_near_copies_at_the_threshold(spark):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(data)
 
 
+def test_components(spark):
+    """Paths, stars around the least and the greatest node, random graphs, loops and no edge at all."""
+    from prefspark.llm.components import components
+    rnd = random.Random(1)
+    names = [rnd.randbytes(16) for _ in range(3000)]
+    names = [min(names)] + [x for x in names if x not in (min(names), max(names))] + [max(names)]
+    graphs = [[], [(1, 1)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)], [(i, 2999) for i in range(300)],
+              [(rnd.randrange(3000), rnd.randrange(3000)) for _ in range(2500)] + [(5, 6), (6, 5), (5, 6)]]
+    for edges in graphs:
+        edges = [(names[a], names[b]) for a, b in edges]
+        df = spark.createDataFrame(edges, "a binary, b binary").repartition(6)
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        got = [(bytes(r[0]), bytes(r[1])) for r in rows(components(df, "a", "b"))]
+        assert sorted(got) == sorted((x, find(x)) for x in root if find(x) != x)
+
+
 def test_sketches_never_bound_too_low():
     from prefspark.llm.jaccard_join import overlap_bound, sketch
     rnd = np.random.default_rng(3)
