@@ -15,17 +15,19 @@ HOT_SHARE = 10_000
 SMALL_ROWS = 200_000
 
 
-def lookup(big: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column) -> DataFrame:
-    """``big`` left-joined with ``table``, which has one row per key and, in ``weight``, that key's rows in ``big``.
+def lookup(big: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column, written: bool = False) -> DataFrame:
+    """``big`` left-joined with ``table``, which has one row per key and, in ``weight``, that key's rows in ``big``;
+    ``written``: the table already stands in the shared folder.
 
     The keys of more than one in ``HOT_SHARE`` rows are broadcast: there can be no more than ``HOT_SHARE`` of them.
     The others are broadcast too while they are few; else ``big`` is shuffled by key, where rows that
     have found their hot key go by ``spread`` instead.
     """
     spark, values = big.sparkSession, [c for c in table.columns if c not in keys and c != weight]
-    path = scratch_table_path(spark, f"lookup-{uuid.uuid4().hex}")
-    table.write.mode("overwrite").parquet(path)
-    table = spark.read.parquet(path)
+    if not written:
+        path = scratch_table_path(spark, f"lookup-{uuid.uuid4().hex}")
+        table.write.mode("overwrite").parquet(path)
+        table = spark.read.parquet(path)
     n, rows = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if n <= SMALL_ROWS:
         return big.join(F.broadcast(table.drop(weight)), keys, "left")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
 from .bwt import repeated_starts
+from .hot_join import lookup
 from .arrays import powers, prefix_sums, releasing, table, text_chunks
 
 K = 64
@@ -253,15 +254,16 @@ def repeated_ranges(docs: DataFrame, min_len: int = 400, k: int = K) -> DataFram
 
     run, out = _find(min_len, k)
     found = written(docs.select("doc_id", "th", "text").mapInArrow(run, out), "stretches")
-    # counts with partial aggregation; only minimizers seen twice go on
-    # written first, so that the join below has two plain exchanges and AQE can split a hot minimizer's rows
+    # counts with partial aggregation; only minimizers seen twice go on.  A minimizer, content or window that very many
+    # rows hold finds its count by broadcast, the others by shuffle
     often = written(found.groupBy("mh").agg(F.count("*").alias("_n"), F.min("sh").alias("_lo"), F.max("sh").alias("_hi"))
-                    .where("_n > 1").select("mh", (F.col("_lo") != F.col("_hi")).alias("many")), "often")
-    again = written(found.join(often, "mh"), "repeats")
+                    .where("_n > 1").select("mh", "_n", (F.col("_lo") != F.col("_hi")).alias("many")), "often")
+    again = written(lookup(found, often, ["mh"], "_n", F.col("start"), written=True).where("many is not null"), "repeats")
     kinds = again.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.first("many").alias("many"),
                                           F.min(F.struct("doc_id", "th", "start", "n")).alias("r"))
     kinds = written(kinds.where("c > 1 or many"), "kinds")
-    whole = (again.join(kinds.where("c > 1").select("mh", "sh"), ["mh", "sh"])
+    copies = kinds.where("c > 1").select("mh", "sh", "c", F.lit(True).alias("copied"))
+    whole = (lookup(again, copies, ["mh", "sh"], "c", F.col("start"), written=True).where("copied")
              .select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") + (min_len - 1)).alias("e")))
     want = written(kinds.where("many").select("mh", "sh", "c", "r.*"), "wanted")
     wanted = want.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(
@@ -274,9 +276,11 @@ def repeated_ranges(docs: DataFrame, min_len: int = 400, k: int = K) -> DataFram
     some = (parts.join(hot, "mh", "left_anti").repartition("mh").sortWithinPartitions("mh")
             .select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(releasing(run), out))
     run, out = _window_hashes(min_len)
-    windows = parts.join(hot, "mh", "left_semi").select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(run, out)
-    twice = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w")
-    many = windows.join(twice, "w").where("c = 1").select("doc_id", "th", "s", (F.col("s") + min_len).alias("e"))
+    windows = written(parts.join(hot, "mh", "left_semi").select("mh", "sh", "c", "doc_id", "th", "start", "bytes").mapInArrow(run, out),
+                      "windows")
+    twice = windows.groupBy("w").agg(F.count("*").alias("_n")).where("_n > 1").select("w", "_n", F.lit(True).alias("twice"))
+    many = (lookup(windows.where("c = 1"), twice, ["w"], "_n", F.col("s")).where("twice")
+            .select("doc_id", "th", "s", (F.col("s") + min_len).alias("e")))
     return whole.union(some).union(many)
 
 
