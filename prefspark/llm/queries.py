@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -33,9 +31,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """Place of the public tokenizer file; set LLM_TOKENIZER to use another."""
+    """Place of the public tokenizer file."""
     import public_tokenizers
-    return os.environ.get("LLM_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 @query("op5_language_id")

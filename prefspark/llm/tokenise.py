@@ -8,7 +8,10 @@ digit followed by one final comma or full stop is split there, as the tokenizer
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,33 @@ from .arrays import lower_ascii, prefix_sums, ranges, span_hash, word_spans, wor
 CACHE_PIECES = 1_500_000
 
 
+#: pieces encoded as one line
+LINE = 1000
+WORD_END = "</w>"
+
+
+def check_kind(spec: dict) -> None:
+    """Pieces stand for themselves only if the tokenizer lower-cases, drops white space and marks word ends; ids are 16 bits."""
+    def kinds(part, key):
+        return [x["type"] for x in (part or {}).get(key, [part] if part else [])]
+    model = spec["model"]
+    if not (model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and len(model["vocab"]) <= 1 << 16
+            and not model["dropout"] and not spec["post_processor"]
+            and set(kinds(spec["normalizer"], "normalizers")) == {"NFC", "Replace", "Lowercase"}
+            and kinds(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"]
+            and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"):
+        raise ValueError("not a tokenizer of the word_bpe kind: lower case, white space dropped, BPE with word ends")
+
+
+def one_word(piece: str) -> bool:
+    """Letters only, also once in lower case and composed form."""
+    return piece.isalpha() and (piece.isascii() or (unicodedata.is_normalized("NFC", piece) and piece.lower().isalpha()))
+
+
+def _ids(encodings) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(e.ids for e in encodings), np.uint16, sum(map(len, encodings)))
+
+
 class PieceEncoder:
     """Distinct pieces -> ids, remembered as sorted hashes with an offset table."""
 
@@ -27,6 +57,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        check_kind(json.loads(self.tok.to_str()))
+        ends = [i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)]
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[ends] = True
         # the strings of special tokens are ordinary text inside a document
         self.tok.encode_special_tokens = True
         self.reset()
@@ -36,11 +70,25 @@ class PieceEncoder:
         self.levels = [_Level.empty(), _Level.empty()]
 
     def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        lists = [e.ids for e in out]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint16, int(lens.sum()))
-        return lens, flat
+        """(ids per piece, ids side by side).  A piece of letters is one word, so such pieces are encoded in long
+        lines, which costs less a piece, and told apart by the ids that end a word."""
+        words = [i for i, p in enumerate(pieces) if one_word(p)]
+        rest = sorted(set(range(len(pieces))).difference(words))
+        lines = [" ".join(pieces[i] for i in words[a: a + LINE]) for a in range(0, len(words), LINE)]
+        flat = _ids(self.tok.encode_batch_fast(lines, add_special_tokens=False))
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer splits a word of letters")
+        lens = np.zeros(len(pieces), np.int64)
+        lens[words] = np.diff(ends, prepend=0)
+        if not rest:
+            return lens, flat
+        out = self.tok.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
+        lens[rest] = [len(e) for e in out]
+        both = np.concatenate([flat, _ids(out)])
+        at = np.zeros(len(pieces), np.int64)
+        at[words + rest] = np.cumsum(lens[words + rest]) - lens[words + rest]
+        return lens, both[ranges(at, lens)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids uint16, offsets by document) of a buffer of documents."""

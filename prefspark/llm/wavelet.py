@@ -30,10 +30,11 @@ class WaveletMatrix:
         zeros, planes = [], []
         for level in range(bits):
             one = (seq & seq.dtype.type(1 << (bits - 1 - level))) != 0
-            low = seq[~one]
             planes.append(np.packbits(one, bitorder="little"))
+            high = np.compress(one, seq)
+            low = np.compress(np.logical_not(one, out=one), seq)
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[one]])
+            seq = np.concatenate([low, high])
         return cls(len(ids), zeros, planes)
 
     def to_bytes(self) -> bytes:
