@@ -5,7 +5,7 @@ as Parquet and read again as the next one's ``docs``.  All but the last return t
 
 1. language_id: documents without a sure language go.
 2. near_duplicates: of documents linked by word-shingle similarity (5 words, 0.75) the one of the smallest id stays.
-3. repeated_substrings: bytes covered by 400-byte strings that occur elsewhere go; a text may become empty.
+3. repeated_substrings: bytes covered by strings of ``PASSAGE_BYTES`` that occur elsewhere go; a text may become empty.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: the rest is tokenised and packed into sequences of 4096 ids.
 
@@ -28,6 +28,10 @@ from prefspark.llm.substring_dedup import remove_repeats
 from prefspark.session import scratch_table_path
 
 
+#: a passage of over 50 words has more bytes than this, unless its words have under three letters
+PASSAGE_BYTES = 200
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return keep_identified(docs)
@@ -40,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return remove_repeats(docs)
+    return remove_repeats(docs, PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

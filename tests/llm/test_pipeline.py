@@ -1,5 +1,6 @@
 """The corpus pipeline: stages in order, each decision in effect."""
 
+import collections
 import os
 import sys
 
@@ -35,7 +36,38 @@ def test_run(spark):
     assert len(ids) >= 0.8 * len(first)
 
 
-@pytest.mark.parametrize("name", ["op%d_" % i for i in range(1, 11)] + ["pipeline"])
+def test_repeated_passages_are_caught(spark):
+    """Passages of over 50 words that stand in other documents too go; documents without any stay as they are."""
+    import corpus_pipeline as C
+
+    def windows(text, n):
+        w = (text or "").split()
+        return {tuple(w[i: i + n]) for i in range(len(w) - n + 1)}
+
+    docs = C.near_duplicates(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "").checkpoint()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in C.repeated_substrings(spark, docs, "").collect()}
+    assert set(before) == set(after)
+    holders = collections.Counter(w for t in before.values() for w in windows(t, 51))
+    planted = {(i, w) for i, t in before.items() for w in windows(t, 51) if holders[w] > 1}
+    left = {(i, w) for i, t in after.items() for w in windows(t, 51)}
+    assert len(planted) > 200
+    assert len(planted & left) <= 0.1 * len(planted)
+    some = collections.Counter(w for t in before.values() for w in windows(t, 25))
+    clean = [i for i, t in before.items() if not any(some[w] > 1 for w in windows(t, 25))]
+    assert len(clean) > 500
+    assert sum(before[i] == after[i] for i in clean) >= 0.95 * len(clean)
+
+
+def test_packing_of_emptied_texts(spark):
+    """A text that a stage has emptied, or a null one, is packed as its end token."""
+    import corpus_pipeline as C
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "two words"), (4, " \n")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["piece"], r["start"], r["length"]) for r in C.packing(spark, docs, "").collect()}
+    assert got[1] == got[2] == got[4] == (0, 0, 1) and got[3][2] > 1 and len(got) == 4
+
+
+@pytest.mark.parametrize("name", ["op%d_" % i for i in range(1, 14)] + ["pipeline"])
 def test_registered(name):
     import __spark_entry__ as E
     assert [q for q in E.queries() if q.startswith(name)]
