@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +92,79 @@ def dict_items(body: Column) -> Column:
         F.when(x["v"] == "nan", F.lit(float("nan"))).otherwise(x["v"].cast("double")).alias("value")))
 
 
+class RunTable:
+    """The metrics of one run, built from its parsed lines in order.
+
+    Each parser keeps its own part, so that one pass over the lines serves all of them and ``rows`` puts them
+    together as if they had run one after the other over the whole file: training, dictionary, per-user
+    evaluation, id.  ``state`` is plain data, so a stream can carry a run from batch to batch.
+    """
+
+    PARTS = ("train", "dict", "prm", "id")
+    #: the parsers of each format, in order; a training log without metrics is read by ids as well
+    FORMATS = {"rag": ("dict",), "ft_rm": ("train",), "prm": ("prm",), "id_rm": ("id",), "all": PARTS}
+
+    def __init__(self, fmt: str, state: dict | None = None):
+        self.fmt = fmt
+        state = state or {}
+        self.header: int | None = state.get("header")
+        self.seen_dict: bool = state.get("seen_dict", False)
+        self.last: dict[str, float] = state.get("last", {})
+        self.parts: dict[str, dict[int, dict[str, float]]] = {
+            p: {int(u): m for u, m in state.get(p, {}).items()} for p in self.PARTS}
+
+    @property
+    def state(self) -> dict:
+        return {"header": self.header, "seen_dict": self.seen_dict, "last": self.last, **self.parts}
+
+    def feed(self, kind: str, uid: int | None, dataset: str | None, value: float | None) -> None:
+        """One parsed line (``parse_line``)."""
+        if kind == "header":
+            self.header = uid
+        elif kind == "user":
+            self.parts["train"].setdefault(uid, {})["accuracy"] = value
+        elif kind == "prm":
+            self.parts["prm"].setdefault(uid, {})["accuracy"] = value
+        elif kind == "dataset_num":
+            self.parts["id"].setdefault(uid, {})["accuracy"] = value
+        elif kind == "dataset_name" and dataset in CATEGORY_METRIC:
+            metric = CATEGORY_METRIC[dataset]
+            if self.header is not None:
+                self.parts["train"].setdefault(self.header, {})[metric] = value
+            for scores in self.parts["id"].values():
+                scores[metric] = value
+            self.last[metric] = value
+        elif kind == "dict" and not self.seen_dict:
+            self.seen_dict = True
+            named: dict[str, float] = {}
+            for name, user, number in re.findall(P_DICT_ITEM, dataset):
+                if name:
+                    if name in CATEGORY_METRIC:
+                        named[CATEGORY_METRIC[name]] = float(number)
+                else:
+                    self.parts["dict"].setdefault(int(user), {}).update(accuracy=float(number), **named)
+
+    def rows(self) -> list[tuple[int, str, float, str]]:
+        """(uid, metric, value, user_kind); user 0 is the mean over the others, without NaN."""
+        users: dict[int, dict[str, float]] = {}
+        for part in self.FORMATS[self.fmt]:
+            if part != "id":
+                for u, scores in self.parts[part].items():
+                    users.setdefault(u, {}).update(scores)
+        if "id" in self.FORMATS[self.fmt] or (self.fmt == "ft_rm" and not any(users[u] for u in users if u != 0)):
+            # a category line reaches everyone known before the id parser starts, and its own users so far
+            for scores in users.values():
+                scores.update(self.last)
+            for u, scores in self.parts["id"].items():
+                users.setdefault(u, {}).update(scores)
+        out = [(u, m, v, "individual") for u, scores in users.items() if u != 0 for m, v in scores.items()]
+        for metric in METRICS:
+            values = [v for _, m, v, _ in out if m == metric and not math.isnan(v)]
+            if values:
+                out.append((0, metric, math.fsum(values) / len(values), "average"))
+        return out
+
+
 def category_metric(name: Column) -> Column:
     e = None
     for k, v in CATEGORY_METRIC.items():

@@ -1,24 +1,34 @@
 """Run logs -> metric tables -> reports.
 
 A log file is one run; ordering rules ("the latest header above", "users
-seen so far", "last value wins") are evaluated per file, so every window
-and range join here is bounded by one file's lines.
+seen so far", "last value wins") are evaluated per file, by one table per run.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import report as R
-from ..session import materialize
+from .joins import broadcast_if_small
 
 
 # S07 ------------------------------------------------------------------------
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All log files under ``path`` (a glob) -> (file, line_no, line); line numbers from 0."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """All log files under ``path`` (a glob) -> (file, line_no, line); line numbers from 0.
+
+    Files are read by byte blocks, so a large one is many tasks.  A line's number is its rank in its
+    block, which is read in order, plus the lines of the file's blocks before: one narrow row a block, broadcast while
+    they are few."""
+    m = F.col("_metadata")
+    raw = (spark.read.option("lineSep", "\n").text(path)
+           .select(m["file_path"].alias("file"), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"),
+                   F.col("value").alias("line")))
+    blocks = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    starts = broadcast_if_small(blocks.select("file", "_block", (before - F.col("_first")).alias("_shift")))
+    return raw.join(starts, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def lines_from_text(df: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -27,74 +37,51 @@ def lines_from_text(df: DataFrame, file: str = "file", text: str = "text") -> Da
 
 
 # F30 ------------------------------------------------------------------------
+METRIC_ROWS = "file string, uid long, metric string, value double, user_kind string"
+
+
+def _assemble(batches):
+    """Parsed lines, sorted by file and line -> the rows of each file.  Only the run table of one file is held."""
+    schema = pa.schema([("file", pa.string()), ("uid", pa.int64()), ("metric", pa.string()), ("value", pa.float64()), ("user_kind", pa.string())])
+    now, run = None, None
+
+    def rows():
+        cols = zip(*((now, *r) for r in run.rows()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)] or [pa.array([], t) for t in schema.types], schema=schema)
+
+    for b in batches:
+        for file, fmt, kind, uid, dataset, value in zip(*(c.to_pylist() for c in b.columns)):
+            if run is None or file != now:
+                if run is not None:
+                    yield rows()
+                now, run = file, R.RunTable(fmt)
+            run.feed(kind, uid, dataset, value)
+    if run is not None:
+        yield rows()
+
+
+def metric_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
+    """(file, ``order``, fmt, kind, uid, dataset, value): the lines that carry metrics, parsed."""
+    return (lines.select("file", order, R.log_format(F.col("file")).alias("fmt"), R.parse_line(F.col("line")).alias("_p"))
+            .filter(F.col("_p.kind").isNotNull()).select("file", order, "fmt", "_p.*"))
+
+
 def assemble_run_metrics(lines: DataFrame) -> DataFrame:
-    """Combine parsed lines into (file, uid, metric, value) with the reference's rules.
+    """Combine parsed lines into (file, uid, metric, value, user_kind) with the reference's rules.
 
     * training format: a category score belongs to the latest header above it;
     * id format: a category score applies to every user seen *before* it;
     * dictionary format: category scores given before a user apply to it;
     * prm format: user accuracies only;
     * the format comes from the path (``log_format``); a training-format file
-      without any user metric is re-read in the id format;
+      without any user metric is re-read in the id format; an unknown format goes through all
+      parsers with one user table;
     * always the last value wins; uid 0 is then the mean over the other users.
+
+    Lines without metrics go before the exchange; a file's lines are then streamed in order through one run table.
     """
-    p = (lines.withColumn("_p", R.parse_line(F.col("line")))
-              .withColumn("fmt", R.log_format(F.col("file")))
-              .select("file", "line_no", "fmt", "_p.*"))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("cur_user", F.last(F.when(F.col("kind") == "header", F.col("uid")), ignorenulls=True).over(w))
-    # the parsed lines feed eight branches below: write them once (also cuts the lineage)
-    p = materialize(p.filter(F.col("kind").isNotNull()))
-
-    train_fmt = F.col("fmt").isin("ft_rm", "all")
-    tr_user = p.filter(train_fmt & (F.col("kind") == "user")).select(
-        "file", "uid", F.lit("accuracy").alias("metric"), "value", F.lit(0).alias("_parser"), "line_no")
-    tr_cat = p.filter(train_fmt & (F.col("kind") == "dataset_name") & F.col("cur_user").isNotNull()).select(
-        "file", F.col("cur_user").alias("uid"), R.category_metric(F.col("dataset")).alias("metric"), "value",
-        F.lit(0).alias("_parser"), "line_no")
-    training = tr_user.unionByName(tr_cat).filter(F.col("metric").isNotNull())
-    has_train = training.filter(F.col("uid") != 0).select("file").distinct()
-
-    id_files = p.filter(F.col("fmt").isin("id_rm", "all")).select("file").distinct().unionByName(
-        p.filter(F.col("fmt") == "ft_rm").select("file").distinct().join(has_train, "file", "left_anti")).distinct()
-    pid = p.join(id_files, "file", "left_semi")
-    id_user = pid.filter(F.col("kind") == "dataset_num").select(
-        "file", "uid", F.lit("accuracy").alias("metric"), "value", F.lit(3).alias("_parser"), "line_no")
-    first_seen = id_user.groupBy("file", "uid").agg(F.min("line_no").alias("_first"))
-    cats = pid.filter(F.col("kind") == "dataset_name").select(
-        "file", F.col("line_no").alias("_cl"), R.category_metric(F.col("dataset")).alias("metric"), "value")
-    # users seen so far: a range condition inside one file (bounded by that file's users x lines)
-    id_cat = (cats.join(first_seen, "file").filter(F.col("_first") < F.col("_cl"))
-                  .select("file", "uid", "metric", "value", F.lit(3).alias("_parser"),
-                          F.col("_cl").alias("line_no")))
-    ident = id_user.unionByName(id_cat).filter(F.col("metric").isNotNull())
-
-    prm = p.filter(F.col("fmt").isin("prm", "all") & (F.col("kind") == "prm")).select(
-        "file", "uid", F.lit("accuracy").alias("metric"), "value", F.lit(2).alias("_parser"), "line_no")
-
-    dict_lines = p.filter(F.col("fmt").isin("rag", "all") & (F.col("kind") == "dict"))
-    first_dict = dict_lines.groupBy("file").agg(F.min_by("dataset", "line_no").alias("_body"))
-    items = first_dict.select("file", F.explode(R.dict_items(F.col("_body"))).alias("it")).select("file", "it.*")
-    d_users = items.filter(F.col("uid").isNotNull()).select("file", "uid", F.col("pos").alias("_up"), "value")
-    d_named = items.filter(F.col("name").isNotNull()).select(
-        "file", F.col("pos").alias("_np"), R.category_metric(F.col("name")).alias("metric"),
-        F.col("value").alias("_nv")).filter(F.col("metric").isNotNull())
-    d_acc = d_users.select("file", "uid", F.lit("accuracy").alias("metric"), "value",
-                           F.lit(1).alias("_parser"), F.col("_up").alias("line_no"))
-    d_cat = (d_users.select("file", "uid", "_up").join(d_named, "file").filter(F.col("_np") < F.col("_up"))
-                    .select("file", "uid", "metric", F.col("_nv").alias("value"), F.lit(1).alias("_parser"),
-                            F.col("_up").alias("line_no"), F.col("_np").alias("_part")))
-    rag = d_acc.unionByName(d_cat, allowMissingColumns=True)
-
-    allrows = training.unionByName(ident).unionByName(prm).unionByName(rag, allowMissingColumns=True)
-    # the last value wins: by parser, then line or item, then the named item within it
-    last = allrows.groupBy("file", "uid", "metric").agg(
-        F.max_by("value", F.struct("_parser", "line_no", F.coalesce("_part", F.lit(-1)))).alias("value"))
-    users = last.filter(F.col("uid") != 0).withColumn("user_kind", F.lit("individual"))
-    avg = macro_average(users, by=["file", "metric"], uid="uid", value="value").select(
-        "file", F.lit(0).cast("long").alias("uid"), "metric", F.col("macro_avg").alias("value"),
-        F.lit("average").alias("user_kind")).filter(F.col("value").isNotNull())
-    return users.unionByName(avg)
+    return (metric_lines(lines).repartition("file").sortWithinPartitions("file", "line_no")
+            .select("file", "fmt", "kind", "uid", "dataset", "value").mapInArrow(_assemble, METRIC_ROWS))
 
 
 # G09 / G10 ------------------------------------------------------------------

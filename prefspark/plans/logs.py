@@ -113,11 +113,11 @@ BASE = with_ctes(FX.SQL_F3, FILES_SQL, CATS_SQL, CATNO_SQL, EXPECT_SQL)
 
 
 @query("f30_assemble_run_metrics", BASE + """
-SELECT file, CAST(uid AS BIGINT) AS uid, metric, round(value, 7) AS value, user_kind FROM expect""")
+SELECT file, CAST(uid AS BIGINT) AS uid, metric, round(value, 12) AS value, user_kind FROM expect""")
 def f30(spark, sf):
     a = assembled(spark, sf)
-    # values are 6-decimal numbers and means of at most 8 of them: 7 decimals never hit a rounding tie
-    return a.select("file", "uid", "metric", F.round("value", 7).alias("value"), "user_kind")
+    # values are 6-decimal numbers and means of at most 8 of them (then of 4 runs): 12 decimals hold them exactly
+    return a.select("file", "uid", "metric", F.round("value", 12).alias("value"), "user_kind")
 
 
 @query("f29_parse_metric_line", with_ctes(FX.SQL_F3, FILES_SQL) + """
@@ -135,19 +135,19 @@ def f29(spark, sf):
 
 
 @query("g09_macro_average", BASE + """
-SELECT file, metric, round(avg(value), 7) AS macro_avg FROM expect WHERE uid <> 0 GROUP BY file, metric""")
+SELECT file, metric, round(avg(value), 12) AS macro_avg FROM expect WHERE uid <> 0 GROUP BY file, metric""")
 def g09(spark, sf):
     a = assembled(spark, sf)
     m = G.macro_average(a, by=["file", "metric"])
-    return m.select("file", "metric", F.round("macro_avg", 7).alias("macro_avg"))
+    return m.select("file", "metric", F.round("macro_avg", 12).alias("macro_avg"))
 
 
 @query("g10_global_stats", BASE + """
-SELECT uid, metric, round(avg(value), 7) AS mean_value, count(*) AS n_runs FROM expect GROUP BY uid, metric""")
+SELECT uid, metric, round(avg(value), 12) AS mean_value, count(*) AS n_runs FROM expect GROUP BY uid, metric""")
 def g10(spark, sf):
     a = assembled(spark, sf)
     g = G.global_stats(a)
-    return g.select("uid", "metric", F.round("mean_value", 7).alias("mean_value"), "n_runs")
+    return g.select("uid", "metric", F.round("mean_value", 12).alias("mean_value"), "n_runs")
 
 
 def _cfg_sql(field: str) -> str:

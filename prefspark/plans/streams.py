@@ -55,12 +55,12 @@ def t02(spark, sf):
 
 
 @query("t03_stream_log_metrics", LG.BASE + """
-SELECT regexp_extract(file, '[^/]+$', 0) AS file, CAST(uid AS BIGINT) AS uid, metric, round(value, 7) AS value, user_kind
+SELECT regexp_extract(file, '[^/]+$', 0) AS file, CAST(uid AS BIGINT) AS uid, metric, round(value, 12) AS value, user_kind
 FROM expect""")
 def t03(spark, sf):
     texts = LG.log_texts(spark, sf).withColumn("name", F.regexp_extract("file", "[^/]+$", 0))
     log_dir = ST.scratch(spark, "logs-in")
     texts.select("name", "text").write.mode("overwrite").partitionBy("name").text(log_dir)
-    res = ST.stream_log_metrics(spark, log_dir + "/*/*", ST.scratch(spark, "t03-table"), "t03")
+    res = ST.stream_log_metrics(spark, log_dir, ST.scratch(spark, "t03-table"), "t03", pattern="part-*")
     return res.select(F.regexp_extract("file", "name=([^/]+)", 1).alias("file"), "uid", "metric",
-                      F.round("value", 7).alias("value"), "user_kind")
+                      F.round("value", 12).alias("value"), "user_kind")

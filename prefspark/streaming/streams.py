@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.report import RunTable
 from ..session import ensure_checkpoint_dir
+from ..sources.growing import GrowingText
 
 
 def _fs(spark: SparkSession, path: str):
@@ -65,12 +70,26 @@ def read_replay(spark: SparkSession, root: str, schema: T.StructType, max_files:
             .option("recursiveFileLookup", "true").parquet(root))
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the time of a block."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str,
-                  output_mode: str = "update") -> None:
-    """Run a streaming query over everything available, then stop (``availableNow``)."""
+                  output_mode: str = "update", checkpoint: str | None = None) -> None:
+    """Run a streaming query over everything available, then stop (``availableNow``).  With a ``checkpoint`` of
+    its own the next run goes on where this one stopped."""
     spark = stream.sparkSession
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", scratch(spark, f"ckpt-{name}"))
+         .option("checkpointLocation", checkpoint or scratch(spark, f"ckpt-{name}"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -125,17 +144,64 @@ def stream_user_accuracy(stream: DataFrame, window: str = "1 day", ts: str = "ts
 
 
 # ---------------------------------------------------------------- T03
-def stream_log_metrics(spark: SparkSession, log_dir: str, table_root: str, name: str = "logs") -> DataFrame:
-    """Growing run logs: each new file is parsed and assembled (F29/F30) inside
-    ``foreachBatch`` and upserted into the metrics table; the last value per
-    (file, uid, metric) wins.  Returns the final table."""
-    from ..operators.report import assemble_run_metrics
-    stream = (spark.readStream.option("maxFilesPerTrigger", 1).text(log_dir, wholetext=True)
-              .select(F.col("_metadata.file_path").alias("file"), "value"))
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class RunProcessor(StatefulProcessor):
+    """The run table of one log file, carried from batch to batch (``functions.report.RunTable``).
+
+    A batch's lines of a file continue the table where the last ones left it: the header above, the users seen.  Every row of
+    the file is sent again, and rows that no longer stand (a training log without metrics was read by ids
+    until its first metric) once more without a kind."""
+
+    def init(self, handle) -> None:
+        self.run = handle.getValueState("run", "body string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import json
+
+        (file,) = key
+        lines = pd.concat(list(rows)).sort_values("at", kind="stable")
+        fmt = lines["fmt"].iloc[0]
+        table = RunTable(fmt, json.loads(self.run.get()[0])) if self.run.exists() else RunTable(fmt)
+        before = {r[:2] for r in table.rows()}
+        for kind, uid, dataset, value in zip(*(lines[c].tolist() for c in ("kind", "uid", "dataset", "value"))):
+            table.feed(kind, None if pd.isna(uid) else int(uid), dataset, value)
+        self.run.update((json.dumps(table.state),))
+        now = table.rows()
+        gone = [(u, m, None, None) for u, m in sorted(before - {r[:2] for r in now})]
+        # values as text: pandas has no null beside NaN
+        yield pd.DataFrame([(file, u, m, None if v is None else repr(v), k) for u, m, v, k in now + gone], columns=["file", "uid", "metric", "value", "user_kind"])
+
+    def close(self) -> None:
+        pass
+
+
+def growing_lines(spark: SparkSession, log_dir: str, pattern: str = "*", finished: bool = False) -> DataFrame:
+    """A stream of (file, at, line) over the files under ``log_dir``, which may grow while it runs."""
+    spark.dataSource.register(GrowingText)
+    return (spark.readStream.format("growing_text").option("path", log_dir).option("pattern", pattern)
+            .option("finished", str(finished).lower()).load())
+
+
+def stream_log_metrics(spark: SparkSession, log_dir: str, table_root: str, name: str = "logs", pattern: str = "*",
+                       finished: bool = False, checkpoint: str | None = None) -> DataFrame:
+    """Growing run logs -> the metrics table (F29/F30); the last value per (file, uid, metric) wins.
+
+    Reads what the files under ``log_dir`` have gained since the last call with the same ``checkpoint`` and
+    returns the table as it then stands.  Each file's run table is keyed state, so a header or a
+    user of an earlier trigger still counts; lines without metrics go before the exchange.  ``finished``
+    also takes a last line without an end."""
+    from ..operators.report import METRIC_ROWS, metric_lines
+    lines = metric_lines(growing_lines(spark, log_dir, pattern, finished), order="at")
+    rows = lines.groupBy("file").transformWithStateInPandas(
+        RunProcessor(), METRIC_ROWS.replace("value double", "value string"), "Update", "None")
+    rows = rows.withColumn("value", F.col("value").cast("double"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-        upsert_versioned(assemble_run_metrics(lines), batch_id, table_root, ["file", "uid", "metric"])
+        upsert_versioned(batch, batch_id, table_root, ["file", "uid", "metric"])
 
-    run_available(stream, sink, name, output_mode="append")
-    return read_latest(spark, table_root)
+    with settings(spark, {STATE_STORE: ROCKS}):
+        run_available(rows, sink, name, checkpoint=checkpoint)
+    return read_latest(spark, table_root, METRIC_ROWS).filter("user_kind IS NOT NULL")
