@@ -11,10 +11,10 @@
    classes are fetched once.  A pair must then share a prefix shingle under two further orders before its sets
    are intersected exactly.
 4. Links give components.  In a group that still spans several components members of different components
-   are compared by their bucket counts, in cells of at most ``CELL`` x ``CELL`` members that make no rows but for
-   pairs that may link.  ``BEST`` rounds first verify each member's likeliest partner, which joins most
-   near copies; then all pairs that are left between components are verified.  So a group of
-   copies costs a few pairs per member, and no link between different components is lost.
+   are compared in cells of at most ``CELL`` x ``CELL`` members: first by their bucket counts, then those that may
+   link by the exact sizes of all their intersections at once (bit rows).  A cell makes no row for a pair: it sends
+   on the members that may link, then a star for each set that it has linked.  So no link between
+   different components is lost, and a large group of near copies makes a few rows a member and cell.
 
 Hot shingles: one that more than ``HOT`` sets hold is dealt over tasks by the classes' digests.  Each share pairs with
 its own smallest class and all shares form one group, so step 4 compares across them.
@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
 from .arrays import (byte_planes, doc_bounds, from_planes, lower_ascii, mix, packed, prefix_sums, range_cuts, ranges, span_hash, table,
-                     text_chunks, unpacked, word_spans)
-from .components import components, drop_finished
+                     text_buffer, text_chunks, unpacked, word_spans)
+from .components import components, drop_finished, local_roots
 
 BLOCK_BYTES = 4 << 20
 TOKENS_PER_RANGE = 1_000_000
 CELL = 1000
-BEST = 1
+CELL_TOKENS = 1_000_000
+#: shingles in more sets of a cell than this are compared as bits, so many at once
+RARE, COLUMNS = 8, 16_384
 ORDERS = (1, 2)
 #: classes that share a prefix shingle and meet in one task; those of a more frequent shingle are dealt over several
 HOT = 50_000
@@ -378,14 +380,22 @@ def _near(pct: int):
     return run, "a binary, b binary, load long"
 
 
-def _cells(pct: int, best: bool):
-    """Rows sorted by cell: each member's partners in other components whose sketches allow a link; with ``best``
-    only the likeliest one, and the share of the overlap that its sketch allows.  A pair stands once in a cell."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.list_(pa.binary())), ("share", pa.float64())])
+def _rows_by_cell(batches):
+    """The rows of sorted batches, a list per cell (gid, i, j)."""
+    def rows():
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
+
+    for _, cell in groupby(rows(), key=lambda r: r[:3]):
+        yield list(cell)
+
+
+def _cells(pct: int):
+    """Rows sorted by cell: the members whose sketch allows a link with a member of another component."""
+    schema = pa.schema([("gid", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("key", pa.binary()), ("root", pa.binary())])
 
     def within(rows):
         diagonal = rows[0][1] == rows[0][2]
-        keys = [r[4] for r in rows]
         ns = np.array([r[6] for r in rows], np.int64)
         roots = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)[1]
         side = np.array([r[3] for r in rows])
@@ -395,67 +405,110 @@ def _cells(pct: int, best: bool):
             at = np.flatnonzero((size == z) & (diagonal | (side == rows[0][2])))
             if len(at):
                 packs[z] = at, np.frombuffer(b"".join(rows[i][7] for i in at), np.uint8).reshape(-1, z) if z else None
+        flagged = np.zeros(len(rows), bool)
         for i in np.flatnonzero(diagonal | (side == rows[0][1])).tolist():
             own = np.frombuffer(rows[i][7], np.uint8).astype(np.int16) if size[i] else None
-            found, shares = [], []
             for z, (at, sk) in packs.items():
                 near = (100 * np.minimum(ns[at], ns[i]) >= pct * np.maximum(ns[at], ns[i])) & (roots[at] != roots[i])
-                if diagonal and not best:
+                if diagonal:
                     near &= at > i
-                pick = np.flatnonzero(near)
-                if not len(pick):
-                    continue
-                other, share = at[pick], np.ones(len(pick))
-                if own is not None and z:
+                other = at[near]
+                if len(other) and own is not None and z:
                     low = min(z, len(own))
-                    bound = np.minimum(folded(sk[pick], low), folded(own, low)).sum(axis=1, dtype=np.int64)
-                    ok = may_link(bound, ns[other], ns[i], pct)
-                    other, share = other[ok], (bound / (ns[other] + ns[i] - bound))[ok]
-                found.append(other)
-                shares.append(share)
-            found = np.concatenate(found) if found else np.zeros(0, np.int64)
-            if len(found):
-                shares = np.concatenate(shares)
-                top = int(shares.argmax())
-                yield keys[i], [keys[j] for j in (found[[top]] if best else found).tolist()], float(shares[top])
+                    bound = np.minimum(folded(sk[near], low), folded(own, low)).sum(axis=1, dtype=np.int64)
+                    other = other[may_link(bound, ns[other], ns[i], pct)]
+                if len(other):
+                    flagged[i] = True
+                    flagged[other] = True
+        return [r[:6] for r, f in zip(rows, flagged) if f]
+
+    def run(batches):
+        for cell in _rows_by_cell(batches):
+            found = within(cell)
+            if found:
+                yield table(schema, **dict(zip(schema.names, zip(*found))))
+
+    return run, "gid long, i int, j int, own int, key binary, root binary"
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles sets a < b share, at [a, b].  Shingles of few sets are counted pair by pair, those of many
+    by bit rows."""
+    m = len(sets)
+    token, who = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    count = np.diff(np.append(cut, len(token)))
+    out = np.zeros((m, m), np.int32)
+    for c in range(2, RARE + 1):
+        at = cut[count == c]
+        if len(at):
+            members = who[at[:, None] + np.arange(c)]
+            for x in range(c):
+                for y in range(x + 1, c):
+                    np.add.at(out, (members[:, x], members[:, y]), 1)
+    often = np.flatnonzero(count > RARE)
+    for a in range(0, len(often), COLUMNS):
+        some = often[a: a + COLUMNS]
+        holds = np.zeros((m, -(-len(some) // 64) * 64), bool)
+        holds[who[ranges(cut[some], count[some])], np.repeat(np.arange(len(some)), count[some])] = True
+        bits = np.packbits(holds, axis=1).view(np.uint64)
+        for i in range(m - 1):
+            out[i, i + 1:] += np.bitwise_count(bits[i + 1:] & bits[i]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def _verified_cells(k: int, pct: int):
+    """Rows sorted by cell: exact links between members of different components, as a star around the smallest member
+    of each linked set of a cell, so a cell makes fewer rows than it has members."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def within(rows):
+        rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: r[4])
+        data, off = text_buffer(pa.array([r[6] for r in rows], pa.string()))
+        sets = shingle_sets(data, off, k)
+        # rows of a repeated id with another text are told apart by the digest
+        good = [i for i, x in enumerate(sets) if digest(x) == rows[i][4]]
+        rows, sets = [rows[i] for i in good], [sets[i] for i in good]
+        if len(rows) < 2:
+            return [], []
+        both = overlaps(sets)
+        n = np.array([len(x) for x in sets])
+        roots = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)[1]
+        linked = (100 * both >= pct * (n[:, None] + n[None, :] - both)) & (roots[:, None] != roots[None, :]) & (both > 0)
+        root = local_roots(*np.nonzero(linked), len(rows))
+        ends = np.flatnonzero(root != np.arange(len(rows)))
+        return [rows[i][4] for i in root[ends]], [rows[i][4] for i in ends]
 
     def run(batches):
-        def rows():
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
-
-        held, size = [], 0
-        for _, cell in groupby(rows(), key=lambda r: r[:3]):
-            for r in within(list(cell)):
-                held.append(r)
-                size += len(r[1])
-                if size > 100_000:
-                    yield table(schema, **dict(zip(schema.names, zip(*held))))
-                    held, size = [], 0
-        if held:
-            yield table(schema, **dict(zip(schema.names, zip(*held))))
-
-    return run, "a binary, b array<binary>, share double"
-
-
-def _pairs_between_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, pct: int, best: bool) -> DataFrame:
-    """Candidate pairs (a < b, load) of the groups that span several components.  A group's members go to blocks of about
-    ``CELL``; a cell holds two of its blocks."""
-    now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", F.coalesce("root", "key").alias("root"))
-    size = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count("*") / CELL).cast("int").alias("_b"))
+        for cell in _rows_by_cell(batches):
+            a, b = within(cell)
+            if a:
+                yield table(schema, a=a, b=b)
+
+    return run, "a binary, b binary"
+
+
+def _links_between_components(groups: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
+    """Links (a, b) that join the components of the groups that span several.
+
+    A group's members go to blocks of about ``CELL`` members or ``CELL_TOKENS`` shingles; a cell holds two of its blocks.
+    Sketches tell which members of a cell may link; only their texts are fetched."""
+    now = groups.join(comp, groups["key"] == comp["node"], "left").select("gid", "key", "n", F.coalesce("root", "key").alias("root"))
+    blocks = F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_TOKENS)).cast("int")
+    size = now.groupBy("gid").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), blocks.alias("_b"))
     now = now.join(size.where("_lo != _hi").select("gid", "_b"), "gid")
     now = now.withColumn("own", F.pmod(F.xxhash64("key"), F.col("_b")).cast("int"))
     every = F.sequence(F.lit(0), F.col("_b") - 1)
-    cells = (now.join(classes.select("key", "n", "sketch"), "key")
+    cells = (now.join(classes.select("key", "sketch"), "key")
              .select("gid", "own", "key", "root", "n", "sketch", F.explode(every).alias("_o"))
              .select("gid", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "key", "root", "n", "sketch"))
-    run, out = _cells(pct, best)
-    found = cells.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, out)
-    if best:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-    # partners in one cell are a member's load there; a pair of several groups stands once
-    found = found.select("a", F.explode("b").alias("b"), F.size("b").cast("long").alias("load"))
-    return (found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("load").alias("load")))
+    run, out = _cells(pct)
+    flagged = cells.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, out)
+    run, out = _verified_cells(k, pct)
+    return (flagged.join(texts, "key").select("gid", "i", "j", "own", "key", "root", "text")
+            .repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(run, out))
 
 
 def _links(near: DataFrame, texts: DataFrame, k: int, pct: int) -> DataFrame:
@@ -495,7 +548,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     run, out = _group(pct)
     found = written(prefixes.groupBy("p").applyInPandas(run, out), "groups")
     pairs = written(found.where("b is not null").groupBy("a", "b").agg(F.max("load").alias("load")), "pairs")
-    groups = written(found.where("b is null").select("gid", F.col("a").alias("key")).distinct(), "members")
+    groups = written(found.where("b is null").groupBy("gid", F.col("a").alias("key")).agg(F.max("an").alias("n")), "members")
     own = classes.select("key", "n", "sketch")
     run, out = _near(pct)
     near = written(pairs.join(own.toDF("a", "an", "sa"), "a").join(own.toDF("b", "bn", "sb"), "b")
@@ -505,13 +558,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     # rows of a repeated id with another text are told apart by their digests later
     texts = written(docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("key", "text"), "texts")
     comp = components(_links(near, texts, k, pct), "a", "b")
-    done = pairs.select("a", "b")
-    for step in range(BEST + 1):
-        more = written(_pairs_between_components(groups, comp, classes, pct, step < BEST).join(done, ["a", "b"], "left_anti"), f"more{step}")
-        if not more.isEmpty():
-            # the stars of the components so far and the new links
-            comp = components(comp.toDF("a", "b").union(_links(more, texts, k, pct)), "a", "b")
-            done = done.union(more.select("a", "b"))
+    more = written(_links_between_components(groups, comp, classes, texts, k, pct), "links")
+    # the stars of the components so far and the new links
+    comp = components(comp.toDF("a", "b").union(more), "a", "b")
     named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")

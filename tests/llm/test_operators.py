@@ -544,15 +544,15 @@ def test_jaccard(docs):
     assert collections.Counter(rows(jaccard_components(docs))) == brute_components(pairs(docs))
 
 
-@pytest.mark.parametrize("cell,best,hot", [(1000, 2, 50_000), (3, 0, 50_000), (5, 1, 4)])
-def test_jaccard_groups_without_links(spark, monkeypatch, cell, best, hot):
+@pytest.mark.parametrize("cell,tokens,hot", [(1000, 10**6, 50_000), (3, 10**6, 50_000), (5, 200, 4)])
+def test_jaccard_groups_without_links(spark, monkeypatch, cell, tokens, hot):
     """Many texts share prefix shingles but link in several clusters or not at all; hot shingles are dealt out."""
     from prefspark.llm import jaccard_join as J
     jaccard_components = J.jaccard_components
     monkeypatch.setattr(J, "HOT", hot)
     monkeypatch.setattr(J, "VERIFY", hot)
     monkeypatch.setattr(J, "CELL", cell)
-    monkeypatch.setattr(J, "BEST", best)
+    monkeypatch.setattr(J, "CELL_TOKENS", tokens)
     rnd = random.Random(8)
     core = sentence(rnd, 40)
     data = []
@@ -607,6 +607,17 @@ def test_components(spark):
         assert sorted(got) == sorted((x, find(x)) for x in root if find(x) != x)
 
 
+def test_overlaps(monkeypatch):
+    from prefspark.llm import jaccard_join as J
+    rnd = np.random.default_rng(6)
+    monkeypatch.setattr(J, "COLUMNS", 100)
+    for m, rare in ((2, 8), (12, 3), (40, 8)):
+        monkeypatch.setattr(J, "RARE", rare)
+        sets = [np.unique(rnd.integers(0, 400, rnd.integers(1, 120)).astype(np.uint64)) for _ in range(m)]
+        got = J.overlaps(sets)
+        assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(m) for b in range(a + 1, m))
+
+
 def test_sketches_never_bound_too_low():
     from prefspark.llm.jaccard_join import overlap_bound, sketch
     rnd = np.random.default_rng(3)
