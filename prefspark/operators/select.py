@@ -15,7 +15,7 @@ from ..functions.util import at
 
 from ..functions.random import fast_hash, seeded_hash, seeded_uniform, weighted_choice
 from ..session import materialize
-from .window import dense_position, group_position
+from .window import dense_position, group_position, numbered
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
 # best rows and one task merges (#tasks x n) rows.  Above this n that merge
@@ -101,26 +101,26 @@ def rerank_top_k(df: DataFrame, k: int, group: str = "group_id", score: str = "s
 
 
 # L07 / L08 / J09 ------------------------------------------------------------
-def _hash_rank(df: DataFrame, seed: int, key: str) -> DataFrame:
-    return dense_position(df.withColumn("_h", seeded_hash(seed, key)), ["_h", key], "_hr", base=1).drop("_h")
+def _hash_rank(df: DataFrame, seed: int, key: str) -> tuple[DataFrame, int]:
+    """Rows numbered from 1 in hash order, and how many there are."""
+    rows, n = numbered(df.withColumn("_h", seeded_hash(seed, key)), ["_h", key], "_hr", base=1)
+    return rows.drop("_h"), n
 
 
 def holdout_split(df: DataFrame, frac: float = 0.1, seed: int = 0, key: str = "cmp_id",
                   out: str = "is_test") -> DataFrame:
     """Flag ``floor(frac * n)`` rows picked by a hash-seeded permutation; the rest are train."""
-    n = df.select(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).cast("long")).scalar()
-    return _hash_rank(df, seed, key).withColumn(out, F.col("_hr") <= n).drop("_hr")
+    rows, n = _hash_rank(df, seed, key)
+    return rows.withColumn(out, F.col("_hr") <= F.floor(F.lit(n) * F.lit(float(frac)))).drop("_hr")
 
 
 def split_fixed(df: DataFrame, eval_size: int, seed: int = 0, key: str = "cmp_id",
                 out: str = "is_eval") -> DataFrame:
-    """Exact-size split; ``eval_size`` must be below the row count (else every row is NULL-flagged
-    and ``split_check`` fails)."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    flagged = _hash_rank(df, seed, key)
-    return flagged.withColumn(out, F.when(F.lit(eval_size) < n, F.col("_hr") <= eval_size)
-                              .otherwise(F.raise_error(F.lit("eval_size must be below the row count")))
-                              ).drop("_hr")
+    """Exact-size split; ``eval_size`` must be below the row count."""
+    rows, n = _hash_rank(df, seed, key)
+    if eval_size >= n > 0:
+        raise ValueError("eval_size must be below the row count")
+    return rows.withColumn(out, F.col("_hr") <= eval_size).drop("_hr")
 
 
 def complement(df: DataFrame, picked: DataFrame, key: str = "cmp_id") -> DataFrame:

@@ -1,126 +1,93 @@
 """Window / order-dependent operators and global numbering.
 
 Global numbering (``dense_position``) never uses a window without
-``partitionBy`` (which would pull every row into one task).  It is the
-DataFrame form of ``zipWithIndex``: rows get order-preserving buckets with
-deterministic bounds, each bucket is numbered by its own window, and each
-bucket's offset comes from a count table with one row per bucket (so its
-broadcast is bounded by the bucket count).
+``partitionBy`` (which would pull every row into one task).  The input is computed once
+and written to the shared folder; the written rows go through one range exchange, are sorted
+and written again with their place in their partition; a partition's offset (one
+narrow row a partition, a proven bound) is added on read.  So every branch and every
+retried stage reads the same numbers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd  # the pandas UDF's type hints are resolved in this module
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.util import at
+from ..session import scratch_table_path
 
 
-SAMPLES_PER_BUCKET = 16
-ROWS_PER_BUCKET = 1_000_000   # target rows numbered by one window task
+ROWS_PER_BUCKET = 1_000_000   # target rows sorted by one task
 MAX_BUCKETS = 1 << 16
-MAX_SAMPLE = 1 << 18          # keys sampled to the driver to choose bucket bounds
+PREFIX = 64                   # characters of a text key that choose its partition
+_LOCAL = (1 << 33) - 1        # a row's number within its partition (monotonically_increasing_id)
 
 
-def _bucket_expr(key: Column, bounds: Column, m: int) -> Column:
-    """Number of bounds strictly below ``key`` (so bucket i holds bounds[i-1] < key <= bounds[i]),
-    by a binary search over the sorted literal array ``bounds``: ceil(log2(m+1)) steps of one
-    comparison each, whatever the number of buckets."""
-    import math
-    steps = max(1, math.ceil(math.log2(m + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(m).alias("hi"))
+def written(df: DataFrame, name: str = "written") -> tuple[DataFrame, int]:
+    """``df`` computed once into the shared folder, as read back from there, and its row count."""
+    spark = df.sparkSession
+    path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex}")
+    # Parquet has no column of nulls only
+    void = {f.name: F.col(f.name).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    seen = Observation()
+    df.withColumns(void).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.parquet(path), seen.get["n"]
 
-    def step(acc, _):
-        lo, hi = acc.getField("lo"), acc.getField("hi")
-        mid = F.floor((lo + hi) / 2).cast("int")
-        right = at(bounds, mid + 1) < key
-        return F.when(lo >= hi, acc).otherwise(
-            F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
-             .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step).getField("lo")
 
+def _columns(order) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in ([order] if isinstance(order, (str, Column)) else list(order))]
 
-def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Assign every row an order-preserving bucket with *deterministic* bounds
-    (see ``_range_buckets``)."""
-    return _range_buckets(df, order, n_buckets, out)[0]
-
-
-def _range_buckets(df: DataFrame, order, n_buckets: int | None = None,
-                   out: str = "_bucket") -> tuple[DataFrame, int]:
-    """Assign every row an order-preserving bucket with *deterministic* bounds; also return
-    the number of buckets used.
-
-    ``repartitionByRange`` samples with a seed tied to the RDD id, so two
-    executions of the same plan (a self-join, a retried stage) can draw
-    different bounds.  Here the bounds come from a hash-seeded sample of the
-    keys (a bounded driver-side list, about ``SAMPLES_PER_BUCKET`` keys per
-    bucket), fixed once and passed to every task as one sorted array, so
-    every execution and every retry assigns the same bucket; a row finds its
-    bucket by binary search.  The bucket count grows with the row count
-    (``ROWS_PER_BUCKET`` per bucket, at most ``MAX_BUCKETS``).  NULL keys come
-    first, at every size; equal keys share a bucket, in an order of no meaning.
+
+def _ordered(df: DataFrame, order, n_buckets: int | None = None) -> tuple[DataFrame, int, int]:
+    """(rows with ``_bk`` and ``_local``, buckets, row count): sorted by ``order`` over order-preserving buckets.
+
+    Text keys choose their bucket by their first ``PREFIX`` characters, so bounds stay short; a task sorts by the
+    whole key.  Equal keys share a bucket.  NULL keys come first.
     """
-    order_cols = [order] if isinstance(order, (str, Column)) else list(order)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    spark = df.sparkSession
-    keyed = df.withColumn("_okey", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
-    n = keyed.count()
-    if n_buckets is None:
-        # as many buckets as it takes to keep each window task at most ROWS_PER_BUCKET rows
-        # (a single bucket -- no sampling at all -- while the input is that small)
-        nb = min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
-    else:
-        nb = n_buckets
-    if nb <= 1:
-        return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
-    # the sample is the only data that reaches the driver: at most MAX_SAMPLE keys (fewer keys
-    # per bucket only makes bucket sizes less even, never the numbering wrong)
-    want = min(nb * SAMPLES_PER_BUCKET, MAX_SAMPLE)
-    frac = min(1.0, want / max(n, 1))
-    u = (F.xxhash64(F.lit("range-sample"), *cols).bitwiseAND(F.lit((1 << 52) - 1))
-         / F.lit(float(1 << 52)))
-    sample = sorted({tuple(r[0]) for r in keyed.filter(u < F.lit(frac)).select("_okey").distinct().collect()},
-                    key=lambda t: [(v is not None, v) if v is not None else (False,) for v in t])
-    if len(sample) < 2:
-        return keyed.withColumn(out, F.lit(0)).drop("_okey"), 1
-    step = len(sample) / nb
-    picks = [sample[j] for j in sorted({min(len(sample) - 1, max(0, int(step * (i + 1)) - 1)) for i in range(nb - 1)})]
-    kschema = keyed.schema["_okey"].dataType
-    # the bounds travel as one sorted array from a scalar sub-query (evaluated once); the search
-    # expression does not grow with the number of buckets
-    bdf = spark.createDataFrame([tuple(b) for b in picks], kschema)
-    bounds = bdf.select(F.sort_array(F.collect_list(F.struct(*[F.col(f.name) for f in kschema.fields])))).scalar()
-    keyed = keyed.withColumn("_bounds", bounds)  # a column first: sub-queries may not sit in lambdas
-    return (keyed.withColumn(out, _bucket_expr(F.col("_okey"), F.col("_bounds"), len(picks)))
-                 .drop("_okey", "_bounds")), len(picks) + 1
+    cols = _columns(order)
+    src, n = written(df, "numbered")
+    nb = n_buckets or min(MAX_BUCKETS, max(1, -(-n // ROWS_PER_BUCKET)))
+    kinds = src.select(*[c.alias(f"k{i}") for i, c in enumerate(cols)]).schema.fields
+    # behind a longer text the keys after it say nothing about the order, so such rows have none
+    bounds, whole = [], F.lit(True)
+    for c, k in zip(cols, kinds):
+        if isinstance(k.dataType, T.StringType):
+            longer = F.coalesce(F.length(c) > PREFIX, F.lit(False))
+            bounds += [F.when(whole, F.substring(c, 1, PREFIX)), F.when(whole, longer)]
+            whole = whole & ~longer
+        else:
+            bounds.append(F.when(whole, c))
+    rows = src.repartitionByRange(nb, *bounds).sortWithinPartitions(*cols)
+    rows = rows.withColumns({"_bk": F.spark_partition_id(), "_local": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL))})
+    return (rows if nb == 1 else written(rows, "ordered")[0]), nb, n
 
 
-def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
-                   n_buckets: int | None = None) -> DataFrame:
-    """Add a dense ``base``-based position in ``order`` (a unique key; NULLs first).
+def range_buckets(df: DataFrame, order, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    """Assign every row an order-preserving bucket, the same for every reader of the result."""
+    return _ordered(df, order, n_buckets)[0].withColumnRenamed("_bk", out).drop("_local")
 
-    No window without ``partitionBy``: rows get deterministic order-preserving
-    buckets (``range_buckets``), each bucket is numbered by its own window,
-    and a bucket's offset is the prefix sum of the per-bucket counts (a table
-    with one row per bucket -- a proven bound -- broadcast back).
-    """
-    order_cols = [order] if isinstance(order, (str, Column)) else list(order)
-    b, nb = _range_buckets(df, order_cols, n_buckets, "_bk")
+
+def numbered(df: DataFrame, order, out: str = "pos", base: int = 0, n_buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``dense_position`` and the row count."""
+    rows, nb, n = _ordered(df, order, n_buckets)
     if nb == 1:
-        # at most ROWS_PER_BUCKET rows: one window task numbers them, no offsets to add
-        w1 = Window.partitionBy("_bk").orderBy(*order_cols)
-        return b.withColumn(out, F.row_number().over(w1) - 1 + F.lit(base)).drop("_bk")
-    counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
+        return rows.withColumn(out, F.col("_local") + F.lit(base)).drop("_bk", "_local"), n
+    counts = rows.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_bk", F.coalesce(F.sum("_n").over(Window.orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bk").orderBy(*order_cols)
-    numbered = b.withColumn("_local", F.row_number().over(w) - 1)
-    res = numbered.join(F.broadcast(offs), "_bk", "inner")
-    return res.withColumn(out, F.col("_off") + F.col("_local") + F.lit(base)).drop("_bk", "_local", "_off")
+    res = rows.join(F.broadcast(offs), "_bk")
+    return res.withColumn(out, F.col("_off") + F.col("_local") + F.lit(base)).drop("_bk", "_local", "_off"), n
+
+
+def dense_position(df: DataFrame, order, out: str = "pos", base: int = 0,
+                   n_buckets: int | None = None) -> DataFrame:
+    """Add a dense ``base``-based position in ``order`` (a unique key; NULLs first)."""
+    return numbered(df, order, out, base, n_buckets)[0]
 
 
 def group_position(df: DataFrame, keys, order, out: str = "rank", base: int = 1,
@@ -182,18 +149,15 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
     Distributed prefix sum: per-partition totals after range partitioning,
     offsets from the small total table, then a within-partition running sum.
     """
-    order = [order] if isinstance(order, str) else list(order)
-    b, nb = _range_buckets(df, order, None, "_bk")
-    if nb == 1:
-        w1 = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        res = b.withColumn(end, F.sum(n).over(w1))
-        return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk")
-    tot = b.groupBy("_bk").agg(F.sum(n).alias("_t"))
-    offs = tot.select("_bk", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    res = b.join(F.broadcast(offs), "_bk").withColumn(end, F.col("_off") + F.sum(n).over(w))
-    return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk", "_off")
+    rows, nb, _ = _ordered(df, order)
+    w = Window.partitionBy("_bk").orderBy("_local").rowsBetween(Window.unboundedPreceding, 0)
+    res = rows.withColumn(end, F.sum(n).over(w))
+    if nb > 1:
+        tot = rows.groupBy("_bk").agg(F.sum(n).alias("_t"))
+        offs = tot.select("_bk", F.coalesce(F.sum("_t").over(
+            Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        res = res.join(F.broadcast(offs), "_bk").withColumn(end, F.col("_off") + F.col(end)).drop("_off")
+    return res.withColumn(start, F.col(end) - F.col(n)).drop("_bk", "_local")
 
 
 # W04 / W05 ----------------------------------------------------------------

@@ -76,3 +76,39 @@ def test_hot_key_group_position(spark):
     # the hot group is spread over several numbering buckets (several window tasks)
     b = W.range_buckets(df, ["g", "row_id"], 16, "_b").filter("g = 0").select("_b").distinct().count()
     assert b >= 4
+
+
+def test_numbering_computes_its_input_once(spark):
+    """Branches and re-reads of a numbered table read what was written, whatever the input does."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(0, 1000, 1, 7).mapInArrow(count, "id long")
+    for buckets in (None, 9):
+        seen.value = 0
+        p = W.dense_position(df, "id", "p", n_buckets=buckets)
+        assert p.join(p.withColumnRenamed("id", "other"), "p").filter("id = other AND id = p").count() == 1000
+        assert seen.value == 1000
+
+
+def test_long_text_keys_are_ordered_beyond_the_bound(spark):
+    """Texts with a long common prefix share a bucket and are still in full order; text bounds are short."""
+    rows = [("same " * 100 + f"{i * 37 % 101:03d}" if i % 2 else f"{i * 53 % 97:03d}é", i) for i in range(200)] + [(None, 500)]
+    df = spark.createDataFrame(rows, "t string, id long").repartition(5)
+    got = {r["id"]: r["p"] for r in W.dense_position(df, ["t", "id"], "p", n_buckets=8).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert [got[i] for _, i in order] == list(range(201))
+    offs = W.segment_offsets(df.withColumn("k", F.lit(3)), "k", ["t", "id"]).collect()
+    assert sorted(r["start"] for r in offs) == list(range(0, 603, 3))
+
+
+def test_void_columns_and_empty_tables_are_numbered(spark):
+    df = spark.range(0, 5).withColumn("nothing", F.lit(None))
+    assert sorted(r["p"] for r in W.dense_position(df, "id", "p").collect()) == list(range(5))
+    assert W.dense_position(df.limit(0), "id", "p").count() == 0
+    assert L.holdout_split(df.limit(0), key="id").count() == 0
+    with pytest.raises(ValueError):
+        L.split_fixed(df, 5, key="id")
