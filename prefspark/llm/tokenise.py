@@ -27,16 +27,15 @@ LINE = 1000
 WORD_END = "</w>"
 
 
-def check_kind(spec: dict) -> None:
+def check_kind(tok) -> None:
     """Pieces stand for themselves only if the tokenizer lower-cases, drops white space and marks word ends; ids are 16 bits."""
-    def kinds(part, key):
-        return [x["type"] for x in (part or {}).get(key, [part] if part else [])]
-    model = spec["model"]
-    if not (model["type"] == "BPE" and model["end_of_word_suffix"] == WORD_END and len(model["vocab"]) <= 1 << 16
-            and not model["dropout"] and not spec["post_processor"]
-            and set(kinds(spec["normalizer"], "normalizers")) == {"NFC", "Replace", "Lowercase"}
-            and kinds(spec["pre_tokenizer"], "pretokenizers") == ["Split", "ByteLevel"]
-            and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"):
+    def parts(component, key):
+        spec = json.loads(component.__getstate__()) if component is not None else {}
+        return [(x["type"], x.get("behavior")) for x in spec.get(key, [])]
+    if not (type(tok.model).__name__ == "BPE" and tok.model.end_of_word_suffix == WORD_END and not tok.model.dropout
+            and tok.get_vocab_size() <= 1 << 16 and tok.post_processor is None
+            and {t for t, _ in parts(tok.normalizer, "normalizers")} == {"NFC", "Replace", "Lowercase"}
+            and parts(tok.pre_tokenizer, "pretokenizers") == [("Split", "Removed"), ("ByteLevel", None)]):
         raise ValueError("not a tokenizer of the word_bpe kind: lower case, white space dropped, BPE with word ends")
 
 
@@ -57,10 +56,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        check_kind(json.loads(self.tok.to_str()))
-        ends = [i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(WORD_END)]
+        check_kind(self.tok)
         self.ends_word = np.zeros(1 << 16, bool)
-        self.ends_word[ends] = True
+        for i in range(self.tok.get_vocab_size()):
+            self.ends_word[i] = self.tok.id_to_token(i).endswith(WORD_END)
         # the strings of special tokens are ordinary text inside a document
         self.tok.encode_special_tokens = True
         self.reset()
@@ -75,7 +74,8 @@ class PieceEncoder:
         words = [i for i, p in enumerate(pieces) if one_word(p)]
         rest = sorted(set(range(len(pieces))).difference(words))
         lines = [" ".join(pieces[i] for i in words[a: a + LINE]) for a in range(0, len(words), LINE)]
-        flat = _ids(self.tok.encode_batch_fast(lines, add_special_tokens=False))
+        flat = np.concatenate([_ids(self.tok.encode_batch_fast(lines[a: a + 20], add_special_tokens=False))
+                               for a in range(0, max(1, len(lines)), 20)])
         ends = np.flatnonzero(self.ends_word[flat]) + 1
         if len(ends) != len(words):
             raise ValueError("the tokenizer splits a word of letters")

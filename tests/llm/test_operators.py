@@ -422,6 +422,23 @@ def test_plan_matches_best_fit_one_by_one():
         assert len(used) == len(rooms)
 
 
+def test_pieces_are_encoded_as_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from prefspark.llm.tokenise import PieceEncoder
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    pieces = ["hello", "don't", "é", "éo", "éa", "İstanbul", "ß", "ΣΑΣ", "a1", "漢字", "x" * 3000, "…", "<|endoftext|>", "ǆabc", "ſt", "ﬁ", "a‍b", "ᾳ", "ŉ",
+              "K", "Ⅷ", "ª", "e\u0301", "\u0301e", "ｆｕｌｌ"] * 3
+    lens, ids = PieceEncoder(path).encode_new(pieces)
+    at = np.cumsum(lens) - lens
+    for p, a, n in zip(pieces, at, lens):
+        assert ids[a: a + n].tolist() == tok.encode(p, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_files(docs):
     from prefspark.llm.queries import tokenizer_path
     from prefspark.llm.token_files import round_trip
