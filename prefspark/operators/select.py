@@ -6,15 +6,18 @@ Random choices are hash-seeded (``functions.random``): a pure function of
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd  # the pandas UDF's type hints are resolved in this module
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.util import at
 
 from ..functions.random import fast_hash, seeded_hash, seeded_uniform, weighted_choice
-from ..session import materialize
 from .window import dense_position, group_position, numbered
 
 # ``orderBy().limit(n)`` plans a TakeOrderedAndProject: every task keeps its n
@@ -271,29 +274,85 @@ def _floyd(words: Column, plan: list[tuple[int, int]], lo: int, hi: int, m: int)
     return F.aggregate(F.array(*[F.lit(k) for k in range(hi)]), start, step, lambda acc: acc["taken"])
 
 
-def _identifiable(masks: list[int], lo: int, hi: int) -> bool:
-    """Whether some ``lo``..``hi`` pool rows have exactly one type in common (masks are few: at most 2^types)."""
-    from collections import Counter
-    reach = {(0, -1)}
-    for mask, many in Counter(masks).items():
-        fresh = set(reach)
-        for n, common in reach:
-            for k in range(1, min(many, hi - n) + 1):
-                fresh.add((n + k, mask if common == -1 else common & mask))
-        reach = fresh
-    return any(lo <= n and common > 0 and common & (common - 1) == 0 for n, common in reach)
+class AcceptedChoices:
+    """All choices of ``lo``..``hi`` pool rows that have exactly one type in common, by counting.
+
+    ``ways[r][a][p]`` is how many sets of ``r`` rows at positions >= ``p`` turn the common types ``a`` into a single one (``a``
+    = -1: none chosen yet).  So the k-th accepted set (in order of its positions) is found by ``hi`` binary
+    searches.  A number of rows n is chosen as repeated uniform draws would come to it: by the share of accepted
+    sets among all sets of n.  The table has pool x ``hi`` x (at most 2^types) counts.
+    """
+
+    def __init__(self, masks: list[int], lo: int, hi: int):
+        self.masks, self.lo, self.hi, m = masks, lo, hi, len(masks)
+        states = {-1}
+        for mask in masks:
+            states |= {a & mask for a in states}
+        ways = [{a: [int(a > 0 and a & (a - 1) == 0)] * (m + 1) for a in states}]
+        for _ in range(hi):
+            more = {}
+            for a in states:
+                w = [0] * (m + 1)
+                for p in range(m - 1, -1, -1):
+                    w[p] = w[p + 1] + ways[-1][a & masks[p]][p + 1]
+                more[a] = w
+            ways.append(more)
+        self.totals = [ways[n][-1][0] for n in range(lo, hi + 1)]
+        shares = [t / math.comb(m, n) for t, n in zip(self.totals, range(lo, hi + 1))]
+        self.bounds = list(itertools.accumulate(shares))
+        # counts beyond 64 bits stay Python numbers
+        kind = np.int64 if max(self.totals, default=0) < 1 << 62 else object
+        self.kind = kind
+        # sets whose first position lies below p
+        self.before = {(r, a): np.array([w[0] - x for x in w], kind) for r in range(1, hi + 1) for a, w in ways[r].items()}
+
+    def __bool__(self) -> bool:
+        return any(self.totals)
+
+    def choose(self, size_word: np.ndarray, rank_words: np.ndarray, order_word: np.ndarray) -> list[np.ndarray]:
+        """Positions chosen by 60-bit hash words: one for the number of rows, two for the set's rank, one for its order."""
+        u = size_word / float(1 << 60) * self.bounds[-1]
+        n = self.lo + np.minimum(np.searchsorted(self.bounds, u, side="right"), self.hi - self.lo)
+        total = np.array([*[1] * self.lo, *[max(t, 1) for t in self.totals]], self.kind)[n]
+        if self.kind is object:
+            rank = (rank_words[:, 0].astype(object) << 60 | rank_words[:, 1].astype(object)) % total
+        else:
+            rank = rank_words[:, 0] % total
+        rows = len(n)
+        at, state, out = np.zeros(rows, np.int64), np.full(rows, -1), np.zeros((rows, self.hi), np.int64)
+        masks = np.array(self.masks)
+        for k in range(self.hi):
+            left = np.where(n > k, n - k, 0)
+            for r, a in set(zip(left.tolist(), state.tolist())) if rows else ():
+                if not r:
+                    continue
+                i = np.flatnonzero((left == r) & (state == a))
+                before = self.before[r, a]
+                want = before[at[i]] + rank[i]
+                p = np.searchsorted(before, want, side="right") - 1
+                rank[i] = want - before[p]
+                out[i, k], at[i] = p, p + 1
+            chosen = left > 0
+            state[chosen] = np.where(state[chosen] < 0, masks[out[chosen, k]], state[chosen] & masks[out[chosen, k]])
+        # a random order of each set: the last of the rows not yet placed changes with a drawn one
+        for k in range(self.hi - 1, 0, -1):
+            i = np.flatnonzero(n > k)
+            j = order_word[i] % (k + 1)
+            order_word[i] //= k + 1
+            out[i, k], out[i, j] = out[i, j], out[i, k]
+        return [x[:c] for x, c in zip(out, n)]
 
 
 def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int = 0, mode: str = "84",
                     key: str = "Index", survey_key: str = "Index", subsets: str = "satisfied_subset",
-                    copy: str | None = None, hash_kind: str = "xxhash", per_round: int = 8) -> DataFrame:
+                    copy: str | None = None, hash_kind: str = "xxhash") -> DataFrame:
     """Draw survey rows as contexts for every row (hash-seeded, without replacement).
 
     The survey is a pool of known size (``survey_pool`` output, bounded by its
     ``size`` argument); its type sets become bit masks.  Mode ``84``: 1..max_len contexts.  Other modes:
-    2..max_len.  Mode ``single``: draws are repeated until the chosen rows have exactly one type in
-    common; each round makes tries (``per_round``, then twice as many) for the rows still without contexts,
-    until none is left.  A pool that cannot give such a choice is refused before any draw.
+    2..max_len.  Mode ``single``: the chosen rows have exactly one type in common; the choice has the
+    distribution of draws repeated until that holds, but is drawn at once (``AcceptedChoices``).  A
+    pool that cannot give such a choice is refused.
     """
     rows = survey.select(F.col(survey_key).alias("original_id"), *[F.col(c) for c in survey.columns if c != survey_key])
     # a scalar sub-query: every task gets the pool without a join
@@ -302,71 +361,57 @@ def survey_contexts(df: DataFrame, survey: DataFrame, max_len: int, seed: int =
     seed_key = [key] + ([copy] if copy else [])
     # md5 draws can be replayed by any SQL engine; xxhash64 is cheaper
     h = seeded_hash if hash_kind == "md5" else fast_hash
-    m = rows.count()
-    hi = min(max_len, m)
-    lo = min(lo, hi)
-
-    plan = draw_plan([hi - lo + 1] + [m] * hi)
-
-    def positions(first: int, tries: int) -> Column:
-        """An array of tries, each the positions it chooses.  The hash words are made first, so that no
-        lambda computes them again."""
-        words = F.transform(F.array(*[F.lit(first + t) for t in range(tries)]),
-                            lambda t: F.array(*[h(seed, *seed_key, t, F.lit(w)) for w in range(plan[-1][0] + 1)]))
-        return F.transform(words, lambda w: _floyd(w, plan, lo, hi, m))
 
     def finished(d: DataFrame) -> DataFrame:
         return (d.withColumn("_pool", pool).withColumn("contexts", F.transform("_idx", lambda i: at("_pool", i + 1)))
                  .withColumn("context_length", F.size("contexts")).drop("_pool", "_idx"))
 
     if mode != "single":
-        return finished(df.withColumn("_idx", at(positions(0, 1), 1)))
+        m = rows.count()
+        hi = min(max_len, m)
+        lo = min(lo, hi)
+        plan = draw_plan([hi - lo + 1] + [m] * hi)
+        words = F.array(*[h(seed, *seed_key, F.lit(0), F.lit(w)) for w in range(plan[-1][0] + 1)])
+        # the hash words are made first, so that no lambda computes them again
+        return finished(df.withColumn("_words", words).withColumn("_idx", _floyd(F.col("_words"), plan, lo, hi, m)).drop("_words"))
 
     pool_rows = rows.select("original_id", subsets).orderBy("original_id").collect()
     names = sorted({x for r in pool_rows for x in r[subsets]})
     masks = [sum(1 << names.index(x) for x in set(r[subsets])) for r in pool_rows]
-    if not _identifiable(masks, lo, hi):
+    hi = min(max_len, len(masks))
+    choices = AcceptedChoices(masks, min(lo, hi), hi)
+    if not choices:
         raise ValueError("no choice of survey rows has exactly one type in common")
-    mask = F.array(*[F.lit(v).cast("long") for v in masks])
+    low = F.lit((1 << 60) - 1)
 
-    def one_type(idx: Column) -> Column:
-        common = F.aggregate(idx, F.lit(-1).cast("long"), lambda acc, i: acc.bitwiseAND(F.element_at(mask, i + 1)))
-        return (common > 0) & (common.bitwiseAND(common - 1) == 0)
+    @F.pandas_udf("array<int>")
+    def chosen(size: pd.Series, rank: pd.Series, more: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series(choices.choose(size.to_numpy(), np.stack([rank, more], axis=1), order.to_numpy().copy()), dtype=object)
 
-    left = materialize(df.select(*seed_key))
-    done, first = None, 0
-    while not left.isEmpty():
-        tried = materialize(left.withColumn("_idx", at(F.filter(positions(first, per_round), one_type), 1)))
-        hit = tried.filter(F.col("_idx").isNotNull())
-        done = hit if done is None else done.unionByName(hit)
-        left = tried.filter(F.col("_idx").isNull()).drop("_idx")
-        first, per_round = first + per_round, 2 * per_round
-    if done is None:
-        done = left.withColumn("_idx", F.lit(None).cast("array<int>"))
-    return finished(df.join(done, seed_key).withColumn("identified", F.lit(True)))
+    words = [h(seed, *seed_key, F.lit(w)).bitwiseAND(low) for w in ("size", "rank", "more", "order")]
+    return finished(df.withColumn("_idx", chosen(*words))).withColumn("identified", F.lit(True))
 
 
 def random_contexts(df: DataFrame, pool: DataFrame, n: int = 8, seed: int = 0, key: str = "Index",
-                    prompt: str = "prompt") -> DataFrame:
+                    prompt: str = "prompt", fields: Iterable[str] = ("chosen", "rejected")) -> DataFrame:
     """For each row draw exactly ``n`` pool rows *with* replacement among those of another prompt.
 
     The pool is numbered by (prompt hash, key), so a prompt's rows are one range [lo, hi).  A draw p from the
     m - (hi - lo) other positions skips the range (p >= lo moves up by its length): every draw counts.
-    Draws join the pool on the position (an equi-join: the pool is never collected).  A row
+    Draws join the pool on the position (an equi-join: the pool is never collected); a context has its
+    ``original_id`` and ``fields`` of the pool row (none: ids only, and no text moves).  A row
     whose prompt is the pool's only one fails.
     """
-    ph = F.md5(F.col(prompt))
-    idx = dense_position(pool.withColumn("_ph", ph), ["_ph", key], "_pidx", base=0)
-    idx = materialize(idx)
-    m = idx.count()
+    fields = [c for c in fields if c in pool.columns]
+    ph = F.md5(prompt).alias("_ph")
+    idx, m = numbered(pool.select(key, ph, *fields), ["_ph", key], "_pidx")
     span = idx.groupBy("_ph").agg(F.min("_pidx").alias("_lo"), F.count("*").alias("_len"))
-    own = df.select(key, ph.alias("_ph")).join(span, "_ph", "left").select(key, F.coalesce("_lo", F.lit(0)).alias("_lo"),
-                                                                            F.coalesce("_len", F.lit(0)).alias("_len"))
+    own = df.select(key, ph).join(span, "_ph", "left").select(
+        key, F.coalesce("_lo", F.lit(0)).alias("_lo"), F.coalesce("_len", F.lit(0)).alias("_len"))
     draws = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d"))
     others = F.when(F.col("_len") < m, F.lit(m) - F.col("_len")).otherwise(F.raise_error(F.lit("no pool row of another prompt")).cast("long"))
     p = seeded_hash(seed, key, "_d") % others
     draws = draws.select(key, "_d", F.when(p >= F.col("_lo"), p + F.col("_len")).otherwise(p).alias("_pidx"))
-    fields = [c for c in ("chosen", "rejected") if c in pool.columns]
     j = draws.join(idx.select("_pidx", F.col(key).alias("original_id"), *fields), "_pidx")
     g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_d", "original_id", *fields))).alias("_c"))
     g = g.select(key, F.transform("_c", lambda x: F.struct(*[x.getField(f).alias(f) for f in ["original_id", *fields]])).alias("contexts"))

@@ -148,14 +148,29 @@ pool AS (SELECT count(*) AS m, list("Index" ORDER BY "Index") AS pid,
 """
 
 
-@query("l10_survey_contexts", TYPED + SURVEY_SQL.replace("\n, tx AS", ", tx AS", 1) + f"""
-, tries AS (SELECT tx."Index", r.t, {_floyd_sql(['"Index"'], 't', 2, 4, 40, 2)} FROM tx, range(0, 40) r(t)),
-hit AS (SELECT "Index", t, n, pid[x0 + 1] + pid[x1 + 1] + CASE WHEN n > 2 THEN pid[x2 + 1] ELSE 0 END + CASE WHEN n > 3 THEN pid[x3 + 1] ELSE 0 END AS ids,
-  CAST(mask[x0 + 1] AS BIGINT) & CAST(mask[x1 + 1] AS BIGINT) & CASE WHEN n > 2 THEN CAST(mask[x2 + 1] AS BIGINT) ELSE 15 END
-  & CASE WHEN n > 3 THEN CAST(mask[x3 + 1] AS BIGINT) ELSE 15 END AS common FROM tries, pool),
-good AS (SELECT "Index", arg_min(n, t) AS n, arg_min(ids, t) AS ids FROM hit WHERE common IN (1, 2, 4, 8) GROUP BY "Index")
-SELECT tx."Index", CAST(good.n AS INTEGER) AS context_length, good."Index" IS NOT NULL AS identified, CAST(good.ids AS BIGINT) AS context_id_sum
-FROM tx LEFT JOIN good ON tx."Index" = good."Index\"""")
+def _accepted_sql(n: int) -> str:
+    """All sets of n survey rows with one type in common, numbered in order of their positions."""
+    t = [f"p{i}" for i in range(n)]
+    return (f"SELECT {n} AS n, {' + '.join(f'{x}.id' for x in t)} AS ids, row_number() OVER (ORDER BY {', '.join(f'{x}.p' for x in t)}) - 1 AS k FROM "
+            + ", ".join(f"pos {x}" for x in t) + " WHERE " + " AND ".join(f"{x}.p < {y}.p" for x, y in zip(t, t[1:]))
+            + f" AND ({' & '.join(f'{x}.mask' for x in t)}) IN (1, 2, 4, 8)")
+
+
+L10_SQL = f"""
+, pos AS (SELECT "Index" AS id, CAST(list_sum(CAST(sat AS BIGINT[])) AS BIGINT) AS mask, row_number() OVER (ORDER BY "Index") - 1 AS p FROM sv),
+acc AS ({' UNION ALL '.join(map(_accepted_sql, (2, 3, 4)))}),
+m AS (SELECT count(*) AS m FROM pos),
+sizes AS (SELECT s.n, count(acc.n) AS t,
+  count(acc.n) / CAST(CASE s.n WHEN 2 THEN m * (m - 1) // 2 WHEN 3 THEN m * (m - 1) * (m - 2) // 6 ELSE m * (m - 1) * (m - 2) * (m - 3) // 24 END AS DOUBLE) AS share
+  FROM (VALUES (2), (3), (4)) s(n) CROSS JOIN m LEFT JOIN acc ON acc.n = s.n GROUP BY s.n, m),
+cum AS (SELECT n, t, sum(share) OVER (ORDER BY n) AS bound, sum(share) OVER () AS whole FROM sizes),
+draw AS (SELECT tx."Index", {sql_seeded_hash(2, '"Index"', "'size'")} / {float(1 << 60)!r} AS u, {sql_seeded_hash(2, '"Index"', "'rank'")} AS w FROM tx),
+sized AS (SELECT draw."Index", draw.w, least(4, 2 + (SELECT count(*) FROM cum WHERE bound <= draw.u * whole)) AS n FROM draw)
+SELECT sized."Index", CAST(sized.n AS INTEGER) AS context_length, true AS identified, CAST(acc.ids AS BIGINT) AS context_id_sum
+FROM sized JOIN cum ON cum.n = sized.n JOIN acc ON acc.n = sized.n AND acc.k = sized.w % cum.t"""
+
+
+@query("l10_survey_contexts", TYPED + SURVEY_SQL.replace("\n, tx AS", ", tx AS", 1) + L10_SQL)
 def l10(spark, sf):
     t, survey = _survey(spark, sf)
     c = L.survey_contexts(t.select("Index"), survey, max_len=4, seed=2, mode="single", hash_kind="md5")
@@ -172,14 +187,14 @@ def _id_sum(contexts: str):
 pool AS (SELECT "Index", ph, row_number() OVER (ORDER BY ph, "Index") - 1 AS pidx, count(*) OVER () AS m FROM tx WHERE controversial),
 span AS (SELECT ph, min(pidx) AS lo, count(*) AS len FROM pool GROUP BY ph),
 own AS (SELECT tx."Index", coalesce(lo, 0) AS lo, coalesce(len, 0) AS len FROM tx LEFT JOIN span ON tx.ph = span.ph),
-draws AS (SELECT own.*, {sql_seeded_hash(3, '"Index"', 'r.d')} % ((SELECT max(m) FROM pool) - len) AS p FROM own, range(0, 4) r(d))
+draws AS (SELECT own.*, {sql_seeded_hash(3, '"Index"', 'r.d')} % ((SELECT max(m) FROM pool) - len) AS p FROM own, range(0, 8) r(d))
 SELECT d."Index", count(*) AS n_contexts, CAST(sum(pool."Index") AS BIGINT) AS context_id_sum FROM draws d
 JOIN pool ON pool.pidx = CASE WHEN p >= lo THEN p + len ELSE p END GROUP BY d."Index\"""".replace("\n, tx AS", ", tx AS", 1))
 def l11(spark, sf):
     t = RT.typed(spark, sf).withColumn("Index", F.col("pair_id") * 10 + F.col("data_subset").cast("long"))
     t = materialize(t.select("Index", "prompt", "chosen", "rejected", "controversial"))
     pool = t.filter("controversial").select("Index", "prompt", "chosen", "rejected")
-    c = L.random_contexts(t.select("Index", "prompt"), pool, n=4, seed=3)
+    c = L.random_contexts(t.select("Index", "prompt"), pool, seed=3, fields=())
     return c.select("Index", F.coalesce(F.size("contexts"), F.lit(0)).cast("long").alias("n_contexts"), _id_sum("contexts"))
 
 

@@ -26,7 +26,7 @@ def test_survey_contexts_until_found(spark):
     survey = spark.createDataFrame([(i, ["8", "4", "2", "1"][: 1 + i % 4] if i else ["1"]) for i in range(30)], "Index long, satisfied_subset array<string>")
     df = spark.createDataFrame([(i,) for i in range(500)], "Index long")
     sets = {r.Index: set(r.satisfied_subset) for r in survey.collect()}
-    for r in L.survey_contexts(df, survey, 4, mode="single", per_round=1).collect():
+    for r in L.survey_contexts(df, survey, 4, mode="single").collect():
         ids = [c.original_id for c in r.contexts]
         assert r.identified and 2 <= len(ids) <= 4 and len(set(ids)) == len(ids)
         assert len(set.intersection(*(sets[i] for i in ids))) == 1
@@ -36,6 +36,38 @@ def test_survey_contexts_until_found(spark):
     assert len(copies) == 1500 and len({tuple(c.original_id for c in r.contexts) for r in copies if r.Index == 1}) > 1
 
 
+def test_accepted_choices_follow_repeated_draws():
+    """Sizes and sets have the distribution of uniform draws repeated until one type is common; every order comes up."""
+    import collections
+    import itertools
+    import math
+
+    import numpy as np
+    rnd = np.random.default_rng(11)
+    word = lambda k: rnd.integers(0, 1 << 60, k)
+    for masks, lo, hi in (([1, 3, 6, 2, 7, 4, 12], 2, 4), ([15, 15, 1], 1, 3), ([1, 2, 4, 8], 1, 2), ([5, 5, 3, 9, 0], 2, 5)):
+        good = {s: 1 / math.comb(len(masks), n) for n in range(lo, hi + 1) for s in itertools.combinations(range(len(masks)), n)
+                if (c := int(np.bitwise_and.reduce([masks[i] for i in s]))) > 0 and c & (c - 1) == 0}
+        choices, k = L.AcceptedChoices(masks, lo, hi), 40_000
+        got = choices.choose(word(k), np.stack([word(k), word(k)], axis=1), word(k))
+        seen = collections.Counter(tuple(sorted(x.tolist())) for x in got)
+        assert set(seen) <= set(good)
+        chi = sum((seen[s] - k * p / sum(good.values())) ** 2 / (k * p / sum(good.values())) for s, p in good.items())
+        assert chi < len(good) + 6 * math.sqrt(2 * len(good))
+        orders = collections.Counter(tuple(np.argsort(x)) for x in got if len(x) == lo)
+        assert len(orders) in (0, math.factorial(lo)) and all(c > 0.8 * sum(orders.values()) / len(orders) for c in orders.values())
+    assert not L.AcceptedChoices([3, 3, 3], 1, 3)
+
+
+def test_accepted_choices_beyond_64_bits():
+    import numpy as np
+    choices = L.AcceptedChoices([1 << i % 4 for i in range(1200)], 2, 14)
+    assert choices.kind is object
+    rnd = np.random.default_rng(1)
+    got = choices.choose(rnd.integers(0, 1 << 60, 500), rnd.integers(0, 1 << 60, (500, 2)), rnd.integers(0, 1 << 60, 500))
+    assert all(len(set(x.tolist())) == len(x) and len({i % 4 for i in x.tolist()}) == 1 for x in got)
+
+
 @pytest.mark.parametrize("buckets", [None, 7])
 def test_numbering_with_null_and_equal_keys(spark, buckets):
     df = spark.createDataFrame([(None,), (None,), (3,), (1,), (3,), (2,)] * 20, "k long")
