@@ -13,7 +13,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-import pandas as pd  # the pandas UDF's type hints are resolved in this module
+import numpy as np
+import pyarrow as pa  # the Arrow UDF's type hints are resolved in this module
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,6 +163,22 @@ def segment_offsets(df: DataFrame, n: str = "context_length", order: str = "Inde
 
 
 # W04 / W05 ----------------------------------------------------------------
+def _take(batch: pa.RecordBatch, rows: list[int], keep: list[str], **more) -> pa.RecordBatch:
+    """Some rows of a batch with further text columns."""
+    at_rows = pa.array(rows, pa.int64())
+    arrays = [batch.column(batch.schema.get_field_index(c)).take(at_rows) for c in keep]
+    return pa.RecordBatch.from_arrays([*arrays, *(pa.array(v, pa.string()) for v in more.values())], names=[*keep, *more])
+
+
+def _streamed(df: DataFrame, dialog: str, order: list[str]) -> DataFrame:
+    """Rows dealt by dialog, each dialog's rows adjacent and in order."""
+    return df.repartition(dialog).sortWithinPartitions(dialog, *order)
+
+
+def _schema(df: DataFrame, keep: list[str], *texts: str) -> T.StructType:
+    return T.StructType([df.schema[c] for c in keep] + [T.StructField(t, T.StringType()) for t in texts])
+
+
 def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
                    max_text: int | None = None, dialog: str = "conv_id", turn: str = "turn",
                    user_text: str = "user_text", chosen: str = "chosen",
@@ -176,44 +194,56 @@ def dialog_history(turns: DataFrame, max_prompt_chars: int, prefix_len: int = 0,
     cut to its last ``max_prompt_chars - prefix_len`` characters -- the cut
     persists for later turns -- and the pair is emitted when also
     ``len(user)+len(rejected) <= max_text``; then history += chosen text.
-    A fold over each dialog's turns (one group = one dialog, memory bounded by
-    turns x max_prompt_chars); a running ``collect_list`` window is only right
-    when nothing is cut.
+
+    Turns are streamed in order through Arrow batches; a task holds one batch and the history, which
+    goes on over batches, so a dialog may have any number of turns.  Turns of equal
+    number follow their texts.
     """
     keep = max(max_prompt_chars - prefix_len, 0)
-    def fits(a, b, strict):
-        """Whether two texts together stay below the limit (or at it); always without one."""
-        if max_text is None:
-            return F.lit(True)
-        return F.length(a) + F.length(b) < max_text if strict else F.length(a) + F.length(b) <= max_text
-
-    g = (turns.groupBy(dialog)
-              .agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(user_text).alias("u"),
-                                                         F.col(chosen).alias("c"),
-                                                         F.col(rejected).alias("r")))).alias("_turns")))
-
-    def cut(h: Column) -> Column:
-        if keep == 0:
-            return F.lit("")
-        return F.when(F.length(h) > keep, F.substring(h, -keep, keep)).otherwise(h)
-
-    def step(acc, x):
-        u, c, r = x.getField("u"), x.getField("c"), x.getField("r")
-        h0 = F.concat(acc.getField("h"), F.coalesce(F.concat(F.lit(user_wrap[0]), u, F.lit(user_wrap[1])), F.lit("")))
-        usable = u.isNotNull() & c.isNotNull() & fits(u, c, True)
-        h1 = F.when(usable, cut(h0)).otherwise(h0)
-        emit = usable & r.isNotNull() & fits(u, r, False)
-        row = F.struct(x.getField("t").alias("t"), h1.alias("history"), c.alias("c"), r.alias("r"))
-        rows = F.when(emit, F.concat(acc.getField("rows"), F.array(row))).otherwise(acc.getField("rows"))
-        h2 = F.concat(h1, F.coalesce(F.concat(F.lit(chosen_wrap[0]), c, F.lit(chosen_wrap[1])), F.lit("")))
-        return F.struct(h2.alias("h"), rows.alias("rows"))
-
-    tt = dict(turns.dtypes)[turn]
-    zero = F.struct(F.lit("").alias("h"),
-                    F.array().cast(f"array<struct<t:{tt},history:string,c:string,r:string>>").alias("rows"))
-    folded = g.select(dialog, F.aggregate("_turns", zero, step).getField("rows").alias("_rows"))
-    return folded.select(dialog, F.inline("_rows")).withColumnsRenamed(
-        {"t": turn, "c": chosen, "r": rejected})
+    limit = float("inf") if max_text is None else max_text
+    cols = [dialog, turn, user_text, chosen, rejected]
+
+    def fold(batches):
+        now, history = None, ""
+        for b in batches:
+            rows, histories = [], []
+            for i, (d, _, u, c, r) in enumerate(zip(*(x.to_pylist() for x in b.columns))):
+                if (d,) != now:
+                    now, history = (d,), ""
+                if u is not None:
+                    history += user_wrap[0] + u + user_wrap[1]
+                if u is not None and c is not None and len(u) + len(c) < limit:
+                    history = history[len(history) - keep:] if len(history) > keep else history
+                    if r is not None and len(u) + len(r) <= limit:
+                        rows.append(i)
+                        histories.append(history)
+                if c is not None:
+                    history += chosen_wrap[0] + c + chosen_wrap[1]
+            yield _take(b, rows, [dialog, turn, chosen, rejected], history=histories)
+
+    out = _streamed(turns.select(*cols), dialog, [turn, user_text, chosen, rejected]).mapInArrow(
+        fold, _schema(turns, [dialog, turn, chosen, rejected], "history"))
+    return out.select(dialog, turn, "history", chosen, rejected)
+
+
+def running_history(df: DataFrame, max_chars: int, sep: str = "|", dialog: str = "conv_id", turn: str = "turn",
+                    text: str = "text", out: str = "history") -> DataFrame:
+    """Per turn the last ``max_chars`` characters of the dialog's texts so far, joined by ``sep`` (W05 works on it: a
+    shorter tail of a row is the tail of the whole history).  Streamed as ``dialog_history``; NULL texts are left out."""
+    def fold(batches):
+        now, history, empty = None, "", True
+        for b in batches:
+            histories = []
+            for d, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if (d,) != now:
+                    now, history, empty = (d,), "", True
+                if x is not None:
+                    history = (history if empty else history + sep) + x
+                    history, empty = history[max(0, len(history) - max_chars):], False
+                histories.append(history)
+            yield _take(b, list(range(b.num_rows)), [dialog, turn], **{out: histories})
+
+    return _streamed(df.select(dialog, turn, text), dialog, [turn, text]).mapInArrow(fold, _schema(df, [dialog, turn], out))
 
 
 def history_tail(df: DataFrame, max_chars: int, prefix: str | None = None, history: str = "history",
@@ -226,33 +256,59 @@ def history_tail(df: DataFrame, max_chars: int, prefix: str | None = None, histo
 
 
 # W06 ------------------------------------------------------------------------
+SCAN_BLOCK = 128
+
+
+def discounted_sums(values: np.ndarray, starts: np.ndarray, factor: float) -> np.ndarray:
+    """out[i] = values[i] + factor * out[i + 1], anew from each of ``starts`` (ascending, the first is 0).
+
+    Segments are cut into blocks of ``SCAN_BLOCK`` from their ends; a block's inner sums are one product with the powers of the
+    factor, and block ends pass on what comes behind, for all segments at once.
+    """
+    n, size = len(values), SCAN_BLOCK
+    lens = np.diff(np.append(starts, n))
+    blocks = -(-lens // size)
+    first = np.cumsum(blocks) - blocks
+    # a segment's last value ends its last block
+    seg = np.repeat(np.arange(len(starts)), lens)
+    place = first[seg] * size + (blocks * size - lens)[seg] + np.arange(n) - np.repeat(starts, lens)
+    grid = np.zeros((int(blocks.sum()), size))
+    grid.ravel()[place] = values
+    power = np.subtract.outer(np.arange(size), np.arange(size))
+    grid = grid @ np.where(power >= 0, factor ** np.maximum(power, 0), 0.0)
+    tail = factor ** np.arange(size, 0, -1)
+    for k in range(2, int(blocks.max(initial=0)) + 1):
+        at_block = (first + blocks - k)[blocks >= k]
+        grid[at_block] += grid[at_block + 1, :1] * tail
+    return grid.ravel()[place]
+
+
 def gae(df: DataFrame, gamma: float, lam: float, rewards: str = "rewards", values: str = "values",
         out_adv: str = "advantages", out_ret: str = "returns") -> DataFrame:
     """Generalised advantage estimate on one row per trajectory (arrays).
 
-    A_t = d_t + gamma*lam*A_{t+1}, d_t = r_t + gamma*V_{t+1} - V_t, V_T = 0;
-    computed by one reverse scan per array on Arrow batches (a fold that appends to an array
-    in the JVM copies it at each step); returns = A + V.
+    A_t = d_t + gamma*lam*A_{t+1}, d_t = r_t + gamma*V_{t+1} - V_t, V_T = 0; returns = A + V.  One scan over all
+    arrays of an Arrow batch (``discounted_sums``); a NULL delta gives NULL and counts as 0 for those before it.
     """
-    import pandas as pd
-
     g, gl = float(gamma), float(gamma) * float(lam)
     r, v = F.col(rewards), F.col(values)
     n = F.size(r)
     nxt_v = F.transform(v, lambda x, i: F.when(i + 1 < n, at(v, i + 2)).otherwise(F.lit(0.0)))
-    delta = F.zip_with(F.zip_with(r, nxt_v, lambda a, b: a + F.lit(g) * b), v, lambda a, b: a - b)
-
-    @F.pandas_udf("array<double>")
-    def scan(deltas: pd.Series) -> pd.Series:
-        def one(ds):
-            if ds is None:
-                return None
-            out, later = [None] * len(ds), 0.0
-            for i in range(len(ds) - 1, -1, -1):
-                out[i] = None if ds[i] is None else float(ds[i]) + gl * later
-                later = out[i] or 0.0
-            return out
-        return deltas.map(one)
+    delta = F.zip_with(F.zip_with(r, nxt_v, lambda a, b: a + F.lit(g) * b), v, lambda a, b: a - b).cast("array<double>")
+
+    @F.arrow_udf("array<double>")
+    def scan(deltas: pa.Array) -> pa.Array:
+        flat = deltas.flatten()
+        lens = np.array(pc.fill_null(pc.list_value_length(deltas), 0), np.int64)
+        ends = np.cumsum(lens)
+        bad = flat.is_null().to_numpy(zero_copy_only=False)
+        x = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        # nothing passes an array's end or a missing value
+        starts = np.unique(np.concatenate([[0], (ends - lens)[lens > 0], np.flatnonzero(bad) + 1]))
+        out = discounted_sums(x, starts[starts < len(x)], gl) if len(x) else x
+        sums = pa.array(out, pa.float64(), mask=bad)
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, sums, mask=deltas.is_null())
 
     adv = scan(delta)
     return (df.withColumn(out_adv, adv)

@@ -73,9 +73,7 @@ FROM (SELECT conv_id, turn, string_agg(text, '|') OVER (PARTITION BY conv_id ORD
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM conversations)""")
 def w05(spark, sf):
     cv = FX.f7_dialogs(spark, sf)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    h = cv.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "|").alias("history"))
-    t = W.history_tail(h, 300, out="tail")
+    t = W.history_tail(W.running_history(cv, 500), 300, out="tail")
     return t.select("conv_id", "turn", F.length("tail").alias("tail_len"), F.md5("tail").alias("tail_md5"))
 
 

@@ -42,14 +42,13 @@ def read_jsonl_by_subset(spark: SparkSession, root: str, subsets: Iterable[str]
 
 # S03 ------------------------------------------------------------------------
 def read_keyed_json(spark: SparkSession, path: str, value_schema: T.DataType, key: str = "id") -> DataFrame:
-    """JSON objects keyed by id (``{"id1": {...}, "id2": {...}}``), one object per file -> rows.
+    """JSON objects keyed by id (``{"id1": {...}, "id2": {...}}``) -> rows.
 
-    Each file is read whole (``wholetext``), so one object is one task: write
-    many files (or JSONL) for large inputs.
-    """
-    raw = spark.read.text(path, wholetext=True)
-    m = F.from_json(F.col("value"), T.MapType(T.StringType(), value_schema))
-    return raw.select(F.explode(m).alias(key, "_v")).select(key, "_v.*")
+    A file is read by byte blocks and its members are parsed one by one (``json_members``), so one
+    object of any size is many tasks."""
+    from .json_members import json_members
+    m = json_members(spark, path)
+    return m.select(F.col("key").alias(key), F.from_json("value", value_schema).alias("_v")).select(key, "_v.*")
 
 
 # S04 ------------------------------------------------------------------------
@@ -78,11 +77,11 @@ def read_prompts(spark: SparkSession, path: str, fmt: str = "json", text: str =
     """Prompt list with an explicit ``prompt_id``.  ``fmt="json_list"`` reads files holding one
     JSON list each and numbers the entries by file path and position."""
     if fmt == "json_list":
-        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
-        arr = F.from_json(F.col("value"), T.ArrayType(T.StringType()))
         from ..operators.window import dense_position
-        entries = raw.select("_f", F.posexplode(arr).alias("_n", text))
-        return dense_position(entries, ["_f", "_n"], "prompt_id").select("prompt_id", text)
+        from .json_members import json_members
+        m = json_members(spark, path, keyed=False)
+        entries = m.select("file", "place", F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]").alias(text))
+        return dense_position(entries, ["file", "place"], "prompt_id").select("prompt_id", text)
     return spark.read.format(fmt).load(path)
 
 

@@ -1,5 +1,6 @@
 """NULL / empty / tie rows per operator."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from prefspark.functions import labels as LB
@@ -216,3 +217,57 @@ def test_categorical_batch_loss_global_equals_grouped(spark):
     a = G.categorical_batch_loss(df, "lc", "lr", 0.1).collect()[0]
     b = G.categorical_batch_loss(df.withColumn("g", F.lit(1)), "lc", "lr", 0.1, by=["g"]).collect()[0]
     assert abs(a.loss - b.loss) < 1e-12 and a.neg_entropy < 0
+
+
+def test_long_dialog_in_bounded_memory(spark):
+    """A dialog of 100,000 turns streams through small batches; its history is that of a plain loop."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        t = spark.range(0, 100_000, 1, 4).select((F.col("id") % 100 == 7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                                F.concat(F.lit("q"), F.col("id")).alias("user_text"),
+                                                F.when(F.col("id") % 11 != 0, F.concat(F.lit("a"), F.col("id"))).alias("chosen"),
+                                                F.when(F.col("id") % 13 != 0, F.lit("no")).alias("rejected"))
+        plan = W.dialog_history(t, 60, 10, 20)
+        assert "collect_list" not in plan._jdf.queryExecution().toString() and "ObjectHashAggregate" not in plan._jdf.queryExecution().toString()
+        got = {(r.conv_id, r.turn): r.history for r in plan.collect()}
+        tail = {(r.conv_id, r.turn): r.history for r in W.running_history(t, 30, text="user_text").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, tails, h, run = {}, {}, {0: "", 1: ""}, {0: "", 1: ""}
+    for i in range(100_000):
+        d, u, c = int(i % 100 == 7), f"q{i}", f"a{i}" if i % 11 else None
+        h[d] += u
+        if c is not None and len(u) + len(c) < 20:
+            h[d] = h[d][-50:]
+            if i % 13:
+                want[d, i] = h[d]
+        h[d] += c or ""
+        run[d] = (run[d] + "|" + u if run[d] else u)[-30:]
+        tails[d, i] = run[d]
+    assert got == want and tail == tails
+
+
+def test_discounted_sums():
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    for lens in ([1], [128], [129, 1, 300], [1000, 5, 128, 256], rnd.integers(1, 400, 50).tolist()):
+        x = rnd.normal(size=sum(lens))
+        starts = np.cumsum([0, *lens[:-1]])
+        got, at = W.discounted_sums(x, starts, 0.97), 0
+        for n in lens:
+            later = 0.0
+            for i in range(at + n - 1, at - 1, -1):
+                later = x[i] + 0.97 * later
+                assert abs(got[i] - later) < 1e-9
+            at += n
+
+
+def test_gae_of_null_and_empty_arrays(spark):
+    rows = [(1, [1.0, 2.0, 3.0], [0.5, 0.5, 0.5]), (2, None, None), (3, [], []), (4, [1.0, None, 2.0, 4.0], [1.0, 1.0, 1.0, 1.0]), (5, [2.0], [1.0])]
+    df = spark.createDataFrame(rows, "id int, rewards array<double>, values array<double>")
+    got = {r.id: r.advantages for r in W.gae(df, 0.5, 0.5).collect()}
+    assert got[2] is None and got[3] == [] and got[5] == [1.0]
+    d = [1 + 0.25 - 0.5, 2 + 0.25 - 0.5, 3 - 0.5]
+    assert got[1] == pytest.approx([d[0] + 0.25 * (d[1] + 0.25 * d[2]), d[1] + 0.25 * d[2], d[2]])
+    assert got[4][1] is None and got[4][0] == pytest.approx(1 + 0.5 - 1) and got[4][2:] == pytest.approx([2 + 0.5 - 1 + 0.25 * 3.0, 3.0])

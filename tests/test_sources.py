@@ -84,3 +84,38 @@ def test_as_frame(spark):
     df = RD.as_frame(spark, [("x", 1)], "a string, b long")
     assert RD.as_frame(spark, df) is df
     assert RD.as_frame(spark, pd.DataFrame({"a": ["y"], "b": [2]})).count() == 1
+
+
+def test_json_members_over_blocks(spark, tmp_path):
+    """Objects and lists that span many byte blocks: members as a JSON parser gives them, whatever their strings hold."""
+    import json
+    import random
+
+    from prefspark.sources.json_members import json_members
+    rnd = random.Random(3)
+    odd = ['a,b', '{', '}', '[', '"', '\\', '\\"', 'é,漢', '\n', ':', '":', '', 'x' * 300, '\\\\,', '{"k": [1, 2]}', "\u0001", " "]
+
+    def value(d):
+        k = rnd.randrange(6)
+        if k < 2 or d > 3:
+            return rnd.choice(odd)
+        return rnd.choice([1, -2.5, None, True]) if k == 2 else [value(d + 1) for _ in range(rnd.randrange(4))] if k == 3 \
+            else {rnd.choice(odd) + str(i): value(d + 1) for i in range(rnd.randrange(4))}
+    objects = {"a.json": {rnd.choice(odd) + str(i): value(0) for i in range(400)}, "b.json": {}, "c.json": {"one": "x,y"}}
+    lists = {"a.json": [value(0) for _ in range(300)], "b.json": [], "c.json": ["x,y"]}
+    for folder, data in (("obj", objects), ("list", lists)):
+        (tmp_path / folder).mkdir()
+        for i, (name, x) in enumerate(data.items()):
+            (tmp_path / folder / name).write_text(json.dumps(x, ensure_ascii=i == 2, indent=[None, 2, None][i]) + "\n" * i, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("997", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = json_members(spark, str(tmp_path / "obj")).collect()
+            assert {(os.path.basename(r.file), r.key): json.loads(r.value) for r in got} == {(f, k): v for f, x in objects.items() for k, v in x.items()}
+            assert len(got) == sum(map(len, objects.values()))
+            got = json_members(spark, str(tmp_path / "list"), keyed=False).orderBy("file", "place").collect()
+            assert [json.loads(r.value) for r in got] == [v for x in lists.values() for v in x]
+            assert [r.place for r in got][:300] == list(range(300))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
