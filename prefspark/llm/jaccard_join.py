@@ -13,8 +13,9 @@
 4. Links give components.  In a group that still spans several components members of different components
    are compared in cells of at most ``CELL`` x ``CELL`` members: first by their bucket counts, then those that may
    link by the exact sizes of all their intersections at once (bit rows).  A cell makes no row for a pair: it sends
-   on the members that may link, then a star for each set that it has linked.  So no link between
-   different components is lost, and a large group of near copies makes a few rows a member and cell.
+   on the members that may link, then a star for each set that it has linked.  The members of one group mostly share
+   others too: so each class's largest group is done first, then every group that still spans components.  No
+   link between different components is lost, and a large group of near copies makes a few rows a member and cell.
 
 Hot shingles: one that more than ``HOT`` sets hold is dealt over tasks by the classes' digests.  Each share pairs with
 its own smallest class and all shares form one group, so step 4 compares across them.
@@ -558,9 +559,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     # rows of a repeated id with another text are told apart by their digests later
     texts = written(docs.join(need, docs["doc_id"].eqNullSafe(need["rep"])).select("key", "text"), "texts")
     comp = components(_links(near, texts, k, pct), "a", "b")
-    more = written(_links_between_components(groups, comp, classes, texts, k, pct), "links")
-    # the stars of the components so far and the new links
-    comp = components(comp.toDF("a", "b").union(more), "a", "b")
+    # each class's largest group joins most near copies, so that few groups still span components afterwards
+    size = groups.groupBy("gid").agg(F.count("*").alias("_n"))
+    largest = groups.join(size, "gid").groupBy("key", "n").agg(F.max(F.struct("_n", "gid")).alias("_g")).select("_g.gid", "key", "n")
+    for step, some in enumerate((largest, groups)):
+        more = written(_links_between_components(some, comp, classes, texts, k, pct), f"links{step}")
+        # the stars of the components so far and the new links
+        comp = components(comp.toDF("a", "b").union(more), "a", "b")
     named = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("key", "component_id")
