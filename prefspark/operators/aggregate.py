@@ -160,23 +160,29 @@ def win_lose_tie_by_user(df: DataFrame, user: str = "user_id", preference: str =
         F.count(F.when(p == 3, 1)).alias("ties"))
 
 
+#: numerator and denominator of a win rate
+WIN_RATES = {"prism": lambda w, l, t: (w + t, w + t + l + t), "psoups": lambda w, l, t: (w, w + l + t)}
+
+
+def win_rates(counts: DataFrame, modes: Iterable[str] = ("prism", "psoups")) -> DataFrame:
+    """One row per mode: pooled and per-user-mean win rate and the number of users, all from one pass over the counts.
+    prism: (w+t)/(w+t+l+t); psoups: w/(w+l+t).  A zero denominator gives NULL."""
+    def rate(mode, w, l, t):
+        num, den = WIN_RATES[mode](w, l, t)
+        return F.when(den > 0, num / den)
+    modes = list(modes)
+    own = [F.col(c) for c in ("wins", "losses", "ties")]
+    total = [F.sum(c) for c in ("wins", "losses", "ties")]
+    both = counts.agg(F.count(F.lit(1)).alias("n_users"),
+                      *[x.alias(f"_{k}{i}") for i, m in enumerate(modes) for k, x in (("pooled", rate(m, *total)), ("mean", F.avg(rate(m, *own))))])
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"_pooled{i}").alias("pooled_win_rate"),
+                              F.col(f"_mean{i}").alias("mean_user_win_rate"), F.col("n_users").alias("n_users")) for i, m in enumerate(modes)])
+    return both.select(F.inline(rows))
+
+
 def win_rate(counts: DataFrame, mode: str = "prism", user: str = "user_id") -> DataFrame:
-    """Pooled and per-user-mean win rate.  prism: (w+t)/(w+t+l+t); psoups: w/(w+l+t).
-    A zero denominator gives NULL.  One output row."""
-    w, l, t = (F.col(c) for c in ("wins", "losses", "ties"))
-    if mode == "prism":
-        def rate(w_, l_, t_):
-            den = w_ + t_ + l_ + t_
-            return F.when(den > 0, (w_ + t_) / den)
-    else:
-        def rate(w_, l_, t_):
-            den = w_ + l_ + t_
-            return F.when(den > 0, w_ / den)
-    per_user = counts.withColumn("_r", rate(w, l, t))
-    return per_user.agg(
-        rate(F.sum("wins"), F.sum("losses"), F.sum("ties")).alias("pooled_win_rate"),
-        F.avg("_r").alias("mean_user_win_rate"),
-        F.count(F.lit(1)).alias("n_users"))
+    """Pooled and per-user-mean win rate of one mode (``win_rates``).  One output row."""
+    return win_rates(counts, [mode]).drop("mode")
 
 
 # G09 / G10 ------------------------------------------------------------------
@@ -309,16 +315,12 @@ def user_metric_table(df: DataFrame, uid: str = "uid", chosen: str = "reward_cho
                       rejected: str = "reward_rejected") -> DataFrame:
     """Per user and ``each`` (all uid != 0): accuracy, mean chosen, mean rejected.
 
-    One aggregate over GROUPING SETS ((uid), ()) after tagging, instead of two
-    passes: rows with uid 0 are only counted in their own user row.
+    One pass: a row counts for its user and, unless that is 0, for ``each``; both are partial sums before the exchange.
     """
-    d = df.withColumn("_u", F.col(uid).cast("string")).withColumn("_ind", F.col(uid) != 0)
-    per_user = d.groupBy("_u").agg(F.avg(correct(chosen, rejected)).alias("accuracy"),
-                                   F.avg(chosen).alias("mean_chosen"), F.avg(rejected).alias("mean_rejected"))
-    each = d.filter("_ind").agg(F.avg(correct(chosen, rejected)).alias("accuracy"),
-                                F.avg(chosen).alias("mean_chosen"),
-                                F.avg(rejected).alias("mean_rejected")).withColumn("_u", F.lit("each"))
-    return per_user.unionByName(each).withColumnRenamed("_u", "user")
+    u = F.col(uid).cast("string")
+    d = df.withColumn("user", F.explode(F.when(F.col(uid) != 0, F.array(u, F.lit("each"))).otherwise(F.array(u))))
+    return d.groupBy("user").agg(F.avg(correct(chosen, rejected)).alias("accuracy"),
+                                 F.avg(chosen).alias("mean_chosen"), F.avg(rejected).alias("mean_rejected"))
 
 
 # G21 ------------------------------------------------------------------------

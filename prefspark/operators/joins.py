@@ -74,26 +74,42 @@ def match_completion(df: DataFrame, completions: str = "completions", chosen: st
 
 
 # J03 ------------------------------------------------------------------------
+#: keys of more than one in HOT_KEYS rows of a side are at most HOT_KEYS in number: their table is broadcast
+HOT_KEYS = 200
+
+
+def _hot_splits(side: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ``_splits``): the hot keys of a side and into how many shares their rows are cut."""
+    from ..session import materialize
+    n = materialize(side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total = n.select(F.sum("_n")).scalar()
+    return n.withColumn("_splits", F.ceil(F.col("_n") * HOT_KEYS / total).cast("int")).filter("_splits > 1").drop("_n")
+
+
 def head2head(a: DataFrame, b: DataFrame, keys: Iterable[str], value: str = "output",
               ordered: bool = False, order: str | None = None, suffixes=("_1", "_2")) -> DataFrame:
     """Inner join of two output tables on ``keys``; value columns suffixed.
 
-    Unordered: repeated keys give a product which is then de-duplicated.
+    Unordered: the distinct pairs of a key's outputs.  Each side is reduced to its distinct (key, output) rows
+    before the join, so repeats never multiply and nothing is de-duplicated behind it; a key with more than one in
+    ``HOT_KEYS`` rows of A is cut into shares, each joined with its own copy of B's rows of that key.
     Ordered: a positional key (rank within the key, by ``order``) is added to
-    the join so the i-th output of A meets the i-th of B.
+    the join so the i-th output of A meets the i-th of B; ranks come from global positions, so a hot key's
+    rows are spread over many tasks.
     """
     keys = list(keys)
     if ordered:
-        w = Window.partitionBy(*keys).orderBy(order)
-        a = a.withColumn("_k", F.row_number().over(w))
-        b = b.withColumn("_k", F.row_number().over(w))
-        keys = keys + ["_k"]
-    a2 = a.select(*keys, F.col(value).alias(value + suffixes[0]))
-    b2 = b.select(*keys, F.col(value).alias(value + suffixes[1]))
-    j = a2.join(b2, keys, "inner")
-    if ordered:
-        return j.drop("_k")
-    return j.dropDuplicates()
+        from .window import group_position
+        a2, b2 = (group_position(x.select(*keys, value, *([] if order in (*keys, value) else [order])), keys, order, "_k")
+                  .select(*keys, "_k", F.col(value).alias(value + s)) for x, s in zip((a, b), suffixes))
+        return a2.join(b2, [*keys, "_k"], "inner").drop("_k")
+    a2 = a.select(*keys, F.col(value).alias(value + suffixes[0])).distinct()
+    b2 = b.select(*keys, F.col(value).alias(value + suffixes[1])).distinct()
+    hot = F.broadcast(_hot_splits(a2, keys))
+    splits = F.coalesce("_splits", F.lit(1))
+    a2 = a2.join(hot, keys, "left").withColumn("_share", F.pmod(F.xxhash64(value + suffixes[0]), splits).cast("int")).drop("_splits")
+    b2 = b2.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), splits - 1))).drop("_splits")
+    return a2.join(b2, [*keys, "_share"], "inner").drop("_share")
 
 
 # J04 ------------------------------------------------------------------------
@@ -151,8 +167,7 @@ def _user_digest(df: DataFrame, uid_value, uid: str, chosen: str, rejected: str,
     mine = _user_rows(df, uid_value, uid, n, order)
     k1, k2 = pair_hash(chosen, rejected)
     return materialize(mine.select(k1.alias("_k1"), k2.alias("_k2"),
-                                   F.xxhash64(F.lit("t"), F.col(chosen)).alias("_t"),
-                                   F.length(chosen).alias("_len"), F.col(order)))
+                                   *[h.alias(c) for h, c in zip(row_key([chosen]), ("_t1", "_t2"))], F.col(order)))
 
 
 def others_on_same_pairs(df: DataFrame, uid_value, uid: str = "uid", chosen: str = "chosen_only",
@@ -175,23 +190,24 @@ def agreement_join(df: DataFrame, uid_value, uid: str = "uid", chosen: str = "ch
     this row chose (``agree``) and how many chose the text this row rejected (``disagree``).
 
     The user's rows are reduced to one row per chosen text (count and first
-    id) and joined twice on the text hash: each other row meets at most one
+    id) and joined twice on the text's 128-bit hash: each other row meets at most one
     row per join, so no pair of rows within a group is ever emitted.
     """
     digest = _user_digest(df, uid_value, uid, chosen, rejected, n, order)
-    counts = broadcast_if_small(digest.groupBy("_t", "_len").agg(
+    counts = broadcast_if_small(digest.groupBy("_t1", "_t2").agg(
         F.count(F.lit(1)).alias("_m"), F.min(order).alias("_first_new")))
     others = others_on_same_pairs(df, uid_value, uid, chosen, rejected, n, order, digest=digest)
-    o = (others.withColumn("_tc", F.xxhash64(F.lit("t"), F.col(chosen))).withColumn("_lc", F.length(chosen))
-               .withColumn("_tr", F.xxhash64(F.lit("t"), F.col(rejected))).withColumn("_lr", F.length(rejected)))
-    a = counts.select(F.col("_t").alias("_tc"), F.col("_len").alias("_lc"), F.col("_m").alias("agree"),
+    o = others
+    for side, names in ((chosen, ("_c1", "_c2")), (rejected, ("_r1", "_r2"))):
+        o = o.withColumns(dict(zip(names, row_key([side]))))
+    a = counts.select(F.col("_t1").alias("_c1"), F.col("_t2").alias("_c2"), F.col("_m").alias("agree"),
                       F.col("_first_new").alias("first_new"))
-    d = counts.select(F.col("_t").alias("_tr"), F.col("_len").alias("_lr"), F.col("_m").alias("disagree"))
-    j = o.join(a, ["_tc", "_lc"], "left").join(d, ["_tr", "_lr"], "left")
+    d = counts.select(F.col("_t1").alias("_r1"), F.col("_t2").alias("_r2"), F.col("_m").alias("disagree"))
+    j = o.join(a, ["_c1", "_c2"], "left").join(d, ["_r1", "_r2"], "left")
     return (j.withColumn("agree", F.coalesce("agree", F.lit(0)))
              .withColumn("disagree", F.coalesce("disagree", F.lit(0)))
              .withColumn("kind", F.when(F.col("agree") > 0, "agree").when(F.col("disagree") > 0, "disagree"))
-             .drop("_tc", "_lc", "_tr", "_lr"))
+             .drop("_c1", "_c2", "_r1", "_r2"))
 
 
 # J06 ------------------------------------------------------------------------

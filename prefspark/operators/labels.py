@@ -156,21 +156,34 @@ def best_worst_by_attribute(ratings: DataFrame, instruction_id: str = "instructi
                                F.col("_lo.completion_no").alias("rejected_no"), F.col("_lo.score").alias("rejected_score"))
 
 
-def guided_disagreement(ratings: DataFrame, instruction_id: str = "instruction_id") -> DataFrame:
+def guided_disagreement(ratings: DataFrame, instruction_id: str = "instruction_id", scale: tuple[int, int] = (1, 5)) -> DataFrame:
     """Does some pair of completions rank one way by one attribute and the other way by
-    another?  For each attribute pair (a, b) a RANGE window gives the largest b among completions
-    with a strictly smaller a; a larger b there than this row's b is a disagreement.  No pair of
-    completions is materialised."""
-    d = ratings.select(instruction_id, "completion_no",
-                       *[LB.rating_int(F.col(k)).alias(k) for k in RATING_FIELDS])
-    flags = []
-    for i, a in enumerate(RATING_FIELDS):
-        for b in RATING_FIELDS[i + 1:]:
-            w = Window.partitionBy(instruction_id).orderBy(F.col(a)).rangeBetween(Window.unboundedPreceding, -1)
-            name = f"_d_{a}_{b}"
-            # rows with a NULL rating never take part (they sort first, so exclude them explicitly)
-            prev_b = F.max(F.when(F.col(a).isNotNull(), F.col(b))).over(w)
-            d = d.withColumn(name, F.col(a).isNotNull() & (prev_b > F.col(b)))
-            flags.append(name)
-    any_flag = F.greatest(*[F.coalesce(F.col(f), F.lit(False)).cast("int") for f in flags]) == 1
-    return d.groupBy(instruction_id).agg(F.max(any_flag.cast("int")).cast("boolean").alias("guided_disagreement"))
+    another?
+
+    Per attribute pair the rating pairs that occur are the bits of one number (a grid of at most 64 cells), merged by
+    ``bit_or``: partial sums before the one exchange, no sort and no pair of completions.  Two
+    occurring cells disagree when one lies above and before the other.  Ratings outside ``scale`` fail.
+    """
+    lo, hi = scale
+    size = hi - lo + 1
+    if size > 8:
+        raise ValueError("a scale of at most 8 values")
+    rated = {k: LB.rating_int(F.col(k)) for k in RATING_FIELDS}
+    place = {k: F.when(v.between(lo, hi), v - lo).when(v.isNotNull(), F.raise_error(F.lit(f"{k} outside {lo}..{hi}")).cast("int"))
+             for k, v in rated.items()}
+    d = ratings.select(instruction_id, *[v.alias(k) for k, v in place.items()])
+    pairs = [(a, b) for i, a in enumerate(RATING_FIELDS) for b in RATING_FIELDS[i + 1:]]
+    one = F.lit(1).cast("long")
+    cells = [F.bit_or(F.call_function("shiftleft", one, F.col(a) * size + F.col(b))).alias(f"_{a}_{b}") for a, b in pairs]
+    g = d.groupBy(instruction_id).agg(*cells)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    any_pair = F.lit(False)
+    for a, b in pairs:
+        seen = F.coalesce(F.col(f"_{a}_{b}"), F.lit(0))
+        for x in range(size - 1):
+            for y in range(1, size):
+                # cells above x and before y
+                against = sum(1 << (u * size + v) for u in range(x + 1, size) for v in range(y))
+                any_pair = any_pair | ((seen.bitwiseAND(F.lit(signed(1 << (x * size + y)))) != 0)
+                                       & (seen.bitwiseAND(F.lit(signed(against))) != 0))
+    return g.select(instruction_id, any_pair.alias("guided_disagreement"))

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa  # the Arrow UDF's type hints are resolved in this module
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,15 +103,48 @@ def max_text_length(df: DataFrame, n: int, prompt: str = "prompt", chosen: str =
 
 
 # P09 ----------------------------------------------------------------------
-def max_token_length(df: DataFrame, n: int, cols: Iterable[str] = ("chosen", "rejected"),
-                     count: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Every listed column has at most ``n`` tokens (default: regex word count)."""
+def batch_counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    """A token counter that works on lists of texts (a tokenizer's batch call), as a function of an array column: the
+    largest count of each array.  Runs on Arrow batches, all texts of a batch at once; a NULL text counts 0."""
+    def largest(texts: Column) -> Column:
+        @F.arrow_udf("int")
+        def longest(a: pa.Array) -> pa.Array:
+            flat = a.flatten().to_pylist()
+            sizes = iter(count([t for t in flat if t is not None]))
+            n = np.array([0 if t is None else next(sizes) for t in flat], np.int64)
+            lens = np.array(pc.fill_null(pc.list_value_length(a), 0), np.int64)
+            out = np.zeros(len(a), np.int64)
+            np.maximum.at(out, np.repeat(np.arange(len(a)), lens), n)
+            return pa.array(out, pa.int32())
+        return longest(texts)
+    return largest
+
+
+def largest_token_count(cols: Iterable[str] = ("chosen", "rejected"), count: Callable[[Column], Column] | None = None,
+                        contexts: str | None = None, context_cols: Iterable[str] = ("chosen", "rejected"),
+                        counter: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """The most tokens that any of the texts has: the listed columns and, with ``contexts`` (an array of structs), those
+    fields of every context.  ``counter`` counts a list of texts; else ``count`` is a column
+    expression (default: regex word count).  A NULL text counts 0."""
+    texts = F.array(*[F.col(c) for c in cols])
+    if contexts is not None:
+        nested = F.transform(F.col(contexts), lambda x: F.array(*[x.getField(c) for c in context_cols]))
+        texts = F.concat(texts, F.coalesce(F.flatten(nested), F.array().cast("array<string>")))
+    if counter is not None:
+        return batch_counter(counter)(texts)
     count = count or T.word_count
-    cond = None
-    for c in cols:
-        x = count(F.col(c)) <= n
-        cond = x if cond is None else cond & x
-    return df.filter(cond)
+    own = [F.coalesce(count(F.col(c)), F.lit(0)) for c in cols]
+    if contexts is not None:
+        own.append(F.coalesce(F.array_max(F.transform(F.flatten(nested), count)), F.lit(0)))
+    return F.greatest(*own, F.lit(0))
+
+
+def max_token_length(df: DataFrame, n: int, cols: Iterable[str] = ("chosen", "rejected"),
+                     count: Callable[[Column], Column] | None = None, contexts: str | None = None,
+                     context_cols: Iterable[str] = ("chosen", "rejected"),
+                     counter: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """Every listed column, and every text of the contexts, has at most ``n`` tokens (``largest_token_count``)."""
+    return df.filter(largest_token_count(cols, count, contexts, context_cols, counter) <= n)
 
 
 # P10 ----------------------------------------------------------------------

@@ -144,10 +144,16 @@ def survey_pool(df: DataFrame, size: int, seed: int = 0, key: str = "cmp_id") ->
 
 # L12 ------------------------------------------------------------------------
 def upsample_controversial(df: DataFrame, times: int = 4, flag: str = "controversial",
-                           out: str = "copy_no") -> DataFrame:
-    """The table plus ``times`` extra copies of flagged rows (copy 0 is the original)."""
+                           out: str = "copy_no", seed: int | None = None, key: Iterable[str] = ("cmp_id",),
+                           place: str = "place") -> DataFrame:
+    """The table plus ``times`` extra copies of flagged rows (copy 0 is the original).  With a ``seed`` rows also get their
+    ``place`` in a shuffle of all copies (hash order of ``key`` and copy; numbered without a global sort)."""
     n = F.when(F.col(flag), F.lit(times + 1)).otherwise(F.lit(1))
-    return df.withColumn(out, F.explode(F.sequence(F.lit(0), n - 1)))
+    rows = df.withColumn(out, F.explode(F.sequence(F.lit(0), n - 1)))
+    if seed is None:
+        return rows
+    keys = [key] if isinstance(key, str) else list(key)
+    return dense_position(rows.withColumn("_h", seeded_hash(seed, *keys, out)), ["_h", *keys, out], place).drop("_h")
 
 
 # L13 ------------------------------------------------------------------------
@@ -171,6 +177,27 @@ def context_target_split(df: DataFrame, n_ctx: int, n_tar: int | None, seed: int
     return r.withColumn(out, F.when(F.col("_rn") <= n_ctx, "context").when(tar, "target")).drop("_rn")
 
 
+def evaluation_split(train: DataFrame, test: DataFrame, n_ctx: int, seed: int = 0, user: str = "uid",
+                     key: str = "qkey", out: str = "role") -> DataFrame:
+    """The evaluation form: per user of ``test``, ``n_ctx`` rows of ``train`` drawn without replacement as context, and every
+    row of ``test`` as target.
+
+    The draw is the first ``n_ctx`` rows of a user in hash order; each task keeps no more than that per user before the exchange
+    (a rank limit), so a user with a third of all rows is no hot task, and test rows are not moved at all.  A
+    user with fewer train rows is an error, as is one without any.
+    """
+    w = Window.partitionBy(user).orderBy("_h", key)
+    users = test.select(user).distinct()
+    context = (train.withColumn("_h", seeded_hash(seed, user, key)).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_ctx))
+    context = context.join(users, user, "left_semi")
+    enough = users.join(context.groupBy(user).agg(F.count(F.lit(1)).alias("_n")), user, "left").select(
+        F.when(F.coalesce(F.min(F.coalesce("_n", F.lit(0))), F.lit(n_ctx)) < n_ctx,
+               F.raise_error(F.lit(f"a user has fewer than {n_ctx} train rows")).cast("int")).otherwise(F.lit(0))).scalar()
+    targets = test.withColumn(out, F.lit("target")).withColumn("_ok", enough)
+    context = context.drop("_h", "_rn").withColumn(out, F.lit("context")).withColumn("_ok", enough)
+    return context.unionByName(targets).filter("_ok = 0").drop("_ok")
+
+
 # L16 ------------------------------------------------------------------------
 def derangement(df: DataFrame, keys: Iterable[str], value: str, seed: int = 0, id_col: str = "row_id",
                 out: str = "paired_value") -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as LB
-from ..functions.random import sql_seeded_hash
+from ..functions.random import seeded_bit, sql_seeded_hash
 from ..operators import aggregate as G
 from ..operators import annotate as A
 from ..operators import joins as J
 from ..operators import project as P
 from ..operators import sets as U
 from ..operators import window as W
+from ..session import materialize
 from . import fixtures as FX
 from .registry import query, with_ctes
 
@@ -190,6 +191,38 @@ def f15(spark, sf):
     return j.select("batch_no", F.array_join(LB.parse_judgement(F.col("completion"), PATTERNS, 3), ",").alias("labels"))
 
 
+JUDGE_TEMPLATE = "".join(f"## Example {k}\nQ: {{instruction}}\n# Output (a): {{output_1}}\n# Output (b): {{output_2}}\n" for k in (1, 2, 3))
+
+
+def longer_is_better(batches, prompt: str = "prompt"):
+    """A rule-based judge that sees only the prompt: for each example in it a line for the longer output, (a) on ties."""
+    example = r"(?s)# Output \(a\): (.*?)\n# Output \(b\): (.*?)\n(?=## Example |$)"
+    outs = F.arrays_zip(*[F.regexp_extract_all(prompt, F.lit(example), F.lit(i)).alias(k) for i, k in ((1, "a"), (2, "b"))])
+    line = F.transform(outs, lambda x, i: F.concat(F.lit("\n### Best output for example "), (i + 1).cast("string"), F.lit(":\n"),
+                                                  F.when(F.length(x["a"]) >= F.length(x["b"]), "(a)").otherwise("(b)")))
+    return batches.withColumn("completion", F.array_join(line, ""))
+
+
+@query("w09_judge_flow", with_ctes(FX.SQL_F9, PAIRS_SQL) + f"""
+SELECT md5(instruction) AS instruction_md5, md5(output_1) AS output_1_md5, md5(output_2) AS output_2_md5, is_switched,
+  CASE WHEN length(output_1) > length(output_2) OR (length(output_1) = length(output_2) AND NOT is_switched) THEN 1 ELSE 2 END AS preference
+FROM (SELECT *, {sql_seeded_hash(17, 'instruction', 'output_1', 'output_2')} % 2 = 1 AS is_switched FROM pairs)""")
+def w09_judge_flow(spark, sf):
+    """The judge's way end to end: swap, pack, judge, parse, unpack, swap back (F12 -> W09 -> F15 -> unpack -> F12)."""
+    keys = ["instruction", "output_1", "output_2"]
+    p = materialize(h2h_pairs(spark, sf).withColumn("is_switched", seeded_bit(17, *keys) == 1))
+    first, second = (F.when(F.col("is_switched"), F.col(a)).otherwise(F.col(b)) for a, b in (("output_2", "output_1"), ("output_1", "output_2")))
+    shown = p.select("instruction", "is_switched", first.alias("output_1"), second.alias("output_2"))
+    shown = materialize(W.dense_position(shown, keys, "row_id"))
+    b = W.pack_batches(shown, 3, JUDGE_TEMPLATE, keys, order="row_id")
+    b = longer_is_better(b)
+    judged = W.unpack_batches(b.withColumn("labels", LB.parse_judgement(F.col("completion"), PATTERNS, 3)), 3)
+    j = shown.join(judged.select(F.col("id").cast("long").alias("row_id"), F.col("label").cast("int").alias("label")), "row_id")
+    back1, back2 = (F.when(F.col("is_switched"), F.col(a)).otherwise(F.col(b)) for a, b in (("output_2", "output_1"), ("output_1", "output_2")))
+    return j.select(F.md5("instruction").alias("instruction_md5"), F.md5(back1).alias("output_1_md5"), F.md5(back2).alias("output_2_md5"),
+                    "is_switched", LB.swap_preference(F.col("label"), F.col("is_switched")).alias("preference"))
+
+
 @query("p30_format_prompt", with_ctes(FX.SQL_F9) + """
 SELECT conv_id, turn, md5(CASE WHEN input IS NULL OR length(input) = 0 THEN 'Instruction: ' || instruction || chr(10) || 'Response: '
        ELSE 'Instruction: ' || instruction || chr(10) || 'Input: ' || input || chr(10) || 'Response: ' END || output || '</s>') AS prompt_md5

@@ -11,6 +11,8 @@ from ..operators import project as P
 from ..operators import select as L
 from ..operators import sets as U
 from ..operators import window as W
+from ..functions.random import sql_seeded_hash
+from ..session import materialize
 from . import fixtures as FX
 from .registry import query, with_ctes
 
@@ -97,6 +99,25 @@ def p09(spark, sf):
     return P.max_token_length(normalized(spark, sf), 400, ("chosen_only", "rejected_only")).select("cmp_id")
 
 
+def _words(c: str) -> str:
+    return f"coalesce(len(regexp_extract_all({c}, '\\S+')), 0)"
+
+
+@query("p09_max_token_length_contexts", with_ctes(FX.SQL_F1, NORM_SQL) + f"""
+, tx AS (SELECT cmp_id, md5(prompt) AS ph, greatest({_words("chosen_only")}, {_words("rejected_only")}) AS w FROM norm),
+pool AS (SELECT cmp_id, ph, w, row_number() OVER (ORDER BY ph, cmp_id) - 1 AS pidx, count(*) OVER () AS m FROM tx),
+span AS (SELECT ph, min(pidx) AS lo, count(*) AS len FROM pool GROUP BY ph),
+draws AS (SELECT tx.cmp_id, lo, len, {sql_seeded_hash(9, 'tx.cmp_id', 'r.d')} % ((SELECT max(m) FROM pool) - len) AS p FROM tx JOIN span ON tx.ph = span.ph, range(0, 3) r(d)),
+most AS (SELECT d.cmp_id, max(pool.w) AS w FROM draws d JOIN pool ON pool.pidx = CASE WHEN p >= lo THEN p + len ELSE p END GROUP BY d.cmp_id)
+SELECT tx.cmp_id, greatest(tx.w, most.w) AS max_length FROM tx JOIN most USING (cmp_id) WHERE greatest(tx.w, most.w) <= 400""".replace("\n, tx AS", ", tx AS", 1))
+def p09_contexts(spark, sf):
+    n = normalized(spark, sf).select("cmp_id", "prompt", F.col("chosen_only").alias("chosen"), F.col("rejected_only").alias("rejected"))
+    n = materialize(n)
+    rows = L.random_contexts(n, n, n=3, seed=9, key="cmp_id")
+    kept = P.max_token_length(rows, 400, contexts="contexts")
+    return kept.select("cmp_id", P.largest_token_count(contexts="contexts").cast("long").alias("max_length"))
+
+
 # ---------------------------------------------------------------- P10 / P14-P19
 @query("p10_rename_roles", with_ctes(FX.SQL_F1, NORM_SQL) + """
 SELECT cmp_id, md5(chosen_only) AS rejected_md5, md5(rejected_only) AS chosen_md5 FROM norm""")

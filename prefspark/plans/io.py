@@ -45,36 +45,35 @@ def s08(spark, sf):
 
 
 @query("s02_read_jsonl_by_subset", with_ctes(FX.SQL_F2, RT.BIN_SQL, RT.MATCH_SQL, RT.LAB_SQL, RT.TYPED_SQL) + f"""
-SELECT data_subset, count(*) AS n, sum(pair_id) AS id_sum FROM typed
-WHERE data_subset IN ('8', '2') AND {SPLIT_SQL} = 'train' GROUP BY 1""")
+SELECT data_subset, pair_id FROM typed WHERE data_subset IN ('8', '2') AND {SPLIT_SQL} = 'train'""")
 def s02(spark, sf):
     t = RT.typed(spark, sf).withColumn("split", F.when(seeded_uniform(8, "pair_id") < 0.1, "test").otherwise("train"))
     root = scratch(spark, "user-partitions")
     WR.write_user_partitions(t.select("pair_id", "data_subset", "split"), root)
     back = RD.read_jsonl_by_subset(spark, root, ["8", "2"], "train")
-    return back.groupBy(F.col("data_subset").cast("string").alias("data_subset")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("pair_id").alias("id_sum"))
+    return back.select(F.col("data_subset").cast("string").alias("data_subset"), "pair_id")
 
 
 @query("s03_read_keyed_json", """
-SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS n_turns FROM conversations GROUP BY conv_id""")
+SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS n_turns, md5(string_agg(text, '|' ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id""")
 def s03(spark, sf):
     cv = FX.f7_dialogs(spark, sf)
     dialogs = cv.groupBy("conv_id").agg(F.struct(
         F.lit("u").alias("user_id"),
         F.sort_array(F.collect_list(F.struct(F.col("turn").cast("int").alias("turn_nb"),
                                              F.array("text").alias("user_utterance")))).alias("turns")).alias("d"))
-    # one JSON object per bucket of dialogs: many files, each an object keyed by dialog id
-    obj = dialogs.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(8)).alias("_b")).agg(
+    # JSON objects of about 500 dialogs, keyed by dialog id: one folder (and so one file, one object) each
+    objects = cv.select(F.ceil(F.countDistinct("conv_id") / 500)).scalar()
+    obj = dialogs.groupBy(F.pmod(F.xxhash64("conv_id"), F.greatest(objects, F.lit(1))).alias("_b")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("conv_id").cast("string"), F.col("d"))))).alias("v"))
     path = scratch(spark, "keyed-json")
-    # one folder (and so one file, one object) per bucket
     obj.write.mode("overwrite").partitionBy("_b").text(path)
     schema = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("turns", T.ArrayType(
         T.StructType([T.StructField("turn_nb", T.IntegerType()),
                       T.StructField("user_utterance", T.ArrayType(T.StringType()))])))])
     back = RD.read_keyed_json(spark, path, schema)
-    return back.select("id", F.size("turns").cast("long").alias("n_turns"))
+    texts = F.transform("turns", lambda t: F.array_join(t["user_utterance"], "|"))
+    return back.select("id", F.size("turns").cast("long").alias("n_turns"), F.md5(F.array_join(texts, "|")).alias("text_md5"))
 
 
 @query("s04_read_lookup", with_ctes(FX.SQL_F1, CP.NORM_SQL, CP.TOP5_SQL) + """
@@ -98,14 +97,14 @@ def s05(spark, sf):
 
 
 @query("s06_read_prompts", """
-SELECT count(*) AS n, sum(length(text)) AS chars FROM conversations WHERE role = 'user'""")
+SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS prompt_id, md5(text) AS prompt_md5 FROM conversations WHERE role = 'user'""")
 def s06(spark, sf):
     cv = FX.f7_dialogs(spark, sf).filter(F.col("role") == "user")
     path = scratch(spark, "prompts")
     cv.select(F.concat_ws("_", "conv_id", "turn").alias("prompt_id"), F.col("text").alias("prompt")) \
         .write.mode("overwrite").json(path)
     p = RD.read_prompts(spark, path)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("prompt")).alias("chars"))
+    return p.select("prompt_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("s09_write_if_absent", """

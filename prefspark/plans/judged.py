@@ -64,13 +64,8 @@ UNION ALL
 SELECT 'psoups', round(sum(wins) / (sum(wins) + sum(losses) + sum(ties)), 6),
        round(avg(CASE WHEN wins + losses + ties > 0 THEN wins / (wins + losses + ties) END), 6), count(*) FROM wlt""")
 def g08(spark, sf):
-    c = wlt(spark, sf)
-    out = None
-    for mode in ("prism", "psoups"):
-        r = G.win_rate(c, mode).select(F.lit(mode).alias("mode"), rd(F.col("pooled_win_rate"), "pooled_win_rate"),
-                                       rd(F.col("mean_user_win_rate"), "mean_user_win_rate"), "n_users")
-        out = r if out is None else out.unionByName(r)
-    return out
+    r = G.win_rates(wlt(spark, sf))
+    return r.select("mode", rd(F.col("pooled_win_rate"), "pooled_win_rate"), rd(F.col("mean_user_win_rate"), "mean_user_win_rate"), "n_users")
 
 
 # ---------------------------------------------------------------- F12 / F13 / F16 / P31 / G26

@@ -79,27 +79,27 @@ def p26(spark, sf):
     return P.controversial_only(RT.typed(spark, sf)).select("pair_id", "data_subset")
 
 
-@query("p27_one_user", TYPED + "SELECT count(*) AS n, sum(pair_id) AS id_sum FROM typed WHERE data_subset = '8'")
+@query("p27_one_user", TYPED + "SELECT pair_id, data_subset, controversial FROM typed WHERE data_subset = '8'")
 def p27(spark, sf):
-    return P.one_user(RT.typed(spark, sf), "8").agg(F.count(F.lit(1)).alias("n"), F.sum("pair_id").alias("id_sum"))
+    return P.one_user(RT.typed(spark, sf), "8").select("pair_id", "data_subset", "controversial")
 
 
 @query("l12_upsample_controversial", TYPED + """
-SELECT pair_id, data_subset, c.copy_no FROM typed,
-  LATERAL (SELECT unnest(range(0, CASE WHEN controversial THEN 5 ELSE 1 END)) AS copy_no) c""")
+SELECT pair_id, data_subset, copy_no, row_number() OVER (ORDER BY """ + sql_seeded_hash(12, "pair_id", "data_subset", "copy_no") + """, pair_id, data_subset, copy_no) - 1 AS place
+FROM (SELECT pair_id, data_subset, c.copy_no FROM typed,
+  LATERAL (SELECT unnest(range(0, CASE WHEN controversial THEN 5 ELSE 1 END)) AS copy_no) c)""")
 def l12(spark, sf):
-    u = L.upsample_controversial(RT.typed(spark, sf))
-    return u.select("pair_id", "data_subset", F.col("copy_no").cast("long").alias("copy_no"))
+    t = RT.typed(spark, sf).select("pair_id", "data_subset", "controversial")
+    u = L.upsample_controversial(t, seed=12, key=("pair_id", "data_subset"))
+    return u.select("pair_id", "data_subset", F.col("copy_no").cast("long").alias("copy_no"), "place")
 
 
 @query("l13_cap_per_subset", TYPED + """
 , r AS (SELECT data_subset, pair_id, row_number() OVER (PARTITION BY data_subset ORDER BY pair_id) AS rn,
               count(*) OVER () AS total, count(DISTINCT data_subset) OVER () AS k FROM typed)
-SELECT data_subset, count(*) AS n, max(pair_id) AS max_id FROM r WHERE total <= 20000 OR rn <= floor(20000 / k)
-GROUP BY data_subset""".replace("\n, r AS", ", r AS", 1))
+SELECT data_subset, pair_id FROM r WHERE total <= 20000 OR rn <= floor(20000 / k)""".replace("\n, r AS", ", r AS", 1))
 def l13(spark, sf):
-    c = L.cap_per_subset(RT.typed(spark, sf), 20000, order="pair_id")
-    return c.groupBy("data_subset").agg(F.count(F.lit(1)).alias("n"), F.max("pair_id").alias("max_id"))
+    return L.cap_per_subset(RT.typed(spark, sf).select("data_subset", "pair_id"), 20000, order="pair_id").select("data_subset", "pair_id")
 
 
 @query("u04_common_subsets", TYPED + """
@@ -236,38 +236,8 @@ def p34(spark, sf):
     return P.compose(FX.f1_comparisons(spark, sf), steps).select("cmp_id")
 
 
-_SIDE_SQL = r"regexp_replace(replace(split_part({c}, chr(10) || 'Assistant: ', -1), '\"', ''), '^\s+|\s+$', '', 'g')"
-RAG_SQL = VQ.EMB_SQL + f"""
-, t AS (SELECT qid, did, rank FROM (SELECT q.qid, d.did, d.label, row_number() OVER (PARTITION BY q.qid
-       ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3),
-x AS (SELECT doc_id, substr(text, 1, 40) AS prompt, {_SIDE_SQL.format(c="chr(10) || 'Assistant: ' || substr(text, 41, 60)")} AS chosen,
-      {_SIDE_SQL.format(c="'said \"x\"' || chr(10) || 'Assistant: ' || substr(text, 101, 60)")} AS rejected FROM documents),
-ex AS (SELECT t.qid, t.rank, x.*, {sql_seeded_hash(5, 't.qid', 't.rank')} % 2 = 0 AS a_first FROM t JOIN x ON x.doc_id = t.did),
-eb AS (SELECT qid, string_agg(prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END || chr(10)
-  || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10) || 'Which response do you prefer?' || chr(10) || chr(10)
-  || 'Response ' || CASE WHEN a_first THEN 'A' ELSE 'B' END || chr(10) || '===' || chr(10), '' ORDER BY rank DESC) AS body FROM ex GROUP BY qid),
-qb AS (SELECT doc_id AS qid, prompt, chosen, rejected, {sql_seeded_hash(6, 'doc_id')} % 2 = 0 AS a_first FROM x)
-"""
-
-
-@query("p38_rag_prompt", with_ctes(RAG_SQL) + """
-SELECT qid, md5('The examples ' || body || 'Prompt: ' || prompt || chr(10) || chr(10) || 'Response A: ' || CASE WHEN a_first THEN chosen ELSE rejected END
-  || chr(10) || chr(10) || 'Response B: ' || CASE WHEN a_first THEN rejected ELSE chosen END || chr(10) || chr(10)
-  || 'Which response do you prefer?' || chr(10) || 'Response ') AS prompt_md5, CASE WHEN a_first THEN 'A' ELSE 'B' END AS answer
-FROM eb JOIN qb USING (qid)""")
-def p38(spark, sf):
-    q, d = VQ.split_qd(spark, sf)
-    top = L.top_k_similar(q, d, k=3)
-    x = FX.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("did"), F.substring("text", 1, 40).alias("prompt"),
-        F.concat(F.lit("\nAssistant: "), F.substring("text", 41, 60)).alias("chosen"),
-        F.concat(F.lit('said "x"\nAssistant: '), F.substring("text", 101, 60)).alias("rejected"))
-    shots = top.select("qid", "rank", "did").join(x, "did")
-    r = P.rag_prompt(x.withColumnRenamed("did", "qid"), shots, "qid", seed=5)
-    return r.select("qid", F.md5("rag_prompt").alias("prompt_md5"), "answer")
-
-
-# the same prompts from whole texts: a document as prompt, the two texts of a comparison pair as answers
+_SIDE_SQL = r"""regexp_replace(replace(split_part({c}, chr(10) || 'Assistant: ', -1), '"', ''), '^\s+|\s+$', '', 'g')"""
+# prompts from whole texts: a document as prompt, the two texts of a comparison pair as answers
 RAG_WHOLE_SQL = VQ.EMB_SQL + f"""
 , t AS (SELECT qid, did, rank FROM (SELECT q.qid, d.did, d.label, row_number() OVER (PARTITION BY q.qid
        ORDER BY list_dot_product(q.v, d.v) DESC, d.did) AS rank FROM q CROSS JOIN d) WHERE rank <= 3),
@@ -287,6 +257,11 @@ FROM eb JOIN qb USING (qid))
 """
 
 
+@query("p38_rag_prompt", with_ctes(RAG_WHOLE_SQL) + "SELECT qid, md5(rag_prompt) AS prompt_md5, answer FROM r")
+def p38(spark, sf):
+    return p38_whole(spark, sf).select("qid", "prompt_md5", "answer")
+
+
 @query("p38_rag_prompt_whole", with_ctes(RAG_WHOLE_SQL) + """
 SELECT qid, md5(rag_prompt) AS prompt_md5, CAST(length(rag_prompt) AS BIGINT) AS n_chars, answer FROM r""")
 def p38_whole(spark, sf):

@@ -199,6 +199,16 @@ def l15(spark, sf):
     return L.context_target_split(e, 5, 10, seed=6).select("uid", "qkey", "role")
 
 
+@query("l15_evaluation_split", """
+SELECT uid, qkey, 'context' AS role FROM (SELECT label AS uid, vec_id AS qkey, row_number() OVER (PARTITION BY label ORDER BY
+      CAST(('0x' || substr(md5(concat_ws(':', '7', CAST(label AS VARCHAR), CAST(vec_id AS VARCHAR))), 1, 15)) AS BIGINT), vec_id) AS rk
+    FROM embeddings WHERE vec_id % 3 <> 0) WHERE rk <= 4 AND uid IN (SELECT label FROM embeddings WHERE vec_id % 3 = 0)
+UNION ALL SELECT label, vec_id, 'target' FROM embeddings WHERE vec_id % 3 = 0""")
+def l15_evaluation(spark, sf):
+    e = emb(spark, sf).select(F.col("label").alias("uid"), F.col("vec_id").alias("qkey"))
+    return L.evaluation_split(e.filter("qkey % 3 <> 0"), e.filter("qkey % 3 = 0"), 4, seed=7).select("uid", "qkey", "role")
+
+
 # ---------------------------------------------------------------- J14 / J16 / J17
 @query("j14_attach_embeddings", """
 SELECT d.doc_id, e.label, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_dim, round(CAST(e.embedding[64] AS DOUBLE), 6) AS last_dim

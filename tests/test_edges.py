@@ -271,3 +271,88 @@ def test_gae_of_null_and_empty_arrays(spark):
     d = [1 + 0.25 - 0.5, 2 + 0.25 - 0.5, 3 - 0.5]
     assert got[1] == pytest.approx([d[0] + 0.25 * (d[1] + 0.25 * d[2]), d[1] + 0.25 * d[2], d[2]])
     assert got[4][1] is None and got[4][0] == pytest.approx(1 + 0.5 - 1) and got[4][2:] == pytest.approx([2 + 0.5 - 1 + 0.25 * 3.0, 3.0])
+
+
+def test_head2head_hot_key_and_repeats(spark, monkeypatch):
+    """Distinct pairs per key with repeats, NULL outputs and a key that holds most rows of both sides; ordered mode by rank."""
+    monkeypatch.setattr(J, "HOT_KEYS", 7)
+    a = [("hot", f"a{i % 40}") for i in range(90)] + [("k", "x"), ("k", "x"), ("n", None), ("only", "z"), (None, "q")]
+    b = [("hot", f"b{i % 30}") for i in range(70)] + [("k", "y"), ("n", "w"), ("n", None), (None, "q")]
+    da, db = (spark.createDataFrame(x, "k string, output string").repartition(3) for x in (a, b))
+    got = sorted(map(str, (tuple(r) for r in J.head2head(da, db, ["k"]).collect())))
+    want = {(k, x, y) for k, x in a for j, y in b if k == j and k is not None}
+    assert got == sorted(map(str, want))
+    na, nb = (d.withColumn("pos", F.monotonically_increasing_id()) for d in (da, db))
+    ranked = {}
+    for d, side in ((na, 0), (nb, 1)):
+        for r in d.collect():
+            ranked.setdefault(r.k, ([], []))[side].append((r.pos, r.output))
+    want = [(k, x[1], y[1]) for k, (p, q) in ranked.items() if k is not None for x, y in zip(sorted(p), sorted(q))]
+    # positions of a written table stay: the two sides are numbered by their own order column
+    na, nb = na.checkpoint(), nb.checkpoint()
+    got = J.head2head(na, nb, ["k"], ordered=True, order="pos").collect()
+    assert len(got) == len(want) and sum(r.k == "hot" for r in got) == 70
+
+
+def test_guided_disagreement_by_cells(spark):
+    import itertools
+    import random
+
+    from prefspark.operators import labels as LO
+    fields = LO.RATING_FIELDS
+    rnd = random.Random(2)
+    rows = [(i, c, *[rnd.choice(["1", "2", "3", "4", "5", "N/A", None]) for _ in fields]) for i in range(150) for c in range(rnd.randint(1, 4))]
+    rows += [(900, 0, *["3"] * len(fields)), (901, 0, *["N/A"] * len(fields))]
+    df = spark.createDataFrame(rows, "instruction_id long, completion_no int, " + ", ".join(f"{f} string" for f in fields))
+    num = lambda v: int(v) if v and v.isdigit() else None
+
+    def differs(group):
+        return any(x[p] is not None and y[p] is not None and x[q] is not None and y[q] is not None and x[p] > y[p] and x[q] < y[q]
+                   for x, y in itertools.permutations(group, 2) for p in range(4) for q in range(4))
+    groups = {}
+    for i, _, *r in rows:
+        groups.setdefault(i, []).append([num(v) for v in r])
+    plan = LO.guided_disagreement(df)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Sort" not in text
+    assert {r.instruction_id: r.guided_disagreement for r in plan.collect()} == {i: differs(g) for i, g in groups.items()}
+    with pytest.raises(Exception, match="outside 1..5"):
+        LO.guided_disagreement(df.withColumn(fields[0], F.lit("9"))).collect()
+
+
+def test_evaluation_split(spark):
+    train = spark.createDataFrame([(u, 100 * u + i) for u in (1, 2, 3) for i in range(50 if u == 1 else 5)], "uid long, qkey long")
+    test = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "uid long, qkey long")
+    got = [tuple(r) for r in L.evaluation_split(train, test, 5, seed=3).collect()]
+    assert sorted(r[:2] for r in got if r[2] == "target") == [(1, 1), (1, 2), (2, 3)]
+    context = [r for r in got if r[2] == "context"]
+    assert sorted(u for u, _, _ in context) == [1] * 5 + [2] * 5 and len(set(context)) == 10
+    assert {q for u, q, _ in context if u == 1} != {q for u, q, r in [tuple(x) for x in L.evaluation_split(train, test, 5, seed=4).collect()] if u == 1 and r == "context"}
+    for short in (6,):
+        with pytest.raises(Exception, match="fewer than 6"):
+            L.evaluation_split(train, test, short, seed=3).collect()
+    with pytest.raises(Exception, match="fewer than 2"):
+        L.evaluation_split(train, test.union(spark.createDataFrame([(9, 9)], test.schema)), 2).collect()
+
+
+def test_token_length_of_contexts(spark):
+    rows = [(1, "a b", "c", [("x y z", "w")]), (2, "a b c d", None, None), (3, "", "", []), (4, "a", "b", [("x", None), (None, "1 2 3 4 5")])]
+    df = spark.createDataFrame(rows, "id int, chosen string, rejected string, contexts array<struct<chosen:string,rejected:string>>")
+    seen = []
+
+    def counter(texts):
+        assert all(isinstance(t, str) for t in texts)
+        return [len(t.split()) for t in texts]
+    for kw in ({}, {"counter": counter}):
+        got = {r.id: r.n for r in df.select("id", P.largest_token_count(contexts="contexts", **kw).alias("n")).collect()}
+        assert got == {1: 3, 2: 4, 3: 0, 4: 5}
+        assert sorted(r.id for r in P.max_token_length(df, 3, contexts="contexts", **kw).collect()) == [1, 3]
+    assert sorted(r.id for r in P.max_token_length(df, 3).collect()) == [1, 3, 4] and not seen
+
+
+def test_upsampling_is_shuffled(spark):
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "cmp_id long, controversial boolean")
+    got = L.upsample_controversial(df, seed=1).collect()
+    assert sorted(r.place for r in got) == list(range(70)) and sum(r.controversial for r in got) == 50
+    order = [(r.cmp_id, r.copy_no) for r in sorted(got, key=lambda r: r.place)]
+    assert order != sorted(order) and order != [(r.cmp_id, r.copy_no) for r in sorted(L.upsample_controversial(df, seed=2).collect(), key=lambda r: r.place)]

@@ -161,3 +161,11 @@ def test_f01_stable(spark):
     df = spark.createDataFrame([(1000.0, 0.0), (0.0, 1000.0), (1.0, 1.0)], "a double, b double")
     got = [r.l for r in df.select(V.log_sigmoid_loss("a", "b").alias("l")).collect()]
     assert got[0] == 0.0 and abs(got[1] - 1000.0) < 1e-9 and abs(got[2] - math.log(2)) < 1e-12
+
+
+def test_f14_references_by_number(spark):
+    """Patterns keep their own group numbers, behind other patterns with groups, in sets and after escapes."""
+    df = spark.createDataFrame([("aa bcc xbb [1] a1",), ("ab aa",), ("\\\\1 q",)], "t string")
+    pats = {"twice": r"(a)\1", "other": r"b(c)\1", "third": r"(x)(b)\2", "set": r"[\[][1]\]", "cond": r"(q)?(?(1)!|z)"}
+    got = [r.k for r in df.select(LB.scan_matches(F.col("t"), pats).alias("k")).collect()]
+    assert got == [["twice", "other", "third", "set"], ["twice"], []]
