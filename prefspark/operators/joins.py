@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,6 +264,38 @@ def prompts_for_users(prompts: DataFrame, n_users: int, prompt_id: str = "prompt
 
 
 # J12 / L04 ------------------------------------------------------------------
+def best_of_cell(vq: np.ndarray, vectors: np.ndarray, k: int, chunk_rows: int, scored: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, places): the k best of ``vectors`` for each row of ``vq``, ties by place; unused entries have place -1.
+
+    ``scored`` receives the numbers of (query, vector) pairs that were computed."""
+    norms = np.array([np.sqrt(np.dot(v, v)) for v in vectors])
+    # what is not a finite number bounds nothing
+    norms = np.where(np.isfinite(norms), norms, np.inf)
+    order = np.argsort(-norms, kind="stable")
+    with np.errstate(all="ignore"):
+        q_norm = np.sqrt((vq * vq).sum(axis=1))
+    q_norm = np.where(np.isfinite(q_norm), q_norm, np.inf)
+    best_s, best_i = np.full((len(vq), k), -np.inf), np.full((len(vq), k), -1)
+    active = np.arange(len(vq))
+    for lo in range(0, len(order), chunk_rows):
+        with np.errstate(invalid="ignore"):
+            # rounding in the products is far below this slack
+            limit = q_norm[active] * norms[order[lo]] * (1 + 1e-9)
+        full = best_i[active, -1] >= 0
+        active = active[~(full & (best_s[active, -1] > limit))]
+        if not len(active):
+            break
+        places = np.sort(order[lo: lo + chunk_rows])
+        if scored is not None:
+            scored.append(len(active) * len(places))
+        s = np.concatenate([best_s[active], vq[active] @ np.vstack(vectors[places]).T], axis=1)
+        i = np.concatenate([best_i[active], np.broadcast_to(places, (len(active), len(places)))], axis=1)
+        # empty entries last, then score falling, then place
+        pick = np.lexsort((i, -s, i < 0), axis=1)[:, :k]
+        best_s[active], best_i[active] = np.take_along_axis(s, pick, axis=1), np.take_along_axis(i, pick, axis=1)
+    return best_s, best_i
+
+
 def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: str = "did",
                      qvec: str = "qvec", dvec: str = "dvec", block_rows: int | None = None,
                      group: str | None = None, q_block_rows: int = 8192, d_block_bytes: int = 64 << 20,
@@ -274,11 +307,12 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
     vectors (``block_rows`` sets both in rows); a (group, query block, document block) cell is one task's work in
     ``applyInPandas``, which walks the documents in chunks of ``chunk_rows`` with NumPy mat-muls and
     keeps a running top-k per query, so it needs memory for its blocks and one chunk of scores, and emits
-    only its local top-k.  A final ``row_number`` per query keeps the global top-k.  No pair becomes
+    only its local top-k.  Chunks go by falling norm: no document behind scores above |query| x its chunk's largest
+    norm (Cauchy-Schwarz), so a query whose k-th score is above that is done with the cell.  A final
+    ``row_number`` per query keeps the global top-k.  No pair becomes
     a row, nothing is broadcast, and groups meet only themselves.  Ids keep their types; NULL groups match
     nothing; infinite scores count like others.
     """
-    import numpy as np
     import pandas as pd
 
     dim = docs.select(F.greatest(F.max(F.size(dvec)), F.lit(1))).scalar()
@@ -312,16 +346,10 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
         if len(qs) == 0 or len(ds) == 0:
             return pd.DataFrame({"qid": [], "did": [], "score": []})
         ds = ds.sort_values("_d")
-        vectors, vq = ds["_v"].to_numpy(), np.vstack(qs["_v"].to_numpy())
-        best_s, best_i = np.zeros((len(vq), 0)), np.zeros((len(vq), 0), dtype=np.int64)
-        for lo in range(0, len(ds), chunk_rows):
-            s = vq @ np.vstack(vectors[lo:lo + chunk_rows]).T
-            s = np.concatenate([best_s, s], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(np.arange(lo, lo + s.shape[1] - best_s.shape[1]), (len(vq), s.shape[1] - best_s.shape[1]))], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :kk]  # score falling, then document id
-            best_s, best_i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
-        n = best_s.shape[1]
-        return pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), n), "did": ds["_d"].to_numpy()[best_i.reshape(-1)], "score": best_s.reshape(-1)})
+        ids, vectors, vq = ds["_d"].to_numpy(), ds["_v"].to_numpy(), np.vstack(qs["_v"].to_numpy())
+        best_s, best_i = best_of_cell(vq, vectors, kk, chunk_rows)
+        some = best_i >= 0
+        return pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), some.sum(axis=1)), "did": ids[best_i[some]], "score": best_s[some]})
 
     # ids that a union made nullable travel as pandas objects; the declared types restore them
     cand = cells.groupBy("_g", "_qb", "_db").applyInPandas(score, f"qid {q_type}, did {d_type}, score double")

@@ -94,3 +94,27 @@ def test_pystrip_matches_python(spark, s):
     df = spark.createDataFrame([(s,)], "s string")
     got = df.select(TX.pystrip(F.col("s")).alias("t")).collect()[0].t
     assert got == s.strip()
+
+
+def test_cells_are_pruned_exactly():
+    """Pruned search gives the places of a full one, ties, infinite and missing values included, and scores fewer pairs when norms differ."""
+    import numpy as np
+
+    from prefspark.operators.joins import best_of_cell
+    rnd = np.random.default_rng(4)
+    for n, k, spread in ((500, 5, 2.0), (500, 5, 0.0), (3, 5, 1.0), (400, 1, 3.0)):
+        d = rnd.integers(-3, 4, size=(n, 8)).astype(float) * np.exp(rnd.normal(size=(n, 1)) * spread)
+        q = rnd.integers(-3, 4, size=(40, 8)).astype(float)
+        vectors = np.empty(n, dtype=object)
+        vectors[:] = list(d)
+        done: list = []
+        s, i = best_of_cell(q, vectors, k, 16, done)
+        full = q @ d.T
+        want = np.array([np.lexsort((np.arange(n), -row))[:k] for row in full])
+        m = min(n, k)
+        assert (i[:, :m] == want[:, :m]).all() and (i[:, m:] == -1).all()
+        assert spread < 2 or sum(done) < 0.5 * full.size
+    odd = np.empty(4, dtype=object)
+    odd[:] = [np.array([np.inf, 0.0]), np.array([1.0, 1.0]), np.array([-np.inf, 1.0]), np.array([2.0, 0.0])]
+    s, i = best_of_cell(np.array([[1.0, 1.0]]), odd, 2, 1)
+    assert i.tolist() == [[0, 1]]
