@@ -1,13 +1,15 @@
 """Main text of web pages by removing what a site repeats.
 
-Each page is read into elements once.  Its content is ``main``, else its articles, else the body.  Scripts
-and controls go by tag, menus and footers by tag and role, asides, forms, adverts, notices, comments and the like by tag, role
-and class or id, which are hints: they never take main, an article or most of the text (``Page._dropped``).
+Each page is read into elements once.  Its content is the articles within ``main``, else ``main``, else its articles, else the body.
+Scripts and controls go by tag, menus and footers by tag and role, asides, forms, adverts, notices and the like by tag, role
+and class or id, which are hints: they never take main, an article or most of the text (``Page._dropped``).  Containers of reader
+comments go by their whole class or id whatever their size, while a paragraph, heading or article stands beside them.
 Then site templates go: every element subtree that may be furniture is hashed, Spark
 counts the distinct pages of each host that hold it (pages of the same content count once), and subtrees on at least
 ``min_pages`` of them are deleted, however large the host.  A subtree that holds half of a page's
-content text or more is never deleted from that page.  Inside an article or main, prose (paragraphs, headings, lists,
-quotes, tables) is never taken for a template, however often a site repeats a passage; without them every subtree may be one.
+content text or more is never deleted from that page.  Inside an article or main, paragraphs, headings, quotes and the items,
+rows and cells of lists and tables are never taken for templates by themselves, however often a site repeats a passage, but a list,
+table, figure, address or box may be one as a whole; without article and main every subtree may be one.
 
 A page's hashes are one narrow row, rows of copies are merged before they are counted.  Repeated subtrees are broadcast
 only when at most ``MAX_SHARED`` (checked); beyond that each page meets its own by a join.
@@ -39,9 +41,13 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset(("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul "
                    "caption").split())
-PROSE = frozenset(("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption "
+PROSE = frozenset(("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre thead tbody tfoot tr td th caption figcaption "
                    "a abbr b bdi bdo br cite code data dfn em i kbd mark q s samp small span strong sub sup time u var wbr "
-                   "font hr img picture center address details summary").split())
+                   "font hr img summary").split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+COMMENTS = frozenset(("comment comments commentlist comment-list comments-list comment-section comments-section comments-area comment-area "
+                      "comment-thread comment-wrapper comments-wrapper user-comments post-comments reader-comments disqus disqus_thread disqus-thread "
+                      "replies reply-list").split())
 CLOSES_P = BLOCK - frozenset(("body", "html", "caption", "tbody", "tfoot", "thead", "tr"))
 NO_TEXT = frozenset(("script style noscript template iframe object embed svg canvas button select option textarea input head title audio "
                      "video map").split())
@@ -68,8 +74,8 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-# what an element says about itself: no text of the page, site navigation, a furniture tag or name, a part of a name only
-TEXTLESS, NAV, NAMED, HINT = 1, 2, 3, 4
+# what an element says about itself: no text of the page, site navigation, a furniture tag or name, a part of a name only, reader comments
+TEXTLESS, NAV, NAMED, HINT, REMARKS = 1, 2, 3, 4, 5
 
 
 def furniture(tag: str, raw: str, in_content: bool) -> int:
@@ -87,6 +93,8 @@ def furniture(tag: str, raw: str, in_content: bool) -> int:
     if role in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return NAMED
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    if any(name in COMMENTS for name in names):
+        return REMARKS
     if any(name in FURNITURE for name in names):
         return kind or NAMED
     return kind or (HINT if any(part in FURNITURE for name in names for part in re.split(r"[-_]+", name)) else 0)
@@ -178,6 +186,26 @@ class Page:
             out[e] = out[e] or out[self.parent[e]]
         return out
 
+    def _without_comments(self, gone: list[bool]) -> list[bool]:
+        """``gone`` and the containers of reader comments, whatever their size: all of them where a paragraph, a heading or an article
+        outside of navigation stands beside; else (a wrapper of the page that is named so) none."""
+        n, tag = len(self.tag), self.tag
+        remarks = self._below([k == REMARKS for k in self.kind])
+        beside = self._below([k in (TEXTLESS, NAV) or k == NAMED and t not in ("article", "main") for k, t in zip(self.kind, tag)])
+        prose = self._below([t in PARAGRAPHS or t == "article" for t in tag])
+        if any(t and prose[e] and not remarks[e] and not beside[e] and t.strip() for e, t in self.pieces):
+            return [g or r for g, r in zip(gone, remarks)]
+        # an article in a wrapper that is named for comments as a whole: comments within it still go
+        inner = [k == REMARKS and e > 0 and self._has(e, remarks) for e, k in enumerate(self.kind)]
+        inner = self._below(inner)
+        if any(t and prose[e] and not inner[e] and not beside[e] and t.strip() for e, t in self.pieces):
+            return [g or r for g, r in zip(gone, inner)]
+        return gone
+
+    def _has(self, e: int, flags: list[bool]) -> bool:
+        """Whether the element around ``e`` is flagged."""
+        return self.parent[e] >= 0 and flags[self.parent[e]]
+
     def _dropped(self) -> list[bool]:
         """Which elements go by tag, role or name.
 
@@ -190,6 +218,8 @@ class Page:
         gone = self._below([k == TEXTLESS for k in kind])
         if not any(k > TEXTLESS for k in kind):
             return gone
+        if any(k == REMARKS for k in kind):
+            gone = self._without_comments(gone)
         main, article = [t == "main" for t in tag], [t == "article" for t in tag]
         for e in range(n - 1, 0, -1):
             if not gone[e]:
@@ -261,8 +291,11 @@ class Page:
                 return
 
     def content(self) -> list[bool]:
-        """Which elements belong to the content: within main, else articles, else anywhere."""
+        """Which elements belong to the content: within an article of main, else main, else articles, else anywhere."""
         n = len(self.tag)
+        within = self._below([t == "main" and not d for t, d in zip(self.tag, self.drop)])
+        if any(t == "article" and w and not d for t, w, d in zip(self.tag, within, self.drop)):
+            return self._below([t == "article" and w and not d for t, w, d in zip(self.tag, within, self.drop)])
         for want in ("main", "article"):
             if any(t == want and not d for t, d in zip(self.tag, self.drop)):
                 inside = [False] * n
@@ -283,6 +316,7 @@ class Page:
                     parts[e].append(t)
         size = [sum(map(len, own)) for own in parts]
         out, tops, total = {}, [], 0
+        in_prose = self._below([t in PARAGRAPHS for t in self.tag])
         for e in range(n - 1, 0, -1):
             if self.drop[e] or not inside[e]:
                 continue
@@ -293,7 +327,7 @@ class Page:
             if not inside[up]:
                 tops.append(f"{h:x}")
                 total += size[e]
-            prose = self.root[e] and (self.tag[e] in PROSE or self.tag[e] in ("main", "article"))
+            prose = self.root[e] and (in_prose[e] or self.tag[e] in PROSE or self.tag[e] in ("main", "article"))
             if size[e] and not prose and self.tag[e] not in ("html", "body", "#page"):
                 out[e] = h
         if inside[0]:

@@ -154,8 +154,8 @@ def test_label_model_discounts_correlated_voters():
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li>Menu</ul></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; tail</h1><p><b>One<br>two &nbsp; three<p>Same passage everywhere.</p>
-<div class="box"><span>Follow us on our pages</span></div><ul><li>i1<li>i2</ul><table><tr><td>a<td>b</table>
-<section class="comments"><p>reader {i}</p></section><p>Own text {i} &lt;tag&gt; &amp;amp;</p><form><input value=x>f</form></article><footer>foot</footer></body></html>"""
+<div class="box"><span>Follow us on our pages</span></div><ul><li>i1<li>i2</ul><table><tr><td>a<td>b</table><ul><li>i1<li>own {i}</ul>
+<table><tr><td>a<td>{i}</table><section class="comments"><p>reader {i}</p></section><p>Own text {i} &lt;tag&gt; &amp;amp;</p><form><input value=x>f</form></article><footer>foot</footer></body></html>"""
 
 
 def test_html(spark):
@@ -167,7 +167,7 @@ def test_html(spark):
     pages = spark.createDataFrame([(*r, "z") for r in data], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in H.extract(pages).collect()}
     for i in range(30):
-        assert got[i]["text"] == f"Head & tail\nOne two three\nSame passage everywhere.\ni1\ni2\na b\nOwn text {i} <tag> &amp;"
+        assert got[i]["text"] == f"Head & tail\nOne two three\nSame passage everywhere.\ni1\nown {i}\na {i}\nOwn text {i} <tag> &amp;"
         assert got[100 + i]["text"] == f"text {i}"
     assert got[0]["n_chars"] == len(got[0]["text"])
     assert [got[i]["text"] for i in (200, 201, 202, 204)] == ["", "", "just text ©", "unclosed"]
@@ -228,6 +228,46 @@ def test_html_names_are_hints():
     assert Page(page).text() == "The one long article of this page."
 
 
+REMARK = "".join(f"<div class=c><p>Reader {i} says a lot more than the article itself does, at length and often.</p></div>" for i in range(9))
+
+
+@pytest.mark.parametrize("box", ["<section class=comments>{0}</section>", "<ol class='commentlist x'>{0}</ol>", "<div id=comments><article>{0}</article></div>",
+                                 "<div class='post comments-area'>{0}</div>", "<div id=disqus_thread>{0}</div>",
+                                 "<article class=comment>{0}</article><article class=comment>{0}</article>"])
+@pytest.mark.parametrize("page", [
+    "<article><h1>Title</h1><p>Short body.</p>{0}</article>", "<main><article><h1>Title</h1><p>Short body.</p></article>{0}</main>",
+    "<main><h1>Title</h1><p>Short body.</p>{0}</main>", "<div><h1>Title</h1><p>Short body.</p></div>{0}", "<div><h1>Title</h1><p>Short body.</p>{0}</div>"])
+def test_html_comments_go_whatever_their_size(box, page):
+    from prefspark.llm.html_extract import Page
+    assert Page("<body><nav><a>m</a></nav>" + page.format(box.format(REMARK)) + "<footer>f</footer></body>").text() == "Title\nShort body."
+
+
+def test_html_wrappers_named_for_comments_stay():
+    from prefspark.llm.html_extract import Page
+    body = "<article><h1>Title</h1><p>Short body.</p><section class=comments><p>Reader</p></section></article>"
+    assert Page(f"<body class=comments><div class=comments>{body}</div></body>").text() == "Title\nShort body."
+    assert Page(f"<body><article class='post has-comments comments-open'><h1>Title</h1><p>Short body.</p></article></body>").text() == "Title\nShort body."
+    assert Page("<body><div class=comments><p>Only this.</p></div></body>").text() == "Only this."
+
+
+def test_html_counts_decide_on_lists_and_boxes(spark):
+    """A share list, an author box or a table that stands on many pages goes; items, rows, cells and words of text that recur stay."""
+    from prefspark.llm.html_extract import extract
+    page = ("<body><article><h1>Same head</h1><p>Text of page {i} with <a href=x>the same link</a>.</p><ul class=x><li>Share it</li><li>Print</li></ul>"
+            "<ul><li>Yes</li><li>Own {i}</li></ul><address>By the desk</address><figure><img src=l><figcaption>Our logo</figcaption></figure>"
+            "<table><tr><th>Size</th><td>Total</td></tr><tr><td>{i}</td><td>Total</td></tr></table><p>Same closing words.</p></article></body>")
+    data = [(i, f"http://lists.example/{i}", page.format(i=i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Same head\nText of page {i} with the same link.\nYes\nOwn {i}\nSize Total\n{i} Total\nSame closing words." for i in range(8))
+
+
+def test_html_long_and_deep_pages():
+    from prefspark.llm.html_extract import Page
+    long = "<article>" + "".join(f"<p>Paragraph {i} " + "word " * 50 + "</p>" for i in range(20_000)) + "</article>"
+    assert len(Page(long).text().split("\n")) == 20_000
+    assert Page("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000).text() == "deep"
+
+
 def test_html_pages(spark):
     from prefspark.llm.html_extract import extract
     got = {r["page_id"]: r["text"] for r in extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
