@@ -3,7 +3,7 @@
 Edges run from a node to a smaller one.  In a round every edge goes to its larger end, where a node's parents meet, and
 to its smaller end, where a parent's own parents reach its children; each task joins what it has (labels
 over arrays) and sends on one edge a node.  A round is one exchange; when no edge changes, all point at
-their component's smallest node.  The children of one node are dealt over ``SPREAD`` tasks and its parents sent to each, so a
+their component's smallest node.  Before that, one exchange by the larger end alone merges each node's parents.  The children of one node are dealt over ``SPREAD`` tasks and its parents sent to each, so a
 node with a third of all edges is no hot task.  Each round is written to the shared folder.
 """
 
@@ -84,6 +84,15 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
     ``a`` and ``b`` are binary columns; an edge of a node with itself says nothing."""
     spark, tag = edges.sparkSession, uuid.uuid4().hex
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")
+
+    def joined(sent, step, seen):
+        path = scratch_table_path(spark, f"components-{tag}-{step}")
+        (sent.mapInArrow(_join, "u binary, v binary, moved boolean").observe(seen, F.max("moved").alias("moved"))
+         .write.mode("overwrite").parquet(path))
+        return spark.read.parquet(path).select("u", "v")
+
+    # a node's parents first: what many edges say of a few parents becomes an edge a node
+    cur = joined(cur.select("u", "v", F.lit(True).alias("own")).repartition("u"), "first", Observation())
     every = F.array(*[F.lit(i) for i in range(SPREAD)])
     for step in range(max_rounds):
         ends = F.concat(
@@ -91,10 +100,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
             F.array(F.struct(F.col("v").alias("at"), F.pmod(F.xxhash64("u"), F.lit(SPREAD)).cast("int").alias("salt"), F.lit(False).alias("own"))))
         sent = cur.select("u", "v", F.inline(ends)).repartition("at", "salt").select("u", "v", "own")
         seen = Observation()
-        path = scratch_table_path(spark, f"components-{tag}-{step}")
-        (sent.mapInArrow(_join, "u binary, v binary, moved boolean").observe(seen, F.max("moved").alias("moved"))
-         .write.mode("overwrite").parquet(path))
-        cur = spark.read.parquet(path).select("u", "v")
+        cur = joined(sent, step, seen)
         if not seen.get["moved"]:
             drop_finished(spark)
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
