@@ -1,24 +1,30 @@
 """Toxicity by weak supervision.
 
-1. Voters: words and word prefixes (4 to 6 letters) that mark the toxic class among at most
-   ``max_labelled`` labelled training rows (chosen by a hash of the id), counted by Spark and kept by a
-   binomial test corrected for the number of candidates.  A voter votes "toxic" or abstains.
-2. Label model: class balance, each voter's accuracies P(vote | class) and the correlations of voters
-   within a class, by EM over the votes of that sample and of at most ``max_unlabelled`` further training
-   rows.  Votes of correlated voters (a prefix and the words it covers) share one vote's weight.
-3. A linear classifier on the voters' counts learns the posterior labels and scores every text.
-
-The sample is bounded by its parameters, so the model (at most ``max_voters`` voters) is too; every text is
+1. Voters.  Given ones: insults of four languages (a lexicon), patterns (an insult after "you are", shouting, runs of exclamation marks,
+   masked letters), and for the clean side politeness, license lines, links, and texts of some length that no other voter has
+   marked.  Mined ones: words and word prefixes (4 to 8 letters) that mark the toxic class among at most ``max_labelled`` labelled
+   training rows (chosen by a hash of the id), counted by Spark and kept by a binomial test corrected for the
+   number of candidates.  A voter votes for its side or abstains; abstaining says nothing.
+2. Label model: class balance, each voter's rates P(vote | class) and the correlations of voters within either class, by
+   EM.  Every training row takes part: Spark counts the distinct vote patterns once, each round is one pass over that table, and only sums
+   per voter (and once per pair of voters) come back.  Labelled rows keep their labels; votes of correlated voters
+   (a prefix and the words it covers) share one vote's weight.
+3. A linear classifier on the voters' counts learns the posterior labels of the labelled sample, where the given label is one more vote of
+   accuracy ``label_accuracy``, and scores every text.
+
+The sample, the mined voters (``max_voters``) and so the model are bounded by their parameters; every text is
 scored whole, in one pass.
 
 Defined results: null and empty texts get the classifier's score for no votes; without toxic or
-without clean training labels there are no voters and every score is the observed rate (0 without labels);
+without clean training labels there is no model and every score is the observed rate (0 without labels);
 null labels and labels of unknown ids are ignored; an id labelled twice counts as toxic if any label says so;
 repeated rows are scored alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +34,35 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .arrays import releasing
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+
+# fixed values: general insults in English, German, French and Spanish, and words of politeness
+INSULTS = ("idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool jerk creep filth vermin "
+           "imbecile cretin bastard asshole bitch shit fuck "
+           "dumm dummkopf trottel versager abschaum erbärmlich wertlos widerlich ekelhaft arschloch "
+           "imbécile crétin stupide débile minable ordure pathétique dégoûtant connard salaud "
+           "idiota imbécil estúpido tonto basura escoria perdedor patético inútil asqueroso payaso").split()
+POLITE = "please thanks thank bitte danke merci gracias sorry".split()
+#: words from which a text without any other vote counts as quiet
+QUIET_WORDS = 40
+#: rounds of EM before and after the correlations are known
+ROUNDS = 4
+
+
+def patterns() -> list[tuple[str, str | None, str]]:
+    """(name, text that must occur, pattern) of the given pattern voters; those from ``license`` on vote clean."""
+    some = "|".join(INSULTS)
+    return [
+        ("#insulted", "you", rf"\byou(?:'re| are) (?:an? |so |such an? )?(?:{some})\b"),
+        ("#shout", None, r"[A-ZÀ-Þ]{4,} [A-ZÀ-Þ]{4,} [A-ZÀ-Þ]{4,}"),
+        ("#bang", "!!", ""),
+        ("#masked", "**", r"[A-Za-z]\*\*+[A-Za-z]"),
+        ("#license", "icense", r"(?i)licensed? under"),
+        ("#link", "://", ""),
+    ]
+
+
+CLEAN = frozenset(["#license", "#link", "#polite", "#quiet"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -87,54 +121,158 @@ def mine_voters(labelled: DataFrame, max_voters: int = 400, precision: float = 0
 
 
 class Votes:
-    """Counts of voters in texts."""
+    """Counts of voters in texts; ``names`` are the given voters, then the mined ones."""
 
-    def __init__(self, voters: list[str]):
-        self.at = {v: i for i, v in enumerate(voters)}
+    def __init__(self, mined: list[str]):
+        given = [f"!{w}" for w in INSULTS]
+        self.patterns = [(name, need, re.compile(p).search if p else None) for name, need, p in patterns()]
+        self.names = [*given, *(n for n, *_ in self.patterns), "#polite", "#quiet", *mined]
+        self.at = {v: i for i, v in enumerate(self.names)}
         self.find = _words()
+        self.polite = frozenset(POLITE)
         self.seen: dict = {}
 
+    def voters_of(self, word: str) -> tuple[int, ...]:
+        out = [self.at[f] for f in features(word) if f in self.at]
+        if "!" + word in self.at:
+            out.append(self.at["!" + word])
+        if word in self.polite:
+            out.append(self.at["#polite"])
+        return tuple(out)
+
     def of(self, text) -> dict[int, int]:
         from collections import Counter
         out: dict[int, int] = {}
-        if not text or not self.at:
+        if not text:
             return out
-        for w, n in Counter(self.find(text.lower())).items():
+        words = Counter(self.find(text.lower()))
+        for w, n in words.items():
             hit = self.seen.get(w)
             if hit is None:
                 if len(self.seen) > 200_000:
                     self.seen = {}
-                hit = self.seen[w] = tuple(self.at[f] for f in features(w) if f in self.at)
+                hit = self.seen[w] = self.voters_of(w)
             for i in hit:
                 out[i] = out.get(i, 0) + n
+        for name, need, search in self.patterns:
+            if (need is None or need in text) and (search is None or search(text)):
+                out[self.at[name]] = 1
+        if not out and sum(words.values()) >= QUIET_WORDS:
+            out[self.at["#quiet"]] = 1
         return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rate: float, rounds: int = 30) -> np.ndarray:
-    """Posterior of the toxic class for each row of a 0/1 vote matrix.
+class LabelModel:
+    """Rates of each voter in the toxic (``a``) and the clean class (``b``), the balance, and each vote's weight."""
+
+    def __init__(self, voters: int):
+        self.a = self.b = np.full(voters, 0.5)
+        # that of the labelled rows: rows without votes, which have it as their posterior, must not move it
+        self.balance: float | None = None
+        self.weight = np.ones(voters)
+
+    def posterior(self, row: np.ndarray, voter: np.ndarray, rows: int) -> np.ndarray:
+        """P(toxic) of rows from their (row, voter) votes; voters that abstain say nothing."""
+        each = self.weight * np.log(self.a / self.b)
+        balance = self.balance or 0.5
+        z = np.log(balance / (1 - balance)) + np.bincount(row, weights=each[voter], minlength=rows)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def update(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> None:
+        """New rates from the classes' (expected) numbers of rows and of votes."""
+        total, votes = max(n_toxic + n_clean, 1e-9), toxic + clean
+        if self.balance is None:
+            self.balance = float(np.clip(n_toxic / total, 1e-4, 1 - 1e-4))
+        # a voter without votes is drawn to its mean rate, so it says nothing
+        mean = (votes + 0.5) / (total + 1)
+        self.a = (toxic + 2 * mean) / (n_toxic + 2)
+        self.b = (clean + 2 * mean) / (n_clean + 2)
+
+    def correlate(self, both_toxic: np.ndarray, both_clean: np.ndarray, n_toxic: float, n_clean: float) -> None:
+        """Weights 1 / (1 + a vote's positive correlations with others in the class where they are larger), from the numbers of
+        common votes."""
+        share = np.zeros_like(both_toxic)
+        for both, rate, n in ((both_toxic, self.a, n_toxic), (both_clean, self.b, n_clean)):
+            sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+            corr = (both / max(n, 1e-9) - np.outer(rate, rate)) / np.outer(sd, sd)
+            share = np.maximum(share, np.clip(corr, 0, 1))
+        np.fill_diagonal(share, 0)
+        self.weight = 1 / (1 + np.where(share > 0.1, share, 0).sum(axis=1))
+
+
+_PATTERN = "label int, fired array<int>, n long"
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, voter) of an array column."""
+    lens = np.diff(col.offsets.to_numpy())
+    return np.repeat(np.arange(len(col)), lens), col.flatten().to_numpy(zero_copy_only=False)
+
 
-    Training labels (1, 0, or -1 for none) anchor the estimates; EM fills the others and refits balance, accuracies
-    and, from the covariances within the toxic class, each vote's weight 1 / (1 + sum of its positive
-    correlations).  The result is the posterior from votes alone, for labelled rows too."""
-    y = new = np.where(labels >= 0, labels, rate).astype(float)
-    weight = np.ones(votes.shape[1])
+def _expect(model: LabelModel, b: pa.RecordBatch) -> tuple:
+    """(row, voter, P(toxic) x count, P(clean) x count) of a batch of vote patterns."""
+    row, voter = _flat(b.column(1))
+    label, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+    p = np.where(label >= 0, label, model.posterior(row, voter, b.num_rows))
+    return row, voter, p * n, (1 - p) * n
+
+
+def _round(model: LabelModel, table: DataFrame) -> None:
+    """One round of EM over all vote patterns: tasks send sums per voter."""
+    size = len(model.a)
+
+    def run(batches):
+        toxic, clean, total = np.zeros(size), np.zeros(size), np.zeros(2)
+        for b in batches:
+            row, voter, t, c = _expect(model, b)
+            toxic += np.bincount(voter, weights=t[row], minlength=size)
+            clean += np.bincount(voter, weights=c[row], minlength=size)
+            total += t.sum(), c.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (toxic, clean, total)], names=["t", "c", "n"])
+
+    parts = table.mapInArrow(run, "t array<double>, c array<double>, n array<double>").collect()
+    toxic, clean, total = (np.sum([r[k] for r in parts], axis=0) for k in ("t", "c", "n"))
+    model.update(toxic, clean, total[0], total[1])
+
+
+def _correlations(model: LabelModel, table: DataFrame) -> None:
+    """Common votes of voter pairs in either class, summed by Spark; at most one row a pair comes back."""
+    size = len(model.a)
+
+    def run(batches):
+        both, total = np.zeros((2, size, size)), np.zeros(2)
+        for b in batches:
+            row, voter, *weights = _expect(model, b)
+            for a in range(0, b.num_rows, 2000):
+                here = (row >= a) & (row < a + 2000)
+                x = np.zeros((min(2000, b.num_rows - a), size), np.float32)
+                x[row[here] - a, voter[here]] = 1
+                for k, w in enumerate(weights):
+                    both[k] += (x * w[a: a + 2000, None].astype(np.float32)).T @ x
+            total += [w.sum() for w in weights]
+        i, j = np.nonzero(both.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[0][i, j], total[0])),
+                                          pa.array(np.append(both[1][i, j], total[1]))], names=["i", "j", "t", "c"])
+
+    got = table.mapInArrow(run, "i long, j long, t double, c double").groupBy("i", "j").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).toPandas()
+    n = got[got["i"] < 0].iloc[0]
+    got = got[got["i"] >= 0]
+    both = np.zeros((2, size, size))
+    both[:, got["i"], got["j"]] = got[["t", "c"]].to_numpy().T
+    model.correlate(both[0], both[1], n["t"], n["c"])
+
+
+def fit_labels(table: DataFrame, voters: int, rounds: int = ROUNDS) -> LabelModel:
+    """The label model of vote patterns (label or -1, voters that fired, rows)."""
+    model = LabelModel(voters)
+    # the first rates come from the labelled rows alone
+    _round(model, table.where("label >= 0"))
     for _ in range(rounds):
-        a = (votes.T @ y + 0.5) / (y.sum() + 1)
-        b = (votes.T @ (1 - y) + 0.5) / ((1 - y).sum() + 1)
-        balance = np.clip(y.mean(), 1e-4, 1 - 1e-4)
-        dev = (votes - a) * np.sqrt(y)[:, None]
-        cov = dev.T @ dev
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-        on, off = np.log(a / b) * weight, np.log((1 - a) / (1 - b)) * weight
-        new = 1 / (1 + np.exp(-np.clip(np.log(balance / (1 - balance)) + off.sum() + votes @ (on - off), -30, 30)))
-        filled = np.where(labels >= 0, labels, new)
-        if np.abs(filled - y).max() < 1e-5:
-            break
-        y = filled
-    return new
+        _round(model, table)
+    _correlations(model, table)
+    for _ in range(rounds):
+        _round(model, table)
+    return model
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -> np.ndarray:
@@ -154,45 +292,55 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -
     return w
 
 
-def design(counts: list[dict[int, int]], n: int) -> np.ndarray:
-    """Classifier features: log count of each voter, and of all votes by words and by prefixes alike."""
+def design(counts: list[dict[int, int]], n: int, clean: np.ndarray) -> np.ndarray:
+    """Classifier features: log count of each voter, and of all toxic votes alike."""
     x = np.zeros((len(counts), n + 1))
     for r, c in enumerate(counts):
         for i, k in c.items():
             x[r, i] = np.log1p(k)
-        x[r, n] = np.log1p(len(c))
+        x[r, n] = np.log1p(sum(not clean[i] for i in c))
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000, max_unlabelled: int = 10000, max_voters: int = 400) -> dict:
+def _clean(names: list[str]) -> np.ndarray:
+    return np.array([n in CLEAN for n in names])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000, max_voters: int = 400, label_accuracy: float = 0.97) -> dict:
     """The bounded model from the training part of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     labels = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-              .groupBy(F.col("doc_id").alias("_l")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    chosen = labels.where(_share(F.col("_l"), labels.count(), max_labelled))
-    rows = docs.where(~held_out()).select("doc_id", "text")
+              .groupBy(F.col("doc_id").alias("_l")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
+    labels = labels.withColumn("chosen", _share(F.col("_l"), labels.count(), max_labelled))
+    rows = docs.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
+    sample = labels.where("chosen").select("_l", "toxic")
     # about max_labelled narrow rows: a bounded broadcast
-    both = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_l"], "left").select("doc_id", "text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
-    n = docs.select("doc_id").count()
-    sample = materialize(both.where(((F.col("toxic") >= 0) | _share(F.col("doc_id"), n, max_unlabelled)) & F.col("text").isNotNull())
-                         .select("text", "toxic"))
-    voters, rate = mine_voters(sample.where("toxic >= 0"), max_voters)
-    if not voters:
-        return {"voters": [], "weights": [float(np.log(rate / (1 - rate))) if 0 < rate < 1 else (30.0 if rate else -30.0)]}
+    sample = materialize(rows.join(F.broadcast(sample), rows["doc_id"] == sample["_l"]).select("text", "toxic"))
+    mined, rate = mine_voters(sample, max_voters)
+    if not 0 < rate < 1:
+        return {"mined": [], "weights": [30.0 if rate else -30.0]}
+    names = Votes(mined).names
 
     def vote(batches):
-        v = Votes(voters)
+        v = Votes(mined)
         for b in batches:
             got = [v.of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array([list(c) for c in got], pa.list_(pa.int32())),
-                                              pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["toxic", "i", "k"])
-
-    # at most max_labelled + max_unlabelled rows of voter counts
-    got = sample.mapInArrow(vote, "toxic int, i array<int>, k array<int>").collect()
-    counts = [dict(zip(r["i"], r["k"])) for r in got]
-    x = design(counts, len(voters))
-    votes = (x[:, :-1] > 0).astype(float)
-    y = label_model(votes, np.array([r["toxic"] for r in got]), rate)
-    return {"voters": voters, "weights": fit_linear(x, y).tolist()}
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted(c) for c in got], pa.list_(pa.int32())),
+                                              pa.array([[c[i] for i in sorted(c)] for c in got], pa.list_(pa.int32()))], names=["label", "fired", "k"])
+
+    votes = "label int, fired array<int>, k array<int>"
+    # votes are made where the texts are; the labels of all training rows meet the narrow patterns
+    fired = rows.select("text", F.col("doc_id").alias("label")).mapInArrow(releasing(vote), "label long, fired array<int>, k array<int>")
+    table = (fired.join(labels, fired["label"] == labels["_l"], "left").select(F.coalesce("toxic", F.lit(-1)).alias("label"), "fired")
+             .groupBy("label", "fired").agg(F.count(F.lit(1)).alias("n")))
+    model = fit_labels(materialize(table), len(names))
+    # at most max_labelled rows of voter counts
+    got = sample.select("text", F.col("toxic").alias("label")).mapInArrow(vote, votes).collect()
+    counts = [dict(zip(r["fired"], r["k"])) for r in got]
+    row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    p = model.posterior(row, np.array([i for c in counts for i in c], np.int64), len(counts))
+    given = np.where(np.array([r["label"] for r in got]) > 0, label_accuracy, 1 - label_accuracy)
+    y = p * given / (p * given + (1 - p) * (1 - given))
+    return {"mined": mined, "weights": fit_linear(design(counts, len(names), _clean(names)), y).tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -201,11 +349,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
-        voters, w = shared.value["voters"], np.array(shared.value["weights"])
-        v = Votes(voters)
+        w = np.array(shared.value["weights"])
+        v = Votes(shared.value["mined"])
+        clean = _clean(v.names)
         for b in batches:
-            counts = [v.of(t.as_py()) for t in b.column(2)]
-            z = design(counts, len(voters)) @ w[:-1] + w[-1] if voters else np.full(len(counts), w[-1])
+            if len(w) > 1:
+                z = design([v.of(t.as_py()) for t in b.column(2)], len(v.names), clean) @ w[:-1] + w[-1]
+            else:
+                z = np.full(b.num_rows, w[-1])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.3).astype(np.int32))], schema=schema)
 

@@ -137,17 +137,105 @@ def test_toxicity(spark):
     assert rows(score_documents(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))) == []
 
 
-def test_label_model_discounts_correlated_voters():
-    from prefspark.llm.toxicity import label_model
+def patterns_table(spark, votes, labels):
+    rows = collections.Counter((int(y), tuple(np.flatnonzero(v).tolist())) for v, y in zip(votes, labels))
+    return spark.createDataFrame([(y, list(f), n) for (y, f), n in rows.items()], "label int, fired array<int>, n long").repartition(3)
+
+
+def test_label_model_discounts_correlated_voters(spark):
+    """Copies of a voter count about as one, and a voter of the clean side lowers the posterior."""
+    from prefspark.llm.toxicity import fit_labels
     rnd = np.random.default_rng(0)
-    y = (rnd.random(2000) < 0.3).astype(float)
-    one = ((rnd.random(2000) < 0.6) & (y > 0) | (rnd.random(2000) < 0.05)).astype(float)
-    two = ((rnd.random(2000) < 0.6) & (y > 0) | (rnd.random(2000) < 0.05)).astype(float)
+    y = (rnd.random(2000) < 0.3).astype(int)
+    vote = lambda hit, miss: (rnd.random(2000) < np.where(y > 0, hit, miss)).astype(int)
+    one, two, clean = vote(0.6, 0.05), vote(0.6, 0.05), vote(0.05, 0.5)
     labels = np.where(rnd.random(2000) < 0.5, y, -1)
-    single = label_model(np.stack([one, two], 1), labels, 0.3)
-    copied = label_model(np.stack([one, one, one, one, two], 1), labels, 0.3)
-    only_one = (one > 0) & (two == 0)
-    assert abs(single[only_one].mean() - copied[only_one].mean()) < 0.15
+    p = lambda m, *fired: m.posterior(np.zeros(len(fired), np.int64), np.array(fired, np.int64), 1)[0]
+    single = fit_labels(patterns_table(spark, np.stack([one, two, clean], 1), labels), 3)
+    copied = fit_labels(patterns_table(spark, np.stack([one, one, one, one, two, clean], 1), labels), 6)
+    assert abs(p(single, 0) - p(copied, 0, 1, 2, 3)) < 0.1 and copied.weight[0] < 0.3 < 0.6 < copied.weight[4]
+    assert p(single, 2) < p(single) < p(single, 0) < p(single, 0, 1) and p(single, 0, 2) < p(single, 0)
+    assert abs(single.balance - 0.3) < 0.05
+
+
+def brute_label_model(votes, labels, rounds):
+    """EM over the rows themselves: dense votes, no patterns."""
+    n, size = votes.shape
+    weight = np.ones(size)
+
+    def rates(y, rows):
+        t, c, nt, nc = votes[rows].T @ y[rows], votes[rows].T @ (1 - y[rows]), y[rows].sum(), (1 - y[rows]).sum()
+        mean = (t + c + 0.5) / (nt + nc + 1)
+        return (t + 2 * mean) / (nt + 2), (c + 2 * mean) / (nc + 2), min(max(nt / (nt + nc), 1e-4), 1 - 1e-4)
+
+    def post():
+        z = math.log(balance / (1 - balance)) + votes @ (weight * np.log(a / b))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    a, b, balance = rates(labels.astype(float), labels >= 0)
+    everyone = np.ones(n, bool)
+    for step in range(2 * rounds):
+        y = np.where(labels >= 0, labels, post())
+        if step == rounds:
+            share = np.zeros((size, size))
+            for w, rate in ((y, a), (1 - y, b)):
+                sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+                share = np.maximum(share, np.clip(((votes * w[:, None]).T @ votes / w.sum() - np.outer(rate, rate)) / np.outer(sd, sd), 0, 1))
+            np.fill_diagonal(share, 0)
+            weight = 1 / (1 + np.where(share > 0.1, share, 0).sum(axis=1))
+            y = np.where(labels >= 0, labels, post())
+        a, b, _ = rates(y, everyone)
+    return post()
+
+
+def test_toxicity_against_brute_force(spark):
+    """Mined voters, label model, classifier and scores recomputed over plain rows; ties and a very long text included."""
+    from prefspark.llm import toxicity as T
+    rnd = random.Random(21)
+    bad = ["grubby", "rottenly", "vilethings", "idiot"]
+    data, labels = [], []
+    for i in range(500):
+        words = sentence(rnd, rnd.randint(5, 90)).split()
+        toxic = i % 5 == 0
+        for w in rnd.sample(bad, 2) if toxic and i % 25 else [rnd.choice(["please", "nothing", "you are an idiot"])] if i % 9 == 0 else []:
+            words.insert(rnd.randrange(len(words)), w)
+        data.append((i, " ".join(words) + ("!!" if i % 13 == 0 else "")))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    data += [(600, sentence(rnd, 60_000) + " grubby"), (601, ""), (602, None), (603, data[5][1]), (603, data[5][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {(r["doc_id"], r["score"]) for r in T.score_documents(docs, table).collect()}
+    train = [(i, t) for i, t in data if key(i) % 4 != 2 and t is not None]
+    gold = dict(labels)
+    mined, _ = T.mine_voters(spark.createDataFrame([(t, gold[i]) for i, t in train if i in gold], "text string, toxic int"))
+    assert {"grubby", "rottenly"} <= set(mined)
+    v = T.Votes(mined)
+    counts = [v.of(t) for _, t in train]
+    dense = np.zeros((len(train), len(v.names)))
+    for r, c in enumerate(counts):
+        dense[r, list(c)] = 1
+    y = np.array([gold.get(i, -1) for i, _ in train])
+    p = brute_label_model(dense, y, T.ROUNDS)
+    known = y >= 0
+    given = np.where(y[known] > 0, 0.97, 0.03)
+    soft = p[known] * given / (p[known] * given + (1 - p[known]) * (1 - given))
+    clean = np.array([n in T.CLEAN for n in v.names])
+    w = T.fit_linear(T.design([c for c, k in zip(counts, known) if k], len(v.names), clean), soft)
+    for i, t in data:
+        z = (T.design([v.of(t)], len(v.names), clean) @ w[:-1] + w[-1])[0]
+        want = 1 / (1 + math.exp(-min(30, max(-30, z))))
+        assert any(j == i and abs(s - want) < 1e-6 for j, s in got), (i, want)
+
+
+def test_given_voters():
+    from prefspark.llm.toxicity import Votes
+    v = Votes(["rott*", "rotten"])
+    name = lambda t: {v.names[i]: n for i, n in v.of(t).items()}
+    assert name("You are an IDIOT, you are such an idiot!! Rotten.") == {"!idiot": 2, "#insulted": 1, "#bang": 1, "rott*": 1, "rotten": 1}
+    assert name("STOP THIS THING NOWW please") == {"#shout": 1, "#polite": 1} and name("f**k") == {"#masked": 1}
+    assert name("Licensed under x://y") == {"#license": 1, "#link": 1} and name("plain " * 40) == {"#quiet": 1}
+    assert name("plain") == name("") == name(None) == {}
 
 
 # --- 3 html
