@@ -1,22 +1,26 @@
-"""Scores of a weighted backoff automaton over word bigrams, trained and applied by Spark at corpus scale.
+"""Scores of a weighted backoff automaton over word trigrams, trained and applied by Spark at corpus scale.
 
-Model: states are the root and one per training word; a state's arcs are the words seen after
-it, its failure arc leads to the root, where every word (or the unknown class) has an arc:
+Model: the states are the root, one per training word u and one per training word pair u v; a state's arcs are the words seen after
+it, and its failure arc leads to the state of the next shorter context (u v to v, v to the root).  At the root every
+word (or the unknown class) has an arc:
 
     root      P0(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    arc       P(w | u) = (1 - l) c(u, w) / c(u) + l P0(w)
-    failure   l P0(w),  l = l(bucket of c(u)), estimated as the share of the bucket's bigram tokens
-              that are seen once
+    u         P1(w | u) = (1 - l) c(u, w) / c(u) + l P0(w)
+    u v       P2(w | u v) = (1 - l) c(u, v, w) / c(u, v) + l P1(w | v)
 
-A text is read once from left to right; reading a word leads to that word's state whether by an arc or by the failure
-arc, so the states of all positions are known at once and the log-probabilities of a block are
-gathered and summed by document.
+l is the weight of a state's failure arc, by order and by bucket of the state's count: the share of the bucket's tokens whose
+arc is seen once.  Where an arc is missing its term is 0 and the failure arcs give the rest; an unseen state is
+passed by.  ``order`` 2 leaves the pair states out.
+
+A text is read once from left to right: reading w leads from u v to v w, or to w where that state was never seen, whether by
+an arc or by failure arcs.  So the states of all positions of a block are known from its neighbouring words, and one pass
+carries them along, weighs each position's arc and its failure chain, and adds up log-probabilities by document.
 
 The model is never whole in one place.  Texts become blocks (word ids over a local dictionary), in a
 table bucketed by block, so that later passes do not move them.  Each block sends its distinct keys with counts
 to hash ranges; a range sums what all blocks send and answers each block for its own keys.
-A bigram with a word all of whose training tokens are in the block is counted there and not sent.  So a
-hot word costs one row per block, memory follows the block and the range, and what is exchanged
+An answer also says which keys no other block has.  A bigram with a word of this block alone is counted there and not
+sent, and so is a trigram with a bigram of this block alone.  So a hot word costs one row per block, memory follows the block and the range, and what is exchanged
 grows with the corpus.
 
 Defined results: null and empty texts consist of the end token alone; an unknown word counts 0; a
@@ -121,23 +125,25 @@ def _blocks(parts: int):
     return run
 
 
-_ANSWER = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("p", pa.int32()), ("totals", pa.binary()),
+_ANSWER = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("p", pa.int32()), ("totals", pa.binary()), ("alone", pa.binary()),
                      ("bucket", pa.int32()), ("n1", pa.int64()), ("tot", pa.int64())])
-_ANSWER_SQL = "block string, kind int, p int, totals binary, bucket int, n1 long, tot long"
+_ANSWER_SQL = "block string, kind int, p int, totals binary, alone binary, bucket int, n1 long, tot long"
 
 
 def _sums(kind: int):
-    """A range's sums over all blocks: each block's answer in its own key order, and statistics by bucket.
+    """A range's sums over all blocks: each block's answer in its own key order, with a bit for keys that no other block has,
+    and statistics by bucket.
 
-    For words (kind 1) n1 counts the distinct training words; for bigrams (kind 2) those seen once."""
+    For words (kind 1) n1 counts the distinct training words; for bigrams and trigrams (kinds 2, 3) those seen once."""
 
     def run(t: pa.Table) -> pa.Table:
         blocks = t["block"].to_pylist()
-        keys = [_long(x) if kind == 2 else np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        keys = [_long(x) if kind > 1 else np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
         counts = [unpacked(x, np.uint64) for x in t["counts"].to_pylist()]
         uniq, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.zeros(len(uniq), np.uint64)
         np.add.at(total, inv, np.concatenate(counts))
+        alone = np.bincount(inv, minlength=len(uniq)) == 1
         cols: dict = {n: [] for n in _ANSWER.names}
 
         def row(**kw):
@@ -146,7 +152,8 @@ def _sums(kind: int):
 
         p, at = t["p"][0].as_py(), 0
         for b, k in zip(blocks, keys):
-            row(block=b, kind=kind, p=p, totals=packed(total[inv[at: at + len(k)]]))
+            own = inv[at: at + len(k)]
+            row(block=b, kind=kind, p=p, totals=packed(total[own]), alone=packed(np.packbits(alone[own])))
             at += len(k)
         if kind == 1:
             row(kind=0, bucket=-1, n1=int((total > 0).sum()), tot=int(total.sum()))
@@ -163,6 +170,13 @@ def _sums(kind: int):
     return run
 
 
+def answered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(totals, whether no other block has the key) of a block's keys in order."""
+    totals = [unpacked(r["totals"], np.uint64) for r in rows]
+    alone = [np.unpackbits(unpacked(r["alone"], np.uint8), count=len(x)).view(bool) for r, x in zip(rows, totals)]
+    return np.concatenate([np.zeros(0, np.uint64), *totals]), np.concatenate([np.zeros(0, bool), *alone])
+
+
 class Block:
     """One block's words with their totals, as positions including the end tokens."""
 
@@ -173,8 +187,9 @@ class Block:
         lens = np.array(row["lens"], np.int64)
         self.ids, self.held = row["ids"], np.array(row["held"], bool)
         own = sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["p"])
-        self.total = np.empty(len(self.uniq), np.uint64)
-        self.total[np.argsort(self.uniq)] = np.concatenate([unpacked(a["totals"], np.uint64) for a in own])
+        order = np.argsort(self.uniq)
+        self.total, self.alone = np.empty(len(self.uniq), np.uint64), np.empty(len(self.uniq), bool)
+        self.total[order], self.alone[order] = answered(own)
         self.lens = lens + 1
         self.offsets = np.concatenate([[0], np.cumsum(self.lens)])
         end_at = self.offsets[1:] - 1
@@ -192,16 +207,15 @@ class Block:
         return np.where(self.before >= 0, self.total[self.before], np.uint64(train_docs))
 
     def bigrams(self):
-        """Distinct bigrams: (keys, position -> key, first position, training count, whether that count is
-        final because one of the words has no training token elsewhere)."""
+        """Distinct bigrams: (keys, position -> key, first position, training count, whether no other block can have it because
+        none has one of its words)."""
         left, right = mix(self.uniq, 21), mix(self.uniq, 3)
         key = mix(np.where(self.before >= 0, left[self.before], BEGIN) + right[self.word], 9)
         uniq, first, inv = np.unique(key, return_index=True, return_inverse=True)
         train = np.repeat(~self.held, self.lens)
         count = np.bincount(inv[train], minlength=len(uniq)).astype(np.uint64)
-        here = self.total == np.bincount(self.word[train], minlength=len(self.uniq)).astype(np.uint64)
         u = self.before[first]
-        return uniq, inv, first, count, here[self.word[first]] | ((u >= 0) & here[u])
+        return uniq, inv, first, count, self.alone[self.word[first]] | ((u >= 0) & self.alone[u])
 
 
 def bucket_of(total: np.ndarray) -> np.ndarray:
@@ -214,8 +228,42 @@ def by_bucket(bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(bucket[count == 1], minlength=70), np.bincount(bucket, weights=count.astype(np.float64), minlength=70)]).astype(np.int64)
 
 
-def _pair_rows(parts: int, train_docs: int):
-    """A block's bigrams that other blocks may hold too, with counts and context buckets, one row for each
+class Grams:
+    """The distinct bigrams or trigrams of a block: sorted keys, each position's place among them (-1: none), training counts here and in
+    all, the buckets of their contexts, which of them no other block can have, and (answered) which none has."""
+
+    def __init__(self, keys, at, here, final, bucket):
+        self.keys, self.at, self.here, self.final, self.bucket = keys, at, here, final, bucket
+        self.total, self.alone = here.copy(), final.copy()
+
+    def answer(self, answers: list[dict], kind: int) -> Grams:
+        own = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["p"])
+        self.total[~self.final], self.alone[~self.final] = answered(own)
+        return self
+
+
+def bigrams(b: Block, train_docs: int) -> Grams:
+    keys, at, first, count, final = b.bigrams()
+    return Grams(keys, at, count, final, bucket_of(b.context_total(train_docs)[first]))
+
+
+def trigrams(b: Block, two: Grams) -> Grams:
+    """Trigrams from the bigrams, with their totals, at neighbouring positions; the first word of a document has none."""
+    inner = np.ones(len(b.word), bool)
+    inner[b.offsets[:-1]] = False
+    where = np.flatnonzero(inner)
+    left, right = two.at[where - 1], two.at[where]
+    key = mix(mix(two.keys, 25)[left] + mix(b.uniq, 13)[b.word[where]], 17)
+    keys, first, inv = np.unique(key, return_index=True, return_inverse=True)
+    at = np.full(len(b.word), -1)
+    at[where] = inv
+    train = np.repeat(~b.held, b.lens)[where]
+    count = np.bincount(inv[train], minlength=len(keys)).astype(np.uint64)
+    return Grams(keys, at, count, two.alone[left[first]] | two.alone[right[first]], bucket_of(two.total[left[first]]))
+
+
+def _gram_rows(kind: int, parts: int, train_docs: int):
+    """A block's bigrams (kind 2) or trigrams (3) that other blocks may hold too, with counts and context buckets, one row for each
     range; the first row carries the statistics of the others."""
     schema = pa.schema([("block", pa.string()), ("p", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary()),
                         ("stats", pa.binary())])
@@ -223,11 +271,13 @@ def _pair_rows(parts: int, train_docs: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: dict = {n: [] for n in schema.names}
         for row in left.to_pylist():
-            b = Block(row, right.to_pylist())
-            uniq, _, first, count, final = b.bigrams()
-            bucket = bucket_of(b.context_total(train_docs)[first])
-            stats = by_bucket(bucket[final], count[final]).tobytes()
-            uniq, count, bucket = uniq[~final], count[~final], bucket[~final]
+            answers = right.to_pylist()
+            b = Block(row, answers)
+            g = bigrams(b, train_docs)
+            if kind == 3:
+                g = trigrams(b, g.answer(answers, 2))
+            stats = by_bucket(g.bucket[g.final], g.here[g.final]).tobytes()
+            uniq, count, bucket = (x[~g.final] for x in (g.keys, g.here, g.bucket))
             cut = range_cuts(uniq, parts)
             for i in range(parts):
                 x, y = int(cut[i]), int(cut[i + 1])
@@ -240,36 +290,44 @@ def _pair_rows(parts: int, train_docs: int):
     return run, "block string, p int, keys binary, counts binary, extra binary, stats binary"
 
 
-def _traverse(n: int, v: int, train_docs: int, weights: list[float]):
+def _traverse(n: int, v: int, train_docs: int, weights: dict[int, list[float]], order: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+    def state(count, context, fail, shorter):
+        """Probability of an arc, or of the failure chain, from a state seen ``context`` times."""
+        seen = context > 0
+        l = np.where(seen, np.array(fail)[bucket_of(context)], 1.0)
+        return (1 - l) * count / np.maximum(context, 1) + l * shorter
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             answers = right.to_pylist()
             b = Block(row, answers)
-            uniq, inv, _, count, final = b.bigrams()
-            own = sorted((a for a in answers if a["kind"] == 2), key=lambda a: a["p"])
-            count[~final] = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a["totals"], np.uint64) for a in own)])
-            pair = count[inv].astype(np.float64)
+            two = bigrams(b, train_docs).answer(answers, 2)
             c = b.total[b.word].astype(np.float64)
             root = (c + 0.1) / (n + 0.1 * (v + 1))
-            context = b.context_total(train_docs).astype(np.float64)
-            fail = np.array(weights)[bucket_of(context)]
-            arc = np.where(context > 0, (1 - fail) * pair / np.maximum(context, 1), 0.0) + np.where(context > 0, fail, 1.0) * root
+            pair = two.total.astype(np.float64)
+            p = state(pair[two.at], b.context_total(train_docs).astype(np.float64), weights[2], root)
+            if order > 2:
+                three = trigrams(b, two).answer(answers, 3)
+                inner = np.flatnonzero(three.at >= 0)
+                p[inner] = state(three.total[three.at[inner]].astype(np.float64), pair[two.at[inner - 1]], weights[3], p[inner])
             at = b.offsets[:-1]
             total = lambda x: np.add.reduceat(x, at).tolist()
             out.append(table(schema, doc_id=b.ids, held_out=b.held.tolist(), n_tokens=b.lens.tolist(),
                              n_known=total((c > 0).astype(np.int64)), train_tokens=[n] * len(b.ids),
-                             base_score=total(np.log10(root)), score=total(np.log10(arc))))
+                             base_score=total(np.log10(root)), score=total(np.log10(p))))
         return pa.Table.from_batches(out, schema=schema)
 
     return run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, order: int = 3) -> DataFrame:
     """Train on the rows of ``docs`` (doc_id, text) where the column expression ``held_out`` is false; score all."""
+    if order not in (2, 3):
+        raise ValueError("order 2 or 3")
     spark = docs.sparkSession
     tag = uuid.uuid4().hex
 
@@ -294,18 +352,19 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     count = blocks.agg(F.sum("n"), F.sum(F.size(F.filter("held", lambda x: ~x)))).collect()[0]
     tokens, train_docs = count[0] or 0, count[1] or 0
     parts = max(4, -(-tokens // KEYS_PER_RANGE))
-    run, out = _pair_rows(parts, train_docs)
-    words = answers.where("kind = 1")
-    pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, out)
-    pairs = written(pairs.groupBy("p").applyInArrow(_sums(2), _ANSWER_SQL), "bigrams")
-    weights = [0.5] * 70
-    for r in pairs.where("kind = 0").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("tot").alias("tot")).collect():
-        weights[r["bucket"]] = min(0.999, max(0.001, (r["n1"] + 0.5) / (r["tot"] + 1)))
-    run, out = _traverse(n, v, train_docs, weights)
-    both = words.union(pairs.where("kind = 2"))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, out)
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
+    answers, weights = answers.where("kind = 1"), {}
+    for kind in range(2, order + 1):
+        run, out = _gram_rows(kind, parts, train_docs)
+        sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, out)
+        sums = written(sent.groupBy("p").applyInArrow(_sums(kind), _ANSWER_SQL), f"grams{kind}")
+        weights[kind] = [0.5] * 70
+        for r in sums.where("kind = 0").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("tot").alias("tot")).collect():
+            weights[kind][r["bucket"]] = min(0.999, max(0.001, (r["n1"] + 0.5) / (r["tot"] + 1)))
+        answers = answers.union(sums.where(f"kind = {kind}"))
+    run, out = _traverse(n, v, train_docs, weights, order)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, out)
+
+
+def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     """Held out: crc32 of the id as text, modulo 10, is 0."""
-    return score(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0)
+    return score(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0, order)

@@ -785,33 +785,46 @@ def test_keep_one(docs):
 
 # --- 10 scores
 
-def test_scores(docs):
+@pytest.mark.parametrize("order, block", [(2, 6 << 20), (3, 6 << 20), (3, 2000)])
+def test_scores(docs, order, block, monkeypatch):
+    from prefspark.llm import lm_score
     from prefspark.llm.lm_score import score_documents
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
     src = pairs(docs)
     t = [(i, WORD.findall((x or "").translate(LOW)) + [None]) for i, x in src]
     train = [x for i, x in t if key(i) % 10]
     c = collections.Counter(w for x in train for w in x)
     two = collections.Counter(p for x in train for p in zip(["<b>", *x], x))
+    three = collections.Counter(p for x in train for p in zip(["<b>", *x], x, x[1:]))
     n, v = sum(c.values()), len(c)
     ctx = lambda u: len(train) if u == "<b>" else c[u]
-    n1, tot = collections.Counter(), collections.Counter()
-    for (u, _), k in two.items():
-        b = math.frexp(ctx(u))[1]
-        tot[b] += k
-        n1[b] += k == 1
-    got = sorted(rows(score_documents(docs)), key=lambda r: (str(r[0]), r[2], r[5]))
+
+    def failure(grams, context):
+        n1, tot = collections.Counter(), collections.Counter()
+        for g, k in grams.items():
+            b = math.frexp(context(g))[1]
+            tot[b] += k
+            n1[b] += k == 1
+        return lambda count: min(0.999, max(0.001, (n1[math.frexp(count)[1]] + 0.5) / (tot[math.frexp(count)[1]] + 1)))
+    fail2, fail3 = failure(two, lambda g: ctx(g[0])), failure(three, lambda g: two[g[:2]])
+    got = sorted(rows(score_documents(docs, order)), key=lambda r: (str(r[0]), r[2], r[5]))
     want = []
     for i, x in t:
         base = s = 0.0
-        for u, w in zip(["<b>", *x], x):
-            p0 = (c[w] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p0)
-            if ctx(u):
-                b = math.frexp(ctx(u))[1]
-                share = min(0.999, max(0.001, (n1[b] + 0.5) / (tot[b] + 1)))
-                s += math.log10((1 - share) * two[u, w] / ctx(u) + share * p0)
-            else:
-                s += math.log10(p0)
+        past = ["<b>"]
+        for w in x:
+            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            # from the root up: each longer state that was seen puts its arc before what its failure arc leads to
+            if ctx(past[-1]):
+                share = fail2(ctx(past[-1]))
+                p = (1 - share) * two[past[-1], w] / ctx(past[-1]) + share * p
+            if order == 3 and len(past) > 1 and two[past[-2], past[-1]]:
+                seen = two[past[-2], past[-1]]
+                share = fail3(seen)
+                p = (1 - share) * three[past[-2], past[-1], w] / seen + share * p
+            s += math.log10(p)
+            past.append(w)
         want.append((i, key(i) % 10 == 0, len(x), sum(c[w] > 0 for w in x), n, base, s))
     want.sort(key=lambda r: (str(r[0]), r[2], r[5]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
