@@ -48,7 +48,7 @@ TOKENS_PER_RANGE = 1_000_000
 CELL = 1000
 CELL_TOKENS = 1_000_000
 #: shingles in more sets of a cell than this are compared as bits, so many at once
-RARE, COLUMNS = 8, 16_384
+RARE, COLUMNS = 8, 4096
 ORDERS = (1, 2)
 #: classes that share a prefix shingle and meet in one task; those of a more frequent shingle are dealt over several
 HOT = 50_000
@@ -474,12 +474,17 @@ def _verified_cells(k: int, pct: int):
         rows, sets = [rows[i] for i in good], [sets[i] for i in good]
         if len(rows) < 2:
             return [], []
-        both = overlaps(sets)
-        n = np.array([len(x) for x in sets])
+        m, both = len(rows), overlaps(sets)
+        n = np.array([len(x) for x in sets], np.int64)
         roots = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)[1]
-        linked = (100 * both >= pct * (n[:, None] + n[None, :] - both)) & (roots[:, None] != roots[None, :]) & (both > 0)
-        root = local_roots(*np.nonzero(linked), len(rows))
-        ends = np.flatnonzero(root != np.arange(len(rows)))
+        root = np.arange(m)
+        for a in range(0, m, 256):
+            shared = both[a: a + 256].astype(np.int64)
+            linked = (100 * shared >= pct * (n[a: a + 256, None] + n - shared)) & (roots[a: a + 256, None] != roots) & (shared > 0)
+            x, y = np.nonzero(linked)
+            # a member with what it has joined so far
+            root = local_roots(np.concatenate([x + a, np.arange(m)]), np.concatenate([y, root]), m)
+        ends = np.flatnonzero(root != np.arange(m))
         return [rows[i][4] for i in root[ends]], [rows[i][4] for i in ends]
 
     def run(batches):
