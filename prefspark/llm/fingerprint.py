@@ -190,9 +190,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted({int(b) for b in docs.where("doc_id is not null").stat.approxQuantile("doc_id", probs, 0.2 / buckets)}) if probs else []
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(_bucket(bounds, F.col("doc_id"))).cast("int"))
-    # null ids come last: in a bucket of their own below the others
+    # null ids come last, by ranges of the text hash that orders them: 16 buckets below the others
     tie = F.coalesce(F.xxhash64("text"), F.lit(0))
+    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -9 - F.shiftright(tie, 60)).otherwise(_bucket(bounds, F.col("doc_id"))).cast("int"))
     heads = (docs.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not(tie).alias("t"))).alias("h"))
              .orderBy(F.desc("bucket")).collect())
     order = [(r["bucket"], r["h"]["doc_id"], ~r["h"]["t"]) for r in heads]
@@ -202,7 +202,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     own = F.array(F.struct(F.col("bucket"), F.lit(0).alias("look")))
     both = F.array(F.struct(F.col("bucket"), F.lit(0).alias("look")), F.struct(F.col("_to").alias("bucket"), F.lit(1).alias("look")))
     dealt = marked.select("doc_id", "text", F.explode(F.when(F.col("_to").isNull(), own).otherwise(both)).alias("x"))
-    return (dealt.select("x.bucket", "x.look", "doc_id", "text").repartition("bucket")
+    # a bucket is a task: hashed bucket numbers would put several ranges into one
+    return (dealt.select("x.bucket", "x.look", "doc_id", "text").repartitionById(len(bounds) + 17, F.col("bucket") + 16)
             .sortWithinPartitions("bucket", "look", F.col("doc_id").desc_nulls_last(), tie))
 
 
