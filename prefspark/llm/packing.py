@@ -98,9 +98,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return slots
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, buckets: int = 64) -> DataFrame:
-    """``pieces`` (with a ``length`` of 1..capacity and a ``doc_id``) plus ``sequence_id`` and ``offset``."""
+#: pieces of one length ranked by one task, about
+RANKED = 200_000
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, buckets: int | None = None) -> DataFrame:
+    """``pieces`` (with a ``length`` of 1..capacity and a ``doc_id``) plus ``sequence_id`` and ``offset``.
+
+    A length's pieces are ranked in ``buckets`` shares; by default as many as keep the most frequent length's shares at about
+    ``RANKED``."""
     spark = pieces.sparkSession
+    if buckets is None:
+        most = pieces.groupBy("length").count().agg(F.max("count")).collect()[0][0] or 0
+        buckets = max(1, -(-most // RANKED))
     pieces = pieces.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in pieces.columns]), F.lit(buckets)))
     per = pieces.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     per = materialize(per)
