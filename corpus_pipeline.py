@@ -25,7 +25,7 @@ from prefspark.llm.langid import keep_identified
 from prefspark.llm.packing import pack_documents
 from prefspark.llm.queries import bounded_batches, read, tokenizer_path
 from prefspark.llm.substring_dedup import remove_repeats
-from prefspark.session import scratch_table_path
+from prefspark.session import scratch_dropped, scratch_table_path
 
 
 #: a passage of over 50 words has more bytes than this, unless its words have under three letters
@@ -75,6 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = uuid.uuid4().hex
     for i, (name, stage) in enumerate(STAGES):
         path = scratch_table_path(spark, f"pipeline-{tag}-{i}-{name}")
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        # a stage's own intermediate tables go once its result is written
+        with scratch_dropped():
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs

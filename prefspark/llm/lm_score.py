@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_table_path
+from ..session import scratch_table_path, when_scratch_drops
 from .arrays import doc_bounds, lower_ascii, mix, packed, prefix_sums, range_cuts, span_hash, table, text_chunks, unpacked, word_spans
 
 BLOCK_BYTES = 6 << 20
@@ -342,6 +342,7 @@ def score(docs: DataFrame, held_out, order: int = 3) -> DataFrame:
     parts = max(4, -(-size // 48 // KEYS_PER_RANGE))
     # bucketed by block: later passes read a block's row where it lies and only answers travel
     name = f"lm_blocks_{tag}"
+    when_scratch_drops(lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     (docs.mapInArrow(_blocks(parts), _PARTS_SQL).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
      .option("path", scratch_table_path(spark, f"lm-{tag}-blocks")).saveAsTable(name))
     made = spark.table(name)

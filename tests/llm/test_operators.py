@@ -454,6 +454,66 @@ def test_lcs():
         assert lcs(a, b) == row[-1]
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def lcs_of(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("sampled", [3000, 60])
+def test_leak_recall_against_brute_force(spark, sampled):
+    """Paraphrases: of all (document, item) pairs that the subsequence rule accepts anywhere, at least 0.9 are found, also with a
+    space fitted to a small sample; nothing else is found; very long texts and a null item id included."""
+    from prefspark.llm.decontaminate import find_leaks
+    rnd = random.Random(31)
+    # a vocabulary with frequent and rare words, as texts have
+    words = sorted({"".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 8))) for _ in range(4000)})
+    odds = [1 / (k + 3) for k in range(len(words))]
+    rnd.shuffle(words)
+    sentence = lambda _, n: " ".join(rnd.choices(words, odds, k=n))
+    items = [(i, sentence(rnd, rnd.randint(8, 70))) for i in range(30)] + [(None, sentence(rnd, 20)), (40, None)]
+    data = []
+    for i in range(240):
+        text = sentence(rnd, rnd.randint(40, 160)).split()
+        if i % 2:
+            item = items[rnd.randrange(31)][1].split()
+            share = rnd.choice([1, 0.9, 0.8, 0.7, 0.6, 0.5])
+            kept = [w if rnd.random() < share else rnd.choice([w + "x", "", "filler here"]) for w in item]
+            at = rnd.randrange(len(text))
+            text[at:at] = [w for w in kept if w]
+        data.append((i, " ".join(text)))
+    data.append((500, sentence(rnd, 30_000) + " " + items[0][1] + " " + sentence(rnd, 100)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench, max_sample_docs=sampled).collect()}
+    want, maybe = set(), set()
+    for d, text in data[:240] + [(500, " ".join(data[-1][1].split()[-250:]))]:
+        w = words_of(text)
+        for i, t in items:
+            x = words_of(t)
+            if not x:
+                continue
+            answer = x[-max(1, len(x) // 4):]
+            reach = len(x) * 3 // 2
+            for a in range(0, len(w), max(1, len(x) // 4)):
+                region = w[a: a + reach + len(x)]
+                share = lcs_of(x, region) / len(x)
+                if share >= 0.6 and (share >= 0.85 or lcs_of(answer, region) / len(answer) >= 0.5):
+                    want.add((d, i))
+                    break
+    assert (500, 0) in got and len(want) > 60 and any(i is None for _, i in want)
+    assert len(want & got) >= 0.9 * len(want)
+    # what is found beyond stands in a wider region than the brute force looked at
+    assert len(got - want) <= 0.1 * len(got)
+
+
 # --- 5 language ID
 
 def test_language(spark, docs):

@@ -25,7 +25,11 @@ def test_stages_on_edge_cases(spark):
 
 def test_run(spark):
     import corpus_pipeline as C
+    from prefspark.session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark), "tables").removeprefix("file:")
+    before = set(os.listdir(folder))
     got = C.run(spark, "/root/testdata/sf0.001")
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"pipeline"}
     ids = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
     from prefspark.llm.jaccard_join import jaccard_components
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
