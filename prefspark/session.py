@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -79,10 +80,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_open_scopes: list[list] = []
+
+
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    path = os.path.join(base, "tables", name)
+    when_scratch_drops(lambda: _delete(spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def when_scratch_drops(action) -> None:
+    """Call ``action`` when the innermost ``scratch_dropped`` block ends; without one the scratch stays."""
+    if _open_scopes:
+        _open_scopes[-1].append(action)
+
+
+@contextmanager
+def scratch_dropped():
+    """Delete the intermediate tables made within the block when it ends.  Results are lazy and read them, so what
+    is wanted must be written inside (to a path that the caller chose before)."""
+    made: list = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for action in reversed(made):
+            action()
 
 
 def materialize(df):

@@ -24,3 +24,17 @@ def test_recommended_conf_scales_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) > int(small["spark.sql.shuffle.partitions"])
     assert int(small["spark.sql.shuffle.partitions"]) >= 2 * 10 * 4
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_scratch_is_dropped_with_its_block(spark):
+    import os
+
+    from prefspark.operators.window import dense_position
+    from prefspark.session import scratch_dropped, scratch_table_path
+    kept = scratch_table_path(spark, "kept-by-the-caller")
+    with scratch_dropped():
+        inside = scratch_table_path(spark, "made-inside")
+        spark.range(3).write.mode("overwrite").parquet(inside)
+        dense_position(spark.range(50), "id", "p", n_buckets=3).write.mode("overwrite").parquet(kept)
+        assert os.path.isdir(inside)
+    assert not os.path.exists(inside) and spark.read.parquet(kept).count() == 50
