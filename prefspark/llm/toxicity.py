@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .arrays import releasing
+from .arrays import byte_planes, from_planes, packed, releasing, unpacked
 
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -235,12 +235,20 @@ def _round(model: LabelModel, table: DataFrame) -> None:
     model.update(toxic, clean, total[0], total[1])
 
 
-def _correlations(model: LabelModel, table: DataFrame) -> None:
-    """Common votes of voter pairs in either class, summed by Spark; at most one row a pair comes back."""
+def _correlations(model: LabelModel, table: DataFrame, groups: int = 16) -> None:
+    """Common votes of voter pairs in either class: a compressed matrix a task, summed by Spark in ``groups`` shares and then here."""
     size = len(model.a)
+    shape, names, kind = (2, size * size + 1), ["g", "sums"], "g int, sums binary"
+
+    def blob(g, sums):
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([packed(byte_planes(sums.ravel().view(np.uint64)))], pa.binary())], names=names)
+
+    def matrix(raw):
+        return from_planes(unpacked(raw, np.uint8), np.uint64).view(np.float64).reshape(shape)
 
     def run(batches):
-        both, total = np.zeros((2, size, size)), np.zeros(2)
+        from pyspark import TaskContext
+        both, total = np.zeros((2, size, size)), np.zeros((2, 1))
         for b in batches:
             row, voter, *weights = _expect(model, b)
             for a in range(0, b.num_rows, 2000):
@@ -249,17 +257,16 @@ def _correlations(model: LabelModel, table: DataFrame) -> None:
                 x[row[here] - a, voter[here]] = 1
                 for k, w in enumerate(weights):
                     both[k] += (x * w[a: a + 2000, None].astype(np.float32)).T @ x
-            total += [w.sum() for w in weights]
-        i, j = np.nonzero(both.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(both[0][i, j], total[0])),
-                                          pa.array(np.append(both[1][i, j], total[1]))], names=["i", "j", "t", "c"])
-
-    got = table.mapInArrow(run, "i long, j long, t double, c double").groupBy("i", "j").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).toPandas()
-    n = got[got["i"] < 0].iloc[0]
-    got = got[got["i"] >= 0]
-    both = np.zeros((2, size, size))
-    both[:, got["i"], got["j"]] = got[["t", "c"]].to_numpy().T
-    model.correlate(both[0], both[1], n["t"], n["c"])
+            total += [[w.sum()] for w in weights]
+        yield blob(TaskContext.get().partitionId() % groups, np.hstack([both.reshape(2, -1), total]))
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([blob(t["g"][0].as_py(), sum(matrix(x) for x in t["sums"].to_pylist()))])
+
+    got = table.mapInArrow(run, kind).groupBy("g").applyInArrow(add, kind).collect()
+    sums = sum(matrix(r["sums"]) for r in got)
+    both, total = sums[:, :-1].reshape(2, size, size), sums[:, -1]
+    model.correlate(both[0], both[1], total[0], total[1])
 
 
 def fit_labels(table: DataFrame, voters: int, rounds: int = ROUNDS) -> LabelModel:
