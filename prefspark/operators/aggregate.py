@@ -203,8 +203,9 @@ def global_stats(metrics: DataFrame, uid: str = "uid", metric: str = "metric", v
 
 # G11 / G12 ------------------------------------------------------------------
 def question_groups(df: DataFrame, uid: str = "uid", key: str = "qkey",
-                    fields: Iterable[str] = ("prompt",), max_group: int = 10_000) -> DataFrame:
-    """A user's questions as sorted arrays of at most ``max_group`` entries.
+                    fields: Iterable[str] = ("prompt",), max_group: int | None = 10_000) -> DataFrame:
+    """A user's questions as sorted arrays of at most ``max_group`` entries (None: one array a user, for users
+    whose questions fit a row).
 
     One row per (user, chunk_no): a user with more questions than
     ``max_group`` gets several consecutive chunks, so no single array (and no
@@ -213,6 +214,8 @@ def question_groups(df: DataFrame, uid: str = "uid", key: str = "qkey",
     """
     from .window import group_position
     st = F.struct(F.col(key), *[F.col(f) for f in fields])
+    if max_group is None:
+        return df.groupBy(uid).agg(F.lit(0).cast("long").alias("chunk_no"), F.sort_array(F.collect_list(st)).alias("questions"))
     ranked = group_position(df, uid, key, "_rk", base=0)
     chunked = ranked.withColumn("chunk_no", F.floor(F.col("_rk") / max_group).cast("long"))
     return chunked.groupBy(uid, "chunk_no").agg(F.sort_array(F.collect_list(st)).alias("questions"))

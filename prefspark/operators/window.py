@@ -390,7 +390,8 @@ def previous_choices(turns: DataFrame, dialog: str = "conv_id", turn: str = "tur
 
     A turn without a rejected reply is written as a tie; A/B alternate by
     example number.  One aggregate per dialog, then a filter of the turn
-    itself (no self-join: the dialog's turns are collected once).
+    itself (no self-join: the dialog's turns are collected once).  The result holds each dialog's
+    text once a turn, so it is for dialogs of some hundred turns: a row needs memory for its dialog's text twice.
     """
     st = F.struct(F.col(turn).alias("t"), F.col(user_text).alias("u"), F.col(chosen).alias("c"),
                   F.col(rejected).alias("r"))

@@ -356,3 +356,11 @@ def test_upsampling_is_shuffled(spark):
     assert sorted(r.place for r in got) == list(range(70)) and sum(r.controversial for r in got) == 50
     order = [(r.cmp_id, r.copy_no) for r in sorted(got, key=lambda r: r.place)]
     assert order != sorted(order) and order != [(r.cmp_id, r.copy_no) for r in sorted(L.upsample_controversial(df, seed=2).collect(), key=lambda r: r.place)]
+
+
+def test_question_groups_whole_or_in_chunks(spark):
+    df = spark.createDataFrame([(u, q, f"p{q}") for u in (1, 2) for q in range(7)], "uid long, qkey long, prompt string")
+    whole = {r.uid: [x.qkey for x in r.questions] for r in G.question_groups(df, max_group=None).collect()}
+    assert whole == {1: list(range(7)), 2: list(range(7))}
+    parts = sorted((r.uid, r.chunk_no, len(r.questions)) for r in G.question_groups(df, max_group=3).collect())
+    assert parts == [(u, c, n) for u in (1, 2) for c, n in ((0, 3), (1, 3), (2, 1))]
