@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.util import at
@@ -40,14 +40,15 @@ def binarize(ratings: DataFrame, chosen_no: int = 1, rejected_no: int = 2,
 
 
 def binarize_completions(comps: DataFrame, chosen_no: int = 1, rejected_no: int = 2,
-                         instruction_id: str = "instruction_id") -> DataFrame:
+                         instruction_id: str = "instruction_id", keep: Iterable[str] = ()) -> DataFrame:
     """``binarize`` from the per-instruction completions table: no second pass over the
-    ratings (the completions are already grouped by instruction)."""
+    ratings (the completions are already grouped by instruction).  Columns of ``keep`` stay on the row, so that
+    pairs need no join back to the table they were derived from."""
     def response_of(no):
         m = F.filter("completions", lambda c: c.getField("completion_no") == no)
         return at(m, 1).getField("response")
     return comps.select(F.col("instruction").alias("prompt"), response_of(chosen_no).alias("chosen"),
-                        response_of(rejected_no).alias("rejected"), F.col(instruction_id).alias("pair_id")) \
+                        response_of(rejected_no).alias("rejected"), F.col(instruction_id).alias("pair_id"), *keep) \
         .filter(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
 
 

@@ -69,10 +69,8 @@ TYPED_SQL = "typed AS (" + " UNION ALL ".join(_one_type(t) for t in LB.USER_TYPE
 def matched(spark: SparkSession, sf: str) -> DataFrame:
     r = FX.f2_ratings(spark, sf)
     comps = LO.completions_table(r)  # one row per instruction: the only pass over the ratings
-    pairs = P.drop_empty_side(LO.binarize_completions(comps))
-    aligned = J.align_by_prompt(comps.withColumn("orig_idx", F.col("instruction_id")), pairs,
-                                unique_prompts=True)
-    return LO.match_ratings(aligned)
+    # a pair and its completions are one row from the start (J01's join by prompt is for tables that come apart)
+    return LO.match_ratings(P.drop_empty_side(LO.binarize_completions(comps, keep=["completions"])))
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
