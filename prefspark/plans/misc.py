@@ -365,6 +365,44 @@ def g13(spark, sf):
     return s.select("lang", "n", rd(F.col("mean_len"), "mean_len"), "max_len", "min_len", "n_truncated")
 
 
+@query("g13_merge_length_stats", """
+SELECT count(*) AS n, round(avg(length(text)), 6) AS mean_len, max(length(text)) AS max_len, min(length(text)) AS min_len,
+       count(*) FILTER (WHERE length(text) > 5000) AS n_truncated FROM documents""")
+def g13_merge(spark, sf):
+    d = FX.table(spark, sf, "documents")
+    even, odd = (G.length_stats(d.filter(F.col("doc_id") % 2 == k), "text", 5000) for k in (0, 1))
+    m = G.merge_length_stats(even, odd)
+    return m.select("n", rd(F.col("mean_len"), "mean_len"), "max_len", "min_len", "n_truncated")
+
+
+@query("u03_rows_minus", """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def u03_rows(spark, sf):
+    return U.rows_minus(FX.table(spark, sf, "documents").select("doc_id"), FX.table(spark, sf, "labels"), ["doc_id"])
+
+
+@query("u05_rows_except_all", """
+SELECT user_id, event_type FROM events EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 0""")
+def u05_rows(spark, sf):
+    e = FX.table(spark, sf, "events")
+    return U.rows_except_all(e.select("user_id", "event_type"), e.filter("event_id % 3 = 0").select("user_id", "event_type"))
+
+
+@query("p38_judge_reply_side", """
+SELECT conv_id, turn, CASE WHEN upper(substr(trim(text), 1, 1)) IN ('A', 'B') THEN upper(substr(trim(text), 1, 1)) END AS picked FROM conversations""")
+def p38_reply(spark, sf):
+    c = FX.f7_dialogs(spark, sf).select("conv_id", "turn", F.col("text").alias("reply"))
+    return P.judge_reply_side(c).select("conv_id", "turn", "picked")
+
+
+@query("p30_apply_replacements", """
+SELECT doc_id, md5(replace(replace(text, ', ', '; '), 'the', 'THE')) AS text_md5 FROM documents""")
+def p30_replacements(spark, sf):
+    from ..functions.text import apply_replacements
+    d = FX.table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(apply_replacements(F.col("text"), {", ": "; ", "the": "THE"})).alias("text_md5"))
+
+
 F3_LOGITS_SQL = """
 lg AS (SELECT traj_id, pos, reward_chosen / 10 AS c0, uid / 10.0 AS c1, subset_no / 10.0 AS c2,
               reward_rejected / 10 AS r0, pos / 10.0 AS r1, 0.0 AS r2 FROM scored),

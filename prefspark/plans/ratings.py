@@ -162,6 +162,16 @@ def l18(spark, sf):
                                                   F.col("pair_id")).alias("label"))
 
 
+@query("l18_random_argmax", with_ctes(FX.SQL_F2, BIN_SQL, MATCH_SQL) + f"""
+SELECT pair_id, best[1 + CAST(CAST(('0x' || substr(md5(concat_ws(':', '6', CAST(pair_id AS VARCHAR))), 1, 15)) AS BIGINT) % len(best) AS INT)] AS best_attribute
+FROM (SELECT pair_id, list_filter([1, 2, 3, 4], lambda i: vals[i] = list_max(vals)) AS best
+      FROM (SELECT pair_id, [{', '.join(f'c_{a}' for a in LB.ATTRIBUTES)}] AS vals FROM matched))""")
+def l18_argmax(spark, sf):
+    m = matched(spark, sf)
+    best = L.random_argmax(F.array(*[F.col(f"c_{a}") for a in LB.ATTRIBUTES]), 6, F.col("pair_id"))
+    return m.select("pair_id", best.cast("int").alias("best_attribute"))
+
+
 # ---------------------------------------------------------------- G15 / G24 / G25
 @query("g15_augment_counters", with_ctes(FX.SQL_F2, BIN_SQL, MATCH_SQL, LAB_SQL, TYPED_SQL) + """
 SELECT data_subset, count(*) AS n_rows, sum(CAST(reversed AS INT)) AS n_reversed,
