@@ -1,9 +1,11 @@
 """Connected components of an edge table.
 
-Edges run from a node to a smaller one.  In a round every edge goes to its larger end, where a node's parents meet, and
-to its smaller end, where a parent's own parents reach its children; each task joins what it has (labels
-over arrays) and sends on one edge a node.  A round is one exchange; when no edge changes, all point at
-their component's smallest node.  Before that, one exchange by the larger end alone merges each node's parents.  The children of one node are dealt over ``SPREAD`` tasks and its parents sent to each, so a
+Edges run from a node to a smaller one.  First each node's edges meet by the larger end: a task joins what it has (labels over arrays)
+and sends one edge a node.  Most nodes are leaves then: they have one edge and nobody points at them, so they wait.  The other
+edges, few where a few parents have many children, go through rounds: every edge goes to its larger end, where a node's parents
+meet, and to its smaller end, where a parent's own parents reach its children, and each task joins again.  A round is one exchange; when
+no edge changes, all point at their component's smallest node, and the leaves look up what their parent has found.
+The children of one node are dealt over ``SPREAD`` tasks and its parents sent to each, so a
 node with a third of all edges is no hot task.  Each round is written to the shared folder.
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
+from .hot_join import lookup
 
 SPREAD = 8
 
@@ -93,6 +96,24 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
 
     # a node's parents first: what many edges say of a few parents becomes an edge a node
     cur = joined(cur.select("u", "v", F.lit(True).alias("own")).repartition("u"), "first", Observation())
+    ends = cur.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(0).alias("parent")).union(
+        cur.select(F.col("v").alias("node"), F.lit(None).cast("binary").alias("up"), F.lit(1).alias("parent")))
+    path = scratch_table_path(spark, f"components-{tag}-nodes")
+    (ends.groupBy("node").agg(F.collect_set("up").alias("ups"), F.max("parent").alias("parent")).where(F.size("ups") > 0)
+     .write.mode("overwrite").parquet(path))
+    nodes = spark.read.parquet(path)
+    leaf = (F.size("ups") == 1) & (F.col("parent") == 0)
+    leaves = nodes.where(leaf).select("node", F.get("ups", F.lit(0)).alias("up"))
+    inner = _rounds(nodes.where(~leaf).select(F.col("node").alias("u"), F.explode("ups").alias("v")), joined, max_rounds)
+    load = leaves.groupBy("up").agg(F.count(F.lit(1)).alias("rows"))
+    found = inner.join(load, inner["node"] == load["up"]).select("up", "root", "rows")
+    out = lookup(leaves, found, ["up"], "rows", F.col("node"))
+    drop_finished(spark)
+    return out.select("node", F.coalesce("root", "up").alias("root")).union(inner)
+
+
+def _rounds(cur: DataFrame, joined, max_rounds: int) -> DataFrame:
+    """(node, root) of edges (u, v), by rounds."""
     every = F.array(*[F.lit(i) for i in range(SPREAD)])
     for step in range(max_rounds):
         ends = F.concat(
@@ -102,6 +123,5 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataF
         seen = Observation()
         cur = joined(sent, step, seen)
         if not seen.get["moved"]:
-            drop_finished(spark)
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError("components did not settle")
