@@ -2,9 +2,10 @@
 
 1. Terms are the words of the benchmark items, single characters in scripts without spaces.  Spark counts in how many documents each occurs (over all
    documents) for the TF-IDF weights; the same pass lists the passages (windows of ``WINDOW`` words, every
-   ``STRIDE``) of a bounded hash sample of ``max_sample_docs`` documents.
-2. A randomised SVD of the TF-IDF matrix of those passages and all items (subspace iterations,
-   the products with the matrix computed by Spark tasks over row blocks) gives the latent space.
+   ``STRIDE``) of all documents as packed term ids.
+2. A randomised SVD of the TF-IDF matrix of those passages and all items (subspace iterations) gives the latent space.  Spark
+   tasks sum A'A of the passages once, a stripe of terms a row, and multiply by the stripes; above ``GRAM_TERMS`` terms,
+   where a task could not hold A'A, they multiply by A and A' in each iteration.
 3. Every passage of every document whose weight lies mostly enough in benchmark terms is projected; items
    with a cosine of at least ``min_cosine`` are candidates.
 4. A candidate's neighbourhood and the item are compared by longest common subsequence of words, over the
@@ -38,6 +39,7 @@ WINDOW, STRIDE = 32, 16
 BLOCK = 20_000
 MIN_WORDS = 5
 SHORT = 15
+GRAM_TERMS, GRAM_STRIPE = 5500, 500   # terms of a sum of A'A that a task holds (242 MB), and of a stripe of it
 # first and last characters: scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), and their punctuation
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
             (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
@@ -117,9 +119,9 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _terms_and_sample(terms, share: int):
-    """Per task: document counts of terms (kind 0); passages of sampled documents as term ids (kind 1)."""
-    schema = pa.schema([("kind", pa.int32()), ("term", pa.int64()), ("df", pa.int64()), ("row", pa.list_(pa.int32()))])
+def _terms_and_passages(terms, share: int, rows_at_once: int = 16384):
+    """Per task: document counts of terms (kind 0); passages of the picked documents as packed term ids (kind 1), their number as ``df``."""
+    schema = pa.schema([("kind", pa.int32()), ("term", pa.int64()), ("df", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches):
         own = terms.value
@@ -135,61 +137,124 @@ def _terms_and_sample(terms, share: int):
             docs += len(off) - 1
             chosen = np.array(part.column(part.schema.get_field_index("pick")).to_pylist(), np.int64) < share
             d, s, e = windows(at)
-            keep = chosen[d]
-            m = rows_of(ids, s[keep], e[keep])
-            m = m[(m >= 0).sum(axis=1) >= WINDOW // 4]
-            if len(m):
-                yield table(schema, kind=[1] * len(m), term=[None] * len(m), df=[None] * len(m), row=[r[r >= 0].tolist() for r in m])
+            keep = np.flatnonzero(chosen[d])
+            for a in range(0, len(keep), rows_at_once):
+                pick = keep[a: a + rows_at_once]
+                m = rows_of(ids, s[pick], e[pick])
+                n = (m >= 0).sum(axis=1)
+                m, n = m[n >= WINDOW // 4], n[n >= WINDOW // 4]
+                if len(m):
+                    yield table(schema, kind=[1], term=[None], df=[len(m)], ids=[m[m >= 0].astype(np.int32).tobytes()], sizes=[n.astype(np.uint8).tobytes()])
         some = np.flatnonzero(df)
-        yield table(schema, kind=[0] * (len(some) + 1), term=[*some.tolist(), -1], df=[*df[some].tolist(), docs], row=[None] * (len(some) + 1))
+        yield table(schema, kind=[0] * (len(some) + 1), term=[*some.tolist(), -1], df=[*df[some].tolist(), docs], ids=[None] * (len(some) + 1),
+                    sizes=[None] * (len(some) + 1))
 
-    return run, "kind int, term long, df long, row array<int>"
+    return run, "kind int, term long, df long, ids binary, sizes binary"
 
 
-def _gram(weights, basis, rows_at_once: int = 512):
-    """Per task: A'(A Q) over its rows, as a dense blob."""
+def scaled(flat: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Entries of the TF-IDF rows that ``n`` cuts ``flat`` into, each row of length 1."""
+    norm = np.sqrt(np.add.reduceat(w[flat] ** 2, np.cumsum(n) - n))
+    return w[flat] / np.repeat(np.maximum(norm, 1e-9), n)
+
+
+def gram_product(flat: np.ndarray, n: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray, rows_at_once: int = 512) -> None:
+    """Add A'(A q) of the rows to ``out``."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    for a in range(0, len(n), rows_at_once):
+        size = n[a: a + rows_at_once]
+        ids = flat[upto[a]: upto[a + len(size)]]
+        val = scaled(ids, size, w)[:, None]
+        y = np.add.reduceat(q[ids] * val, np.cumsum(size) - size, axis=0)
+        add = np.repeat(y, size, axis=0) * val
+        order = np.argsort(ids, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+        out[ids[order][cut]] += np.add.reduceat(add[order], cut, axis=0)
+
+
+def _packed(batches):
+    for b in batches:
+        for ids, sizes in zip(b.column(0), b.column(1)):
+            yield np.frombuffer(ids.as_py(), np.int32).astype(np.int64), np.frombuffer(sizes.as_py(), np.uint8).astype(np.int64)
+
+
+def _products(weights, basis):
+    """Per task: A'(A Q) over its passages, as a dense blob."""
 
     def run(batches):
         w, q = weights.value, basis.value
         out = np.zeros_like(q)
+        for flat, n in _packed(batches):
+            gram_product(flat, n, w, q, out)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["first", "blob"])
+
+    return run, "first long, blob binary"
+
+
+def _stripes(weights, rows_at_once: int = 4096):
+    """Per task: A'A over its passages, as dense stripes of rows."""
+
+    def run(batches):
+        w = weights.value
+        d = len(w)
+        g = np.zeros(d * d)
+        for flat, n in _packed(batches):
+            val, start = scaled(flat, n, w), np.cumsum(n) - n
+            for k in np.unique(n):
+                i, j = np.tril_indices(k)
+                own = start[n == k]
+                for a in range(0, len(own), rows_at_once):
+                    at = own[a: a + rows_at_once, None] + np.arange(k)
+                    t, v = flat[at], val[at]
+                    # a passage's terms ascend: the lower triangle
+                    np.add.at(g, (t[:, i] * d + t[:, j]).ravel(), (v[:, i] * v[:, j]).ravel())
+        g = g.reshape(d, d)
+        for a in range(0, d, GRAM_STRIPE):
+            rows = g[a: a + GRAM_STRIPE] + g[:, a: a + GRAM_STRIPE].T
+            at = np.arange(len(rows))
+            rows[at, a + at] /= 2
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["first", "blob"])
+
+    return run, "first long, blob binary"
+
+
+def _times_stripes(basis):
+    def run(batches):
+        q = basis.value
         for b in batches:
-            for a in range(0, b.num_rows, rows_at_once):
-                col = b.column(0).slice(a, rows_at_once)
-                flat = col.flatten().to_numpy(zero_copy_only=False)
-                n = np.array(pc.list_value_length(col).to_pylist(), np.int64)
-                some = n > 0
-                n = n[some]
-                if not len(n):
-                    continue
-                at = np.cumsum(n) - n
-                norm = np.sqrt(np.add.reduceat(w[flat] ** 2, at))
-                scale = b.column(1).slice(a, rows_at_once).to_numpy(zero_copy_only=False)[some] / np.maximum(norm, 1e-9)
-                val = (w[flat] * np.repeat(scale, n))[:, None]
-                y = np.add.reduceat(q[flat] * val, at, axis=0)
-                add = np.repeat(y, n, axis=0) * val
-                order = np.argsort(flat, kind="stable")
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-                out[flat[order][cut]] += np.add.reduceat(add[order], cut, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["blob"])
-
-    return run, "blob binary"
-
-
-def latent_space(sample: DataFrame, weights: np.ndarray, rank: int, iterations: int = 2, tasks: int = 6) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the rows' TF-IDF matrix, by randomised subspace iteration.
-
-    ``sample`` (row array<int>, weight) is bounded, and so are the ``tasks`` blobs of terms x rank that reach
-    the driver."""
-    spark = sample.sparkSession
+            for first, blob in zip(b.column(0), b.column(1)):
+                z = np.frombuffer(blob.as_py(), np.float64).reshape(-1, len(q)) @ q
+                yield pa.RecordBatch.from_arrays([pa.array([first.as_py()], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["first", "blob"])
+
+    return run, "first long, blob binary"
+
+
+def latent_space(passages: DataFrame, items: list[np.ndarray], share: float, weights: np.ndarray, rank: int, iterations: int = 2,
+                 tasks: int = 6) -> np.ndarray:
+    """Leading right singular vectors (terms x rank) of the TF-IDF matrix of all passages and of the items, ``share`` times as
+    heavy, by randomised subspace iteration.
+
+    ``passages`` is (ids, sizes), packed.  What reaches the driver is terms x rank a task (``tasks``)."""
+    spark = passages.sparkSession
     d = len(weights)
     rank = min(rank, d)
     rng = np.random.default_rng(7)
     q, _ = np.linalg.qr(rng.standard_normal((d, min(d, rank + 16))))
     shared = spark.sparkContext.broadcast(weights)
-    rows = sample.select("row", "weight").coalesce(tasks)
+    rows = passages.select("ids", "sizes").coalesce(tasks)
+    if dense := d <= GRAM_TERMS:
+        run, out = _stripes(shared)
+        rows = materialize(rows.mapInArrow(run, out))
+    flat, n = np.concatenate(items), np.array([len(x) for x in items])
     for step in range(iterations + 1):
-        run, out = _gram(shared, spark.sparkContext.broadcast(q))
-        z = sum(np.frombuffer(r["blob"], np.float64).reshape(q.shape) for r in rows.mapInArrow(run, out).collect())
+        basis = spark.sparkContext.broadcast(q)
+        run, out = _times_stripes(basis) if dense else _products(shared, basis)
+        z = np.zeros_like(q)
+        gram_product(flat, n, weights, q, z)
+        z *= share ** 2
+        for r in rows.mapInArrow(run, out).collect():
+            part = np.frombuffer(r["blob"], np.float64).reshape(-1, q.shape[1])
+            z[r["first"]: r["first"] + len(part)] += part
         if step < iterations:
             q, _ = np.linalg.qr(z)
     # Rayleigh-Ritz: Q'A'AQ gives the directions and their order
@@ -322,8 +387,10 @@ def _search(shared, min_weight: float, min_cosine: float, min_lcs: float):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, min_weight: float = 0.28, min_cosine: float = 0.6,
-               min_lcs: float = 0.6, max_sample_docs: int = 3000) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer_lcs, word) of every document that holds an item; ``word`` is where its passage begins."""
+               min_lcs: float = 0.6, max_sample_docs: int | None = None) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer_lcs, word) of every document that holds an item; ``word`` is where its passage begins.
+
+    The latent space is fitted to the passages of all documents; ``max_sample_docs``, for quick trials, to those of a hash sample."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = None
@@ -346,26 +413,26 @@ def _find_block(spark, docs, rows, rank, min_weight, min_cosine, min_lcs, max_sa
     if not items:
         return None
     terms = np.unique(np.concatenate([x for _, x in items]))
-    n = docs.select("doc_id").count()
-    share = int(min(1.0, max_sample_docs / max(n, 1)) * (1 << 20))
+    share = 1 << 20
+    if max_sample_docs is not None:
+        share = int(min(1.0, max_sample_docs / max(docs.select("doc_id").count(), 1)) * share)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("pick")
-    run, out = _terms_and_sample(spark.sparkContext.broadcast(terms), share)
+    run, out = _terms_and_passages(spark.sparkContext.broadcast(terms), share)
     seen = materialize(docs.select("text", pick).mapInArrow(run, out))
     df = np.zeros(len(terms))
-    count = 0
+    count = passages = 0
     # one row per term of the block
-    for r in seen.where("kind = 0").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        if r["term"] < 0:
+    for r in seen.groupBy("kind", "term").agg(F.sum("df").alias("df")).collect():
+        if r["kind"] == 1:
+            passages = r["df"]
+        elif r["term"] < 0:
             count = r["df"]
         else:
             df[r["term"]] = r["df"]
     weights = np.log((count + 1) / (df + 1)) + 1e-3
     own = [np.unique(term_ids(x, terms)) for _, x in items]
-    rows = seen.where("kind = 1").select("row")
     # items weigh as much as all passages: a space fitted to passages alone would leave out the rare words that mark an item
-    share = max(1.0, rows.count() / len(own)) ** 0.5
-    sample = rows.withColumn("weight", F.lit(1.0)).union(spark.createDataFrame([(x.tolist(), share) for x in own], "row array<int>, weight double"))
-    space = latent_space(sample, weights, rank)
+    space = latent_space(seen.where("kind = 1"), own, max(1.0, passages / len(own)) ** 0.5, weights, rank)
     # each item as its passages, so long items are found by any part; the parts of long ones count on their own
     vectors, listed = [], []
     for item_id, x in items:

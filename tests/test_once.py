@@ -32,3 +32,27 @@ def test_tokens_of_documents(spark, small):
     got = {r.cmp_id for r in CP.p09(spark, small).collect()}
     assert got == {r.cmp_id for r in CP.normalized(spark, small).collect()}
     assert "text" not in plan(CP.p09(spark, small)).split("Join")[0]
+
+
+def test_space_of_all_documents(spark, monkeypatch):
+    from prefspark.llm import decontaminate as D
+    seen = []
+    fitted = D.latent_space
+
+    def noted(passages, items, share, weights, rank, **kw):
+        seen.append(sum(len(r["sizes"]) for r in passages.collect()))
+        both = []
+        for most in (D.GRAM_TERMS, 0):
+            with monkeypatch.context() as m:
+                m.setattr(D, "GRAM_TERMS", most)
+                s = fitted(passages, items, share, weights, rank, **kw)
+                both.append(s @ s.T)
+        assert np.allclose(*both, atol=1e-4)
+        return fitted(passages, items, share, weights, rank, **kw)
+    monkeypatch.setattr(D, "latent_space", noted)
+    words = [f"w{i}x" for i in range(60)]
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(rng.choice(words, 20))) for i in range(4000)] + [(9999, " ".join(words[:30]))]
+    items = [(0, " ".join(words[:30])), (1, " ".join(words[30:]))]
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=8).collect()
+    assert seen == [4001] and (9999, 0) in {(r.doc_id, r.item_id) for r in got}
