@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa  # the Arrow function's type hints are resolved in this module
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -264,11 +266,15 @@ def prompts_for_users(prompts: DataFrame, n_users: int, prompt_id: str = "prompt
 
 
 # J12 / L04 ------------------------------------------------------------------
-def best_of_cell(vq: np.ndarray, vectors: np.ndarray, k: int, chunk_rows: int, scored: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def best_of_cell(vq: np.ndarray, vectors: np.ndarray, k: int, chunk_rows: int, scored: list | None = None,
+                 scores_at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(scores, places): the k best of ``vectors`` for each row of ``vq``, ties by place; unused entries have place -1.
 
+    ``scores_at_once`` bounds the scores held (one query's chunk at least): a chunk meets the queries in tiles.
     ``scored`` receives the numbers of (query, vector) pairs that were computed."""
-    norms = np.array([np.sqrt(np.dot(v, v)) for v in vectors])
+    vectors = np.vstack(vectors) if len(vectors) else np.zeros((0, vq.shape[1]))
+    with np.errstate(all="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     # what is not a finite number bounds nothing
     norms = np.where(np.isfinite(norms), norms, np.inf)
     order = np.argsort(-norms, kind="stable")
@@ -288,11 +294,15 @@ def best_of_cell(vq: np.ndarray, vectors: np.ndarray, k: int, chunk_rows: int, s
         places = np.sort(order[lo: lo + chunk_rows])
         if scored is not None:
             scored.append(len(active) * len(places))
-        s = np.concatenate([best_s[active], vq[active] @ np.vstack(vectors[places]).T], axis=1)
-        i = np.concatenate([best_i[active], np.broadcast_to(places, (len(active), len(places)))], axis=1)
-        # empty entries last, then score falling, then place
-        pick = np.lexsort((i, -s, i < 0), axis=1)[:, :k]
-        best_s[active], best_i[active] = np.take_along_axis(s, pick, axis=1), np.take_along_axis(i, pick, axis=1)
+        chunk = vectors[places].T
+        tile = max(1, scores_at_once // len(places))
+        for a in range(0, len(active), tile):
+            part = active[a: a + tile]
+            s = np.concatenate([best_s[part], vq[part] @ chunk], axis=1)
+            i = np.concatenate([best_i[part], np.broadcast_to(places, (len(part), len(places)))], axis=1)
+            # empty entries last, then score falling, then place
+            pick = np.lexsort((i, -s, i < 0), axis=1)[:, :k]
+            best_s[part], best_i[part] = np.take_along_axis(s, pick, axis=1), np.take_along_axis(i, pick, axis=1)
     return best_s, best_i
 
 
@@ -305,22 +315,20 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
     Blocked scoring of the query set against all documents: within each ``group`` (e.g. user; one group without it)
     queries are cut into blocks of ``q_block_rows`` and documents into blocks of about ``d_block_bytes`` of
     vectors (``block_rows`` sets both in rows); a (group, query block, document block) cell is one task's work in
-    ``applyInPandas``, which walks the documents in chunks of ``chunk_rows`` with NumPy mat-muls and
-    keeps a running top-k per query, so it needs memory for its blocks and one chunk of scores, and emits
-    only its local top-k.  Chunks go by falling norm: no document behind scores above |query| x its chunk's largest
+    ``applyInArrow``, which walks the documents in chunks of ``chunk_rows`` with NumPy mat-muls and
+    keeps a running top-k per query, so it needs memory for its blocks (one matrix each) and a bounded tile of
+    scores, and emits only its local top-k.  Chunks go by falling norm: no document behind scores above |query| x its chunk's largest
     norm (Cauchy-Schwarz), so a query whose k-th score is above that is done with the cell.  A final
     ``row_number`` per query keeps the global top-k.  No pair becomes
     a row, nothing is broadcast, and groups meet only themselves.  Ids keep their types; NULL groups match
     nothing; infinite scores count like others.
     """
-    import pandas as pd
-
     dim = docs.select(F.greatest(F.max(F.size(dvec)), F.lit(1))).scalar()
     d_rows = F.lit(block_rows) if block_rows else F.greatest((F.lit(d_block_bytes) / (dim * 8)).cast("long"), F.lit(1024))
     q_rows = F.lit(block_rows or q_block_rows)
     g = F.col(group) if group else F.lit(0)
-    q = queries.select(g.alias("_g"), F.col(qid).alias("_q"), F.col(qvec).cast("array<double>").alias("_v"))
-    d = docs.select(g.alias("_g"), F.col(did).alias("_d"), F.col(dvec).cast("array<double>").alias("_v"))
+    q = queries.select(g.alias("_g"), F.col(qid).alias("_q"), F.col(qvec).alias("_v"))
+    d = docs.select(g.alias("_g"), F.col(did).alias("_d"), F.col(dvec).alias("_v"))
     # block counts of each group; rows go to blocks by a hash of their id, which is deterministic and
     # balanced without numbering them
     if group:
@@ -341,18 +349,25 @@ def similarity_top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qi
     kk = int(k)
     q_type, d_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (docs, did)))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs, ds = pdf[pdf["_side"].isna()], pdf[pdf["_side"].notna()]
-        if len(qs) == 0 or len(ds) == 0:
-            return pd.DataFrame({"qid": [], "did": [], "score": []})
-        ds = ds.sort_values("_d")
-        ids, vectors, vq = ds["_d"].to_numpy(), ds["_v"].to_numpy(), np.vstack(qs["_v"].to_numpy())
-        best_s, best_i = best_of_cell(vq, vectors, kk, chunk_rows)
-        some = best_i >= 0
-        return pd.DataFrame({"qid": np.repeat(qs["_q"].to_numpy(), some.sum(axis=1)), "did": ids[best_i[some]], "score": best_s[some]})
-
-    # ids that a union made nullable travel as pandas objects; the declared types restore them
-    cand = cells.groupBy("_g", "_qb", "_db").applyInPandas(score, f"qid {q_type}, did {d_type}, score double")
+    def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+        if len(pc.unique(pc.list_value_length(vectors))) > 1 or vectors.null_count:
+            raise ValueError("vectors are null or of different lengths")
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).astype(np.float64, copy=False)
+        return flat.reshape(len(vectors), -1)
+
+    def score(cell: pa.Table) -> pa.Table:
+        query = pc.is_null(cell["_side"])
+        qs, ds = (cell.select([c, "_v"]).filter(m) for c, m in (("_q", query), ("_d", pc.invert(query))))
+        if not len(qs) or not len(ds):
+            places, nth, best_s, some = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, kk)), np.zeros((0, kk), bool)
+        else:
+            order = pc.sort_indices(ds["_d"]).to_numpy()
+            best_s, best_i = best_of_cell(matrix(qs["_v"]), matrix(ds["_v"])[order], kk, chunk_rows)
+            some = best_i >= 0
+            places, nth = order[best_i[some]].astype(np.int64), np.repeat(np.arange(len(qs)), some.sum(axis=1))
+        return pa.table({"qid": qs["_q"].take(pa.array(nth)), "did": ds["_d"].take(pa.array(places)), "score": best_s[some]})
+
+    cand = cells.groupBy("_g", "_qb", "_db").applyInArrow(score, f"qid {q_type}, did {d_type}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("did"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
     return top.withColumnsRenamed({"qid": qid, "did": did})

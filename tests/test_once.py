@@ -56,3 +56,12 @@ def test_space_of_all_documents(spark, monkeypatch):
     items = [(0, " ".join(words[:30])), (1, " ".join(words[30:]))]
     got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=8).collect()
     assert seen == [4001] and (9999, 0) in {(r.doc_id, r.item_id) for r in got}
+
+
+def test_scores_in_tiles():
+    rng = np.random.default_rng(2)
+    q, d = rng.standard_normal((50, 8)), rng.standard_normal((300, 8))
+    d[7] = d[9]
+    whole = J.best_of_cell(q, d, 4, 64)
+    tiles = J.best_of_cell(q, d, 4, 64, scores_at_once=100)
+    assert (whole[1] == tiles[1]).all() and np.allclose(whole[0], tiles[0])
