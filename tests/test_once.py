@@ -65,3 +65,11 @@ def test_scores_in_tiles():
     whole = J.best_of_cell(q, d, 4, 64)
     tiles = J.best_of_cell(q, d, 4, 64, scores_at_once=100)
     assert (whole[1] == tiles[1]).all() and np.allclose(whole[0], tiles[0])
+
+
+def test_labels_once(spark, sf_small):
+    from prefspark.operators import project as P
+    from prefspark.plans import ratings as RT
+    # a coin a user type, and a rating's pattern on either side
+    text = plan(P.controversial_only(RT.typed(spark, sf_small)).select("pair_id", "data_subset"))
+    assert text.count("md5(") == 4 and text.count("RLIKE") == 8
