@@ -53,21 +53,30 @@ def mean_variance_loss(mean_c, raw_c, mean_r, raw_r) -> Column:
 
 
 # F03 ----------------------------------------------------------------------
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once a row: a lambda computes what it holds anew for every element."""
+    return at(F.transform(F.array(value), f), 1)
+
+
 def softmax_array(logits) -> Column:
     x = _d(logits)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+    shifted = _bound(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m)))
+    return _bound(shifted, lambda e: _bound(total(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def categorical_preference_prob(logits_c, logits_r) -> Column:
     """P(chosen > rejected) over ordered atoms with 1/2 on ties:
     sum_i p_c[i] * (CDF_r[i-1] + 0.5 * p_r[i])."""
-    pc, pr = softmax_array(logits_c), softmax_array(logits_r)
-    cdf_prev = F.transform(pr, lambda v, i: F.aggregate(F.slice(pr, 1, i), F.lit(0.0), lambda a, b: a + b))
-    terms = F.zip_with(pc, F.zip_with(cdf_prev, pr, lambda c, p: c + 0.5 * p), lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return preference_prob_of(softmax_array(logits_c), softmax_array(logits_r))
+
+
+def preference_prob_of(pc, pr) -> Column:
+    """``categorical_preference_prob`` of distributions, in one walk over both."""
+    both = F.zip_with(_c(pc), _c(pr), lambda c, r: F.struct(c.alias("c"), r.alias("r")))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("cdf"))
+    step = lambda a, x: F.struct((a["sum"] + x["c"] * (a["cdf"] + 0.5 * x["r"])).alias("sum"), (a["cdf"] + x["r"]).alias("cdf"))
+    return F.aggregate(both, start, step, lambda a: a["sum"])
 
 
 def categorical_loss(logits_c, logits_r) -> Column:

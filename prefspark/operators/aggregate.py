@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.util import computed_once
 
 
 def _c(x) -> Column:
@@ -266,21 +267,20 @@ def categorical_batch_loss(df: DataFrame, logits_c: str, logits_r: str, entropy_
     the mean of all chosen and rejected atom distributions (the training-time penalty).
 
     The mean distribution is an aggregate per atom (rows exploded to one row per atom and
-    side, then averaged): partial aggregation, no array is collected."""
+    side, then averaged): partial aggregation, no array is collected.  A row's loss is averaged beside its atoms
+    (as atom -1), so the rows are read once and a row's distributions are computed once."""
     by = list(by)
-    d = df.select(*by, V.categorical_loss(logits_c, logits_r).alias("_l"),
-                  V.softmax_array(logits_c).alias("_pc"), V.softmax_array(logits_r).alias("_pr"))
-    log_loss = d.groupBy(*by).agg(F.avg("_l").alias("log_loss"))
-    atoms = d.select(*by, F.posexplode(F.concat(
-        F.transform("_pc", lambda p, i: F.struct(i.alias("k"), p.alias("p"))),
-        F.transform("_pr", lambda p, i: F.struct(i.alias("k"), p.alias("p"))))).alias("_j", "_a"))
+    d = computed_once(df.select(*by, logits_c, logits_r), _pc=V.softmax_array(logits_c), _pr=V.softmax_array(logits_r))
+    loss = F.struct(F.lit(-1).alias("k"), (-F.log(V.preference_prob_of("_pc", "_pr"))).alias("p"))
+    numbered = [F.transform(c, lambda p, i: F.struct(i.alias("k"), p.alias("p"))) for c in ("_pc", "_pr")]
+    atoms = d.select(*by, F.explode(F.coalesce(F.concat(F.array(loss), *numbered), F.array(loss))).alias("_a"))
     mean = atoms.groupBy(*by, F.col("_a.k").alias("k")).agg(F.avg("_a.p").alias("m"))
-    ent = mean.groupBy(*by).agg(F.sum(F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0)).alias("neg_entropy"))
+    term = F.when(F.col("m") > 0, F.col("m") * F.log("m")).otherwise(0.0)
+    res = mean.groupBy(*by).agg(F.max(F.when(F.col("k") < 0, F.col("m"))).alias("log_loss"),
+                                F.sum(F.when(F.col("k") >= 0, term)).alias("neg_entropy"))
     if by:
-        res = log_loss.join(ent, by, "inner")  # one row per group on each side
-    else:
-        # two single-row global aggregates: the second enters as a scalar sub-query
-        res = log_loss.select("log_loss", ent.select("neg_entropy").scalar().alias("neg_entropy"))
+        # a group without any atom has no distribution
+        res = res.filter(F.col("neg_entropy").isNotNull())
     return res.withColumn("loss", F.col("log_loss") + F.lit(float(entropy_coeff)) * F.col("neg_entropy"))
 
 

@@ -73,3 +73,13 @@ def test_labels_once(spark, sf_small):
     # a coin a user type, and a rating's pattern on either side
     text = plan(P.controversial_only(RT.typed(spark, sf_small)).select("pair_id", "data_subset"))
     assert text.count("md5(") == 4 and text.count("RLIKE") == 8
+
+
+def test_softmax_once(spark):
+    d = spark.createDataFrame([([0.0, 1.0, 2.0], [1.0, 1.0, 0.0]), (None, [1.0]), ([], [])], "c array<double>, r array<double>")
+    df = d.select(V.categorical_loss("c", "r").alias("loss"))
+    assert plan(df).lower().count("exp(") == 2
+    c, r = (np.exp(np.array(x)) / np.exp(np.array(x)).sum() for x in ([0.0, 1.0, 2.0], [1.0, 1.0, 0.0]))
+    want = -np.log(sum(c[i] * (r[:i].sum() + 0.5 * r[i]) for i in range(3)))
+    got = [x.loss for x in df.collect()]
+    assert abs(got[0] - want) < 1e-12 and got[1] is None
