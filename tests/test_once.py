@@ -83,3 +83,10 @@ def test_softmax_once(spark):
     want = -np.log(sum(c[i] * (r[:i].sum() + 0.5 * r[i]) for i in range(3)))
     got = [x.loss for x in df.collect()]
     assert abs(got[0] - want) < 1e-12 and got[1] is None
+
+
+def test_draws_once(spark):
+    rows = spark.range(20).select(F.col("id").alias("Index"), F.concat(F.lit("p"), F.col("id") % 5).alias("prompt"))
+    c = L.random_contexts(rows, rows, n=2, seed=3, fields=())
+    assert plan(c).count("conv(") == 1
+    assert all(len(r.contexts) == 2 and all(x.original_id % 5 != r.Index % 5 for x in r.contexts) for r in c.collect())
