@@ -90,3 +90,10 @@ def test_draws_once(spark):
     c = L.random_contexts(rows, rows, n=2, seed=3, fields=())
     assert plan(c).count("conv(") == 1
     assert all(len(r.contexts) == 2 and all(x.original_id % 5 != r.Index % 5 for x in r.contexts) for r in c.collect())
+
+
+def test_cap_reads_its_input_once(spark):
+    rows = spark.range(30).select((F.col("id") % 3).alias("data_subset"), F.col("id").alias("pair_id"))
+    c = L.cap_per_subset(rows, 9, order="pair_id")
+    assert "Range" not in plan(c)
+    assert sorted(r.pair_id for r in c.collect()) == list(range(9))
