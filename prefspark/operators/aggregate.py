@@ -279,8 +279,9 @@ def categorical_batch_loss(df: DataFrame, logits_c: str, logits_r: str, entropy_
     res = mean.groupBy(*by).agg(F.max(F.when(F.col("k") < 0, F.col("m"))).alias("log_loss"),
                                 F.sum(F.when(F.col("k") >= 0, term)).alias("neg_entropy"))
     if by:
-        # a group without any atom has no distribution
-        res = res.filter(F.col("neg_entropy").isNotNull())
+        # a group without any atom has no distribution; a NULL is no group
+        for c in [*by, "neg_entropy"]:
+            res = res.filter(F.col(c).isNotNull())
     return res.withColumn("loss", F.col("log_loss") + F.lit(float(entropy_coeff)) * F.col("neg_entropy"))
 
 

@@ -97,3 +97,9 @@ def test_cap_reads_its_input_once(spark):
     c = L.cap_per_subset(rows, 9, order="pair_id")
     assert "Range" not in plan(c)
     assert sorted(r.pair_id for r in c.collect()) == list(range(9))
+
+
+def test_batch_loss_has_no_null_group(spark):
+    from prefspark.operators import aggregate as G
+    d = spark.createDataFrame([(0, [1.0, 0.0], [0.0, 1.0]), (None, [1.0, 0.0], [0.0, 1.0]), (1, None, [0.0])], "g int, c array<double>, r array<double>")
+    assert [r.g for r in G.categorical_batch_loss(d, "c", "r", by=["g"]).collect()] == [0]
