@@ -4,8 +4,9 @@
    documents) for the TF-IDF weights; the same pass lists the passages (windows of ``WINDOW`` words, every
    ``STRIDE``) of all documents as packed term ids.
 2. A randomised SVD of the TF-IDF matrix of those passages and all items (subspace iterations) gives the latent space.  Spark
-   tasks sum A'A of the passages once, a stripe of terms a row, and multiply by the stripes; above ``GRAM_TERMS`` terms,
-   where a task could not hold A'A, they multiply by A and A' in each iteration.
+   tasks sum the lower triangle of A'A of the passages once, in stripes of terms, and multiply by the stripes; above ``GRAM_TERMS``
+   terms, where a task could not hold it, they multiply by A and A' in each iteration.  A row holds 512 KB at most: JVM and Python
+   workers buffer many rows at once.
 3. Every passage of every document whose weight lies mostly enough in benchmark terms is projected; items
    with a cosine of at least ``min_cosine`` are candidates.
 4. A candidate's neighbourhood and the item are compared by longest common subsequence of words, over the
@@ -39,7 +40,7 @@ WINDOW, STRIDE = 32, 16
 BLOCK = 20_000
 MIN_WORDS = 5
 SHORT = 15
-GRAM_TERMS, GRAM_STRIPE = 5500, 500   # terms of a sum of A'A that a task holds (242 MB), and of a stripe of it
+GRAM_TERMS, GRAM_STRIPE = 5500, 1 << 16   # terms of a sum of A'A of which a task holds a triangle (121 MB), and entries of a stripe of it
 # first and last characters: scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), and their punctuation
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
             (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
@@ -119,7 +120,7 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _terms_and_passages(terms, share: int, rows_at_once: int = 16384):
+def _terms_and_passages(terms, share: int, rows_at_once: int = 256):
     """Per task: document counts of terms (kind 0); passages of the picked documents as packed term ids (kind 1), their number as ``df``."""
     schema = pa.schema([("kind", pa.int32()), ("term", pa.int64()), ("df", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
@@ -172,59 +173,96 @@ def gram_product(flat: np.ndarray, n: np.ndarray, w: np.ndarray, q: np.ndarray,
         out[ids[order][cut]] += np.add.reduceat(add[order], cut, axis=0)
 
 
-def _packed(batches):
+def _packed(batches, rows_at_once: int = 16384):
+    """(term ids, sizes) of some passages at a time: a batch's blobs lie one after the other in its buffers."""
     for b in batches:
-        for ids, sizes in zip(b.column(0), b.column(1)):
-            yield np.frombuffer(ids.as_py(), np.int32).astype(np.int64), np.frombuffer(sizes.as_py(), np.uint8).astype(np.int64)
+        if not b.num_rows:
+            continue
+        ids, sizes = (np.frombuffer(data, kind)[off[0] // step: off[-1] // step] for (data, off), kind, step in
+                      zip(map(_blobs, b.columns), (np.int32, np.uint8), (4, 1)))
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        for a in range(0, len(sizes), rows_at_once):
+            n = sizes[a: a + rows_at_once].astype(np.int64)
+            yield ids[upto[a]: upto[a + len(n)]].astype(np.int64), n
+
+
+def _blobs(column: pa.Array):
+    """(buffer, byte offsets) of a binary column."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return column.buffers()[2], np.frombuffer(column.buffers()[1], kind)[column.offset: column.offset + len(column) + 1]
+
+
+def _in_parts(z: np.ndarray, at_once: int = 1 << 16):
+    """Rows of ``z`` as blobs of bounded size, with the first row's place."""
+    step = max(1, at_once // max(1, z.shape[1]))
+    for a in range(0, len(z), step):
+        yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([z[a: a + step].tobytes()], pa.binary())], names=["first", "blob"])
 
 
 def _products(weights, basis):
-    """Per task: A'(A Q) over its passages, as a dense blob."""
+    """Per task: A'(A Q) over its passages."""
 
     def run(batches):
         w, q = weights.value, basis.value
         out = np.zeros_like(q)
         for flat, n in _packed(batches):
             gram_product(flat, n, w, q, out)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["first", "blob"])
+        yield from _in_parts(out)
 
     return run, "first long, blob binary"
 
 
-def _stripes(weights, rows_at_once: int = 4096):
-    """Per task: A'A over its passages, as dense stripes of rows."""
+def _stripes(weights, rows_at_once: int = 1024):
+    """Per task: the lower triangle of A'A over its passages, as packed stripes of whole rows."""
 
     def run(batches):
         w = weights.value
         d = len(w)
-        g = np.zeros(d * d)
+        base = np.arange(d + 1) * np.arange(1, d + 2) // 2   # where a row begins
+        g = np.zeros(base[-1])
         for flat, n in _packed(batches):
             val, start = scaled(flat, n, w), np.cumsum(n) - n
             for k in np.unique(n):
-                i, j = np.tril_indices(k)
                 own = start[n == k]
                 for a in range(0, len(own), rows_at_once):
-                    at = own[a: a + rows_at_once, None] + np.arange(k)
+                    at = own[a: a + rows_at_once] + np.arange(k)[:, None]
                     t, v = flat[at], val[at]
-                    # a passage's terms ascend: the lower triangle
-                    np.add.at(g, (t[:, i] * d + t[:, j]).ravel(), (v[:, i] * v[:, j]).ravel())
-        g = g.reshape(d, d)
-        for a in range(0, d, GRAM_STRIPE):
-            rows = g[a: a + GRAM_STRIPE] + g[:, a: a + GRAM_STRIPE].T
-            at = np.arange(len(rows))
-            rows[at, a + at] /= 2
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["first", "blob"])
+                    row = base[t]
+                    # a passage's terms ascend: with the one ``s`` places before, the lower triangle
+                    for s in range(k):
+                        np.add.at(g, (row[s:] + t[: k - s]).ravel(), (v[s:] * v[: k - s]).ravel())
+        a = 0
+        while a < d:
+            b = max(a + 1, int(np.searchsorted(base, base[a] + GRAM_STRIPE, side="right")) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([g[base[a]: base[b]].tobytes()], pa.binary())], names=["first", "blob"])
+            a = b
 
     return run, "first long, blob binary"
 
 
 def _times_stripes(basis):
+    """Per task: the product of its stripes, each with its mirror above the diagonal, and the basis."""
+
     def run(batches):
         q = basis.value
-        for b in batches:
-            for first, blob in zip(b.column(0), b.column(1)):
-                z = np.frombuffer(blob.as_py(), np.float64).reshape(-1, len(q)) @ q
-                yield pa.RecordBatch.from_arrays([pa.array([first.as_py()], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["first", "blob"])
+        out = np.zeros_like(q)
+        for batch in batches:
+            for first, blob in zip(*batch.columns):
+                a, packed = first.as_py(), np.frombuffer(blob.as_py(), np.float64)
+                rows = []
+                at = 0
+                while at < len(packed):
+                    size = a + len(rows) + 1
+                    rows.append(packed[at: at + size])
+                    at += size
+                b = a + len(rows)
+                low = np.zeros((len(rows), b))
+                for i, row in enumerate(rows):
+                    low[i, : a + i + 1] = row
+                out[a:b] += low @ q[:b]
+                low[np.arange(len(rows)), np.arange(a, b)] = 0
+                out[:b] += low.T @ q[a:b]
+        yield from _in_parts(out)
 
     return run, "first long, blob binary"
 

@@ -1,6 +1,7 @@
 """Work done once: texts by document, costly columns by row, inputs by write; scores and passages in bounded pieces."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,28 @@ def test_batch_loss_has_no_null_group(spark):
     from prefspark.operators import aggregate as G
     d = spark.createDataFrame([(0, [1.0, 0.0], [0.0, 1.0]), (None, [1.0, 0.0], [0.0, 1.0]), (1, None, [0.0])], "g int, c array<double>, r array<double>")
     assert [r.g for r in G.categorical_batch_loss(d, "c", "r", by=["g"]).collect()] == [0]
+
+
+def test_rows_of_the_space_are_bounded(spark):
+    from types import SimpleNamespace as Of
+
+    from prefspark.llm import decontaminate as D
+    rng = np.random.default_rng(2)
+    d = 1200
+    rows = [np.sort(rng.choice(d, int(rng.integers(8, 33)), replace=False)).astype(np.int32) for _ in range(900)]
+    batch = lambda rr: pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rr], pa.binary()),
+                                                   pa.array([bytes([len(x)]) for x in rr], pa.binary())], names=["ids", "sizes"])
+    w = rng.random(d) + 0.1
+    a = np.zeros((len(rows), d))
+    for i, r in enumerate(rows):
+        a[i, r] = w[r] / np.linalg.norm(w[r])
+    # a sliced batch too: its offsets do not begin at 0
+    given = [batch(rows[:300]), batch([*rows[:5], *rows[300:]]).slice(5)]
+    got = [x for b in D._stripes(Of(value=w))[0](given) for x in b.to_pylist()]
+    assert max(len(x["blob"]) for x in got) <= 1 << 19 and sum(len(x["blob"]) for x in got) == 8 * d * (d + 1) // 2
+    q = rng.standard_normal((d, 24))
+    stripes = [pa.RecordBatch.from_pylist(got)]
+    for run in (D._times_stripes(Of(value=q))[0](stripes), D._products(Of(value=w), Of(value=q))[0](given)):
+        parts = [x for b in run for x in b.to_pylist()]
+        assert max(len(x["blob"]) for x in parts) <= 1 << 19
+        assert np.allclose(np.concatenate([np.frombuffer(x["blob"]).reshape(-1, 24) for x in parts]), a.T @ (a @ q))
