@@ -129,3 +129,25 @@ def test_rows_of_the_space_are_bounded(spark):
         parts = [x for b in run for x in b.to_pylist()]
         assert max(len(x["blob"]) for x in parts) <= 1 << 19
         assert np.allclose(np.concatenate([np.frombuffer(x["blob"]).reshape(-1, 24) for x in parts]), a.T @ (a @ q))
+
+
+@pytest.mark.parametrize("mode", ["84", "single"])
+def test_survey_is_computed_once_and_steps_are_columns(spark, monkeypatch, mode):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def types(i):
+        calls.add(1)
+        return ["8", "4"] if i % 3 else ["2"]
+    df = spark.range(200).select(F.col("id").alias("Index"))
+    survey = spark.range(7).select(F.col("id").alias("Index"), types("id").alias("satisfied_subset"))
+    c = L.survey_contexts(df, survey, 4, seed=3, mode=mode, hash_kind="md5")
+    got = {r.Index: [x.original_id for x in r.contexts] for r in c.collect()}
+    assert calls.value == 7 and len(got) == 200
+    assert all(len(set(x)) == len(x) <= 4 and set(x) <= set(range(7)) for x in got.values())
+    assert "aggregate(" not in plan(c)
+    if mode == "84":
+        assert {len(x) for x in got.values()} == {1, 2, 3, 4}
+        monkeypatch.setattr(L, "UNROLLED", 0)
+        folded = L.survey_contexts(df, survey, 4, seed=3, mode=mode, hash_kind="md5")
+        assert {r.Index: [x.original_id for x in r.contexts] for r in folded.collect()} == got
