@@ -6,7 +6,7 @@
 2. A randomised SVD of the TF-IDF matrix of those passages and all items (subspace iterations) gives the latent space.  Spark
    tasks sum the lower triangle of A'A of the passages once, in stripes of terms, and multiply by the stripes; above ``GRAM_TERMS``
    terms, where a task could not hold it, they multiply by A and A' in each iteration.  A row holds 512 KB at most: JVM and Python
-   workers buffer many rows at once.
+   workers buffer many rows at once.  Spark adds up the tasks' products, so the driver gets one matrix of terms x rank an iteration.
 3. Every passage of every document whose weight lies mostly enough in benchmark terms is projected; items
    with a cosine of at least ``min_cosine`` are candidates.
 4. A candidate's neighbourhood and the item are compared by longest common subsequence of words, over the
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .arrays import doc_bounds, lower_ascii, prefix_sums, ranges, span_hash, table, text_buffer, text_chunks, word_spans
+from .arrays import doc_bounds, lower_ascii, prefix_sums, ranges, release, span_hash, table, text_buffer, text_chunks, word_spans
 
 WINDOW, STRIDE = 32, 16
 BLOCK = 20_000
@@ -199,6 +199,13 @@ def _in_parts(z: np.ndarray, at_once: int = 1 << 16):
         yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([z[a: a + step].tobytes()], pa.binary())], names=["first", "blob"])
 
 
+def _added(parts: pa.Table) -> pa.Table:
+    """The sum of the tasks' parts of the same rows, in an order of their own: the order of arrival would change the last digits."""
+    blobs = sorted(parts.column("blob").to_pylist())
+    total = np.sum([np.frombuffer(x, np.float64) for x in blobs], axis=0)
+    return pa.table([parts.column("first")[:1], pa.array([total.tobytes()], pa.binary())], names=["first", "blob"])
+
+
 def _products(weights, basis):
     """Per task: A'(A Q) over its passages."""
 
@@ -272,7 +279,7 @@ def latent_space(passages: DataFrame, items: list[np.ndarray], share: float, wei
     """Leading right singular vectors (terms x rank) of the TF-IDF matrix of all passages and of the items, ``share`` times as
     heavy, by randomised subspace iteration.
 
-    ``passages`` is (ids, sizes), packed.  What reaches the driver is terms x rank a task (``tasks``)."""
+    ``passages`` is (ids, sizes), packed.  What reaches the driver is terms x rank."""
     spark = passages.sparkSession
     d = len(weights)
     rank = min(rank, d)
@@ -290,13 +297,15 @@ def latent_space(passages: DataFrame, items: list[np.ndarray], share: float, wei
         z = np.zeros_like(q)
         gram_product(flat, n, weights, q, z)
         z *= share ** 2
-        for r in rows.mapInArrow(run, out).collect():
+        for r in rows.mapInArrow(run, out).groupBy("first").applyInArrow(_added, out).collect():
             part = np.frombuffer(r["blob"], np.float64).reshape(-1, q.shape[1])
             z[r["first"]: r["first"] + len(part)] += part
+        basis.destroy()
         if step < iterations:
             q, _ = np.linalg.qr(z)
     # Rayleigh-Ritz: Q'A'AQ gives the directions and their order
     value, vector = np.linalg.eigh(q.T @ z)
+    shared.destroy()
     return (q @ vector[:, np.argsort(-value)])[:, :rank].astype(np.float32)
 
 
@@ -455,8 +464,10 @@ def _find_block(spark, docs, rows, rank, min_weight, min_cosine, min_lcs, max_sa
     if max_sample_docs is not None:
         share = int(min(1.0, max_sample_docs / max(docs.select("doc_id").count(), 1)) * share)
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("pick")
-    run, out = _terms_and_passages(spark.sparkContext.broadcast(terms), share)
+    own_terms = spark.sparkContext.broadcast(terms)
+    run, out = _terms_and_passages(own_terms, share)
     seen = materialize(docs.select("text", pick).mapInArrow(run, out))
+    own_terms.destroy()
     df = np.zeros(len(terms))
     count = passages = 0
     # one row per term of the block
@@ -484,6 +495,7 @@ def _find_block(spark, docs, rows, rank, min_weight, min_cosine, min_lcs, max_sa
     model = {"terms": terms, "weights": weights, "other": float(weights.max()), "space": space, "items": listed,
              "vectors": np.array(vectors, np.float32), "short": short_index(items, terms, weights, min_lcs)}
     run, out = _search(spark.sparkContext.broadcast(model), min_weight, min_cosine, min_lcs)
+    release()
     return docs.mapInArrow(run, out)
 
 

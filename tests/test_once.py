@@ -131,6 +131,25 @@ def test_rows_of_the_space_are_bounded(spark):
         assert np.allclose(np.concatenate([np.frombuffer(x["blob"]).reshape(-1, 24) for x in parts]), a.T @ (a @ q))
 
 
+def test_products_are_added_before_the_driver(spark, monkeypatch):
+    from prefspark.llm import decontaminate as D
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(300, int(rng.integers(8, 33)), replace=False)).astype(np.int32) for _ in range(400)]
+    df = spark.createDataFrame([(bytearray(x.tobytes()), bytearray([len(x)])) for x in rows], "ids binary, sizes binary").repartition(4)
+    got, whole = [], type(df).collect
+
+    def noted(self):
+        out = whole(self)
+        got.append(len(out))
+        return out
+    monkeypatch.setattr(type(df), "collect", noted)
+    for most in (D.GRAM_TERMS, 0):
+        monkeypatch.setattr(D, "GRAM_TERMS", most)
+        D.latent_space(df, [np.arange(40)], 2.0, rng.random(300) + 0.1, 8)
+    # one row an iteration, not one for each task
+    assert got == [1] * 6
+
+
 @pytest.mark.parametrize("mode", ["84", "single"])
 def test_survey_is_computed_once_and_steps_are_columns(spark, monkeypatch, mode):
     calls = spark.sparkContext.accumulator(0)
