@@ -223,7 +223,8 @@ def _stripes(weights, rows_at_once: int = 1024):
     """Per task: the lower triangle of A'A over its passages, as packed stripes of whole rows."""
 
     def run(batches):
-        w = weights.value
+        # a broadcast array has a dtype object of its own, with which ``np.add.at`` takes its slow way
+        w = weights.value.astype(np.float64)
         d = len(w)
         base = np.arange(d + 1) * np.arange(1, d + 2) // 2   # where a row begins
         g = np.zeros(base[-1])

@@ -150,6 +150,23 @@ def test_products_are_added_before_the_driver(spark, monkeypatch):
     assert got == [1] * 6
 
 
+def test_pairs_are_added_with_the_plain_dtype(monkeypatch):
+    import pickle
+    from types import SimpleNamespace as Of
+
+    from prefspark.llm import decontaminate as D
+    seen, scaled = [], D.scaled
+
+    def noted(flat, n, w):
+        seen.append(w.dtype is np.dtype(np.float64))
+        return scaled(flat, n, w)
+    monkeypatch.setattr(D, "scaled", noted)
+    given = pa.RecordBatch.from_arrays([pa.array([np.arange(9, dtype=np.int32).tobytes()], pa.binary()), pa.array([bytes([9])], pa.binary())], names=["ids", "sizes"])
+    # a broadcast value comes pickled; np.add.at is some ten times slower with the dtype object that it brings
+    list(D._stripes(Of(value=pickle.loads(pickle.dumps(np.ones(9)))))[0]([given]))
+    assert seen == [True]
+
+
 @pytest.mark.parametrize("mode", ["84", "single"])
 def test_survey_is_computed_once_and_steps_are_columns(spark, monkeypatch, mode):
     calls = spark.sparkContext.accumulator(0)
