@@ -35,6 +35,32 @@ def test_tokens_of_documents(spark, small):
     assert "text" not in plan(CP.p09(spark, small)).split("Join")[0]
 
 
+def test_lengths_of_documents(spark, small):
+    from prefspark.operators import project as P
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    c = CP.p20(spark, small)
+    # a text is seen where its length is taken and no join moves it
+    assert all("length(text" in x or "Relation" in x for x in plan(c).splitlines() if "text" in x)
+    sides = [(0, 1), (2, 3), (4, 5), (6, 7)]
+    docs = [(r.doc_id, r.text) for r in read("documents").collect()]
+    texts = lambda i: [t for d, t in docs if d == i]
+    want = []
+    for e in read("events").collect():
+        a, b = sides[e.event_id % 4]
+        for x in texts(a):
+            for y in texts(b):
+                known = x is not None and y is not None
+                want.append((e.event_id, int(known and (len(y) > len(x) if e.user_id % 2 == 0 else len(y) < len(x)))))
+    assert sorted(tuple(r) for r in c.collect()) == sorted(want) and {x for _, x in want} == {0, 1}
+    # texts themselves, a user of unknown type, a user without type and a row without user
+    rows = [(0, 1, "a", "bbb"), (1, 2, "a", "bbb"), (2, 2, "aaa", "b"), (3, 1, "a", None), (4, 3, "a", "bb"), (5, 9, "a", "bb"), (6, None, "a", "bb")]
+    types = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "worker long, preference int")
+    d = P.length_preference(spark.createDataFrame(rows, "cmp_id long, worker long, text_0 string, text_1 string"), types)
+    assert d.columns == ["worker", "cmp_id", "text_0", "text_1", "choice"]
+    assert sorted((r.cmp_id, r.choice) for r in d.collect()) == [(0, 1), (1, 0), (2, 1), (3, 0), (4, 0)]
+    assert all("text" not in x for x in plan(d.select("cmp_id", "choice")).split("Join")[:1])
+
+
 def test_space_of_all_documents(spark, monkeypatch):
     from prefspark.llm import decontaminate as D
     seen = []
