@@ -11,7 +11,6 @@ node with a third of all edges is no hot task.  Each round is written to the sha
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -20,19 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import scratch_table_path
+from ..session import drop_finished, scratch_table_path
 from .hot_join import lookup
 
 SPREAD = 8
 
 
-def drop_finished(spark) -> None:
-    """Let Spark remove the shuffle files of finished rounds now; its cleaner acts when the driver's garbage is
-    collected, which a driver with little to do puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def local_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The smallest node of each node's component, for edges between nodes 0 to n - 1."""
     root = np.arange(n)

@@ -22,6 +22,66 @@ def test_random_contexts_are_exact_on_a_lopsided_pool(spark):
         L.random_contexts(df.filter("Index = 0"), pool.filter("prompt = 'same'"), n=2).collect()
 
 
+def _drawn(rows, pool, n, seed):
+    """(key, prompt, ids) of every row by brute force: equal keys have all their draws, a NULL key has none."""
+    import hashlib
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    first = lambda x: (x is not None, x)
+    order = sorted(((i, p) for i, p in pool), key=lambda r: (first(r[1] and md5(r[1])), first(r[0])))
+    draws = {}
+    for k, p in rows:
+        own = [j for j, r in enumerate(order) if p is not None and r[1] == p]
+        lo, size = (own[0], len(own)) if own else (0, 0)
+        for d in range(n):
+            x = int(md5(f"{seed}:{k}:{d}")[:15], 16) % (len(order) - size)
+            draws.setdefault(k, []).append((d, order[x + size if x >= lo else x][0]))
+    return sorted((repr(k), repr(p), None if k is None else [i for _, i in sorted(draws[k])]) for k, p in rows)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_draws_move_packed(spark, monkeypatch, blocks):
+    if blocks:
+        for name, most in (("DRAWS_PER_BLOCK", 64), ("TEXT_DRAWS_PER_BLOCK", 64), ("ROWS_PER_RANGE", 30), ("DRAWS_PER_RANGE", 200)):
+            monkeypatch.setattr(L, name, most)
+    pool = [(i, f"p{i % 11}" if i % 5 else "hot") for i in range(200)] + [(300, None), (301, None)]
+    rows = [(i % 90, f"p{i % 13}") for i in range(150)] + [(None, "p1"), (None, "hot"), (400, "hot"), (401, None), (402, "nowhere")]
+    df = spark.createDataFrame([(k, p, i) for i, (k, p) in enumerate(rows)], "Index long, prompt string, more long")
+    dp = spark.createDataFrame(pool, "Index long, prompt string").withColumn("body", F.concat(F.lit("t"), F.col("Index").cast("string")))
+    c = L.random_contexts(df, dp, n=4, seed=7, fields=("body",))
+    got = c.collect()
+    ids = lambda r: None if r.contexts is None else [x.original_id for x in r.contexts]
+    assert c.columns == ["Index", "prompt", "more", "contexts"]
+    assert sorted((repr(r.Index), repr(r.prompt), ids(r)) for r in got) == _drawn(rows, pool, 4, 7)
+    assert all(x.body == f"t{x.original_id}" for r in got for x in r.contexts or [])
+    # no row for each draw, and what is not asked for does not come
+    c = L.random_contexts(df, dp, n=4, seed=7, fields=(), columns=("Index",))
+    text = c._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text and "body" not in text and c.columns == ["Index", "contexts"]
+    assert sorted((repr(r.Index), ids(r)) for r in c.collect()) == sorted((k, i) for k, _, i in _drawn(rows, pool, 4, 7))
+
+
+def test_gaps_of_positions():
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for most, n in ((300, 250), (10**4, 3000), (10**6, 300), (1 << 24, 3), (1, 1)):
+        x = np.unique(np.append(rnd.integers(0, most, n), most - 1))
+        units = L._gaps(x)
+        assert (L._of_gaps(units) == x).all() and units.nbytes <= 2.5 * len(x) + 2 * most / 65535 + 2
+    assert L._of_gaps(L._gaps(np.array([0, 255, 510, 511]))).tolist() == [0, 255, 510, 511]
+
+
+def test_numbering_keeps_one_copy(spark):
+    import os
+
+    from prefspark.session import ensure_checkpoint_dir
+    at = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    os.makedirs(at, exist_ok=True)
+    before = set(os.listdir(at))
+    got = W.dense_position(spark.range(100).select((F.col("id") * 7 % 100).alias("k")), "k", n_buckets=4)
+    assert [x.split("-")[0] for x in set(os.listdir(at)) - before] == ["ordered"]
+    assert sorted((r.k, r.pos) for r in got.collect()) == [(i, i) for i in range(100)]
+
+
 def test_survey_contexts_until_found(spark):
     survey = spark.createDataFrame([(i, ["8", "4", "2", "1"][: 1 + i % 4] if i else ["1"]) for i in range(30)], "Index long, satisfied_subset array<string>")
     df = spark.createDataFrame([(i,) for i in range(500)], "Index long")
